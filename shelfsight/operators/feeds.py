@@ -38,7 +38,7 @@ def labelled_histories(parts: list[DataFrame], limit: int = RECENT_EVENTS) -> Da
 
 def run_feed(runs: DataFrame, column: str = "metadata") -> DataFrame:
     """Run rows with typed metadata fields."""
-    v = F.col("_v")
+    v = "_v"
     typed = runs.withColumn("_v", F.try_parse_json(F.col(column)))
     return typed.select(
         *[c for c in runs.columns if c != column],

@@ -18,161 +18,190 @@ OVERRIDE_HISTORY_LIMIT = 10
 EVIDENCE_LIMIT = 6
 
 
-def kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+# Typed reads are written as SQL text: one expression each, however many fields a document has.
+# `v` is the name of a VARIANT column or lambda variable.
 
+def _quoted(values: Sequence[str]) -> str:
+    return ", ".join(f"'{x}'" for x in values)
 
-def read_string(v: Column, path: str) -> Column:
+
+def kind_sql(v: str, path: str) -> str:
+    return f"schema_of_variant(try_variant_get({v}, '{path}', 'variant'))"
+
+
+def string_sql(v: str, path: str) -> str:
     """The value only if the document holds a string there; numbers are not coerced."""
-    return F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+    return f"CASE WHEN {kind_sql(v, path)} = 'STRING' THEN try_variant_get({v}, '{path}', 'string') END"
+
 
+def trimmed_sql(text: str) -> str:
+    return f"regexp_replace({text}, r'^{t.WS}+|{t.WS}+$', '')"
 
-def read_enum(v: Column, path: str, domain: Sequence[str]) -> Column:
-    return t.let(read_string(v, path), lambda x: F.when(x.isin(*domain), x))
 
+def enum_sql(v: str, path: str, domain: Sequence[str]) -> str:
+    return f"get(filter(array({string_sql(v, path)}), x -> x IN ({_quoted(domain)})), 0)"
 
-def read_number(v: Column, path: str) -> Column:
-    k = kind(v, path)
-    numeric = (k == "BIGINT") | (k == "DOUBLE") | k.startswith("DECIMAL")
-    return F.when(numeric, F.try_variant_get(v, path, "double"))
 
+def number_sql(v: str, path: str) -> str:
+    k = kind_sql(v, path)
+    return f"CASE WHEN {k} IN ('BIGINT', 'DOUBLE') OR {k} LIKE 'DECIMAL%' THEN try_variant_get({v}, '{path}', 'double') END"
 
-def read_count(v: Column, path: str) -> Column:
-    return F.coalesce(read_number(v, path), F.lit(0)).cast("bigint")
 
+def count_sql(v: str, path: str) -> str:
+    return f"CAST(coalesce({number_sql(v, path)}, 0) AS BIGINT)"
 
-def read_truth(v: Column, path: str) -> Column:
+
+def truth_sql(v: str, path: str) -> str:
     """Truthiness of any JSON value: null, false, 0 and the empty string are false."""
-    k = kind(v, path)
-    return F.coalesce(
-        F.when(k == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
-        .when(k == "STRING", F.try_variant_get(v, path, "string") != "")
-        .when(k == "VOID", False)
-        .when((k == "BIGINT") | (k == "DOUBLE") | k.startswith("DECIMAL"), F.try_variant_get(v, path, "double") != 0)
-        .when(k.isNotNull(), True),
-        F.lit(False),
-    )
+    k = kind_sql(v, path)
+    return (f"coalesce(CASE WHEN {k} = 'BOOLEAN' THEN try_variant_get({v}, '{path}', 'boolean') "
+            f"WHEN {k} = 'STRING' THEN try_variant_get({v}, '{path}', 'string') <> '' WHEN {k} = 'VOID' THEN false "
+            f"WHEN {k} IN ('BIGINT', 'DOUBLE') OR {k} LIKE 'DECIMAL%' THEN try_variant_get({v}, '{path}', 'double') <> 0 "
+            f"WHEN {k} IS NOT NULL THEN true END, false)")
+
+
+def strings_sql(v: str, path: str) -> str:
+    """String items of a list; anything else in it is dropped, and a non-list is empty."""
+    items = f"filter(try_variant_get({v}, '{path}', 'array<variant>'), e -> schema_of_variant(e) = 'STRING')"
+    return f"coalesce(transform({items}, e -> try_variant_get(e, '$', 'string')), array())"
+
+
+def list_sql(v: str, path: str, limit: int) -> str:
+    return f"slice(filter(transform({strings_sql(v, path)}, e -> {trimmed_sql('e')}), e -> e <> ''), 1, {limit})"
+
+
+def evidence_sql(v: str, path: str, limit: int = EVIDENCE_LIMIT) -> str:
+    typed = (f"transform(try_variant_get({v}, '{path}', 'array<variant>'), e -> named_struct('source_name', {string_sql('e', '$.sourceName')}, "
+             f"'source_type', {enum_sql('e', '$.sourceType', lx.SOURCE_TYPES)}, 'title', {string_sql('e', '$.title')}, "
+             f"'excerpt', {trimmed_sql(string_sql('e', '$.excerpt'))}))")
+    kept = f"filter({typed}, r -> r.source_name <> '' AND r.source_type IS NOT NULL AND r.excerpt <> '')"
+    empty = "CAST(array() AS array<struct<source_name:string,source_type:string,title:string,excerpt:string>>)"
+    return f"slice(coalesce({kept}, {empty}), 1, {limit})"
+
+
+def _record(fields: dict[str, str], condition: str) -> Column:
+    """Struct of fields, null as a whole unless the condition over `r` holds."""
+    struct = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
+    return F.expr(f"get(filter(array(named_struct({struct})), r -> {condition}), 0)")
+
 
+def read_string(v: str, path: str) -> Column:
+    return F.expr(string_sql(v, path))
 
-def string_items(items: Column) -> Column:
-    strings = F.filter(items, lambda e: F.schema_of_variant(e) == "STRING")
-    return F.coalesce(F.transform(strings, lambda e: e.try_cast("string")), F.array().cast("array<string>"))
 
+def read_enum(v: str, path: str, domain: Sequence[str]) -> Column:
+    return F.expr(enum_sql(v, path, domain))
 
-def read_string_list(v: Column, path: str, limit: int) -> Column:
-    items = string_items(F.try_variant_get(v, path, "array<variant>"))
-    return F.slice(F.filter(F.transform(items, t.trim_ws), lambda s: s != ""), 1, limit)
 
+def read_number(v: str, path: str) -> Column:
+    return F.expr(number_sql(v, path))
 
-def read_highlights(v: Column, limit: int = 3) -> Column:
+
+def read_count(v: str, path: str) -> Column:
+    return F.expr(count_sql(v, path))
+
+
+def read_string_list(v: str, path: str, limit: int) -> Column:
+    return F.expr(list_sql(v, path, limit))
+
+
+def read_highlights(v: str, limit: int = 3) -> Column:
     """Strings kept as they are, only the count is bounded."""
-    return F.slice(string_items(F.try_variant_get(v, "$.highlights", "array<variant>")), 1, limit)
+    return F.expr(f"slice({strings_sql(v, '$.highlights')}, 1, {limit})")
 
 
-def read_evidence(v: Column, path: str, limit: int = EVIDENCE_LIMIT) -> Column:
-    entries = F.try_variant_get(v, path, "array<variant>")
-    typed = F.transform(entries, lambda e: F.struct(
-        read_string(e, "$.sourceName").alias("source_name"),
-        read_enum(e, "$.sourceType", lx.SOURCE_TYPES).alias("source_type"),
-        read_string(e, "$.title").alias("title"),
-        t.trim_ws(read_string(e, "$.excerpt")).alias("excerpt"),
-    ))
-    kept = F.filter(typed, lambda e: (e["source_name"] != "") & e["source_type"].isNotNull() & (e["excerpt"] != ""))
-    empty = F.array().cast("array<struct<source_name:string,source_type:string,title:string,excerpt:string>>")
-    return F.slice(F.coalesce(kept, empty), 1, limit)
+def read_evidence(v: str, path: str) -> Column:
+    return F.expr(evidence_sql(v, path))
 
 
-def stored_summary(v: Column) -> Column:
+def stored_summary(v: str) -> Column:
     """The generated summary, or null as a whole when a required field is missing."""
     p = f"$.{SUMMARY_KEY}"
-    fields = F.struct(
-        t.trim_ws(F.coalesce(read_string(v, f"{p}.overview"), F.lit(""))).alias("overview"),
-        read_enum(v, f"{p}.overallSentiment", lx.SENTIMENTS).alias("overall_sentiment"),
-        read_enum(v, f"{p}.confidence", lx.CONFIDENCES).alias("confidence"),
-        read_enum(v, f"{p}.editorialSentiment", lx.SENTIMENTS).alias("editorial_sentiment"),
-        read_enum(v, f"{p}.communitySentiment", lx.SENTIMENTS).alias("community_sentiment"),
-        F.coalesce(read_enum(v, f"{p}.sourceAlignment", lx.ALIGNMENTS), F.lit("mixed")).alias("source_alignment"),
-        read_string(v, f"{p}.buyerSignal").alias("buyer_signal"),
-        read_string_list(v, f"{p}.pros", 4).alias("pros"),
-        read_string_list(v, f"{p}.cons", 4).alias("cons"),
-        read_string_list(v, f"{p}.bestFor", 4).alias("best_for"),
-        read_string_list(v, f"{p}.watchOuts", 4).alias("watch_outs"),
-        read_string_list(v, f"{p}.consensusPoints", 4).alias("consensus_points"),
-        read_string_list(v, f"{p}.debates", 4).alias("debates"),
-        read_count(v, f"{p}.reviewCount").alias("review_count"),
-        read_count(v, f"{p}.sourceCount").alias("source_count"),
-        read_string(v, f"{p}.generatedAt").alias("generated_at"),
-        read_string(v, f"{p}.model").alias("model"),
-        read_enum(v, f"{p}.provider", lx.SUMMARY_PROVIDERS).alias("provider"),
-        read_evidence(v, f"{p}.evidence").alias("evidence"),
-        F.lit(False).alias("is_override"),
-    )
-    return t.let(fields, lambda s: F.when(
-        (s["overview"] != "") & s["overall_sentiment"].isNotNull() & s["confidence"].isNotNull()
-        & (s["generated_at"] != "") & s["provider"].isNotNull(), s))
-
-
-def summary_override(v: Column) -> Column:
+    overview = f"coalesce({string_sql(v, p + '.overview')}, '')"
+    lists = {"pros": "pros", "cons": "cons", "best_for": "bestFor", "watch_outs": "watchOuts",
+             "consensus_points": "consensusPoints", "debates": "debates"}
+    fields = {
+        "overview": trimmed_sql(overview),
+        "overall_sentiment": enum_sql(v, f"{p}.overallSentiment", lx.SENTIMENTS),
+        "confidence": enum_sql(v, f"{p}.confidence", lx.CONFIDENCES),
+        "editorial_sentiment": enum_sql(v, f"{p}.editorialSentiment", lx.SENTIMENTS),
+        "community_sentiment": enum_sql(v, f"{p}.communitySentiment", lx.SENTIMENTS),
+        "source_alignment": f"coalesce({enum_sql(v, p + '.sourceAlignment', lx.ALIGNMENTS)}, 'mixed')",
+        "buyer_signal": string_sql(v, f"{p}.buyerSignal"),
+        **{name: list_sql(v, f"{p}.{key}", 4) for name, key in lists.items()},
+        "review_count": count_sql(v, f"{p}.reviewCount"),
+        "source_count": count_sql(v, f"{p}.sourceCount"),
+        "generated_at": string_sql(v, f"{p}.generatedAt"),
+        "model": string_sql(v, f"{p}.model"),
+        "provider": enum_sql(v, f"{p}.provider", lx.SUMMARY_PROVIDERS),
+        "evidence": evidence_sql(v, f"{p}.evidence"),
+        "is_override": "false",
+    }
+    return _record(fields, "r.overview <> '' AND r.overall_sentiment IS NOT NULL AND r.confidence IS NOT NULL "
+                           "AND r.generated_at <> '' AND r.provider IS NOT NULL")
+
+
+def summary_override(v: str) -> Column:
     p = f"$.{OVERRIDE_KEY}"
-    fields = F.struct(
-        read_truth(v, f"{p}.isEnabled").alias("is_enabled"),
-        read_string(v, f"{p}.overview").alias("overview"),
-        read_enum(v, f"{p}.overallSentiment", lx.SENTIMENTS).alias("overall_sentiment"),
-        read_enum(v, f"{p}.confidence", lx.CONFIDENCES).alias("confidence"),
-        read_string_list(v, f"{p}.pros", 4).alias("pros"),
-        read_string_list(v, f"{p}.cons", 4).alias("cons"),
-        read_string_list(v, f"{p}.bestFor", 4).alias("best_for"),
-        read_string_list(v, f"{p}.watchOuts", 4).alias("watch_outs"),
-        read_string(v, f"{p}.updatedAt").alias("updated_at"),
-    )
-    return t.let(fields, lambda o: F.when(o["is_enabled"] | (o["updated_at"] != ""), o))
+    fields = {
+        "is_enabled": truth_sql(v, f"{p}.isEnabled"),
+        "overview": string_sql(v, f"{p}.overview"),
+        "overall_sentiment": enum_sql(v, f"{p}.overallSentiment", lx.SENTIMENTS),
+        "confidence": enum_sql(v, f"{p}.confidence", lx.CONFIDENCES),
+        "pros": list_sql(v, f"{p}.pros", 4), "cons": list_sql(v, f"{p}.cons", 4),
+        "best_for": list_sql(v, f"{p}.bestFor", 4), "watch_outs": list_sql(v, f"{p}.watchOuts", 4),
+        "updated_at": string_sql(v, f"{p}.updatedAt"),
+    }
+    return _record(fields, "r.is_enabled OR r.updated_at <> ''")
+
+
+def editorial_notes(v: str) -> Column:
+    p = f"$.{EDITORIAL_KEY}"
+    return F.expr(f"named_struct('summary_note', {string_sql(v, p + '.summaryNote')}, "
+                  f"'pinned_takeaways', {list_sql(v, p + '.pinnedTakeaways', 5)}, 'ignored_themes', {list_sql(v, p + '.ignoredThemes', 8)})")
 
 
-def editorial_notes(v: Column) -> Column:
-    p = f"$.{EDITORIAL_KEY}"
-    return F.struct(
-        read_string(v, f"{p}.summaryNote").alias("summary_note"),
-        read_string_list(v, f"{p}.pinnedTakeaways", 5).alias("pinned_takeaways"),
-        read_string_list(v, f"{p}.ignoredThemes", 8).alias("ignored_themes"),
-    )
+def summary_history(v: str) -> Column:
+    fields = {
+        "timestamp": string_sql("e", "$.timestamp"), "event_type": enum_sql("e", "$.eventType", lx.HISTORY_EVENTS),
+        "provider": enum_sql("e", "$.provider", lx.HISTORY_PROVIDERS), "overview": string_sql("e", "$.overview"),
+        "overall_sentiment": enum_sql("e", "$.overallSentiment", lx.SENTIMENTS), "confidence": enum_sql("e", "$.confidence", lx.CONFIDENCES),
+        "review_count": count_sql("e", "$.reviewCount"), "source_count": count_sql("e", "$.sourceCount"),
+        "evidence_count": count_sql("e", "$.evidenceCount"),
+    }
+    struct = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
+    typed = f"transform(try_variant_get({v}, '$.{HISTORY_KEY}', 'array<variant>'), e -> named_struct({struct}))"
+    return F.expr(f"slice(filter({typed}, r -> r.timestamp <> '' AND r.event_type IS NOT NULL), 1, {HISTORY_LIMIT})")
 
 
-def summary_history(v: Column) -> Column:
-    entries = F.try_variant_get(v, f"$.{HISTORY_KEY}", "array<variant>")
-    typed = F.transform(entries, lambda e: F.struct(
-        read_string(e, "$.timestamp").alias("timestamp"),
-        read_enum(e, "$.eventType", lx.HISTORY_EVENTS).alias("event_type"),
-        read_enum(e, "$.provider", lx.HISTORY_PROVIDERS).alias("provider"),
-        read_string(e, "$.overview").alias("overview"),
-        read_enum(e, "$.overallSentiment", lx.SENTIMENTS).alias("overall_sentiment"),
-        read_enum(e, "$.confidence", lx.CONFIDENCES).alias("confidence"),
-        read_count(e, "$.reviewCount").alias("review_count"),
-        read_count(e, "$.sourceCount").alias("source_count"),
-        read_count(e, "$.evidenceCount").alias("evidence_count"),
-    ))
-    kept = F.filter(typed, lambda e: (e["timestamp"] != "") & e["event_type"].isNotNull())
-    return F.slice(kept, 1, HISTORY_LIMIT)
-
-
-def overlay_override(stored: Column, override: Column) -> Column:
+def overlay_override(stored: str, override: str) -> Column:
     """Editorial values win where given; lists replace only when not empty."""
-    enabled = F.coalesce(override["is_enabled"], F.lit(False))
-    merged = stored.withField("is_override", F.lit(True))
-    for name in ("overview", "overall_sentiment", "confidence"):
-        merged = merged.withField(name, F.coalesce(override[name], stored[name]))
-    for name in ("pros", "cons", "best_for", "watch_outs"):
-        merged = merged.withField(name, F.when(F.size(override[name]) > 0, override[name]).otherwise(stored[name]))
-    return F.when(enabled & stored.isNotNull(), merged).otherwise(stored)
+    names = ("overview", "overall_sentiment", "confidence", "editorial_sentiment", "community_sentiment", "source_alignment", "buyer_signal",
+             "pros", "cons", "best_for", "watch_outs", "consensus_points", "debates", "review_count", "source_count", "generated_at", "model",
+             "provider", "evidence")
+    values = {n: f"{stored}.{n}" for n in names}
+    for n in ("overview", "overall_sentiment", "confidence"):
+        values[n] = f"coalesce({override}.{n}, {stored}.{n})"
+    for n in ("pros", "cons", "best_for", "watch_outs"):
+        values[n] = f"if(size({override}.{n}) > 0, {override}.{n}, {stored}.{n})"
+    merged = ", ".join(f"'{n}', {x}" for n, x in values.items())
+    return F.expr(f"CASE WHEN {override}.is_enabled AND {stored} IS NOT NULL THEN named_struct({merged}, 'is_override', true) ELSE {stored} END")
+
+
+def _once(**columns: Column) -> Column:
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def read_release_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
-    """Adds stored, override, notes and summary (the overlaid one); drops the raw document."""
+    """Adds stored, override, notes and summary (the overlaid one); drops the raw document.
+
+    The typed records pass through a one-row generator: filters on them then stay above it,
+    where pushing them down would copy the whole parsing expression into every predicate.
+    """
     parsed = df.withColumn("_v", F.try_parse_json(F.col(column)))
-    v = F.col("_v")
-    typed = parsed.withColumns({
-        "stored": stored_summary(v), "override": summary_override(v), "notes": editorial_notes(v),
-    }).drop("_v", column)
-    return typed.withColumn("summary", overlay_override(F.col("stored"), F.col("override")))
+    kept = [c for c in df.columns if c != column]
+    typed = parsed.select(*kept, _once(stored=stored_summary("_v"), override=summary_override("_v"), notes=editorial_notes("_v")))
+    return typed.select("*", _once(summary=overlay_override("stored", "override")))
 
 
 def summary_status(df: DataFrame) -> DataFrame:
@@ -193,17 +222,16 @@ def summary_status(df: DataFrame) -> DataFrame:
 
 def merge_metadata(document: Column, patch: dict[str, tuple[Column, Column]]) -> Column:
     """JSON text with top-level keys patched: key -> (is supplied, new JSON text or null to delete)."""
-    def merged(entries: Column) -> Column:
-        out = entries
-        for key, (supplied, value) in patch.items():
-            without = F.map_filter(out, lambda k, _v, key=key: k != key)
-            with_new = F.map_concat(without, F.map_from_arrays(F.array(F.lit(key)), F.array(F.parse_json(value))))
-            out = F.when(~supplied, out).when(value.isNull(), without).otherwise(with_new)
-        return out
-
-    base = F.coalesce(F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>"),
-                      F.create_map().cast("map<string,variant>"))
-    return F.to_json(merged(base))
+    def patched(entries: Column, key: str, supplied: Column, value: Column) -> Column:
+        without = F.map_filter(entries, lambda k, _v: k != key)
+        replaced = F.map_concat(without, F.create_map(F.lit(key), F.parse_json(value)))
+        return F.when(~supplied, entries).when(value.isNull(), without).otherwise(replaced)
+
+    entries = F.coalesce(F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>"),
+                         F.create_map().cast("map<string,variant>"))
+    for key, (supplied, value) in patch.items():
+        entries = patched(entries, key, supplied, value)
+    return F.to_json(entries)
 
 
 def prepend_history(history: Column, entry: Column, limit: int = HISTORY_LIMIT) -> Column:

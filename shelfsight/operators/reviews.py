@@ -161,9 +161,14 @@ def theme_reconciliation(features: DataFrame, notes: DataFrame) -> DataFrame:
     return nested.withColumn("takeaways", F.when(F.size("pinned_takeaways") > 0, F.col("pinned_takeaways")).otherwise(derived))
 
 
-def theme_evidence(features: DataFrame, excerpt: Column, limit: int = 3, length: int = 180) -> DataFrame:
-    """First excerpts per (release, theme) in feed order; ranked in partial groups before the shuffle."""
-    quotes = theme_rows(features).withColumn("quote", F.substring(t.trim_ws(excerpt), 1, length)).filter(F.col("quote") != "")
+def quote_of(excerpt: Column, body: Column, length: int = 180) -> Column:
+    """Evidence text of a review; cheap to compute once per text before it is joined to reviews."""
+    return F.substring(t.trim_ws(F.coalesce(excerpt, body, F.lit(""))), 1, length)
+
+
+def theme_evidence(features: DataFrame, limit: int = 3) -> DataFrame:
+    """First non-empty quotes per (release, theme) in feed order; needs `quote` and `themes` columns."""
+    quotes = theme_rows(features).filter(F.col("quote") != "")
     order = Window.partitionBy("release_id", "theme").orderBy(*feed_order())
     return (
         quotes.select("release_id", "theme", "published_at", "review_id", "source_name", "source_type", "quote")

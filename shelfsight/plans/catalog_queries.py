@@ -327,7 +327,7 @@ def _(fx):
 
 @query("arr_1_typed_string_list", "SELECT release_id, array_to_string(s_pros, '|') AS pros, array_to_string(s_watch_outs, '|') AS watch_outs, array_to_string(n_ignored, '|') AS ignored FROM v_stored")
 def _(fx):
-    v = F.col("_v")
+    v = "_v"
     base = fx.metadata().select("release_id", F.try_parse_json("metadata").alias("_v"))
     return base.select(
         "release_id", F.array_join(md.read_string_list(v, "$.aiReviewSummary.pros", 4), "|").alias("pros"),
@@ -338,12 +338,12 @@ def _(fx):
 @query("arr_2_typed_evidence", "SELECT release_id, s_evidence AS evidence_count FROM v_stored")
 def _(fx):
     base = fx.metadata().select("release_id", F.try_parse_json("metadata").alias("_v"))
-    return base.select("release_id", F.size(md.read_evidence(F.col("_v"), "$.aiReviewSummary.evidence")).cast("bigint").alias("evidence_count"))
+    return base.select("release_id", F.size(md.read_evidence("_v", "$.aiReviewSummary.evidence")).cast("bigint").alias("evidence_count"))
 
 
 @query("jsn_1_typed_scalars", "SELECT release_id, s_sentiment AS sentiment, s_confidence AS confidence, s_editorial AS editorial, s_community AS community, s_alignment AS alignment, s_buyer AS buyer, s_review_count AS review_count, s_provider AS provider FROM v_stored")
 def _(fx):
-    v, p = F.col("_v"), "$.aiReviewSummary"
+    v, p = "_v", "$.aiReviewSummary"
     base = fx.metadata().select("release_id", F.try_parse_json("metadata").alias("_v"))
     return base.select(
         "release_id", md.read_enum(v, f"{p}.overallSentiment", lx.SENTIMENTS).alias("sentiment"), md.read_enum(v, f"{p}.confidence", lx.CONFIDENCES).alias("confidence"),

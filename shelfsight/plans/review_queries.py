@@ -24,7 +24,7 @@ def themed_features(fx):
     """Themes of a text are inferred once per document, before the text meets its reviews."""
     docs = fx.document().select(
         "doc_id", t.matching_labels(F.concat_ws(" ", "excerpt", "body"), PROSE_PATTERNS).alias("inferred"),
-        F.substring(t.trim_ws(F.coalesce("excerpt", "body")), 1, 180).alias("quote_source"))
+        rv.quote_of(F.col("excerpt"), F.col("body")).alias("quote"))
     reviews = fx.attach_text(fx.review().filter("status = 'approved'"), docs)
     with_themes = reviews.withColumn("themes", F.array_distinct(F.concat("highlights", "inferred")))
     return rv.review_features(with_themes, fx.source(), as_of())
@@ -183,7 +183,7 @@ def _(fx):
 @query("agg_4_theme_evidence", """SELECT release_id, theme, source_name, quote, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY release_id, theme ORDER BY published_at DESC NULLS FIRST, review_id) AS rank FROM v_theme WHERE quote <> '') WHERE rank <= 3""")
 def _(fx):
-    return rv.theme_evidence(themed_features(fx), F.col("quote_source")).select("release_id", "theme", "source_name", "quote", "rank")
+    return rv.theme_evidence(themed_features(fx)).select("release_id", "theme", "source_name", "quote", "rank")
 
 
 @query("sco_4_theme_confidence", f"SELECT release_id, theme, dominant, {_CONF} AS confidence FROM v_theme_score")
@@ -395,7 +395,7 @@ def _(fx):
     return summaries(fx).select("release_id", F.array_join(t.dedupe_texts([F.col("summary.pros"), extra]), "|").alias("praised"))
 
 
-@query("set_5_token_intersection", """SELECT release_id, CAST(len(list_intersect(list_distinct(string_split(lower(version_name), ' ')), list_distinct(string_split(lower(usage_summary || ' ring v1'), ' ')))) AS INTEGER) AS shared FROM v_release""")
+@query("set_5_token_intersection", """SELECT release_id, CASE WHEN usage_summary IS NOT NULL THEN CAST(len(list_intersect(list_distinct(string_split(lower(version_name), ' ')), list_distinct(string_split(lower(usage_summary || ' ring v1'), ' ')))) AS INTEGER) END AS shared FROM v_release""")
 def _(fx):
     a, b = t.token_set(F.lower("version_name")), t.token_set(F.lower(F.concat("usage_summary", F.lit(" ring v1"))))
     return fx.release().select("release_id", F.when(F.col("usage_summary").isNotNull(), F.size(F.array_intersect(a, b))).alias("shared"))

@@ -189,55 +189,44 @@ class Fixtures:
 
     def metadata(self) -> DataFrame:
         """Release metadata documents with the irregularities lenient readers must survive."""
-        k = F.col("p_partkey")
-        text = k.cast("string")
-
-        def pick(modulus: int, values: list[str]) -> Column:
-            rule = F.when(k % modulus == 0, values[0])
-            for i, value in enumerate(values[1:], start=1):
-                rule = rule.when(k % modulus == i, value)
-            return rule
-
-        def part(*pieces) -> Column:
-            return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
-
-        sentiment = pick(4, ["positive", "mixed", "negative", "positive"])
-        evidence = part(
-            '[{"sourceName":"S', text, '","sourceType":"editorial","title":"T","excerpt":" e1 "},',
-            '{"sourceName":"R","sourceType":"reddit","title":null,"excerpt":"e2"}',
-            F.when(k % 2 == 0, ',{"sourceName":"U","sourceType":"user","excerpt":"e3"}').otherwise(""),
-            F.when(k % 3 == 0, ',{"sourceName":"X","sourceType":"paper","excerpt":"no"},7,{"sourceName":"Y","sourceType":"user","excerpt":"  "}').otherwise(""),
-            "]",
-        )
-        summary = part(
-            '"aiReviewSummary":{"overview":"', F.when(k % 37 == 0, "  ").otherwise(part(" Overview ", text, " ")),
-            '","overallSentiment":"', F.when(k % 23 == 0, "great").otherwise(sentiment),
-            '","confidence":"', pick(3, ["high", "medium", "low"]),
-            '","editorialSentiment":', F.when(k % 5 == 1, '"positive"').when(k % 5 == 2, '"mixed"').otherwise("null"),
-            ',"communitySentiment":', F.when(k % 6 == 1, '"negative"').when(k % 6 == 2, '"odd"').otherwise("null"),
-            ',"sourceAlignment":"', pick(4, ["aligned", "mixed", "divergent", "unsure"]),
-            '","buyerSignal":', F.when(k % 7 == 0, "5").otherwise(part('"Signal ', text, '"')),
-            ',"pros":["', pick(3, ["Smooth ride", "Smooth foam", "Light upper"]), '",3," ","Grip ', pick(5, ["wet", "dry", "trail", "road", "track"]), ' "]',
-            ',"cons":["Price is high"],"bestFor":[', F.when(k % 4 != 0, part('"Tempo ', pick(7, ["a", "b", "c", "d", "e", "f", "g"]), '"')).otherwise(""), "]",
-            ',"watchOuts":"none","consensusPoints":["c1","c2","c3","c4","c5"],"debates":[]',
-            ',"reviewCount":', F.when(k % 29 == 0, '"9"').otherwise((k % 9).cast("string")),
-            ',"sourceCount":', (k % 5).cast("string"),
-            ',"generatedAt":"2001-11-0', (1 + k % 9).cast("string"), 'T10:00:00.000Z","model":null,"provider":"heuristic","evidence":', evidence, "}",
-        )
-        override = part(
-            ',"editorialAiReviewSummaryOverride":{"isEnabled":', F.when(k % 8 == 0, "true").otherwise("false"),
-            ',"overview":', F.when(k % 16 == 0, '"Edited overview"').otherwise("null"),
-            ',"overallSentiment":"negative","pros":["Edited pro"],"cons":[],"updatedAt":"2001-11-20T00:00:00.000Z"}',
-        )
-        editorial = part(
-            ',"editorialReviewSummary":{"summaryNote":"Note ', text,
-            '","pinnedTakeaways":[', F.when(k % 10 == 0, '"Pinned take"').otherwise(""),
-            '],"ignoredThemes":["', pick(3, ["Fit", "Ride", "Value"]), '"]}',
-        )
-        document = part("{", summary, F.when(k % 4 == 0, override).otherwise(""),
-                        F.when(k % 9 == 0, editorial).otherwise(""), "}")
-        return self.table("part").select(
-            k.alias("release_id"),
-            F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, "{broken").when(k % 19 == 0, "[1]")
-            .otherwise(document).alias("metadata"),
-        )
+        def pick(expr: str, values: list[str]) -> str:
+            return f"CASE {expr} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+        k, text = "p_partkey", "CAST(p_partkey AS STRING)"
+        evidence = [
+            """'[{"sourceName":"S'""", text, """'","sourceType":"editorial","title":"T","excerpt":" e1 "},'""",
+            """'{"sourceName":"R","sourceType":"reddit","title":null,"excerpt":"e2"}'""",
+            f"""if({k} % 2 = 0, ',{{"sourceName":"U","sourceType":"user","excerpt":"e3"}}', '')""",
+            f"""if({k} % 3 = 0, ',{{"sourceName":"X","sourceType":"paper","excerpt":"no"}},7,{{"sourceName":"Y","sourceType":"user","excerpt":"  "}}', '')""",
+            "']'",
+        ]
+        summary = [
+            """'"aiReviewSummary":{"overview":"'""", f"if({k} % 37 = 0, '  ', concat(' Overview ', {text}, ' '))",
+            """'","overallSentiment":"'""", f"if({k} % 23 = 0, 'great', {pick(k + ' % 4', ['positive', 'mixed', 'negative', 'positive'])})",
+            """'","confidence":"'""", pick(f"{k} % 3", ["high", "medium", "low"]),
+            """'","editorialSentiment":'""", f"""CASE {k} % 5 WHEN 1 THEN '"positive"' WHEN 2 THEN '"mixed"' ELSE 'null' END""",
+            """',"communitySentiment":'""", f"""CASE {k} % 6 WHEN 1 THEN '"negative"' WHEN 2 THEN '"odd"' ELSE 'null' END""",
+            """',"sourceAlignment":"'""", pick(f"{k} % 4", ["aligned", "mixed", "divergent", "unsure"]),
+            """'","buyerSignal":'""", f"""if({k} % 7 = 0, '5', concat('"Signal ', {text}, '"'))""",
+            """',"pros":["'""", pick(f"{k} % 3", ["Smooth ride", "Smooth foam", "Light upper"]), """'",3," ","Grip '""",
+            pick(f"{k} % 5", ["wet", "dry", "trail", "road", "track"]), """' "]'""",
+            """',"cons":["Price is high"],"bestFor":['""", f"""if({k} % 4 <> 0, concat('"Tempo ', {pick(k + ' % 7', list('abcdefg'))}, '"'), '')""", "']'",
+            """',"watchOuts":"none","consensusPoints":["c1","c2","c3","c4","c5"],"debates":[]'""",
+            """',"reviewCount":'""", f"""if({k} % 29 = 0, '"9"', CAST({k} % 9 AS STRING))""",
+            """',"sourceCount":'""", f"CAST({k} % 5 AS STRING)",
+            """',"generatedAt":"2001-11-0'""", f"CAST(1 + {k} % 9 AS STRING)",
+            """'T10:00:00.000Z","model":null,"provider":"heuristic","evidence":'""", *evidence, "'}'",
+        ]
+        override = [
+            """',"editorialAiReviewSummaryOverride":{"isEnabled":'""", f"if({k} % 8 = 0, 'true', 'false')",
+            """',"overview":'""", f"""if({k} % 16 = 0, '"Edited overview"', 'null')""",
+            """',"overallSentiment":"negative","pros":["Edited pro"],"cons":[],"updatedAt":"2001-11-20T00:00:00.000Z"}'""",
+        ]
+        editorial = [
+            """',"editorialReviewSummary":{"summaryNote":"Note '""", text, """'","pinnedTakeaways":['""",
+            f"""if({k} % 10 = 0, '"Pinned take"', '')""", """'],"ignoredThemes":["'""", pick(f"{k} % 3", ["Fit", "Ride", "Value"]), """'"]}'""",
+        ]
+        document = (f"concat('{{', {', '.join(summary)}, if({k} % 4 = 0, concat({', '.join(override)}), ''), "
+                    f"if({k} % 9 = 0, concat({', '.join(editorial)}), ''), '}}')")
+        rule = f"CASE WHEN {k} % 11 = 0 THEN NULL WHEN {k} % 13 = 0 THEN '{{broken' WHEN {k} % 19 = 0 THEN '[1]' ELSE {document} END"
+        return self.table("part").selectExpr(f"{k} AS release_id", f"{rule} AS metadata")

@@ -64,8 +64,9 @@ def main(argv: list[str]) -> int:
             want = [tuple(plain(r[i]) for i in order) for r in rows]
             got.sort(key=repr), want.sort(key=repr)
             if got != want:
-                missing = [w for w in want if w not in set(got)][:2] if len(want) < 200000 else []
-                extra = [g for g in got if g not in set(want)][:2] if len(got) < 200000 else []
+                has, needs = set(got), set(want)
+                missing = [w for w in want if w not in has][:2]
+                extra = [g for g in got if g not in needs][:2]
                 raise AssertionError(f"{len(got)} vs {len(want)} rows\n   columns {columns}\n   spark {extra}\n   duck  {missing}")
             print(f"ok   {name}: {len(got)} rows spark {spark_s:.2f}s duck {duck_s:.2f}s", flush=True)
         except Exception as error:  # noqa: BLE001 - a report, every failure is listed
