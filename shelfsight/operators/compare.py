@@ -171,14 +171,14 @@ def shared_signals(rows: DataFrame, gate: DataFrame, limit: int = 4) -> DataFram
     normal = F.transform(signals, t.normalize_search_text)
     grouped = rows.join(gate.filter("allow_shared").select("set_id"), "set_id").groupBy("set_id").agg(
         _ordered(_in_set_order(), F.struct(signals.alias("signals"), normal.alias("normal"))).alias("members"))
-    candidates = F.flatten(F.transform("members", lambda m: F.arrays_zip(m["signals"].alias("text"), m["normal"].alias("norm"))))
+    candidates = F.flatten(F.transform("members", lambda m: F.zip_with(
+        m["signals"], m["normal"], lambda a, b: F.struct(a.alias("text"), b.alias("norm")))))
 
     def everywhere(c: Column) -> Column:
         word = F.get(F.split(c["norm"], " "), F.lit(0))
         return F.forall("members", lambda m: F.exists(m["normal"], lambda v: v.contains(word)))
 
-    named = F.transform(candidates, lambda c: F.struct(c["0"].alias("text"), c["1"].alias("norm")))
-    shared = F.array_distinct(F.transform(F.filter(named, everywhere), lambda c: c["text"]))
+    shared = F.array_distinct(F.transform(F.filter(candidates, everywhere), lambda c: c["text"]))
     return grouped.select("set_id", F.slice(shared, 1, limit).alias("shared_signals"))
 
 
@@ -224,5 +224,5 @@ def comparison_matrix(rows: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(i).alias("line"), F.lit(label).alias("label"), v.alias("value"))
                       for i, (label, v) in enumerate(zip(MATRIX_LABELS, values, strict=True))])
     long = rows.select("set_id", slot.alias("slot"), F.explode(pairs).alias("p")).select("set_id", "slot", "p.*")
-    return long.groupBy("set_id", "line", "label").pivot("slot", list(range(1, MAX_SET + 1))).agg(F.first("value")).select(
+    return long.groupBy("set_id", "line", "label").pivot("slot", list(range(1, MAX_SET + 1))).agg(F.max("value")).select(
         "set_id", "line", "label", *[F.col(str(i)).alias(f"value_{i}") for i in range(1, MAX_SET + 1)])
