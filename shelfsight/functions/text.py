@@ -212,7 +212,8 @@ def round_half_up(x: Column) -> Column:
 
 
 def normalize_score(value: Column, scale: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), round_half_up(value / scale * 100)))
+    ratio = round_half_up(value / scale * 100)
+    return F.when(ratio.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), ratio)))
 
 
 def auto_scale_score(value: Column) -> Column:

@@ -223,6 +223,6 @@ def comparison_matrix(rows: DataFrame) -> DataFrame:
     slot = F.row_number().over(Window.partitionBy("set_id").orderBy(*set_order()))
     pairs = F.array(*[F.struct(F.lit(i).alias("line"), F.lit(label).alias("label"), v.alias("value"))
                       for i, (label, v) in enumerate(zip(MATRIX_LABELS, values, strict=True))])
-    long = rows.select("set_id", slot.alias("slot"), F.explode(pairs).alias("p")).select("set_id", "slot", "p.*")
-    return long.groupBy("set_id", "line", "label").pivot("slot", list(range(1, MAX_SET + 1))).agg(F.max("value")).select(
-        "set_id", "line", "label", *[F.col(str(i)).alias(f"value_{i}") for i in range(1, MAX_SET + 1)])
+    long = rows.withColumn("slot", slot).select("set_id", "slot", F.explode(pairs).alias("p")).select("set_id", "slot", "p.*")
+    return long.groupBy("set_id", "line", "label").agg(
+        *[F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"value_{i}") for i in range(1, MAX_SET + 1)])

@@ -29,10 +29,6 @@ def under_covered(release: DataFrame, reviews: DataFrame, target: int = TARGET_A
 def coverage_rollup(reviews: DataFrame, source: DataFrame) -> DataFrame:
     """Counts per release by status and channel with distinct approved sources and their sorted names."""
     approved = F.col("status") == "approved"
-
-    def channel(name: str) -> Column:
-        return F.count_if(approved & (F.col("source_type") == name)).alias(f"{name}_count")
-
     return (
         reviews.select("release_id", "source_id", "status").join(source, "source_id")
         .groupBy("release_id", "source_id", "source_name", "source_type")
@@ -46,6 +42,7 @@ def coverage_rollup(reviews: DataFrame, source: DataFrame) -> DataFrame:
             F.array_sort(F.collect_set(F.when(F.col("a") > 0, F.col("source_name")))).alias("source_names"),
             F.collect_set(F.when(F.col("a") > 0, F.col("source_id"))).alias("approved_sources"),
             F.collect_set(F.when(F.col("p") > 0, F.col("source_id"))).alias("pending_sources"),
+            F.collect_set(F.when(F.col("a") > 0, F.struct("source_name", "source_id"))).alias("approved_named"),
         )
     )
 
@@ -56,7 +53,7 @@ COUNT_COLUMNS = ("approved_count", "editorial_count", "reddit_count", "user_coun
 def with_empty_coverage(releases: DataFrame, rollup: DataFrame) -> DataFrame:
     """Releases without any review get zero counts and empty lists."""
     joined = releases.join(rollup, "release_id", "left")
-    lists = {c: F.coalesce(F.col(c), F.array().cast(rollup.schema[c].dataType)) for c in ("source_names", "approved_sources", "pending_sources")}
+    lists = {c: F.coalesce(F.col(c), F.array().cast(rollup.schema[c].dataType)) for c in ("source_names", "approved_sources", "pending_sources", "approved_named")}
     return joined.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in COUNT_COLUMNS}, **lists})
 
 
@@ -67,14 +64,9 @@ def current_and_recent(release: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def crawl_targets(crawl_source: DataFrame, source: DataFrame) -> Column:
-    """Active crawl sources as one array, for per-release set differences instead of a product with releases."""
-    named = crawl_source.filter("is_active").join(source.select("source_id", "source_name"), "source_id")
-    return named.agg(F.array_sort(F.collect_list(F.struct("source_name", "source_id", "importer_key")))).scalar()
-
-
-def missing_sources(coverage: DataFrame, targets: Column) -> Column:
-    """Targets without an approved review for the release, by name."""
-    return F.filter(targets, lambda s: ~F.array_contains("approved_sources", s["source_id"]))
+    """Active crawl sources by name as one array, for per-release set differences instead of a product with releases."""
+    named = crawl_source.filter("is_active").select("source_id").distinct().join(source.select("source_id", "source_name"), "source_id")
+    return named.agg(F.array_sort(F.collect_list(F.struct("source_name", "source_id")))).scalar()
 
 
 def coverage_board(release: DataFrame, reviews: DataFrame, source: DataFrame, crawl_source: DataFrame) -> DataFrame:
@@ -82,7 +74,8 @@ def coverage_board(release: DataFrame, reviews: DataFrame, source: DataFrame, cr
     shown = current_and_recent(release).join(release, "release_id").select("release_id", F.concat_ws(" ", "family", "version_name").alias("label"))
     rows = with_empty_coverage(shown, coverage_rollup(reviews, source))
     status = scoring.coverage_status(F.col("approved_count"), F.col("editorial_count"), F.col("reddit_count"))
-    board = rows.withColumn("coverage_status", status).withColumn("missing", missing_sources(rows, crawl_targets(crawl_source, source)))
+    board = rows.withColumn("coverage_status", status).withColumn(
+        "missing", F.array_except(crawl_targets(crawl_source, source), F.col("approved_named")))
     return board.orderBy(scoring.coverage_severity(F.col("coverage_status")), "label")
 
 

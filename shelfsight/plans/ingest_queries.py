@@ -91,7 +91,7 @@ def _(fx):
 def _(fx):
     lines = F.split("text", "\n")
     return fx.table("documents").select("doc_id", F.size(F.filter(lines, lambda p: mt.is_ui_chrome(p, ("the", "und ")))).alias("chrome"),
-                                        F.size(F.filter(lines, mt.is_ui_chrome)).alias("default_chrome"))
+                                        F.size(F.filter(lines, lambda p: mt.is_ui_chrome(p))).alias("default_chrome"))
 
 
 @query("flt_13_generic_title", f"""SELECT page_id, CASE WHEN n IN ('the site') OR starts_with(n, 'the') OR length(n) < 6 THEN CASE WHEN s <> '' THEN {d.clean("replace(s, '-', ' ')")} ELSE url END ELSE title END AS title FROM (
@@ -270,7 +270,7 @@ _VAL = f"coalesce({_scored(_P1)}, {_scored(_P2)}, {_scored(_P3)})"
 _SCALE = f"CASE WHEN {_scored(_P1)} IS NOT NULL THEN regexp_extract(v, {d.quoted(_P1)}, 2) WHEN {_scored(_P2)} IS NOT NULL THEN regexp_extract(v, {d.quoted(_P2)}, 2) ELSE regexp_extract(v, {d.quoted(_P3)}, 2) END"
 
 
-@query("ext_6_page_score", f"""SELECT doc_id, greatest(0, least(100, {d.half_up('CAST(val AS DOUBLE) / CAST(scale AS DOUBLE) * 100')})) AS score FROM (SELECT doc_id, {_VAL} AS val, nullif({_SCALE}, '') AS scale
+@query("ext_6_page_score", f"""SELECT doc_id, CASE WHEN val IS NOT NULL THEN greatest(0, least(100, {d.half_up('CAST(val AS DOUBLE) / CAST(scale AS DOUBLE) * 100')})) END AS score FROM (SELECT doc_id, {_VAL} AS val, nullif({_SCALE}, '') AS scale
     FROM (SELECT doc_id, substring({d.clean(_LABELLED)}, 1, 12000) AS v FROM documents))""")
 def _(fx):
     return labelled(fx).withColumn("text", t.clean_text(F.col("text"))).select("doc_id", ex.page_score(F.col("text"), F.col("text"))["score"].alias("score"))

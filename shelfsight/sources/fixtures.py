@@ -161,8 +161,11 @@ class Fixtures:
         return slotted.join(documents, "doc_id")
 
     def run(self) -> DataFrame:
+        return self.run_rows(self.table("events"))
+
+    def run_rows(self, events: DataFrame) -> DataFrame:
         status = F.col("event_type")
-        return self.table("events").select(
+        return events.select(
             F.col("event_id").alias("run_id"),
             (F.col("user_id") % 6).alias("crawl_source_id"),
             F.get_json_object("props", "$.k").cast("bigint").alias("release_id"),
