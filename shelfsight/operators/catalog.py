@@ -222,3 +222,27 @@ def featured_release(rows: DataFrame) -> DataFrame:
 def first_seen_values(rows: DataFrame, value: str, position: Column) -> DataFrame:
     """Distinct values ranked by where they first occur."""
     return rows.groupBy(F.col(value).alias("value")).agg(F.min(position).alias("first_position"))
+
+
+def release_detail(cards: DataFrame, spec: DataFrame, variants: DataFrame, chosen: DataFrame, intelligence: DataFrame,
+                   coverage: DataFrame, signals: DataFrame, themes: DataFrame) -> DataFrame:
+    """Full page record per release: card, resolved specs, nested variants and every review roll-up.
+
+    Each part is one row per release, so the parts meet in co-partitioned left joins.
+    """
+    base = resolve_specs(cards.drop(*SPEC_FIELDS, *_ROLLUPS), spec, chosen)
+    rows = base.join(variants_by_release(variants), "release_id", "left")
+    read = intelligence.select("release_id", *[c for c in intelligence.columns if c not in rows.columns])
+    parts = (
+        read,
+        coverage.select("release_id", "grade", "freshest"),
+        signals.select("release_id", "dominant", "top_highlights"),
+        themes.select("release_id", "themes", "contradiction_count", "takeaways"),
+    )
+    for part in parts:
+        rows = rows.join(part, "release_id", "left")
+    return rows
+
+
+_ROLLUPS = ("review_count", "average_score", "source_count", "evidence_count", "sentiment_score", "review_score", "rating_score",
+            "confidence", "agreement", "source_alignment", "intelligence_text")

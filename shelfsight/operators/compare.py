@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfsight.functions import text as t
 from shelfsight.operators import scoring
 from shelfsight.operators.catalog import plain_number
+from shelfsight.session import cut_lineage
 
 MAX_SET = 4
 PENDING = "Pending"
@@ -183,7 +184,11 @@ def shared_signals(rows: DataFrame, gate: DataFrame, limit: int = 4) -> DataFram
 
 
 def narrative(rows: DataFrame) -> DataFrame:
-    """Overview, guidance, differences, shared signals and caution per set; empty for single members."""
+    """Overview, guidance, differences, shared signals and caution per set; empty for single members.
+
+    The rows feed five roll-ups, so they are computed once and kept in a checkpoint.
+    """
+    rows = cut_lineage(rows)
     gate = confidence_gate(rows)
     guidance = chooser_guidance(rows).groupBy("set_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "guidance"))), lambda g: g["guidance"]).alias("guidance"))

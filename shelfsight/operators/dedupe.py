@@ -77,7 +77,7 @@ def first_duplicates(records: DataFrame, block: Sequence[str], links: DataFrame
     records: block columns, url, set_key, and `ord`, a struct that starts with the order and ends with the id.
     """
     block = list(block)
-    links = set_links(records, block) if links is None else links
+    links = cut_lineage(set_links(records, block)) if links is None else links
     near = _nearest(records, links, block)
     return near.withColumn("duplicate_of", F.when(F.col("nearest") < F.col("ord"), F.col("nearest.id"))).drop("nearest")
 

@@ -62,3 +62,21 @@ def global_counts(brands: DataFrame, families: DataFrame, sources: DataFrame, re
 
     return reviews.agg(F.count("*").alias("reviews"), F.count_if(F.col("status") == "pending").alias("pending")).select(
         total(brands).alias("brands"), total(families).alias("families"), total(sources).alias("sources"), "reviews", "pending")
+
+
+def review_feed(reviews: DataFrame, release: DataFrame, source: DataFrame, order: list[Column], limit: int = RECENT_REVIEWS) -> DataFrame:
+    """Newest reviews of any status with labels; the cut comes before the joins."""
+    newest = recent(reviews, order, limit)
+    labels = release.select("release_id", F.concat_ws(" ", "family", "version_name").alias("release_label"))
+    return newest.join(labels, "release_id").join(source.select("source_id", "source_name"), "source_id")
+
+
+def release_feed(release: DataFrame, spec: DataFrame, status: DataFrame, limit: int = RECENT_RELEASES) -> DataFrame:
+    """Newest releases with specs and summary state."""
+    newest = recent(release, [F.col("release_year").desc_nulls_first(), F.col("family"), F.col("release_id")], limit)
+    return newest.join(spec, "release_id", "left").join(status, "release_id", "left")
+
+
+def gist(detail: DataFrame) -> DataFrame:
+    """First available of buyer signal, overview, review text, usage and ride profile."""
+    return detail.withColumn("gist", F.coalesce("buyer_signal", "summary.overview", "intelligence_text", "usage_summary", "ride_profile"))

@@ -106,8 +106,9 @@ def promote_variants(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def single_primary(variants: DataFrame, requested: Column) -> DataFrame:
     """Exactly one primary per release: the requested one, else the present one, else the first key."""
-    order = Window.partitionBy("release_id").orderBy(F.coalesce(requested, F.lit(False)).desc(), F.col("is_primary").desc(), "variant_key")
-    return variants.withColumn("is_primary", F.row_number().over(order) == 1)
+    order = F.struct((~F.coalesce(requested, F.lit(False))).alias("a"), (~F.col("is_primary")).alias("b"), "variant_key")
+    chosen = variants.groupBy("release_id").agg(F.min_by("variant_key", order).alias("_chosen"))
+    return variants.join(chosen, "release_id").withColumn("is_primary", F.col("variant_key") == F.col("_chosen")).drop("_chosen")
 
 
 def delete_variants(variants: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:

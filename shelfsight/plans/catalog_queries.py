@@ -222,6 +222,7 @@ def _sort_query(name, sort, order_sql, **kwargs):
 for _name, _order in _SORT_SQL.items():
     _sort_query(f"srt_1_{_name.replace('-', '_')}", _name, _order)
 
+_sort_query("srt_2_latest_ascending", "latest", _SORT_SQL["oldest"], direction="asc")
 _sort_query("srt_3_nulls_lowest_asc", "release-year", "release_year NULLS FIRST, brand, release, release_id", direction="asc")
 _REL = """CASE WHEN contains(lower(brand || ' ' || release), 'red') THEN 5 ELSE 0 END + CASE WHEN contains(lower(brand || ' ' || model), 'red') THEN 4 ELSE 0 END
     + CASE WHEN contains(lower(concat_ws(' ', brand, model, brand, release, coalesce(usage_summary, ''), ride_profile)), 'red') THEN 2 ELSE 0 END + CAST(is_current AS INTEGER)"""

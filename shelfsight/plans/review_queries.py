@@ -399,3 +399,38 @@ def _(fx):
 def _(fx):
     a, b = t.token_set(F.lower("version_name")), t.token_set(F.lower(F.concat("usage_summary", F.lit(" ring v1"))))
     return fx.release().select("release_id", F.when(F.col("usage_summary").isNotNull(), F.size(F.array_intersect(a, b))).alias("shared"))
+
+
+@query("prj_8_release_detail", f"""SELECT c.release_id, c.release_slug, c.category, i.review_score, {_CONFIDENCE.replace('review_count', 'i.review_count').replace('source_count', 'i.source_count').replace('summary_confidence', 'i.summary_confidence').replace('agreement', 'i.agreement')} AS confidence,
+    CAST(coalesce(x.weight_oz, s.weight_oz) AS DOUBLE) AS weight_oz, (SELECT count(*) FROM v_variant v WHERE v.release_id = c.release_id) AS variants, g.grade, th.themes,
+    coalesce({_BUYER.replace('review_score', 'i.review_score')}, m.overview, c.usage_summary, c.ride_profile) AS gist
+    FROM v_card c LEFT JOIN v_intel i ON i.release_id = c.release_id LEFT JOIN v_spec s ON s.release_id = c.release_id LEFT JOIN v_summary m ON m.release_id = c.release_id
+    LEFT JOIN (SELECT * FROM v_variant WHERE variant_key = 'default') x ON x.release_id = c.release_id
+    LEFT JOIN (SELECT release_id, string_agg(theme, '|' ORDER BY rank) AS themes FROM v_top_theme GROUP BY release_id) th ON th.release_id = c.release_id
+    LEFT JOIN (SELECT release_id, CASE WHEN days > 365 THEN 'stale' WHEN review_count < 2 OR source_count < 2 THEN 'developing' ELSE 'strong' END AS grade FROM (SELECT release_id, count(*) AS review_count,
+      count(DISTINCT source_key) AS source_count, floor((epoch_us({d.AS_OF}) - epoch_us(max(published_at))) / 86400000000.0) AS days FROM v_feature GROUP BY release_id)) g ON g.release_id = c.release_id
+    WHERE i.release_id IS NOT NULL""")
+def _(fx):
+    from shelfsight.operators import catalog as cat, feeds as fd
+    from shelfsight.plans.catalog_queries import cards
+    rows = themed_features(fx)
+    detail = cat.release_detail(
+        cards(fx), fx.spec(), fx.variant(), cat.pick_variant(fx.variant()), rv.review_intelligence(features(fx), summaries(fx)),
+        rv.review_coverage(features(fx), as_of()), rv.signal_summary(features(fx)), rv.theme_reconciliation(rows, notes(fx)))
+    return fd.gist(detail).filter("review_count IS NOT NULL").select(
+        "release_id", "release_slug", "category", "review_score", "confidence", F.col("weight_oz").cast("double").alias("weight_oz"), F.size("variants").cast("bigint").alias("variants"),
+        "grade", F.array_join(F.transform("themes", lambda x: x["theme"]), "|").alias("themes"), "gist")
+
+
+@query("edt_6_review_feed", """SELECT v.review_id, v.status, r.family || ' ' || r.version_name AS release_label, s.source_name FROM (SELECT * FROM v_review ORDER BY published_at DESC NULLS FIRST, review_id LIMIT 50) v
+    JOIN v_release r ON r.release_id = v.release_id JOIN v_source s ON s.source_id = v.source_id""")
+def _(fx):
+    from shelfsight.operators import feeds as fd
+    return fd.review_feed(fx.review(), fx.release(), fx.source(), rv.feed_order()).select("review_id", "status", "release_label", "source_name")
+
+
+@query("edt_6_release_feed", """SELECT r.release_id, CAST(s.weight_oz AS DOUBLE) AS weight_oz, CASE WHEN NOT t.is_valid THEN 'missing' WHEN t.o_enabled THEN 'override' ELSE 'generated' END AS summary_state
+    FROM (SELECT * FROM v_release ORDER BY release_year DESC NULLS FIRST, family, release_id LIMIT 20) r LEFT JOIN v_spec s ON s.release_id = r.release_id LEFT JOIN v_stored t ON t.release_id = r.release_id""")
+def _(fx):
+    from shelfsight.operators import feeds as fd, metadata as md
+    return fd.release_feed(fx.release(), fx.spec(), md.summary_status(summaries(fx))).select("release_id", F.col("weight_oz").cast("double").alias("weight_oz"), "summary_state")
