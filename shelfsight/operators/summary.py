@@ -73,20 +73,25 @@ def release_summaries(reviews: DataFrame, releases: DataFrame, term_order: list[
     def mass(condition: Column, factor: int = 10) -> Column:
         return F.coalesce(F.sum(F.when(condition, w * factor)), F.lit(0))
 
-    sums = [mass(s == n).alias(f"w_{n}") for n in rv.CLASSES]
-    sums += [mass((s == n) & c).alias(f"{p}_{n}") for p, c in (("ed", editorial), ("co", ~editorial)) for n in rv.CLASSES]
-    sums += [mass(s.isNull(), 7).alias("w_unknown"), mass(s.isNull() & editorial).alias("ed_unknown"), mass(s.isNull() & ~editorial).alias("co_unknown"),
-             F.count_if(editorial).alias("n_ed"), F.count("*").alias("review_count"),
-             F.count_distinct("source_key").alias("source_count")]
-    totals = reviews.groupBy("release_id").agg(*sums)
-    names = reviews.groupBy("release_id").agg(F.count_distinct("source_name").alias("named_sources"))
+    sums = {f"w_{n}": mass(s == n) for n in rv.CLASSES}
+    sums |= {f"{p}_{n}": mass((s == n) & c) for p, c in (("ed", editorial), ("co", ~editorial)) for n in rv.CLASSES}
+    sums |= {"w_unknown": mass(s.isNull(), 7), "ed_unknown": mass(s.isNull() & editorial), "co_unknown": mass(s.isNull() & ~editorial),
+             "n_ed": F.count_if(editorial), "review_count": F.count("*")}
+    # Per source first, then per source name, then per release: both source counts come out of one pass,
+    # and a hot release is spread over its sources.
+    again = [F.sum(name).alias(name) for name in sums]
+    totals = (
+        reviews.groupBy("release_id", "source_name", "source_key").agg(*[c.alias(name) for name, c in sums.items()])
+        .groupBy("release_id", "source_name").agg(*again, F.count("*").alias("source_count"))
+        .groupBy("release_id").agg(*again, F.sum("source_count").alias("source_count"), F.count("*").alias("named_sources"))
+    )
     terms = term_rollup(reviews).groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("mentions")).alias("order"), rank_of.alias("declared"), "term", "positive", "negative"))).alias("ranked"))
     evidence = review_evidence(reviews).groupBy("release_id").agg(F.count("*").alias("evidence_count"))
     c = F.col
     overall = scoring.dominant_never_null(c("w_positive"), c("w_mixed") + c("w_unknown"), c("w_negative"))
     base = (
-        totals.join(names, "release_id").join(terms, "release_id", "left").join(evidence, "release_id", "left").join(releases, "release_id")
+        totals.join(terms, "release_id", "left").join(evidence, "release_id", "left").join(releases, "release_id")
         .withColumn("overall_sentiment", overall)
         .withColumns({
             "ranked": F.coalesce("ranked", F.array().cast(terms.schema["ranked"].dataType)),

@@ -10,6 +10,7 @@ from shelfsight.plans import duck as d
 from shelfsight.plans.catalog_queries import _CHOSEN, cards, requested_variants, summaries
 from shelfsight.plans.registry import query
 from shelfsight.plans.review_queries import notes
+from shelfsight.session import cut_lineage
 from shelfsight.sources.fixtures import as_of
 
 # Sets: five consecutive releases per set asked for, of which the first four are compared; every ninth set is a single.
@@ -147,8 +148,8 @@ d.VIEWS["v_term"] = f"""SELECT *, row_number() OVER (PARTITION BY release_id ORD
 
 def summary_reviews(fx):
     texts = [F.col("title"), F.col("excerpt"), F.col("body")]
-    docs = fx.document().select("doc_id", "title", t.infer_terms(texts, PROSE_TERMS).alias("terms"),
-                                sm.evidence_text(F.col("excerpt"), F.col("body"), F.col("title")).alias("evidence_text"))
+    docs = cut_lineage(fx.document().select("doc_id", "title", t.infer_terms(texts, PROSE_TERMS).alias("terms"),
+                                            sm.evidence_text(F.col("excerpt"), F.col("body"), F.col("title")).alias("evidence_text")))
     return rv.review_features(fx.attach_text(fx.review().filter("status = 'approved'"), docs), fx.source(), as_of())
 
 

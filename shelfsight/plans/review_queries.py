@@ -10,6 +10,7 @@ from shelfsight.plans import duck as d
 from shelfsight.plans.catalog_queries import summaries
 from shelfsight.plans.registry import query
 from shelfsight.plans.text_queries import PROSE_PATTERNS
+from shelfsight.session import cut_lineage
 from shelfsight.sources.fixtures import as_of
 
 d.VIEWS["v_feature"] = f"""SELECT r.*, s.source_name, s.source_type, s.source_type || ':' || s.source_name AS source_key,
@@ -22,9 +23,9 @@ def features(fx):
 
 def themed_features(fx):
     """Themes of a text are inferred once per document, before the text meets its reviews."""
-    docs = fx.document().select(
+    docs = cut_lineage(fx.document().select(
         "doc_id", t.matching_labels(F.concat_ws(" ", "excerpt", "body"), PROSE_PATTERNS).alias("inferred"),
-        rv.quote_of(F.col("excerpt"), F.col("body")).alias("quote"))
+        rv.quote_of(F.col("excerpt"), F.col("body")).alias("quote")))
     reviews = fx.attach_text(fx.review().filter("status = 'approved'"), docs)
     with_themes = reviews.withColumn("themes", F.array_distinct(F.concat("highlights", "inferred")))
     return rv.review_features(with_themes, fx.source(), as_of())
