@@ -51,7 +51,7 @@ def set_links(records: DataFrame, block: Sequence[str]) -> DataFrame:
     )
     longer = (F.col("size") > F.col("small_size")) | (
         (F.col("size") == F.col("small_size")) & (F.col("size") > SUBSET_SIZE_LIMIT) & (F.col("set_key") > F.col("small_key")))
-    pairs = indexed.join(probes, [*block, "token"]).filter(longer & (F.col("small_size") >= 2)).select(*block, "small_key", "set_key").distinct()
+    pairs = indexed.join(probes.hint("merge"), [*block, "token"]).filter(longer & (F.col("small_size") >= 2)).select(*block, "small_key", "set_key").distinct()
     shared = F.size(F.array_intersect(F.split("small_key", " "), F.split("set_key", " ")))
     similar = pairs.filter(t.overlap_is_similar(shared, F.size(F.split("small_key", " ")), F.size(F.split("set_key", " "))))
     edge = F.xxhash64(F.lit(-1), F.col("small_key"), F.col("set_key"))
