@@ -80,7 +80,7 @@ def paragraphs(region: Column, chrome: Sequence[str] = lx.PAGE_CHROME_TOKENS, li
 
 
 def page_body(html: Column, containers: Sequence[str] = CONTAINERS, chrome: Sequence[str] = lx.PAGE_CHROME_TOKENS) -> Column:
-    """Paragraphs of the first container that has any, joined by blank lines."""
+    """Paragraphs of the first container that has any, joined by blank lines; empty when none has."""
     visible = drop_hidden(html)
 
     def body_of(opening: str) -> Column:
@@ -88,7 +88,8 @@ def page_body(html: Column, containers: Sequence[str] = CONTAINERS, chrome: Sequ
         region = F.regexp_extract(visible, rf"(?is){opening}\b.*?</{name}\s*>" if name else rf"(?is){opening}.*", 0)
         return paragraphs(region, chrome)
 
-    first = F.coalesce(*[t.let(body_of(c), lambda p: F.when(F.size(p) > 0, p)) for c in containers])
+    none = F.array().cast("array<string>")
+    first = F.coalesce(*[t.let(body_of(c), lambda p: F.when(F.size(p) > 0, p)) for c in containers], none)
     return F.substring(F.array_join(first, "\n\n"), 1, BODY_LIMIT)
 
 
