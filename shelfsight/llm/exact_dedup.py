@@ -21,6 +21,7 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space reserved ahead
 }
 #: Bits of the filter that picks the documents for the byte comparison: at most 2**22 / 64 rows of 16 bytes are broadcast, at any size.
 FILTER_BITS = 22
