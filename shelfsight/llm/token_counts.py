@@ -20,8 +20,8 @@ from shelfsight.llm.common import written
 
 MARKER = "▁"
 RUN = re.compile(r" *[^ ]+| +$")
-#: Pre-tokens whose counts are broadcast: so many of the most frequent ones, none longer than FREQUENT_CHARS (at most 26 MB).
-FREQUENT = 100_000
+#: Pre-tokens whose counts are broadcast: so many of the most frequent ones, none longer than FREQUENT_CHARS (at most 64 MB).
+FREQUENT = 250_000
 FREQUENT_CHARS = 64
 #: Distinct pre-tokens that a task holds before it hands on what it has counted.
 HELD = 300_000
