@@ -24,8 +24,8 @@ from shelfsight.llm.common import id_fold, label_sample, written
 
 PER_CLASS = 4000
 #: Entries that reach the driver at most: words and bigrams with the highest counts. Rarer ones count as unseen, their mass stays in the back-off.
-MOST_WORDS = 300_000
-MOST_BIGRAMS = 500_000
+MOST_WORDS = 120_000
+MOST_BIGRAMS = 200_000
 LEAST_BIGRAM = 2
 DISCOUNT = 0.75
 STEM = 5
@@ -141,11 +141,11 @@ def fit(docs: DataFrame, sample: DataFrame) -> list[Model]:
         stems = words.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(*[F.sum((F.col(f"k{c}") > 0).cast("int")).alias(f"s{c}") for c in (0, 1)])
         totals = words.agg(*[F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"K{c}") for c in (0, 1)],
                            *[F.coalesce(F.sum((F.col(f"k{c}") > 0).cast("int")), F.lit(0)).alias(f"U{c}") for c in (0, 1)])
-        top = lambda df, by, most, *tie: df.orderBy(by.desc(), *tie).limit(most).toPandas()
+        top = lambda df, by, most, *tie: df.orderBy(by.desc(), *tie).limit(most).toArrow().to_pandas()
         models.append(Model(
             top(words.where("k0 + k1 > 1"), F.col("k0") + F.col("k1"), MOST_WORDS, "word"),
             top(own.where(F.col("n0") + F.col("n1") >= LEAST_BIGRAM), F.col("n0") + F.col("n1"), MOST_BIGRAMS, "v", "w"),
-            top(stems, F.col("s0") + F.col("s1"), MOST_WORDS, "stem"), totals.toPandas()))
+            top(stems, F.col("s0") + F.col("s1"), MOST_WORDS, "stem"), totals.toArrow().to_pandas()))
     return models
 
 
@@ -182,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
             yield pd.DataFrame({"label": batch["label"], "weight": batch["weight"], "features": rows})
 
     seen = docs.join(F.broadcast(sample), "doc_id").select("text", "label", "weight", half_of("doc_id").alias("half"))
-    table = seen.mapInPandas(training, "label int, weight double, features array<double>").toPandas()  # at most 2 x per_class rows
+    table = seen.mapInPandas(training, "label int, weight double, features array<double>").toArrow().to_pandas()  # at most 2 x per_class rows
     y, weight = table["label"].to_numpy(dtype=float), table["weight"].to_numpy(dtype=float)
     x = np.array(table["features"].tolist(), dtype=float).reshape(len(table), FEATURES)
     share = float((weight * y).sum() / weight.sum()) if len(table) else 0.0

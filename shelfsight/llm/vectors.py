@@ -57,7 +57,7 @@ def rotation(distinct: DataFrame, dims: int) -> np.ndarray:
         yield pd.DataFrame({"i": np.arange(dims), "row": list(total)})
 
     summed = distinct.select("v").mapInPandas(moments, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
-    cells = summed.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # dims x dims numbers
+    cells = summed.groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow().to_pandas()  # dims x dims numbers
     square = np.zeros((dims, dims))
     square[cells["i"], cells["j"]] = cells["x"]
     return np.linalg.eigh((square + square.T) / 2)[1][:, ::-1]
