@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +37,20 @@ def sha256_hex(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def locator_of(docs: DataFrame) -> Column:
+    """The file a row comes from; empty where the rows have no single file source (a join, rows made in memory)."""
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:
+        return F.lit("")
+    return F.input_file_name()
+
+
 def ingest(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """(doc_id, digest, n_chars, locator): what the state needs to know of each document, without its text."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), digest(normalised(F.col("text"))).alias("digest"),
-        F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n_chars"), F.input_file_name().alias("locator"))
+        F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n_chars"), locator_of(docs).alias("locator"))
 
 
 def update_state(arrivals: DataFrame, state_path: str, files_per_batch: int = 1000) -> None:
@@ -115,7 +125,7 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
 def _by_content(docs: DataFrame, split: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Groups by the bytes themselves, for digests that stand for more than one content."""
     content = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"), F.input_file_name().alias("locator"),
+        F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"), locator_of(docs).alias("locator"),
         F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n_chars")).withColumn("digest", digest(F.col("content")))
     content = content.join(split, "digest", "left_semi")
     best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").alias("doc_id"), F.col("locator").alias("locator")))
