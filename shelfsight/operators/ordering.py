@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfsight.session import cut_lineage
+
 # sort name -> (key, direction)
 NAMED_SORTS = {
     "latest": ("latest", "desc"), "oldest": ("latest", "asc"), "brand-a-z": ("brand", "asc"),
@@ -48,3 +50,19 @@ def sort_keys(sort: str | None = None, direction: str | None = None, q: str | No
 def sort_catalog(cards: DataFrame, sort: str | None = None, direction: str | None = None, q: str | None = None,
                  reference_order: bool = False) -> DataFrame:
     return cards.orderBy(*sort_keys(sort, direction, q, reference_order))
+
+
+def positioned(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Numbers the rows of an ordered frame from 1: place inside the sorted partition plus the counts of the partitions before it.
+
+    Only one count per partition reaches the driver; no task holds more than its own range of the order.
+    """
+    placed = cut_lineage(ordered).withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33)
+    counts = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
+    before, offsets = 0, []
+    for number, count in counts:
+        offsets += [F.lit(number), F.lit(before)]
+        before += count
+    start = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    return placed.withColumn(name, (start + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).cast("bigint")).drop("_place")

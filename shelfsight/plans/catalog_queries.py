@@ -194,7 +194,6 @@ def _(fx):
 
 # --- orderings: the position is part of the answer --------------------------------------
 
-TOP = 200
 _SORT_SQL = {
     "latest": "is_current DESC, coalesce(release_year, 0) DESC, brand DESC, release DESC, release_id DESC",
     "oldest": "is_current, coalesce(release_year, 0), brand, release, release_id",
@@ -212,11 +211,9 @@ _SORT_SQL = {
 
 
 def _sort_query(name, sort, order_sql, **kwargs):
-    @query(name, f"SELECT release_id, release, row_number() OVER (ORDER BY {order_sql}) AS position FROM v_card QUALIFY position <= {TOP}")
+    @query(name, f"SELECT release_id, release, row_number() OVER (ORDER BY {order_sql}) AS position FROM v_card")
     def _(fx):
-        top = srt.sort_catalog(cards(fx), sort, **kwargs).select("release_id", "release").limit(TOP)
-        numbered = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-        return top.withColumn("position", numbered.cast("bigint"))
+        return srt.positioned(srt.sort_catalog(cards(fx), sort, **kwargs).select("release_id", "release"))
 
 
 for _name, _order in _SORT_SQL.items():

@@ -352,11 +352,10 @@ def _(fx):
     return own.select("review_id", F.lit("own").alias("kind")).unionByName(foreign.select("review_id", F.lit("foreign").alias("kind")))
 
 
-@query("srt_5_feed_order", "SELECT review_id, CAST(row_number() OVER (ORDER BY published_at DESC NULLS FIRST, review_id) AS INTEGER) AS position FROM v_feed QUALIFY position <= 100")
+@query("srt_5_feed_order", "SELECT review_id, row_number() OVER (ORDER BY published_at DESC NULLS FIRST, review_id) AS position FROM v_feed")
 def _(fx):
-    from pyspark.sql import Window
-    top = feed(fx).orderBy(*rv.feed_order()).limit(100)
-    return top.select("review_id", F.row_number().over(Window.orderBy(*rv.feed_order())).alias("position"))
+    from shelfsight.operators.ordering import positioned
+    return positioned(feed(fx).orderBy(*rv.feed_order()).select("review_id"))
 
 
 @query("prj_9_display_chains", f"""SELECT v.review_id, coalesce(nullif({d.trim_ws('dc.excerpt')}, ''), nullif({d.trim_ws('dc.title')}, '')) IS NULL AS empty, md5(coalesce(nullif({d.trim_ws('dc.body')}, ''), {d.trim_ws('dc.excerpt')})) AS body,

@@ -213,13 +213,12 @@ def _(fx):
     return board(fx).select("release_id", F.array_join(F.transform("missing", lambda s: s["source_name"]), "|").alias("missing"))
 
 
-@query("srt_10_coverage_board", f"""SELECT release_id, status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'missing-editorial' THEN 0 WHEN 'missing-community' THEN 1 WHEN 'thin' THEN 2 ELSE 3 END, label) AS INTEGER) AS position
-    FROM (SELECT *, {_STATUS} AS status FROM ({_BOARD})) QUALIFY position <= 100""")
+@query("srt_10_coverage_board", f"""SELECT release_id, status, row_number() OVER (ORDER BY CASE status WHEN 'missing-editorial' THEN 0 WHEN 'missing-community' THEN 1 WHEN 'thin' THEN 2 ELSE 3 END, label, release_id) AS position
+    FROM (SELECT *, {_STATUS} AS status FROM ({_BOARD}))""")
 def _(fx):
-    from pyspark.sql import Window
-    order = [scoring.coverage_severity(F.col("coverage_status")), F.col("label")]
-    top = board(fx).select("release_id", "label", "coverage_status").orderBy(*order).limit(100)
-    return top.select("release_id", F.col("coverage_status").alias("status"), F.row_number().over(Window.orderBy(*order)).alias("position"))
+    from shelfsight.operators.ordering import positioned
+    order = [scoring.coverage_severity(F.col("coverage_status")), F.col("label"), F.col("release_id")]
+    return positioned(board(fx).select("release_id", "label", "coverage_status").orderBy(*order).select("release_id", F.col("coverage_status").alias("status")))
 
 
 @query("src_7_newest_runs", "SELECT crawl_source_id, run_id, CAST(rk AS INTEGER) AS run_rank FROM (SELECT *, row_number() OVER (PARTITION BY crawl_source_id ORDER BY created_at DESC, run_id DESC) AS rk FROM v_run) WHERE rk <= 120")
@@ -307,12 +306,11 @@ def _(fx):
     return pln.outcome_counters(pln.backfill_plan(fx.release(), fx.review(), TRUSTED))
 
 
-@query("srt_11_under_covered_order", """SELECT release_id, CAST(row_number() OVER (ORDER BY release_year DESC NULLS LAST, family_id, version_name) AS INTEGER) AS position FROM v_release r LEFT JOIN v_stats s USING (release_id) WHERE coalesce(s.review_count, 0) < 2 QUALIFY position <= 50""")
+@query("srt_11_under_covered_order", """SELECT release_id, row_number() OVER (ORDER BY release_year DESC NULLS LAST, family_id, version_name, release_id) AS position FROM v_release r LEFT JOIN v_stats s USING (release_id) WHERE coalesce(s.review_count, 0) < 2""")
 def _(fx):
-    from pyspark.sql import Window
-    order = [F.col("release_year").desc_nulls_last(), F.col("family_id"), F.col("version_name")]
-    top = pln.under_covered(fx.release(), fx.review()).limit(50)
-    return top.select("release_id", F.row_number().over(Window.orderBy(*order)).alias("position"))
+    from shelfsight.operators.ordering import positioned
+    order = [F.col("release_year").desc_nulls_last(), F.col("family_id"), F.col("version_name"), F.col("release_id")]
+    return positioned(pln.under_covered(fx.release(), fx.review()).orderBy(*order).select("release_id"))
 
 
 @query("ing_7_run_status", """SELECT run_id, CASE WHEN f = 0 THEN 'succeeded' WHEN s = 0 OR b > 0 THEN 'partial' ELSE 'succeeded' END AS with_fallback, CASE WHEN f = 0 THEN 'succeeded' WHEN s = 0 THEN 'partial' ELSE 'succeeded' END AS simple
