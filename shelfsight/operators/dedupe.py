@@ -60,13 +60,16 @@ def set_links(records: DataFrame, block: Sequence[str]) -> DataFrame:
 
 
 def _nearest(nodes: DataFrame, links: DataFrame, block: list[str]) -> DataFrame:
-    """Adds `nearest`, the first node (by `ord`) among a node's url group and similar sets, itself included."""
+    """Adds `nearest`, the first node (by `ord`) among a node's url group and similar sets, itself included.
+
+    A null url or block equals no other: such a node has no url group, or nothing at all, but itself.
+    """
     per_set = nodes.filter("set_key IS NOT NULL").groupBy(*block, "set_key").agg(F.min("ord").alias("m"))
     per_link = links.join(per_set, [*block, "set_key"]).groupBy(*block, "link").agg(F.min("m").alias("m"))
     by_set = links.join(per_link, [*block, "link"]).groupBy(*block, "set_key").agg(F.min("m").alias("_set_min"))
     by_url = nodes.groupBy(*block, "url").agg(F.min("ord").alias("_url_min"))
     return (
-        nodes.join(by_set, [*block, "set_key"], "left").join(by_url, [*block, "url"])
+        nodes.join(by_set, [*block, "set_key"], "left").join(by_url, [*block, "url"], "left")
         .withColumn("nearest", F.least("_set_min", "_url_min", "ord")).drop("_set_min", "_url_min")
     )
 
@@ -106,11 +109,12 @@ def suppress_duplicates(batch: DataFrame, stored: DataFrame, block: Sequence[str
     while not undecided.isEmpty():
         first = cut_lineage(_nearest(undecided, links, block).filter(F.col("nearest") == F.col("ord")).select(*columns))
         kept_rounds.append(first)
-        undecided = cut_lineage(neighbours_of(first, undecided))
+        left = neighbours_of(first, undecided).join(first.select("ord"), "ord", "left_anti").select(*columns)  # null urls and blocks match nothing above
+        undecided = cut_lineage(left)
     if not kept_rounds:
         return batch.withColumn("kept", F.lit(False))
     kept = kept_rounds[0]
     for more in kept_rounds[1:]:
         kept = kept.unionByName(more)
-    return batch.join(kept.select(*block, "ord", F.lit(True).alias("_kept")), [*block, "ord"], "left").withColumn(
+    return batch.join(kept.select("ord", F.lit(True).alias("_kept")), "ord", "left").select(*batch.columns, "_kept").withColumn(
         "kept", F.coalesce("_kept", F.lit(False))).drop("_kept")

@@ -81,3 +81,16 @@ def test_dashed_tokens_are_normalised_unless_asked_not_to(spark):
     df = spark.createDataFrame([("https://x.example/2024/best-trail-shoes.html",)], "u string")
     assert df.select(mt.is_non_review_link(F.col("u")).alias("x")).collect()[0]["x"]
     assert not df.select(mt.is_non_review_link(F.col("u"), reference_quirks=True).alias("x")).collect()[0]["x"]
+
+
+def test_suppression_ends_with_null_urls_and_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from shelfsight.operators.dedupe import first_duplicates, suppress_duplicates
+
+    rows = [(1, "b", None, "x y"), (2, None, "u", "x y"), (3, "b", "u", "x y"), (4, None, None, None)]
+    table = spark.createDataFrame(rows, "id long, block string, url string, set_key string").select(
+        "block", "url", "set_key", F.struct(F.col("id").alias("at"), "id").alias("ord"))
+    kept = {r["ord"]["id"]: r["kept"] for r in suppress_duplicates(table, table.where("false"), ["block"]).collect()}
+    assert set(kept) == {1, 2, 3, 4} and kept[1] and kept[2] and kept[4]
+    assert first_duplicates(table, ["block"]).count() == 4
