@@ -6,7 +6,8 @@ both give the same probability and decide nothing. A document's evidence is the
 over the whole text and over its most toxic stretches, and a logistic fit turns it into a probability. The fit sees every training document
 through a model of the other half of the training documents.
 
-The models are fitted on a bounded sample of labelled rows (``PER_CLASS`` documents of each class), so what is sent to the tasks is bounded.
+The counts come from every labelled training document. What is sent to the tasks holds the most frequent expressions only, so it is bounded
+(``MOST_WORDS``, ``MOST_BIGRAMS``); the logistic fit sees a bounded sample (``PER_CLASS`` documents of each class).
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import id_fold, label_sample, written
+from shelfsight.llm.common import id_fold, label_sample, one_label, written
 
+#: Documents of each class that the logistic fit of the six features sees.
 PER_CLASS = 4000
 #: Entries that reach the driver at most: words and bigrams with the highest counts. Rarer ones count as unseen, their mass stays in the back-off.
 MOST_WORDS = 120_000
 MOST_BIGRAMS = 200_000
 LEAST_BIGRAM = 2
+#: Distinct bigrams that a task counts before it hands them on.
+HELD = 100_000
 DISCOUNT = 0.75
 STEM = 5
 STRETCHES = (1, 4, 16)
@@ -106,29 +110,49 @@ class Model:
         return [float(sums[-1]) / len(ratios), *best, float(np.log(len(ratios)))]
 
 
-def bigram_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(label, half, v, w, n) of the sampled documents; v is empty at the start of a text. The sample is bounded, so it is broadcast."""
+def bigram_counts(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """(label, half, v, w, n) of the labelled documents, summed within tasks as far as ``HELD`` goes; v is empty at the start of a text."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[tuple[int, int, str, str]] = Counter()
+
+        def handed_on() -> pd.DataFrame:
+            table = pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["label", "half", "v", "w", "n"])
+            counts.clear()
+            return table
+
         for batch in batches:
-            counts: Counter[tuple[int, int, str, str]] = Counter()
             for text, label, half in zip(batch["text"], batch["label"], batch["half"]):
                 words = words_of(text)
                 counts.update(zip([label] * len(words), [half] * len(words), ["", *words], words))
-            if counts:
-                yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["label", "half", "v", "w", "n"])
+                if len(counts) > HELD:
+                    yield handed_on()
+        if counts:
+            yield handed_on()
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = docs.select("doc_id", "text").join(train, "doc_id")
     return chosen.select("text", "label", half_of("doc_id").alias("half")).mapInPandas(scan, "label int, half int, v string, w string, n long")
 
 
+def most_frequent(df: DataFrame, count: Column, most: int) -> pd.DataFrame:
+    """The rows whose count lies in the highest levels that hold at most ``most`` rows together; a level spans a sixteenth of a doubling."""
+    level = F.floor(F.log2(count.cast("double")) * 16)
+    lowest, rows = None, 0
+    for at in df.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():  # about a thousand levels at most
+        rows += at["rows"]
+        if rows > most:
+            break
+        lowest = at["level"]
+    return df.where(level >= lowest if lowest is not None else F.lit(False)).toArrow().to_pandas()
+
+
 def half_of(doc_id: str):
     return F.pmod(F.xxhash64(F.lit("half"), F.col(doc_id).cast("long")), F.lit(2)).cast("int")
 
 
-def fit(docs: DataFrame, sample: DataFrame) -> list[Model]:
-    """Models of both halves of the sample and of all of it. The counts are aggregated by Spark, the bounded tables end on the driver."""
-    pairs = written(bigram_counts(docs, sample).groupBy("v", "w").agg(*[
+def fit(docs: DataFrame, train: DataFrame) -> list[Model]:
+    """Models of both halves of the training documents and of all of them. The counts are aggregated by Spark, the bounded tables end on the driver."""
+    pairs = written(bigram_counts(docs, train).groupBy("v", "w").agg(*[
         F.sum(F.when((F.col("label") == c) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)]), "bigrams")
     views = {0: lambda c: F.col(f"n{c}0"), 1: lambda c: F.col(f"n{c}1"), 2: lambda c: F.col(f"n{c}0") + F.col(f"n{c}1")}
     models = []
@@ -141,11 +165,10 @@ def fit(docs: DataFrame, sample: DataFrame) -> list[Model]:
         stems = words.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(*[F.sum((F.col(f"k{c}") > 0).cast("int")).alias(f"s{c}") for c in (0, 1)])
         totals = words.agg(*[F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"K{c}") for c in (0, 1)],
                            *[F.coalesce(F.sum((F.col(f"k{c}") > 0).cast("int")), F.lit(0)).alias(f"U{c}") for c in (0, 1)])
-        top = lambda df, by, most, *tie: df.orderBy(by.desc(), *tie).limit(most).toArrow().to_pandas()
         models.append(Model(
-            top(words.where("k0 + k1 > 1"), F.col("k0") + F.col("k1"), MOST_WORDS, "word"),
-            top(own.where(F.col("n0") + F.col("n1") >= LEAST_BIGRAM), F.col("n0") + F.col("n1"), MOST_BIGRAMS, "v", "w"),
-            top(stems, F.col("s0") + F.col("s1"), MOST_WORDS, "stem"), totals.toArrow().to_pandas()))
+            most_frequent(words.where("k0 + k1 > 1"), F.col("k0") + F.col("k1"), MOST_WORDS),
+            most_frequent(own.where(F.col("n0") + F.col("n1") >= LEAST_BIGRAM), F.col("n0") + F.col("n1"), MOST_BIGRAMS),
+            most_frequent(stems, F.col("s0") + F.col("s1"), MOST_WORDS), totals.toArrow().to_pandas()))
     return models
 
 
@@ -172,8 +195,9 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     """
     session = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    train = one_label(labels, "toxic").where(id_fold(F.col("doc_id"), modulus) != held_out)
+    models = fit(docs, train)
     sample = written(label_sample(labels, "toxic", modulus, held_out, per_class), "label-sample")
-    models = fit(docs, sample)
     halves = session.sparkContext.broadcast(models[:2])
 
     def training(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
