@@ -1,13 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has an interpolated bigram model over words: discounted bigram counts back off to the number of distinct words that a word
-follows in its class, these to the class's stems (first letters), and the stems to counts that both classes share, so that expressions rare or unseen in
-both give the same probability and decide nothing. A document's evidence is the difference of its toxic and ordinary log-likelihoods per word,
-over the whole text and over its most toxic stretches, and a logistic fit turns it into a probability. The fit sees every training document
-through a model of the other half of the training documents.
+Each class has an interpolated bigram model over tokens: frequent words as they are, rarer ones as their stem (first letters). Discounted bigram
+counts back off to the number of distinct tokens that a token follows in its class, these to the class's stems, and the stems to counts that both
+classes share, so that expressions rare or unseen in both give the same probability and decide nothing. A document's evidence is the difference of
+its toxic and ordinary log-likelihoods per word, over the whole text and over its most toxic stretches, and a logistic fit turns it into a
+probability. The fit sees every training document through a model of the other half of the training documents.
 
 The counts come from every labelled training document. What is sent to the tasks holds the most frequent expressions only, so it is bounded
-(``MOST_WORDS``, ``MOST_BIGRAMS``); the logistic fit sees a bounded sample (``PER_CLASS`` documents of each class).
+(``MOST_WORDS``, ``MOST_STEMS``, ``MOST_BIGRAMS``); the logistic fit sees a bounded sample (``PER_CLASS`` documents of each class).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +26,17 @@ from shelfsight.llm.common import id_fold, label_sample, one_label, written
 
 #: Documents of each class that the logistic fit of the six features sees.
 PER_CLASS = 4000
-#: Entries that reach the driver at most: words and bigrams with the highest counts. Rarer ones count as unseen, their mass stays in the back-off.
+#: Entries that reach the driver at most. Words beyond the most frequent count as their stem, stems beyond as one unknown token; bigrams beyond
+#: leave their mass to the back-off.
 MOST_WORDS = 120_000
+MOST_STEMS = 60_000
 MOST_BIGRAMS = 200_000
 LEAST_BIGRAM = 2
-#: Distinct bigrams that a task counts before it hands them on.
-HELD = 100_000
+#: Distinct words and bigrams (repeats included) that a task holds before it hands their counts on.
+HELD_WORDS = 100_000
+HELD_BIGRAMS = 2_000_000
+#: A bigram is one number: tokens fit in so many bits each.
+BITS = 20
 DISCOUNT = 0.75
 STEM = 5
 STRETCHES = (1, 4, 16)
@@ -43,38 +49,48 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+class Vocabulary:
+    """Numbers of tokens: frequent words, then stems (marked by a sign that no word has), then the unknown one and the start of a text."""
+
+    def __init__(self, words: list[str], stems: list[str]):
+        tokens = sorted(words) + [s + "*" for s in sorted(stems)]
+        self.ids = {t: i for i, t in enumerate(tokens)}
+        self.unknown, self.start, self.size = len(tokens), len(tokens) + 1, len(tokens) + 1
+        places: dict[str, int] = {}
+        self.stem_of = np.array([places.setdefault(t.rstrip("*")[:STEM], len(places)) for t in tokens] + [len(places)], dtype=np.int64)
+        self.stems = len(places) + 1
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        get, unknown = self.ids.get, self.unknown
+        return np.array([i if (i := get(w)) is not None else get(w[:STEM] + "*", unknown) for w in words], dtype=np.int64)
+
+
 class Model:
-    """Log-likelihood ratios of words and bigrams between the toxic (1) and the ordinary (0) class."""
-
-    def __init__(self, words: pd.DataFrame, bigrams: pd.DataFrame, stems: pd.DataFrame, totals: pd.DataFrame):
-        """words: word, k0, k1 (distinct predecessors), c0, c1 (count as a predecessor), stems: stem, s0, s1 (distinct words),
-        bigrams: v, w, n0, n1; totals: one row K0, K1 (distinct bigrams), U0, U1 (distinct words)."""
-        self.ids = {w: i for i, w in enumerate(words["word"])}
-        n = len(words)
-        stem_ids = {s: i for i, s in enumerate(stems["stem"])}
-        at = np.array([stem_ids.get(w[:STEM], len(stems)) for w in words["word"]], dtype=np.int64)
-        counts = np.append(stems[["s0", "s1"]].to_numpy(dtype=float), [[0.0, 0.0]], axis=0)
-        shared = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * (len(stems) + 1))
+    """Log-likelihood ratios of tokens and bigrams between the toxic (1) and the ordinary (0) class."""
+
+    def __init__(self, vocabulary: Vocabulary, words: pd.DataFrame, bigrams: pd.DataFrame):
+        """words: token, k0, k1 (distinct predecessors), c0, c1 (count as a predecessor); bigrams: v, w, n0, n1."""
+        self.vocabulary, n = vocabulary, vocabulary.size
+        k, context = np.zeros((n, 2)), np.zeros((n, 2))
+        k[words["token"]], context[words["token"]] = words[["k0", "k1"]], words[["c0", "c1"]]
+        at, stems = vocabulary.stem_of, vocabulary.stems
+        counts = np.stack([np.bincount(at, weights=k[:, c] > 0, minlength=stems) for c in (0, 1)], axis=1)
+        shared = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * stems)
         stem_p = self._discounted(counts, shared[:, None])
-        self.stem_ratio = dict(zip(stem_ids, (np.log(stem_p[:-1, 1]) - np.log(stem_p[:-1, 0])).tolist()))
-        self.unseen = float(np.log(stem_p[-1, 1]) - np.log(stem_p[-1, 0]))
-        k = words[["k0", "k1"]].to_numpy(dtype=float)
         together = k.sum(axis=1) + 1.0
-        of_stem = together / np.bincount(at, weights=together, minlength=len(stems) + 1)[at] if n else together
-        all_k = np.maximum(totals[["K0", "K1"]].to_numpy(dtype=float)[0], 1.0)
-        new = np.minimum(1.0, DISCOUNT * np.maximum(totals[["U0", "U1"]].to_numpy(dtype=float)[0], 1.0) / all_k)
-        self.word_p = np.maximum(k - DISCOUNT, 0) / all_k + new * stem_p[at] * of_stem[:, None]
-        self.word_ratio = np.append(np.log(self.word_p[:, 1]) - np.log(self.word_p[:, 0]), 0.0)
-        v, w = (bigrams[c].map(self.ids).to_numpy() for c in ("v", "w"))
-        fine = ~(pd.isna(v) | pd.isna(w))
-        v, w, pair = v[fine].astype(np.int64), w[fine].astype(np.int64), bigrams.loc[fine, ["n0", "n1"]].to_numpy(dtype=float)
-        context = np.maximum(words[["c0", "c1"]].to_numpy(dtype=float), 1.0)
+        of_stem = together / np.bincount(at, weights=together, minlength=stems)[at]
+        all_k = np.maximum(k.sum(axis=0), 1.0)
+        new = np.minimum(1.0, DISCOUNT * np.maximum((k > 0).sum(axis=0), 1.0) / all_k)
+        word_p = np.maximum(k - DISCOUNT, 0) / all_k + new * stem_p[at] * of_stem[:, None]
+        self.word_ratio = np.log(word_p[:, 1]) - np.log(word_p[:, 0])
+        v, w, pair = bigrams["v"].to_numpy(dtype=np.int64), bigrams["w"].to_numpy(dtype=np.int64), bigrams[["n0", "n1"]].to_numpy(dtype=float)
+        context = np.maximum(context, 1.0)
         kept = np.maximum(pair - DISCOUNT, 0)
-        used = np.stack([np.bincount(v, weights=kept[:, c], minlength=n) for c in (0, 1)], axis=1) if n else kept
+        used = np.stack([np.bincount(v, weights=kept[:, c], minlength=n) for c in (0, 1)], axis=1)
         back = np.clip(1 - used / context, 0.02, 1.0)
-        self.back_ratio = np.append(np.log(back[:, 1]) - np.log(back[:, 0]), 0.0)
-        p = kept / context[v] + back[v] * self.word_p[w]
-        order = np.argsort(keys := v * (n + 1) + w)
+        self.back_ratio = np.log(back[:, 1]) - np.log(back[:, 0])
+        p = kept / context[v] + back[v] * word_p[w]
+        order = np.argsort(keys := v * n + w)
         self.keys, self.ratio = keys[order], (np.log(p[:, 1]) - np.log(p[:, 0]))[order]
 
     @staticmethod
@@ -85,15 +101,11 @@ class Model:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Per word the log-likelihood ratio given the word before it."""
-        none = len(self.ids)
-        get = self.ids.get
-        ids = np.array([get(w, none) for w in words], dtype=np.int64)
+        ids = self.vocabulary.numbers(words)
         out = self.word_ratio[ids]
-        for at in np.flatnonzero(ids == none).tolist():
-            out[at] = self.stem_ratio.get(words[at][:STEM], self.unseen)
         out[1:] += self.back_ratio[ids[:-1]]
         if len(self.keys):
-            keys = ids[:-1] * (none + 1) + ids[1:]
+            keys = ids[:-1] * self.vocabulary.size + ids[1:]
             found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = self.keys[found] == keys
             out[1:][hit] = self.ratio[found[hit]]
@@ -110,28 +122,48 @@ class Model:
         return [float(sums[-1]) / len(ratios), *best, float(np.log(len(ratios)))]
 
 
-def bigram_counts(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """(label, half, v, w, n) of the labelled documents, summed within tasks as far as ``HELD`` goes; v is empty at the start of a text."""
+def find_vocabulary(chosen: DataFrame) -> Vocabulary:
+    """The most frequent words of all training documents, and the stems with the most words; counts are summed within tasks first."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[tuple[int, int, str, str]] = Counter()
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                counts.update(words_of(text))
+                if len(counts) > HELD_WORDS:
+                    yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                    counts.clear()
+        if counts:
+            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
-        def handed_on() -> pd.DataFrame:
-            table = pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["label", "half", "v", "w", "n"])
-            counts.clear()
-            return table
+    words = written(chosen.select("text").mapInPandas(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    stems = words.groupBy(F.substring("word", 1, STEM).alias("word")).agg(F.count("*").alias("n"))
+    return Vocabulary(most_frequent(words.where("n > 1"), F.col("n"), MOST_WORDS)["word"].tolist(), most_frequent(stems, F.col("n"), MOST_STEMS)["word"].tolist())
 
+
+def bigram_counts(chosen: DataFrame, vocabulary: Broadcast[Vocabulary]) -> DataFrame:
+    """(v, w, n00, n01, n10, n11): counts of every bigram by label and half, summed within tasks first."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for text, label, half in zip(batch["text"], batch["label"], batch["half"]):
-                words = words_of(text)
-                counts.update(zip([label] * len(words), [half] * len(words), ["", *words], words))
-                if len(counts) > HELD:
-                    yield handed_on()
-        if counts:
-            yield handed_on()
-
-    chosen = docs.select("doc_id", "text").join(train, "doc_id")
-    return chosen.select("text", "label", half_of("doc_id").alias("half")).mapInPandas(scan, "label int, half int, v string, w string, n long")
+                ids = np.append(vocabulary.value.start, vocabulary.value.numbers(words_of(text)))
+                held.append((int(label) * 2 + int(half)) << 2 * BITS | ids[:-1] << BITS | ids[1:])
+                size += len(ids)
+                if size > HELD_BIGRAMS:
+                    key, n = np.unique(np.concatenate(held), return_counts=True)
+                    held, size = [], 0
+                    yield pd.DataFrame({"key": key, "n": n})
+        if held:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n})
+
+    keyed = chosen.mapInPandas(scan, "key long, n int")
+    pair, group = F.col("key").bitwiseAND((1 << 2 * BITS) - 1), F.shiftright("key", 2 * BITS)
+    counted = keyed.groupBy(pair.alias("pair")).agg(*[
+        F.sum(F.when(group == c * 2 + h, F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)])
+    return counted.select(F.shiftright("pair", BITS).alias("v"), F.col("pair").bitwiseAND((1 << BITS) - 1).alias("w"), "n00", "n01", "n10", "n11")
 
 
 def most_frequent(df: DataFrame, count: Column, most: int) -> pd.DataFrame:
@@ -152,23 +184,19 @@ def half_of(doc_id: str):
 
 def fit(docs: DataFrame, train: DataFrame) -> list[Model]:
     """Models of both halves of the training documents and of all of them. The counts are aggregated by Spark, the bounded tables end on the driver."""
-    pairs = written(bigram_counts(docs, train).groupBy("v", "w").agg(*[
-        F.sum(F.when((F.col("label") == c) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)]), "bigrams")
+    chosen = docs.join(train, "doc_id").select("text", "label", half_of("doc_id").alias("half"))
+    vocabulary = find_vocabulary(chosen)
+    pairs = written(bigram_counts(chosen, docs.sparkSession.sparkContext.broadcast(vocabulary)), "bigrams")
     views = {0: lambda c: F.col(f"n{c}0"), 1: lambda c: F.col(f"n{c}1"), 2: lambda c: F.col(f"n{c}0") + F.col(f"n{c}1")}
     models = []
     for view in views.values():
         own = pairs.select("v", "w", view(0).alias("n0"), view(1).alias("n1")).where("n0 + n1 > 0")
-        seen = own.select(F.col("w").alias("word"), (F.col("n0") > 0).cast("int").alias("k0"), (F.col("n1") > 0).cast("int").alias("k1"), F.lit(0).alias("c0"), F.lit(0).alias("c1"))
-        before = own.select(F.col("v").alias("word"), F.lit(0).alias("k0"), F.lit(0).alias("k1"), F.col("n0").alias("c0"), F.col("n1").alias("c1"))
-        words = seen.unionByName(before).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("k0", "k1", "c0", "c1")]).where("k0 + k1 > 0")
-        words = written(words, "words")
-        stems = words.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(*[F.sum((F.col(f"k{c}") > 0).cast("int")).alias(f"s{c}") for c in (0, 1)])
-        totals = words.agg(*[F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"K{c}") for c in (0, 1)],
-                           *[F.coalesce(F.sum((F.col(f"k{c}") > 0).cast("int")), F.lit(0)).alias(f"U{c}") for c in (0, 1)])
-        models.append(Model(
-            most_frequent(words.where("k0 + k1 > 1"), F.col("k0") + F.col("k1"), MOST_WORDS),
-            most_frequent(own.where(F.col("n0") + F.col("n1") >= LEAST_BIGRAM), F.col("n0") + F.col("n1"), MOST_BIGRAMS),
-            most_frequent(stems, F.col("s0") + F.col("s1"), MOST_WORDS), totals.toArrow().to_pandas()))
+        seen = own.select(F.col("w").alias("token"), (F.col("n0") > 0).cast("long").alias("k0"), (F.col("n1") > 0).cast("long").alias("k1"), F.lit(0).alias("c0"), F.lit(0).alias("c1"))
+        before = own.select(F.col("v").alias("token"), F.lit(0).alias("k0"), F.lit(0).alias("k1"), F.col("n0").alias("c0"), F.col("n1").alias("c1"))
+        words = seen.unionByName(before).where(F.col("token") != vocabulary.start).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("k0", "k1", "c0", "c1")])
+        both = F.col("n0") + F.col("n1")
+        bigrams = most_frequent(own.where((both >= LEAST_BIGRAM) & (F.col("v") != vocabulary.start)), both, MOST_BIGRAMS)
+        models.append(Model(vocabulary, words.toArrow().to_pandas(), bigrams))  # words: a row per token of the bounded vocabulary
     return models
 
 
@@ -195,7 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     """
     session = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = one_label(labels, "toxic").where(id_fold(F.col("doc_id"), modulus) != held_out)
+    train = written(one_label(labels, "toxic").where(id_fold(F.col("doc_id"), modulus) != held_out), "labels")
     models = fit(docs, train)
     sample = written(label_sample(labels, "toxic", modulus, held_out, per_class), "label-sample")
     halves = session.sparkContext.broadcast(models[:2])
