@@ -32,6 +32,8 @@ MOST_WORDS = 120_000
 MOST_STEMS = 60_000
 MOST_BIGRAMS = 200_000
 LEAST_BIGRAM = 2
+#: Training labels up to this number (about 40 MB in memory) are sent to the texts; more meet them by a shuffle of the texts, with the same result.
+SENT_LABELS = 1_000_000
 #: Distinct words and bigrams (repeats included) that a task holds before it hands their counts on.
 HELD_WORDS = 100_000
 HELD_BIGRAMS = 2_000_000
@@ -184,7 +186,7 @@ def half_of(doc_id: str):
 
 def fit(docs: DataFrame, train: DataFrame) -> list[Model]:
     """Models of both halves of the training documents and of all of them. The counts are aggregated by Spark, the bounded tables end on the driver."""
-    chosen = docs.join(train, "doc_id").select("text", "label", half_of("doc_id").alias("half"))
+    chosen = docs.join(F.broadcast(train) if train.count() <= SENT_LABELS else train, "doc_id").select("text", "label", half_of("doc_id").alias("half"))
     vocabulary = find_vocabulary(chosen)
     pairs = written(bigram_counts(chosen, docs.sparkSession.sparkContext.broadcast(vocabulary)), "bigrams")
     views = {0: lambda c: F.col(f"n{c}0"), 1: lambda c: F.col(f"n{c}1"), 2: lambda c: F.col(f"n{c}0") + F.col(f"n{c}1")}
