@@ -30,8 +30,23 @@ def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], orde
     return keep_first(batch, keys, order).join(target.select(*keys), list(keys), "left_anti")
 
 
-def insert_select_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target plus the batch rows whose key it lacks."""
+def _turn(batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None) -> Column:
+    """The order in which rows of one key apply: as given, else by their values so that reruns agree."""
+    return F.struct(*(order or [F.col(c) for c in batch.columns if c not in keys] or [F.lit(0)]))
+
+
+def keep_last(batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+    """Last row per key; combines map-side."""
+    others = [c for c in batch.columns if c not in keys]
+    if not others:
+        return batch.distinct()
+    last = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), _turn(batch, keys, order)).alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
+def insert_select_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+    """Target plus the batch rows whose key it lacks; of a repeated key the first row."""
+    batch = keep_first(batch, keys, [_turn(batch, keys, order)])
     return target.unionByName(batch.join(target.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
@@ -41,8 +56,10 @@ def _paired(target: DataFrame, batch: DataFrame, keys: Sequence[str], columns: S
     return left.join(right, list(keys), "full_outer")
 
 
-def overwrite_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], forced: dict[str, Column] | None = None) -> DataFrame:
-    """Incoming row replaces the stored one column by column; `forced` columns are set on every touched row."""
+def overwrite_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], forced: dict[str, Column] | None = None,
+                     order: Sequence[Column] | None = None) -> DataFrame:
+    """Incoming row replaces the stored one column by column, of a repeated key the last; `forced` columns are set on every touched row."""
+    batch = keep_last(batch, keys, order)
     columns = [c for c in target.columns if c not in keys]
     incoming = set(batch.columns)
     hit = F.col("_s").isNotNull()
@@ -54,20 +71,26 @@ def overwrite_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], f
 
 
 def fill_null_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                     defaults: dict[str, Column] | None = None) -> DataFrame:
-    """Stored values stay, gaps take the incoming value; a batch row empty (null or 0) in every column is skipped."""
+                     defaults: dict[str, Column] | None = None, order: Sequence[Column] | None = None) -> DataFrame:
+    """Stored values stay, gaps take the first known incoming value; a batch row empty (null or 0) in every column is skipped."""
     useful = t.any_of([F.coalesce(F.col(c).cast("double"), F.lit(0.0)) != 0 for c in columns])
     others = [c for c in target.columns if c not in keys]
     batch = batch.filter(useful)
     for name, value in (defaults or {}).items():
         batch = batch.withColumn(name, value)
+    turn = _turn(batch, keys, order)
+    batch = batch.groupBy(*keys).agg(*[
+        F.min_by(c, F.when(F.col(c).isNotNull(), turn)).alias(c) for c in batch.columns if c not in keys])
     fills = {c: F.coalesce(F.col(f"_t.{c}"), F.col(f"_s.{c}")) if c in batch.columns else F.col(f"_t.{c}") for c in others}
     return _paired(target, batch, keys, others).select(*keys, *[v.alias(c) for c, v in fills.items()])
 
 
 def patch_upsert(target: DataFrame, patch: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                 insert_defaults: dict[str, Column] | None = None) -> DataFrame:
-    """Patch holds <column> and has_<column>: supplied overwrites (blank to null), missing keeps."""
+                 insert_defaults: dict[str, Column] | None = None, order: Sequence[Column] | None = None) -> DataFrame:
+    """Patch holds <column> and has_<column>: supplied overwrites (blank to null), the last one of a repeated key; missing keeps."""
+    turn = _turn(patch, keys, order)
+    patch = patch.groupBy(*keys).agg(*[out for c in columns for out in (
+        F.max_by(c, F.when(F.col(f"has_{c}"), turn)).alias(c), F.coalesce(F.bool_or(f"has_{c}"), F.lit(False)).alias(f"has_{c}"))])
     others = [c for c in target.columns if c not in keys]
     out = []
     for c in others:
@@ -80,19 +103,20 @@ def patch_upsert(target: DataFrame, patch: DataFrame, keys: Sequence[str], colum
     return _paired(target, patch, keys, others).select(*keys, *out)
 
 
-def promote_variants(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Variant upsert where a mens or unisex row takes over the release's old `default` row.
+def promote_variants(existing: DataFrame, incoming: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
+    """Variant upsert where a mens or unisex row (mens if both come) takes over the release's old `default` row; the last row of a repeated key counts.
 
     Result column `action` tells what happened: kept, updated, renamed, inserted.
     """
     columns = [c for c in existing.columns if c not in ("release_id", "variant_key")]
+    incoming = keep_last(incoming, ["release_id", "variant_key"], order)
     promotes = F.col("variant_key").isin("mens", "unisex")
     takers = incoming.filter(promotes).groupBy("release_id").agg(F.min("variant_key").alias("_taker"))
     has_own = existing.select("release_id", "variant_key", F.lit(True).alias("_own"))
     has_default = existing.filter("variant_key = 'default'").select("release_id", F.lit(True).alias("_default"))
     new = (
-        incoming.join(has_own, ["release_id", "variant_key"], "left").join(has_default, "release_id", "left")
-        .withColumn("action", F.when(F.col("_own"), "updated").when(promotes & F.col("_default"), "renamed").otherwise("inserted"))
+        incoming.join(has_own, ["release_id", "variant_key"], "left").join(has_default, "release_id", "left").join(takers, "release_id", "left")
+        .withColumn("action", F.when(F.col("_own"), "updated").when(F.col("_default") & (F.col("variant_key") == F.col("_taker")), "renamed").otherwise("inserted"))
         .select("release_id", "variant_key", *columns, "action")
     )
     kept = (
