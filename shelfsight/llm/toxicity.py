@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has an interpolated bigram model over tokens: frequent words as they are, rarer ones as their stem (first letters). Discounted bigram
-counts back off to the number of distinct tokens that a token follows in its class, these to the class's stems, and the stems to counts that both
-classes share, so that expressions rare or unseen in both give the same probability and decide nothing. A document's evidence is the difference of
-its toxic and ordinary log-likelihoods per word, over the whole text and over its most toxic stretches, and a logistic fit turns it into a
-probability. The fit sees every training document through a model of the other half of the training documents.
+Each class has an interpolated bigram model over tokens: frequent words as they are, rarer ones as their longest frequent stem (first letters).
+Discounted bigram counts back off to the number of distinct tokens that a token follows in its class, these to the class's stems of seven, five and
+three letters, and the shortest stems to counts that both classes share, so that expressions rare or unseen in both give the same probability and
+decide nothing, while rare forms of one stem count together. A document's evidence is the difference of its toxic and ordinary log-likelihoods per
+word, of the whole model over the whole text and its most toxic stretches and of every stem length over the whole text and its most toxic words. A
+logistic fit turns it into a probability. The fit sees every training document through a model of the other half of the training documents.
 
 The counts come from every labelled training document. What is sent to the tasks holds the most frequent expressions only, so it is bounded
 (``MOST_WORDS``, ``MOST_STEMS``, ``MOST_BIGRAMS``); the logistic fit sees a bounded sample (``PER_CLASS`` documents of each class).
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from shelfsight.llm.common import id_fold, label_sample, one_label, written
 
-#: Documents of each class that the logistic fit of the six features sees.
+#: Documents of each class that the logistic fit of the features sees.
 PER_CLASS = 4000
-#: Entries that reach the driver at most. Words beyond the most frequent count as their stem, stems beyond as one unknown token; bigrams beyond
-#: leave their mass to the back-off.
-MOST_WORDS = 120_000
-MOST_STEMS = 60_000
-MOST_BIGRAMS = 200_000
+#: Entries that reach the driver at most, stems per length. Words beyond the most frequent count as their stem, stems beyond as a shorter one or as
+#: one unknown token; bigrams beyond leave their mass to the back-off.
+MOST_WORDS = 60_000
+MOST_STEMS = 30_000
+MOST_BIGRAMS = 150_000
 LEAST_BIGRAM = 2
 #: Training labels up to this number (about 40 MB in memory) are sent to the texts; more meet them by a shuffle of the texts, with the same result.
 SENT_LABELS = 1_000_000
@@ -40,11 +41,12 @@ HELD_BIGRAMS = 2_000_000
 #: A bigram is one number: tokens fit in so many bits each.
 BITS = 20
 DISCOUNT = 0.75
-STEM = 5
+STEMS = (3, 5, 7)
 STRETCHES = (1, 4, 16)
+TOP_WORDS = 3
 PREDICTED = 0.3
 WORD = re.compile(r"\w+")
-FEATURES = 2 + len(STRETCHES)
+FEATURES = 2 + len(STRETCHES) + 2 * len(STEMS)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,17 +56,22 @@ def words_of(text: str | None) -> list[str]:
 class Vocabulary:
     """Numbers of tokens: frequent words, then stems (marked by a sign that no word has), then the unknown one and the start of a text."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        tokens = sorted(words) + [s + "*" for s in sorted(stems)]
+    def __init__(self, words: list[str], stems: set[str]):
+        tokens = sorted(words) + sorted(s + "*" for s in stems)
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.unknown, self.start, self.size = len(tokens), len(tokens) + 1, len(tokens) + 1
-        places: dict[str, int] = {}
-        self.stem_of = np.array([places.setdefault(t.rstrip("*")[:STEM], len(places)) for t in tokens] + [len(places)], dtype=np.int64)
-        self.stems = len(places) + 1
+        self.places = []  # per stem length the stem's number of every token
+        for length in STEMS:
+            seen: dict[str, int] = {}
+            self.places.append(np.array([seen.setdefault(t.rstrip("*")[:length], len(seen)) for t in tokens] + [len(seen)], dtype=np.int64))
+
+    def number(self, word: str) -> int:
+        get = self.ids.get
+        return next((i for i in [get(word[:length] + "*") for length in reversed(STEMS)] if i is not None), self.unknown)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        get, unknown = self.ids.get, self.unknown
-        return np.array([i if (i := get(w)) is not None else get(w[:STEM] + "*", unknown) for w in words], dtype=np.int64)
+        get = self.ids.get
+        return np.array([i if (i := get(w)) is not None else self.number(w) for w in words], dtype=np.int64)
 
 
 class Model:
@@ -75,15 +82,19 @@ class Model:
         self.vocabulary, n = vocabulary, vocabulary.size
         k, context = np.zeros((n, 2)), np.zeros((n, 2))
         k[words["token"]], context[words["token"]] = words[["k0", "k1"]], words[["c0", "c1"]]
-        at, stems = vocabulary.stem_of, vocabulary.stems
-        counts = np.stack([np.bincount(at, weights=k[:, c] > 0, minlength=stems) for c in (0, 1)], axis=1)
-        shared = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * stems)
-        stem_p = self._discounted(counts, shared[:, None])
-        together = k.sum(axis=1) + 1.0
-        of_stem = together / np.bincount(at, weights=together, minlength=stems)[at]
-        all_k = np.maximum(k.sum(axis=0), 1.0)
-        new = np.minimum(1.0, DISCOUNT * np.maximum((k > 0).sum(axis=0), 1.0) / all_k)
-        word_p = np.maximum(k - DISCOUNT, 0) / all_k + new * stem_p[at] * of_stem[:, None]
+        self.stem_ratios = []
+        stem_p = before = None
+        for at in vocabulary.places:
+            counts = np.stack([np.bincount(at, weights=k[:, c]) for c in (0, 1)], axis=1)
+            if before is None:
+                lower = ((counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * len(counts)))[:, None]
+            else:
+                shorter = np.zeros(len(counts), dtype=np.int64)
+                shorter[at] = before
+                lower = stem_p[shorter] * self._share(counts, shorter)
+            stem_p, before = self._discounted(counts, lower), at
+            self.stem_ratios.append((np.log(stem_p[:, 1]) - np.log(stem_p[:, 0]))[at])
+        word_p = self._discounted(k, stem_p[before] * self._share(k, before))
         self.word_ratio = np.log(word_p[:, 1]) - np.log(word_p[:, 0])
         v, w, pair = bigrams["v"].to_numpy(dtype=np.int64), bigrams["w"].to_numpy(dtype=np.int64), bigrams[["n0", "n1"]].to_numpy(dtype=float)
         context = np.maximum(context, 1.0)
@@ -101,9 +112,14 @@ class Model:
         new = np.minimum(1.0, DISCOUNT * np.maximum((counts > 0).sum(axis=0), 1.0) / total)
         return np.maximum(counts - DISCOUNT, 0) / total + new * lower
 
-    def ratios(self, words: list[str]) -> np.ndarray:
+    @staticmethod
+    def _share(counts: np.ndarray, lower_place: np.ndarray) -> np.ndarray:
+        """Each entry's part of its shorter stem, from the counts of both classes together."""
+        together = counts.sum(axis=1) + 1.0
+        return (together / np.bincount(lower_place, weights=together)[lower_place])[:, None]
+
+    def ratios(self, ids: np.ndarray) -> np.ndarray:
         """Per word the log-likelihood ratio given the word before it."""
-        ids = self.vocabulary.numbers(words)
         out = self.word_ratio[ids]
         out[1:] += self.back_ratio[ids[:-1]]
         if len(self.keys):
@@ -114,18 +130,24 @@ class Model:
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """Ratio per word of the whole text and of its most toxic stretches, and the length; zeros for a text without words."""
+        """Ratio per word of the whole text and of its most toxic stretches, the same of stems and most toxic words, and the length; zeros without words."""
         words = words_of(text)
         if not words:
             return [0.0] * FEATURES
-        ratios = self.ratios(words)
+        ids = self.vocabulary.numbers(words)
+        ratios = self.ratios(ids)
         sums = np.concatenate(([0.0], np.cumsum(ratios)))
         best = [float((sums[s:] - sums[:-s]).max()) / s if len(ratios) > s else float(sums[-1]) / s for s in STRETCHES]
-        return [float(sums[-1]) / len(ratios), *best, float(np.log(len(ratios)))]
+        by_stem = []
+        for of_token in self.stem_ratios:
+            single = of_token[ids]
+            top = np.partition(single, -TOP_WORDS)[-TOP_WORDS:] if len(single) > TOP_WORDS else single
+            by_stem += [float(single.mean()), float(top.sum()) / TOP_WORDS]
+        return [float(sums[-1]) / len(ratios), *best, *by_stem, float(np.log(len(ratios)))]
 
 
 def find_vocabulary(chosen: DataFrame) -> Vocabulary:
-    """The most frequent words of all training documents, and the stems with the most words; counts are summed within tasks first."""
+    """The most frequent words and stems of all training documents; counts are summed within tasks first."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
@@ -139,8 +161,12 @@ def find_vocabulary(chosen: DataFrame) -> Vocabulary:
             yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
     words = written(chosen.select("text").mapInPandas(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    stems = words.groupBy(F.substring("word", 1, STEM).alias("word")).agg(F.count("*").alias("n"))
-    return Vocabulary(most_frequent(words.where("n > 1"), F.col("n"), MOST_WORDS)["word"].tolist(), most_frequent(stems, F.col("n"), MOST_STEMS)["word"].tolist())
+    frequent = most_frequent(words.where("n > 1"), F.col("n"), MOST_WORDS)["word"].tolist()
+    stems: set[str] = set()
+    for length in STEMS:
+        counted = words.groupBy(F.substring("word", 1, length).alias("stem")).agg(F.sum("n").alias("n"))
+        stems.update(most_frequent(counted, F.col("n"), MOST_STEMS)["stem"].tolist())
+    return Vocabulary(frequent, stems)
 
 
 def bigram_counts(chosen: DataFrame, vocabulary: Broadcast[Vocabulary]) -> DataFrame:
