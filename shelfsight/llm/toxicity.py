@@ -44,9 +44,11 @@ DISCOUNT = 0.75
 STEMS = (3, 5, 7)
 STRETCHES = (1, 4, 16)
 TOP_WORDS = 3
+#: Ratios beyond this one mark a word as toxic; their excess is averaged over the text.
+MARKED = 1.0
 PREDICTED = 0.3
 WORD = re.compile(r"\w+")
-FEATURES = 2 + len(STRETCHES) + 2 * len(STEMS)
+FEATURES = 2 + len(STRETCHES) + 3 * len(STEMS)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -130,7 +132,7 @@ class Model:
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """Ratio per word of the whole text and of its most toxic stretches, the same of stems and most toxic words, and the length; zeros without words."""
+        """Ratio per word of the whole text and of its most toxic stretches, the same of stems, most toxic and marked words, and the length; zeros without words."""
         words = words_of(text)
         if not words:
             return [0.0] * FEATURES
@@ -142,7 +144,7 @@ class Model:
         for of_token in self.stem_ratios:
             single = of_token[ids]
             top = np.partition(single, -TOP_WORDS)[-TOP_WORDS:] if len(single) > TOP_WORDS else single
-            by_stem += [float(single.mean()), float(top.sum()) / TOP_WORDS]
+            by_stem += [float(single.mean()), float(top.sum()) / TOP_WORDS, float(np.maximum(single - MARKED, 0).mean())]
         return [float(sums[-1]) / len(ratios), *best, *by_stem, float(np.log(len(ratios)))]
 
 
