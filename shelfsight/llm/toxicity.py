@@ -41,6 +41,8 @@ HELD_BIGRAMS = 2_000_000
 #: A bigram is one number: tokens fit in so many bits each.
 BITS = 20
 DISCOUNT = 0.75
+#: Count that every entry gets in the distribution shared by both classes, so that a few occurrences in one class prove little.
+SHARED = 2.0
 STEMS = (3, 5, 7)
 STRETCHES = (1, 4, 16)
 TOP_WORDS = 3
@@ -112,7 +114,8 @@ class Model:
     def _discounted(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
         total = np.maximum(counts.sum(axis=0), 1.0)
         new = np.minimum(1.0, DISCOUNT * np.maximum((counts > 0).sum(axis=0), 1.0) / total)
-        return np.maximum(counts - DISCOUNT, 0) / total + new * lower
+        both = total.sum()
+        return (np.maximum(counts - DISCOUNT, 0) / total + new * lower + SHARED / both) / (1 + SHARED * len(counts) / both)
 
     @staticmethod
     def _share(counts: np.ndarray, lower_place: np.ndarray) -> np.ndarray:
