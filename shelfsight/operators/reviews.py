@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfsight.functions import text as t
 from shelfsight.operators import scoring
 
-FEED_KEYS = ("published_at", "review_id")
-
 
 def review_star(reviews: DataFrame, release: DataFrame, family: DataFrame, source: DataFrame, author: DataFrame | None = None) -> DataFrame:
     """Approved reviews with catalog, source and optional author columns."""
@@ -37,7 +35,13 @@ def review_features(reviews: DataFrame, source: DataFrame, as_of: Column) -> Dat
 
 
 def feed_order() -> list[Column]:
-    return [F.col("published_at").desc_nulls_first(), F.col("review_id")]
+    """Newest publication first, unknown dates before all, then the newest row, then the id."""
+    return [F.col("published_at").desc_nulls_first(), F.col("created_at").desc_nulls_first(), F.col("review_id")]
+
+
+def feed_position(*more: str) -> Column:
+    """The feed order as one ascending value, so that the first of a group is a minimum."""
+    return F.struct((-F.unix_micros("published_at")).alias("published"), (-F.unix_micros("created_at")).alias("created"), "review_id", *more)
 
 
 def e2(sum_e4: Column) -> Column:
@@ -102,9 +106,7 @@ def review_coverage(features: DataFrame, as_of: Column) -> DataFrame:
 
 def theme_rows(features: DataFrame) -> DataFrame:
     """One row per (review, theme); needs a `themes` array."""
-    return features.select("*", F.posexplode("themes").alias("theme_pos", "theme")).withColumn(
-        "feed_position",
-        F.coalesce(-F.unix_seconds("published_at"), F.lit(-(1 << 40))) * 1024 + F.least(F.col("theme_pos"), F.lit(1023)))
+    return features.select("*", F.posexplode("themes").alias("theme_pos", "theme")).withColumn("feed_position", feed_position("theme_pos"))
 
 
 def theme_rollup(rows: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def theme_evidence(features: DataFrame, limit: int = 3) -> DataFrame:
     quotes = theme_rows(features).filter(F.col("quote") != "")
     order = Window.partitionBy("release_id", "theme").orderBy(*feed_order())
     return (
-        quotes.select("release_id", "theme", "published_at", "review_id", "source_name", "source_type", "quote")
+        quotes.select("release_id", "theme", "published_at", "created_at", "review_id", "source_name", "source_type", "quote")
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     )
 

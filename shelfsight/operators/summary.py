@@ -27,12 +27,12 @@ def negative_text(term: Column) -> Column:
 
 
 def term_rollup(reviews: DataFrame) -> DataFrame:
-    """Mentions with positive and negative counts per (release, term); needs a `terms` array."""
+    """Mentions, positive and negative counts and first place in the feed per (release, term); needs a `terms` array."""
     return (
-        reviews.select("release_id", "sentiment", F.posexplode("terms").alias("pos", "term"))
+        reviews.select("release_id", "sentiment", "published_at", "created_at", "review_id", F.posexplode("terms").alias("pos", "term"))
         .groupBy("release_id", "term")
         .agg(F.count("*").alias("mentions"), F.count_if(F.col("sentiment") == "positive").alias("positive"),
-             F.count_if(F.col("sentiment") == "negative").alias("negative"))
+             F.count_if(F.col("sentiment") == "negative").alias("negative"), F.min(rv.feed_position("pos")).alias("first_position"))
     )
 
 
@@ -46,7 +46,7 @@ def review_evidence(reviews: DataFrame, limit: int = md.EVIDENCE_LIMIT) -> DataF
     order = Window.partitionBy("release_id").orderBy(*rv.feed_order())
     return (
         reviews.filter(F.coalesce("evidence_text", F.lit("")) != "")
-        .select("release_id", "published_at", "review_id", "source_name", "source_type", "title", "evidence_text")
+        .select("release_id", "published_at", "created_at", "review_id", "source_name", "source_type", "title", "evidence_text")
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     )
 
@@ -59,14 +59,12 @@ def _fallback(values: Column, default: Column) -> Column:
     return F.slice(F.when(F.size(values) > 0, values).otherwise(default), 1, 3)
 
 
-def release_summaries(reviews: DataFrame, releases: DataFrame, term_order: list[str] | None = None) -> DataFrame:
+def release_summaries(reviews: DataFrame, releases: DataFrame) -> DataFrame:
     """One generated summary per release that has at least one approved review with text.
 
     Needs reviews with source columns, `terms` and `evidence_text`; releases with label, category,
-    terrain and stability. Sentiment sums are exact integers (a null sentiment adds .7 to mixed).
+    terrain and stability. Terms with equally many mentions keep the order of their first mention in the feed. Sentiment sums are exact integers (a null sentiment adds .7 to mixed).
     """
-    declared = term_order or [label for label, _ in lx.TERM_PATTERNS]
-    rank_of = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in declared]), F.col("term")), F.lit(99))
     w, s = t.source_weight_e4(F.col("source_type")), F.col("sentiment")
     editorial = F.col("source_type") == "editorial"
 
@@ -86,7 +84,7 @@ def release_summaries(reviews: DataFrame, releases: DataFrame, term_order: list[
         .groupBy("release_id").agg(*again, F.sum("source_count").alias("source_count"), F.count("*").alias("named_sources"))
     )
     terms = term_rollup(reviews).groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("mentions")).alias("order"), rank_of.alias("declared"), "term", "positive", "negative"))).alias("ranked"))
+        (-F.col("mentions")).alias("order"), "first_position", "term", "positive", "negative"))).alias("ranked"))
     evidence = review_evidence(reviews).groupBy("release_id").agg(F.count("*").alias("evidence_count"))
     c = F.col
     overall = scoring.dominant_never_null(c("w_positive"), c("w_mixed") + c("w_unknown"), c("w_negative"))

@@ -137,13 +137,13 @@ PROSE_TERMS = (
     ("Fit", ("the an", "hean")), ("Ride", ("der ", "ung")), ("Cushioning", ("eau", "que")), ("Speed", ("cion", "los ")),
     ("Value", ("wh", "sh")), ("Stability", ("onen", "reat")), ("Traction", ("keit", "ver ")), ("Durability", ("ment", "ado ")),
 )
-_TERMS = [label for label, _ in PROSE_TERMS]
 d.VIEWS["v_docterms"] = f"""SELECT doc_id, {d.labels('h', PROSE_TERMS)} AS terms, title, CASE WHEN length(e) <= 220 THEN e ELSE substring(e, 1, 219) || '…' END AS evidence_text
     FROM (SELECT doc_id, title, {d.norm("concat_ws(' ', title, excerpt, body)")} AS h, {d.trim_ws('coalesce(excerpt, body, title)')} AS e FROM v_document)"""
 d.VIEWS["v_sumrev"] = """SELECT f.*, t.terms, t.title, t.evidence_text FROM v_feature f JOIN v_docterms t ON t.doc_id = f.doc_slot % (SELECT count(*) FROM documents)"""
-d.VIEWS["v_term"] = f"""SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY mentions DESC, list_position([{', '.join(d.quoted(x) for x in _TERMS)}], term)) AS rank FROM (
-    SELECT release_id, term, count(*) AS mentions, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative
-    FROM (SELECT release_id, sentiment, unnest(terms) AS term FROM v_sumrev) GROUP BY release_id, term)"""
+d.VIEWS["v_term"] = f"""SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY mentions DESC, first_position) AS rank FROM (
+    SELECT release_id, term, count(*) AS mentions, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative, min(place) AS first_position
+    FROM (SELECT release_id, sentiment, term, row_number() OVER (PARTITION BY release_id ORDER BY published_at DESC NULLS FIRST, created_at DESC, review_id, pos) AS place
+      FROM (SELECT *, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM v_sumrev)) GROUP BY release_id, term)"""
 
 
 def summary_reviews(fx):
@@ -165,7 +165,7 @@ def _(fx):
     return rows.select("release_id", sm.summary_confidence(F.col("n"), F.col("s")).alias("confidence"))
 
 
-@query("sum_3_review_evidence", """SELECT release_id, CAST(rank AS INTEGER) AS rank, source_name, evidence_text FROM (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY published_at DESC NULLS FIRST, review_id) AS rank
+@query("sum_3_review_evidence", """SELECT release_id, CAST(rank AS INTEGER) AS rank, source_name, evidence_text FROM (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY published_at DESC NULLS FIRST, created_at DESC, review_id) AS rank
     FROM v_sumrev WHERE evidence_text <> '') WHERE rank <= 6""")
 def _(fx):
     return sm.review_evidence(summary_reviews(fx)).select("release_id", "rank", "source_name", "evidence_text")
@@ -225,7 +225,7 @@ SUMMARY_LISTS = ("pros", "cons", "best_for", "watch_outs", "consensus_points", "
 
 def generated(fx):
     releases = cat.release_star(fx.release(), fx.family()).select("release_id", F.concat_ws(" ", "brand", "version_name").alias("label"), "category", "terrain", "stability")
-    return sm.release_summaries(summary_reviews(fx), releases, _TERMS)
+    return sm.release_summaries(summary_reviews(fx), releases)
 
 
 @query("sum_1_release_summaries", "SELECT * FROM v_gensum")

@@ -223,6 +223,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN l_returnflag || l_linestatus = 'AF' THEN 'approved' WHEN l_returnflag || l_linestatus = 'AO' THEN 'rejected'
              WHEN l_returnflag = 'N' THEN 'pending' ELSE 'flagged' END AS status,
         CASE WHEN l_linenumber <> 7 THEN l_shipdate END AS published_at,
+        TIMESTAMP '2002-01-01' + to_days(CAST(l_orderkey % 5 AS INTEGER)) AS created_at,
         list_filter([{_hits}], lambda v: v IS NOT NULL)[1:3] AS highlights,
         'https://s' || l_suppkey || '.example.com/r/' || l_orderkey || '-' || l_linenumber AS source_url,
         CASE WHEN l_orderkey % 4 <> 0 THEN 'importer-' || (l_orderkey % 5) END AS importer,

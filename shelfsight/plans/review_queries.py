@@ -160,7 +160,7 @@ def _(fx):
 _INFERRED = d.labels("h", PROSE_PATTERNS)
 d.VIEWS["v_docthemes"] = f"""SELECT doc_id, {_INFERRED} AS inferred, quote FROM (SELECT doc_id, {d.norm("concat_ws(' ', excerpt, body)")} AS h,
     substring({d.trim_ws('coalesce(excerpt, body)')}, 1, 180) AS quote FROM v_document)"""
-d.VIEWS["v_theme"] = """SELECT *, CASE WHEN published_at IS NULL THEN -1099511627776 ELSE -epoch(published_at)::BIGINT END * 1024 + pos - 1 AS feed_position FROM (
+d.VIEWS["v_theme"] = """SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY published_at DESC NULLS FIRST, created_at DESC, review_id, pos) AS feed_position FROM (
     SELECT f.*, d.quote, unnest(list_concat(f.highlights, d.inferred)) AS theme, generate_subscripts(list_concat(f.highlights, d.inferred), 1) AS pos
     FROM v_feature f JOIN v_docthemes d ON d.doc_id = f.doc_slot % (SELECT count(*) FROM documents))"""
 d.VIEWS["v_theme_score"] = """SELECT *, CASE WHEN dominant = 'positive' THEN positive WHEN dominant = 'negative' THEN negative ELSE mixed END / review_count AS ratio FROM (SELECT *,
@@ -182,7 +182,7 @@ def _(fx):
 
 
 @query("agg_4_theme_evidence", """SELECT release_id, theme, source_name, quote, CAST(rank AS INTEGER) AS rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY release_id, theme ORDER BY published_at DESC NULLS FIRST, review_id) AS rank FROM v_theme WHERE quote <> '') WHERE rank <= 3""")
+    SELECT *, row_number() OVER (PARTITION BY release_id, theme ORDER BY published_at DESC NULLS FIRST, created_at DESC, review_id) AS rank FROM v_theme WHERE quote <> '') WHERE rank <= 3""")
 def _(fx):
     return rv.theme_evidence(themed_features(fx)).select("release_id", "theme", "source_name", "quote", "rank")
 
@@ -334,7 +334,7 @@ def _(fx):
 
 # --- feed -----------------------------------------------------------------------------------
 
-d.VIEWS["v_feed"] = f"""SELECT v.review_id, r.brand, {d.slug('r.family_id')} AS family_slug, {d.slug('r.version_name')} AS release_slug, v.source_id, v.score, v.published_at
+d.VIEWS["v_feed"] = f"""SELECT v.review_id, r.brand, {d.slug('r.family_id')} AS family_slug, {d.slug('r.version_name')} AS release_slug, v.source_id, v.score, v.published_at, v.created_at
     FROM v_review v JOIN v_release r ON v.release_id = r.release_id WHERE v.status = 'approved'"""
 
 
@@ -352,7 +352,7 @@ def _(fx):
     return own.select("review_id", F.lit("own").alias("kind")).unionByName(foreign.select("review_id", F.lit("foreign").alias("kind")))
 
 
-@query("srt_5_feed_order", "SELECT review_id, row_number() OVER (ORDER BY published_at DESC NULLS FIRST, review_id) AS position FROM v_feed")
+@query("srt_5_feed_order", "SELECT review_id, row_number() OVER (ORDER BY published_at DESC NULLS FIRST, created_at DESC, review_id) AS position FROM v_feed")
 def _(fx):
     from shelfsight.operators.ordering import positioned
     return positioned(feed(fx).orderBy(*rv.feed_order()).select("review_id"))
@@ -422,7 +422,7 @@ def _(fx):
         "grade", F.array_join(F.transform("themes", lambda x: x["theme"]), "|").alias("themes"), "gist")
 
 
-@query("edt_6_review_feed", """SELECT v.review_id, v.status, r.family || ' ' || r.version_name AS release_label, s.source_name FROM (SELECT * FROM v_review ORDER BY published_at DESC NULLS FIRST, review_id LIMIT 50) v
+@query("edt_6_review_feed", """SELECT v.review_id, v.status, r.family || ' ' || r.version_name AS release_label, s.source_name FROM (SELECT * FROM v_review ORDER BY published_at DESC NULLS FIRST, created_at DESC, review_id LIMIT 50) v
     JOIN v_release r ON r.release_id = v.release_id JOIN v_source s ON s.source_id = v.source_id""")
 def _(fx):
     from shelfsight.operators import feeds as fd

@@ -129,6 +129,7 @@ class Fixtures:
             F.when(flags == "AF", "approved").when(flags == "AO", "rejected")
             .when(F.col("l_returnflag") == "N", "pending").otherwise("flagged").alias("status"),
             F.when(line != 7, F.col("l_shipdate").cast("timestamp")).alias("published_at"),
+            (F.lit("2002-01-01").cast("timestamp") + F.make_dt_interval(days=(order % 5).cast("int"))).alias("created_at"),
             F.slice(F.array_compact(F.array(*hits)), 1, 3).alias("highlights"),
             F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example.com/r/"),
                      order.cast("string"), F.lit("-"), line.cast("string")).alias("source_url"),
