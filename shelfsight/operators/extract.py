@@ -113,10 +113,12 @@ def json_ld_article(html: Column) -> Column:
 
 
 def published_at(html: Column, article: Column) -> Column:
-    """First date by precedence: time element, JSON-LD, article meta, item property, date header."""
+    """First date by precedence: time element of the article, JSON-LD, article meta, any time element, item property, date header."""
+    time = r"time(?=[^>]*datetime)"
+    inside = F.regexp_extract(drop_hidden(html), r"(?is)<article\b.*?</article\s*>", 0)
     candidates = F.coalesce(
-        attribute(html, r"time(?=[^>]*datetime)", "datetime"), article["published"], meta(html, "property", "article:published_time"),
-        meta(html, "itemprop", "datePublished"), element_text(html, r"h2(?=[^>]*date-header)"), attribute(html, r"abbr(?=[^>]*published)", "title"))
+        attribute(inside, time, "datetime"), article["published"], meta(html, "property", "article:published_time"),
+        attribute(html, time, "datetime"), meta(html, "itemprop", "datePublished"), element_text(html, r"h2(?=[^>]*date-header)"), attribute(html, r"abbr(?=[^>]*published)", "title"))
     return t.parse_timestamp(candidates)
 
 
@@ -173,9 +175,10 @@ def paragraph_after_heading(html: Column, heading: str) -> Column:
 
 def anchors(pages: DataFrame) -> DataFrame:
     """Links of every page in document order: page_id, position, href, title."""
-    pattern = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
+    pattern = r"(?is)<a\b[^>]*?\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>(.*?)</a\s*>"
     visible = drop_hidden(F.col("html"))
-    pairs = F.arrays_zip(F.regexp_extract_all(visible, F.lit(pattern), 1).alias("href"), F.regexp_extract_all(visible, F.lit(pattern), 2).alias("inner"))
+    hrefs = F.transform(F.regexp_extract_all(visible, F.lit(pattern), 1), lambda h: F.regexp_replace(h, r"^[\"']|[\"']$", ""))
+    pairs = F.arrays_zip(hrefs.alias("href"), F.regexp_extract_all(visible, F.lit(pattern), 2).alias("inner"))
     return pages.select("page_id", F.posexplode(pairs).alias("position", "a")).select(
         "page_id", "position", decode_entities(F.col("a.href")).alias("href"), strip_tags(F.col("a.inner")).alias("title"))
 

@@ -151,16 +151,27 @@ def shadow_specs(specs: DataFrame, variants: DataFrame, columns: Sequence[str])
     return overwrite_upsert(specs, primary, ["release_id"])
 
 
-def review_upsert_ids(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Target id per incoming review: by url, else by (source, release, title); null inserts."""
+def review_upsert_ids(incoming: DataFrame, stored: DataFrame, key: str = "incoming_id") -> DataFrame:
+    """Target id per incoming review: by url, else by (source, release, title).
+
+    Of new reviews that share a url, and of the first ones of those that share (source, release, title), the smallest `key` is
+    the insert; the others update it. Their `target_id` is null and `same_as` names the insert. A null url or title matches nothing.
+    """
     by_url = stored.groupBy("source_url").agg(F.min("review_id").alias("id_by_url"))
-    by_title = stored.filter("title IS NOT NULL").groupBy("source_id", "release_id", "title").agg(F.min("review_id").alias("id_by_title"))
-    return (
-        incoming.join(by_url, "source_url", "left").join(by_title, ["source_id", "release_id", "title"], "left")
-        .withColumn("target_id", F.coalesce("id_by_url", "id_by_title"))
-        .withColumn("action", F.when(F.col("target_id").isNull(), "insert").otherwise("update"))
-        .drop("id_by_url", "id_by_title")
+    titled = ["source_id", "release_id", "title"]
+    by_title = stored.filter("title IS NOT NULL").groupBy(*titled).agg(F.min("review_id").alias("id_by_title"))
+    judged = (
+        incoming.join(by_url, "source_url", "left").join(by_title, titled, "left")
+        .withColumn("target_id", F.coalesce("id_by_url", "id_by_title")).drop("id_by_url", "id_by_title")
     )
+    new = judged.filter("target_id IS NULL").select(key, "source_url", *titled)
+    first_of_url = new.groupBy("source_url").agg(F.min(key).alias("_lead"))
+    led = new.join(first_of_url, "source_url", "left").withColumn("_lead", F.coalesce("_lead", key))
+    leads = led.filter(F.col(key) == F.col("_lead")).drop("_lead")
+    first_of_title = leads.groupBy(*titled).agg(F.min(key).alias("same_as"))
+    resolved = leads.join(first_of_title, titled, "left").select(F.col(key).alias("_lead"), F.coalesce("same_as", key).alias("same_as"))
+    same = led.select(key, "_lead").join(resolved, "_lead").drop("_lead")
+    return judged.join(same, key, "left").withColumn("action", F.when(F.col("same_as") == F.col(key), "insert").otherwise("update"))
 
 
 def get_or_create_authors(records: DataFrame, authors: DataFrame, keys: Sequence[str] = ("source_id", "display_name")) -> tuple[DataFrame, DataFrame]:

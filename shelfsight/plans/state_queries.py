@@ -96,18 +96,25 @@ def _(fx):
 
 
 _STORED = "SELECT review_id, source_url, source_id, release_id, 'T' || (l_orderkey % 3) AS title FROM v_review WHERE status = 'approved'"
-_INCOMING = "SELECT review_id AS incoming_id, source_url, source_id, release_id, 'T' || (l_orderkey % 3) AS title FROM v_review WHERE status = 'pending'"
+# Pending reviews of every second order share one new url.
+_INCOMING = """SELECT review_id AS incoming_id, CASE WHEN l_orderkey % 2 = 0 THEN 'https://new.example.com/r/' || l_orderkey ELSE source_url END AS source_url,
+    source_id, release_id, 'T' || (l_orderkey % 3) AS title FROM v_review WHERE status = 'pending'"""
+d.VIEWS["v_upsert"] = f"""SELECT i.*, coalesce(u.id, x.id) AS target_id FROM ({_INCOMING}) i
+    LEFT JOIN (SELECT source_url, min(review_id) AS id FROM ({_STORED}) GROUP BY 1) u ON u.source_url = i.source_url
+    LEFT JOIN (SELECT source_id, release_id, title, min(review_id) AS id FROM ({_STORED}) GROUP BY 1, 2, 3) x ON x.source_id = i.source_id AND x.release_id = i.release_id AND x.title = i.title"""
+d.VIEWS["v_upsert_new"] = "SELECT *, min(incoming_id) OVER (PARTITION BY source_url) AS lead FROM v_upsert WHERE target_id IS NULL"
+d.VIEWS["v_upsert_lead"] = "SELECT incoming_id AS lead, min(incoming_id) OVER (PARTITION BY source_id, release_id, title) AS same_as FROM v_upsert_new WHERE incoming_id = lead"
 
 
-@query("snk_9_review_upsert_ids", f"""SELECT i.incoming_id, coalesce(u.id, x.id) AS target_id, CASE WHEN coalesce(u.id, x.id) IS NULL THEN 'insert' ELSE 'update' END AS action FROM ({_INCOMING}) i
-    LEFT JOIN (SELECT source_url, min(review_id) AS id FROM ({_STORED}) GROUP BY 1) u ON u.source_url = i.source_url
-    LEFT JOIN (SELECT source_id, release_id, title, min(review_id) AS id FROM ({_STORED}) GROUP BY 1, 2, 3) x ON x.source_id = i.source_id AND x.release_id = i.release_id AND x.title = i.title""")
+@query("snk_9_review_upsert_ids", """SELECT u.incoming_id, u.target_id, l.same_as, CASE WHEN l.same_as = u.incoming_id THEN 'insert' ELSE 'update' END AS action
+    FROM v_upsert u LEFT JOIN v_upsert_new n ON n.incoming_id = u.incoming_id LEFT JOIN v_upsert_lead l ON l.lead = n.lead""")
 def _(fx):
     order = F.split("review_id", "-")[0].cast("bigint")
     rows = fx.review().withColumn("title", F.concat(F.lit("T"), (order % 3).cast("string")))
     columns = ("source_url", "source_id", "release_id", "title")
-    incoming = rows.filter("status = 'pending'").select(F.col("review_id").alias("incoming_id"), *columns)
-    return mg.review_upsert_ids(incoming, rows.filter("status = 'approved'").select("review_id", *columns)).select("incoming_id", "target_id", "action")
+    url = F.when(order % 2 == 0, F.concat(F.lit("https://new.example.com/r/"), order.cast("string"))).otherwise(F.col("source_url"))
+    incoming = rows.filter("status = 'pending'").withColumn("source_url", url).select(F.col("review_id").alias("incoming_id"), *columns)
+    return mg.review_upsert_ids(incoming, rows.filter("status = 'approved'").select("review_id", *columns)).select("incoming_id", "target_id", "same_as", "action")
 
 
 @query("snk_10_get_or_create_authors", """SELECT i.source_id, i.display_name, a.author_id IS NOT NULL AS existed, count(*) AS n FROM (SELECT o_custkey % 10 AS source_id, CASE WHEN o_custkey % 7 <> 0 THEN 'N' || (o_custkey % 40) END AS display_name FROM orders) i

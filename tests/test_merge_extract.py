@@ -30,7 +30,9 @@ def test_page_fields(spark):
     assert page(spark, ex.paragraph_after_heading(html, "our verdict")) == "Buy it."
     with_article = spark.createDataFrame([(PAGE,)], "html string").withColumn("a", ex.json_ld_article(html))
     row = with_article.select(F.date_format(ex.published_at(html, F.col("a")), "yyyy-MM-dd").alias("d"), ex.author_name(html, F.col("a")).alias("n")).collect()[0]
-    assert (row["d"], row["n"]) == ("2024-02-01", "Ann")
+    assert (row["d"], row["n"]) == ("2024-03-05", "Ann")
+    within = F.regexp_replace(html, "<article>", "<article><time datetime='2024-04-06'>y</time>")
+    assert page(spark, F.date_format(ex.published_at(within, ex.json_ld_article(within)), "yyyy-MM-dd")) == "2024-04-06"
 
 
 def test_numeric_entities_and_unknown_pages(spark):
@@ -99,3 +101,19 @@ def test_import_batch_replays_to_nothing(spark):
     added = imports.import_batch(batch, stored)
     assert state(added, "url") == [("u3",), ("u4",)]
     assert imports.import_batch(batch, stored.unionByName(added)).count() == 0
+
+
+def test_anchors_of_every_quote_style(spark):
+    html = """<a href=/x>X</a> <a class='b' href='/y?a="1"'>Y <b>z</b></a> <a data-href="no" href="/q">Q</a> <a name="n">none</a>"""
+    rows = ex.anchors(spark.createDataFrame([(1, html)], "page_id int, html string")).orderBy("position").collect()
+    assert [(r["href"], r["title"]) for r in rows] == [("/x", "X"), ('/y?a="1"', "Y z"), ("/q", "Q")]
+
+
+def test_new_reviews_of_one_url_or_title_are_inserted_once(spark):
+    schema = "source_url string, source_id int, release_id int, title string"
+    stored = spark.createDataFrame([(90, "u0", 1, 1, "t0")], "review_id int, " + schema)
+    rows = [(1, "u1", 1, 1, "a"), (2, "u1", 1, 1, "b"), (3, "u2", 1, 1, "a"), (4, "u2", 2, 2, None), (5, "u0", 9, 9, "z"), (6, "u9", 1, 1, "t0"), (7, None, 3, 3, None), (8, None, 3, 3, None)]
+    got = mg.review_upsert_ids(spark.createDataFrame(rows, "incoming_id int, " + schema), stored).orderBy("incoming_id").collect()
+    assert [(r["incoming_id"], r["target_id"], r["same_as"], r["action"]) for r in got] == [
+        (1, None, 1, "insert"), (2, None, 1, "update"), (3, None, 1, "update"), (4, None, 1, "update"), (5, 90, None, "update"), (6, 90, None, "update"),
+        (7, None, 7, "insert"), (8, None, 8, "insert")]
