@@ -1,25 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has an interpolated bigram model over tokens: frequent words as they are, rarer ones as their longest frequent stem (first letters).
-Discounted bigram counts back off to the number of distinct tokens that a token follows in its class, these to the class's stems of seven, five and
-three letters, and the shortest stems to counts that both classes share, so that expressions rare or unseen in both give the same probability and
-decide nothing, while rare forms of one stem count together. A document's evidence is the difference of its toxic and ordinary log-likelihoods per
-word, of the whole model over the whole text and its most toxic stretches and of every stem length over the whole text and its most toxic words. A
-logistic fit turns it into a probability. The fit sees every training document through a model of the other half of the training documents.
-
-The counts come from every labelled training document. What is sent to the tasks holds the most frequent expressions only, so it is bounded
-(``MOST_WORDS``, ``MOST_STEMS``, ``MOST_BIGRAMS``); the logistic fit sees a bounded sample (``PER_CLASS`` documents of each class).
+Each class has an interpolated bigram model over words. Discounted bigram counts back off to the number of distinct words that a word follows in
+its class, these to the class's stems (first letters) of seven, five and three letters, and the shortest stems to counts that both classes share, so
+that expressions rare or unseen in both give the same probability and decide nothing, while rare forms of one stem count together. A document's
+evidence is the difference of its toxic and ordinary log-likelihoods per word, of the whole model over the whole text and its most toxic stretches and
+of every stem length over the whole text and its most toxic words. A logistic fit turns it into a probability. The fit sees every training document
+through a model of the other half of the training documents.
+
+The counts come from every labelled training document, and every word, stem and bigram of them keeps its own: the tables stay in Spark, where they
+become log-likelihood ratios per entry. The most frequent entries (``MOST_WORDS``, ``MOST_BIGRAMS``) are also sent to the tasks that read the texts; an
+entry beyond them meets the texts that hold it by a join, with the same result. Only the logistic fit sees a bounded sample (``PER_CLASS`` documents
+of each class).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +30,16 @@ from shelfsight.llm.common import id_fold, label_sample, one_label, written
 
 #: Documents of each class that the logistic fit of the features sees.
 PER_CLASS = 4000
-#: Entries that reach the driver at most, stems per length. Words beyond the most frequent count as their stem, stems beyond as a shorter one or as
-#: one unknown token; bigrams beyond leave their mass to the back-off.
-MOST_WORDS = 60_000
-MOST_STEMS = 30_000
-MOST_BIGRAMS = 150_000
-LEAST_BIGRAM = 2
+#: Entries that are sent to the tasks at most, of all three models together (28 bytes a word, 12 a bigram); the others are joined.
+MOST_WORDS = 1_000_000
+MOST_BIGRAMS = 2_500_000
+#: Bits of the filter that spares the join bigrams without an entry (8 MB at any size; it passes every entry, and more others as it fills).
+FILTER_BITS = 26
 #: Training labels up to this number (about 40 MB in memory) are sent to the texts; more meet them by a shuffle of the texts, with the same result.
 SENT_LABELS = 1_000_000
 #: Distinct words and bigrams (repeats included) that a task holds before it hands their counts on.
 HELD_WORDS = 100_000
 HELD_BIGRAMS = 2_000_000
-#: A bigram is one number: tokens fit in so many bits each.
-BITS = 20
 DISCOUNT = 0.75
 #: Count that every entry gets in the distribution shared by both classes, so that a few occurrences in one class prove little.
 SHARED = 2.0
@@ -51,156 +51,140 @@ MARKED = 1.0
 PREDICTED = 0.3
 WORD = re.compile(r"\w+")
 FEATURES = 2 + len(STRETCHES) + 3 * len(STEMS)
+#: Values of a word: ratio, ratio of its back-off weight, ratios of its stems. Of a bigram only the first is used: what it adds to both words.
+VALUES = 2 + len(STEMS)
+HASH_SEED = 42
+#: The word before the first one of a text.
+START = 0
+#: Models of both halves of the training documents and of all of them; their entries' keys differ by these bits.
+VIEWS = (0x1B873593CC9E2D51, 0x2127599BF4325C37, 0)
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Vocabulary:
-    """Numbers of tokens: frequent words, then stems (marked by a sign that no word has), then the unknown one and the start of a text."""
-
-    def __init__(self, words: list[str], stems: set[str]):
-        tokens = sorted(words) + sorted(s + "*" for s in stems)
-        self.ids = {t: i for i, t in enumerate(tokens)}
-        self.unknown, self.start, self.size = len(tokens), len(tokens) + 1, len(tokens) + 1
-        self.places = []  # per stem length the stem's number of every token
-        for length in STEMS:
-            seen: dict[str, int] = {}
-            self.places.append(np.array([seen.setdefault(t.rstrip("*")[:length], len(seen)) for t in tokens] + [len(seen)], dtype=np.int64))
-
-    def number(self, word: str) -> int:
-        get = self.ids.get
-        return next((i for i in [get(word[:length] + "*") for length in reversed(STEMS)] if i is not None), self.unknown)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        get = self.ids.get
-        return np.array([i if (i := get(w)) is not None else self.number(w) for w in words], dtype=np.int64)
-
-
-class Model:
-    """Log-likelihood ratios of tokens and bigrams between the toxic (1) and the ordinary (0) class."""
-
-    def __init__(self, vocabulary: Vocabulary, words: pd.DataFrame, bigrams: pd.DataFrame):
-        """words: token, k0, k1 (distinct predecessors), c0, c1 (count as a predecessor); bigrams: v, w, n0, n1."""
-        self.vocabulary, n = vocabulary, vocabulary.size
-        k, context = np.zeros((n, 2)), np.zeros((n, 2))
-        k[words["token"]], context[words["token"]] = words[["k0", "k1"]], words[["c0", "c1"]]
-        self.stem_ratios = []
-        stem_p = before = None
-        for at in vocabulary.places:
-            counts = np.stack([np.bincount(at, weights=k[:, c]) for c in (0, 1)], axis=1)
-            if before is None:
-                lower = ((counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * len(counts)))[:, None]
-            else:
-                shorter = np.zeros(len(counts), dtype=np.int64)
-                shorter[at] = before
-                lower = stem_p[shorter] * self._share(counts, shorter)
-            stem_p, before = self._discounted(counts, lower), at
-            self.stem_ratios.append((np.log(stem_p[:, 1]) - np.log(stem_p[:, 0]))[at])
-        word_p = self._discounted(k, stem_p[before] * self._share(k, before))
-        self.word_ratio = np.log(word_p[:, 1]) - np.log(word_p[:, 0])
-        v, w, pair = bigrams["v"].to_numpy(dtype=np.int64), bigrams["w"].to_numpy(dtype=np.int64), bigrams[["n0", "n1"]].to_numpy(dtype=float)
-        context = np.maximum(context, 1.0)
-        kept = np.maximum(pair - DISCOUNT, 0)
-        used = np.stack([np.bincount(v, weights=kept[:, c], minlength=n) for c in (0, 1)], axis=1)
-        back = np.clip(1 - used / context, 0.02, 1.0)
-        self.back_ratio = np.log(back[:, 1]) - np.log(back[:, 0])
-        p = kept / context[v] + back[v] * word_p[w]
-        order = np.argsort(keys := v * n + w)
-        self.keys, self.ratio = keys[order], (np.log(p[:, 1]) - np.log(p[:, 0]))[order]
-
-    @staticmethod
-    def _discounted(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total = np.maximum(counts.sum(axis=0), 1.0)
-        new = np.minimum(1.0, DISCOUNT * np.maximum((counts > 0).sum(axis=0), 1.0) / total)
-        both = total.sum()
-        return (np.maximum(counts - DISCOUNT, 0) / total + new * lower + SHARED / both) / (1 + SHARED * len(counts) / both)
-
-    @staticmethod
-    def _share(counts: np.ndarray, lower_place: np.ndarray) -> np.ndarray:
-        """Each entry's part of its shorter stem, from the counts of both classes together."""
-        together = counts.sum(axis=1) + 1.0
-        return (together / np.bincount(lower_place, weights=together)[lower_place])[:, None]
-
-    def ratios(self, ids: np.ndarray) -> np.ndarray:
-        """Per word the log-likelihood ratio given the word before it."""
-        out = self.word_ratio[ids]
-        out[1:] += self.back_ratio[ids[:-1]]
-        if len(self.keys):
-            keys = ids[:-1] * self.vocabulary.size + ids[1:]
-            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[found] == keys
-            out[1:][hit] = self.ratio[found[hit]]
+class Hashes(dict):
+    """64-bit numbers of words, kept while there are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > HELD_WORDS:
+            self.clear()
+        n = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), HASH_SEED)
+        self[word] = n = n - (1 << 64) if n >> 63 else n
+        return n
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit numbers of ordered pairs of words, whose own numbers are spread evenly."""
+    x = v.view(np.uint64)
+    return ((x << np.uint64(23)) | (x >> np.uint64(41))).view(np.int64) ^ w
+
+
+def bigram_key(v: Column, w: Column) -> Column:
+    return F.shiftleft(v, 23).bitwiseOR(F.shiftrightunsigned(v, 41)).bitwiseXOR(w)
+
+
+class Entries:
+    """Values of entries by their keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, whether there is an entry); zeros without one."""
+        if not len(self.keys):
+            return np.zeros((len(keys), self.values.shape[1])), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit[:, None], self.values[at], 0.0), hit
+
+
+class Filter:
+    """Two bits per key; keys without both have no entry."""
+
+    def __init__(self, words: np.ndarray, masks: np.ndarray):
+        self.masks = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+        self.masks[words] = masks
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), dtype=bool)
+        for shift in (0, 30):
+            bit = (keys >> shift) & ((1 << FILTER_BITS) - 1)
+            out &= (self.masks[bit >> 6] >> (bit & 63)) & 1 == 1
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        """Ratio per word of the whole text and of its most toxic stretches, the same of stems, most toxic and marked words, and the length; zeros without words."""
-        words = words_of(text)
-        if not words:
-            return [0.0] * FEATURES
-        ids = self.vocabulary.numbers(words)
-        ratios = self.ratios(ids)
-        sums = np.concatenate(([0.0], np.cumsum(ratios)))
-        best = [float((sums[s:] - sums[:-s]).max()) / s if len(ratios) > s else float(sums[-1]) / s for s in STRETCHES]
-        by_stem = []
-        for of_token in self.stem_ratios:
-            single = of_token[ids]
-            top = np.partition(single, -TOP_WORDS)[-TOP_WORDS:] if len(single) > TOP_WORDS else single
-            by_stem += [float(single.mean()), float(top.sum()) / TOP_WORDS, float(np.maximum(single - MARKED, 0).mean())]
-        return [float(sums[-1]) / len(ratios), *best, *by_stem, float(np.log(len(ratios)))]
-
-
-def find_vocabulary(chosen: DataFrame) -> Vocabulary:
-    """The most frequent words and stems of all training documents; counts are summed within tasks first."""
+
+def features(words: np.ndarray, bigrams: np.ndarray) -> list[float]:
+    """From the values of every word and of every bigram in order: ratio per word of the whole text and of its most toxic stretches, the same of
+    stems, most toxic and marked words, and the length."""
+    ratios = words[:, 0].copy()
+    ratios[1:] += words[:-1, 1] + bigrams
+    sums = np.concatenate(([0.0], np.cumsum(ratios)))
+    best = [float((sums[s:] - sums[:-s]).max()) / s if len(ratios) > s else float(sums[-1]) / s for s in STRETCHES]
+    by_stem = []
+    for at in range(2, VALUES):
+        single = words[:, at]
+        top = np.partition(single, -TOP_WORDS)[-TOP_WORDS:] if len(single) > TOP_WORDS else single
+        by_stem += [float(single.mean()), float(top.sum()) / TOP_WORDS, float(np.maximum(single - MARKED, 0).mean())]
+    return [float(sums[-1]) / len(ratios), *best, *by_stem, float(np.log(len(ratios)))]
+
+
+def all_words(docs: DataFrame) -> DataFrame:
+    """(word, h, n): every distinct word of the texts, its number and count; counts are summed within tasks first."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
+
+        def table() -> pd.DataFrame:
+            return pd.DataFrame({"word": list(counts), "h": Hashes().of(list(counts)), "n": list(counts.values())})
+
         for batch in batches:
             for text in batch["text"]:
                 counts.update(words_of(text))
                 if len(counts) > HELD_WORDS:
-                    yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                    yield table()
                     counts.clear()
         if counts:
-            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+            yield table()
+
+    return docs.select("text").mapInPandas(scan, "word string, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
-    words = written(chosen.select("text").mapInPandas(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    frequent = most_frequent(words.where("n > 1"), F.col("n"), MOST_WORDS)["word"].tolist()
-    stems: set[str] = set()
-    for length in STEMS:
-        counted = words.groupBy(F.substring("word", 1, length).alias("stem")).agg(F.sum("n").alias("n"))
-        stems.update(most_frequent(counted, F.col("n"), MOST_STEMS)["stem"].tolist())
-    return Vocabulary(frequent, stems)
 
+def bigram_counts(chosen: DataFrame) -> DataFrame:
+    """(v, w, n00, n01, n10, n11, a0, a1): counts of every bigram by label and half, and whether sampled texts ask the model of a half for it."""
 
-def bigram_counts(chosen: DataFrame, vocabulary: Broadcast[Vocabulary]) -> DataFrame:
-    """(v, w, n00, n01, n10, n11): counts of every bigram by label and half, summed within tasks first."""
+    def summed(held: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
+        v, w = np.concatenate([ids[:-1] for ids, _ in held]), np.concatenate([ids[1:] for ids, _ in held])
+        group = np.repeat([g for _, g in held], [len(ids) - 1 for ids, _ in held])
+        table = pd.DataFrame({"v": v, "w": w, "g": group.astype(np.int32)})
+        return table.groupby(["v", "w", "g"], sort=False).size().reset_index(name="n")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, hashes = [], 0, Hashes()
         for batch in batches:
-            for text, label, half in zip(batch["text"], batch["label"], batch["half"]):
-                ids = np.append(vocabulary.value.start, vocabulary.value.numbers(words_of(text)))
-                held.append((int(label) * 2 + int(half)) << 2 * BITS | ids[:-1] << BITS | ids[1:])
+            for text, label, half, sampled in zip(batch["text"], batch["label"], batch["half"], batch["sampled"]):
+                ids = np.append(np.int64(START), hashes.of(words_of(text)))
+                held.append((ids, int(sampled) * 4 + int(label) * 2 + int(half)))
                 size += len(ids)
                 if size > HELD_BIGRAMS:
-                    key, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield summed(held)
                     held, size = [], 0
-                    yield pd.DataFrame({"key": key, "n": n})
         if held:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pd.DataFrame({"key": key, "n": n})
+            yield summed(held)
 
-    keyed = chosen.mapInPandas(scan, "key long, n int")
-    pair, group = F.col("key").bitwiseAND((1 << 2 * BITS) - 1), F.shiftright("key", 2 * BITS)
-    counted = keyed.groupBy(pair.alias("pair")).agg(*[
-        F.sum(F.when(group == c * 2 + h, F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)])
-    return counted.select(F.shiftright("pair", BITS).alias("v"), F.col("pair").bitwiseAND((1 << BITS) - 1).alias("w"), "n00", "n01", "n10", "n11")
+    group = F.col("g").bitwiseAND(3)
+    return chosen.mapInPandas(scan, "v long, w long, g int, n long").groupBy("v", "w").agg(
+        *[F.sum(F.when(group == c * 2 + h, F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)],
+        *[F.max((F.col("g") >= 4) & (group % 2 == 1 - h)).alias(f"a{h}") for h in (0, 1)])
 
 
-def most_frequent(df: DataFrame, count: Column, most: int) -> pd.DataFrame:
-    """The rows whose count lies in the highest levels that hold at most ``most`` rows together; a level spans a sixteenth of a doubling."""
+def most_frequent(df: DataFrame, count: Column, most: int) -> Column:
+    """Whether a row's count lies in the highest levels that hold at most ``most`` rows together; a level spans a sixteenth of a doubling."""
     level = F.floor(F.log2(count.cast("double")) * 16)
     lowest, rows = None, 0
     for at in df.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():  # about a thousand levels at most
@@ -208,29 +192,155 @@ def most_frequent(df: DataFrame, count: Column, most: int) -> pd.DataFrame:
         if rows > most:
             break
         lowest = at["level"]
-    return df.where(level >= lowest if lowest is not None else F.lit(False)).toArrow().to_pandas()
+    return level >= lowest if lowest is not None else F.lit(False)
 
 
 def half_of(doc_id: str):
     return F.pmod(F.xxhash64(F.lit("half"), F.col(doc_id).cast("long")), F.lit(2)).cast("int")
 
 
-def fit(docs: DataFrame, train: DataFrame) -> list[Model]:
-    """Models of both halves of the training documents and of all of them. The counts are aggregated by Spark, the bounded tables end on the driver."""
-    chosen = docs.join(F.broadcast(train) if train.count() <= SENT_LABELS else train, "doc_id").select("text", "label", half_of("doc_id").alias("half"))
-    vocabulary = find_vocabulary(chosen)
-    pairs = written(bigram_counts(chosen, docs.sparkSession.sparkContext.broadcast(vocabulary)), "bigrams")
-    views = {0: lambda c: F.col(f"n{c}0"), 1: lambda c: F.col(f"n{c}1"), 2: lambda c: F.col(f"n{c}0") + F.col(f"n{c}1")}
-    models = []
-    for view in views.values():
-        own = pairs.select("v", "w", view(0).alias("n0"), view(1).alias("n1")).where("n0 + n1 > 0")
-        seen = own.select(F.col("w").alias("token"), (F.col("n0") > 0).cast("long").alias("k0"), (F.col("n1") > 0).cast("long").alias("k1"), F.lit(0).alias("c0"), F.lit(0).alias("c1"))
-        before = own.select(F.col("v").alias("token"), F.lit(0).alias("k0"), F.lit(0).alias("k1"), F.col("n0").alias("c0"), F.col("n1").alias("c1"))
-        words = seen.unionByName(before).where(F.col("token") != vocabulary.start).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("k0", "k1", "c0", "c1")])
-        both = F.col("n0") + F.col("n1")
-        bigrams = most_frequent(own.where((both >= LEAST_BIGRAM) & (F.col("v") != vocabulary.start)), both, MOST_BIGRAMS)
-        models.append(Model(vocabulary, words.toArrow().to_pandas(), bigrams))  # words: a row per token of the bounded vocabulary
-    return models
+def by_view(values: dict[int, float]) -> Column:
+    return F.when(F.col("view") == 0, F.lit(values[0])).when(F.col("view") == 1, F.lit(values[1])).otherwise(F.lit(values[2]))
+
+
+class Level:
+    """Sizes of one level of the back-off, words or stems of a length, in each model."""
+
+    def __init__(self, table: DataFrame):
+        rows = {r["view"]: r for r in table.groupBy("view").agg(  # three rows
+            F.count("*").alias("types"), *[F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1)],
+            *[F.sum((F.col(f"k{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)]).collect()}
+        get = lambda name: {v: float(rows[v][name]) if v in rows else 0.0 for v in range(len(VIEWS))}
+        k, t = [get("k0"), get("k1")], [get("t0"), get("t1")]
+        self.types = {v: n + 1 for v, n in get("types").items()}  # one for all that have no count
+        self.total = [{v: max(n, 1.0) for v, n in k[c].items()} for c in (0, 1)]
+        self.both = {v: self.total[0][v] + self.total[1][v] for v in self.types}
+        self.new = [{v: min(1.0, DISCOUNT * max(t[c][v], 1.0) / self.total[c][v]) for v in self.types} for c in (0, 1)]
+
+    def discounted(self, c: int, count: Column, lower: Column) -> Column:
+        share = by_view({v: SHARED / n for v, n in self.both.items()})
+        return (F.greatest(count - DISCOUNT, F.lit(0.0)) / by_view(self.total[c]) + by_view(self.new[c]) * lower + share) / by_view(
+            {v: 1 + SHARED * n / self.both[v] for v, n in self.types.items()})
+
+    def lowest(self, count: Column) -> Column:
+        """What both classes share."""
+        return (count + 0.5) / by_view({v: n + 0.5 * self.types[v] for v, n in self.both.items()})
+
+
+def entries(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n, r0 ... r4) of every word in ``words`` and (key, n, r0) of every bigram in ``pairs``; for the models of the halves those that sampled texts ask for.
+
+    A word that a model has not counted has the ratio that its longest counted stem gives to such words.
+    """
+    halves = [F.struct(F.lit(h).alias("view"), F.col(f"n0{h}").alias("n0"), F.col(f"n1{h}").alias("n1"), F.col(f"a{h}").alias("asked")) for h in (0, 1)]
+    whole = F.struct(F.lit(2).alias("view"), (F.col("n00") + F.col("n01")).alias("n0"), (F.col("n10") + F.col("n11")).alias("n1"), F.lit(True).alias("asked"))
+    own = pairs.select("v", "w", F.explode(F.array(*halves, whole)).alias("p")).select("v", "w", "p.*").where("n0 + n1 > 0 or asked")
+    zero, names = F.lit(0.0), ("k0", "k1", "c0", "c1", "u0", "u1")
+    as_second = [(F.col(f"n{c}") > 0).cast("double") for c in (0, 1)] + [zero] * 4
+    as_first = [zero] * 2 + [F.col(f"n{c}").cast("double") for c in (0, 1)] + [F.greatest(F.col(f"n{c}") - DISCOUNT, zero) for c in (0, 1)]
+    sides = [own.select("view", F.col(h).alias("h"), "asked", *[x.alias(n) for n, x in zip(names, side)]) for h, side in (("w", as_second), ("v", as_first))]
+    stats = sides[0].unionByName(sides[1]).where(F.col("h") != START).groupBy("view", "h").agg(F.max("asked").alias("asked"), *[F.sum(n).alias(n) for n in names])
+    words = words.select("h", "n", F.substring("word", 1, 7).alias("s7"))
+    met = written(words.select("h", "s7").join(stats, "h").select("view", "h", "s7", "asked", *names), "counted-words")
+    counted = met.where("k0 + k1 > 0")
+    sums = lambda table, own_stem, members: table.groupBy("view", own_stem.alias(members)).agg(
+        F.sum("k0").alias("k0"), F.sum("k1").alias("k1"), (F.sum(F.col("k0") + F.col("k1") + 1) + 1).alias(f"m_{members}"))
+    sevens = written(sums(counted, F.col("s7"), "s7"), "stems-7")
+    fives = written(sums(sevens, F.substring("s7", 1, 5), "s5"), "stems-5")
+    threes = sums(fives, F.substring("s5", 1, 3), "s3")
+    level = {0: Level(counted), 7: Level(sevens), 5: Level(fives), 3: Level(threes)}
+
+    kept = {3: threes, 5: fives, 7: sevens}
+    kept = {n: t.withColumnsRenamed({"k0": f"k0_s{n}", "k1": f"k1_s{n}"}) for n, t in kept.items()}
+    every = words.withColumn("view", F.lit(2)).join(met.where("view = 2").select("h", *names), "h", "left").select("view", "h", "n", "s7", *names)
+    of_halves = met.where("view < 2 and asked").select("view", "h", (F.col("k0") + F.col("k1") + 1).cast("long").alias("n"), "s7", *names)
+    asked = every.unionByName(of_halves).withColumns({f"s{n}": F.substring("s7", 1, n) for n in STEMS if n < 7})
+    for n in reversed(STEMS):
+        asked = asked.join(kept[n], ["view", f"s{n}"], "left")
+    asked = asked.fillna(0.0, [*names, *[f"k{c}_s{n}" for c in (0, 1) for n in STEMS]]).fillna(1.0, [f"m_s{n}" for n in STEMS])
+    both = lambda n: F.col(f"k0_s{n}") + F.col(f"k1_s{n}")
+    for c in (0, 1):
+        asked = asked.withColumn(f"p3_{c}", level[3].discounted(c, F.col(f"k{c}_s3"), level[3].lowest(both(3))))
+    for n, shorter in ((5, 3), (7, 5)):
+        for c in (0, 1):
+            lower = F.col(f"p{shorter}_{c}") * (both(n) + 1) / F.col(f"m_s{shorter}")
+            asked = asked.withColumn(f"p{n}_{c}", level[n].discounted(c, F.col(f"k{c}_s{n}"), lower))
+    for c in (0, 1):
+        lower = F.col(f"p7_{c}") * (F.col("k0") + F.col("k1") + 1) / F.col("m_s7")
+        asked = asked.withColumn(f"p_{c}", level[0].discounted(c, F.col(f"k{c}"), lower))
+        total = F.greatest(F.col(f"c{c}"), F.lit(1.0))
+        asked = asked.withColumn(f"c{c}", total).withColumn(f"b_{c}", F.greatest(F.least(1 - F.col(f"u{c}") / total, F.lit(1.0)), F.lit(0.02)))
+    keyed = lambda key: key.bitwiseXOR(by_view(dict(enumerate(VIEWS))))
+    log = lambda name: F.log(F.col(f"{name}_1").cast("double")) - F.log(F.col(f"{name}_0").cast("double"))
+    small = [F.col(f"{name}_{c}").cast("float").alias(f"{name}_{c}") for name in ("p", "b") for c in (0, 1)]
+    full = written(asked.select("view", "h", "n", *small, "c0", "c1", *[log(f"p{n}").cast("float").alias(f"r{i + 2}") for i, n in enumerate(STEMS)]), "word-ratios")
+    second, first = full.select("view", F.col("h").alias("w"), "p_0", "p_1"), full.select("view", F.col("h").alias("v"), "b_0", "b_1", "c0", "c1")
+    own = own.where((F.col("v") != START) & F.col("asked") & (F.col("n0") + F.col("n1") > 0)).join(first, ["view", "v"]).select(
+        "view", "w", bigram_key(F.col("v"), F.col("w")).alias("key"), "n0", "n1", "b_0", "b_1", *[(F.greatest(F.col(f"n{c}") - DISCOUNT, zero) / F.col(f"c{c}")).cast("float").alias(f"q_{c}") for c in (0, 1)])
+    p = [F.col(f"q_{c}").cast("double") + F.col(f"b_{c}").cast("double") * F.col(f"p_{c}") for c in (0, 1)]
+    pairs = own.join(second, ["view", "w"]).select(
+        keyed(F.col("key")).alias("key"), (F.col("n0") + F.col("n1")).alias("n"), (F.log(p[1]) - F.log(p[0]) - log("b") - log("p")).cast("float").alias("r0"))
+    bigrams = written(pairs, "bigram-ratios")
+    return full.select(keyed(F.col("h")).alias("key"), "n", log("p").cast("float").alias("r0"), log("b").cast("float").alias("r1"), *[f"r{i}" for i in range(2, VALUES)]), bigrams
+
+
+def evidence(texts: DataFrame, words: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """The columns of ``texts`` but text and view, with features: zeros for a text without words.
+
+    ``texts`` has text and view. The most frequent entries are looked up where a text is read. A text that has others is kept with their keys, which
+    meet the entries by a join; what they found comes back to the text by its row.
+    """
+    context = texts.sparkSession.sparkContext
+    columns = [f"r{i}" for i in range(VALUES)]
+    others = texts.drop("text", "view").columns
+    sent_words, sent_bigrams = most_frequent(words, F.col("n"), MOST_WORDS), most_frequent(bigrams, F.col("n"), MOST_BIGRAMS)
+    sent = [words.where(sent_words).select("key", *columns).toArrow(), bigrams.where(sent_bigrams).select("key", "r0").toArrow()]
+    joined = words.where(~sent_words).select("key", *columns).unionByName(bigrams.where(~sent_bigrams).select("key", "r0"), allowMissingColumns=True)
+    bits = bigrams.where(~sent_bigrams).select(F.explode(F.array(*[
+        F.shiftright("key", shift).bitwiseAND((1 << FILTER_BITS) - 1) for shift in (0, 30)])).alias("bit"))
+    masks = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
+    frequent = [Entries(t["key"].to_numpy(), np.column_stack([t[c].to_numpy() for c in t.column_names[1:]])) for t in sent]
+    known = context.broadcast((*frequent, Filter(masks["word"].to_numpy(), masks["mask"].to_numpy())))
+
+    def parts(text: str, view: int, hashes: Hashes):
+        """Distinct keys of words and bigrams, and the place of each one's key."""
+        ids = hashes.of(words_of(text))
+        return np.unique(ids ^ VIEWS[view], return_inverse=True), np.unique(bigram_keys(ids[:-1], ids[1:]) ^ VIEWS[view], return_inverse=True)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (singles, pairs, possible), hashes = known.value, Hashes()
+        for batch in batches:
+            rows, missing = [], []
+            for text, view in zip(batch["text"], batch["view"]):
+                (single, at), (pair, pair_at) = parts(text, view, hashes)
+                (values, hit), (added, pair_hit) = singles.find(single), pairs.find(pair)
+                left = np.concatenate([single[~hit], pair[~pair_hit & possible.passes(pair)]])
+                missing.append(left)
+                rows.append(None if len(left) else features(values[at], added[pair_at, 0]) if len(at) else [0.0] * FEATURES)
+            yield batch.assign(features=rows, missing=missing, text=[
+                zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if len(m) else None for t, m in zip(batch["text"], missing)])
+
+    kept = texts.select("text", "view", *others)
+    schema = ", ".join(f"{n} {'binary' if n == 'text' else t}" for n, t in kept.dtypes)
+    numbered = kept.withColumn("row", F.monotonically_increasing_id())
+    partial = written(numbered.mapInPandas(read, f"{schema}, row long, features array<double>, missing array<long>"), "partial-evidence")
+    asked = partial.select("row", F.explode("missing").alias("key"))
+    found = asked.join(joined, "key").groupBy("row").agg(F.collect_list("key").alias("keys"), F.flatten(F.collect_list(F.array(*[F.coalesce(c, F.lit(0.0).cast("float")) for c in columns]))).alias("flat"))
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (singles, pairs, _), hashes = known.value, Hashes()
+        for batch in batches:
+            rows = []
+            for text, view, keys, flat in zip(batch["text"], batch["view"], batch["keys"], batch["flat"]):
+                joined_entries = Entries(np.asarray([] if keys is None else keys, dtype=np.int64), np.asarray([] if keys is None else flat, dtype=np.float32).reshape(-1, VALUES))
+                (single, at), (pair, pair_at) = parts(zlib.decompress(text).decode("utf-8", "surrogatepass"), view, hashes)
+                values, added = singles.find(single)[0] + joined_entries.find(single)[0], pairs.find(pair)[0] + joined_entries.find(pair)[0][:, :1]  # an entry is in one of them
+                rows.append(features(values[at], added[pair_at, 0]))
+            yield batch[others].assign(features=rows)
+
+    rest = partial.where("text is not null").drop("features", "missing").join(found, "row", "left").drop("row")
+    rest = rest.mapInPandas(finish, ", ".join(f"{n} {t}" for n, t in kept.dtypes if n in others) + ", features array<double>")
+    return partial.where("text is null").select(*others, "features").unionByName(rest)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,37 +364,30 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     Null text is empty text; texts without words get the score of no evidence. Repeated rows are scored each; rows with null doc_id or
     label train nothing. Labels of the held-out fold are never read. With no labelled document of a class every score is that class's share.
     """
-    session = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = written(one_label(labels, "toxic").where(id_fold(F.col("doc_id"), modulus) != held_out), "labels")
-    models = fit(docs, train)
     sample = written(label_sample(labels, "toxic", modulus, held_out, per_class), "label-sample")
-    halves = session.sparkContext.broadcast(models[:2])
-
-    def training(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [halves.value[1 - half].features(text) for text, half in zip(batch["text"], batch["half"])]
-            yield pd.DataFrame({"label": batch["label"], "weight": batch["weight"], "features": rows})
-
-    seen = docs.join(F.broadcast(sample), "doc_id").select("text", "label", "weight", half_of("doc_id").alias("half"))
-    table = seen.mapInPandas(training, "label int, weight double, features array<double>").toArrow().to_pandas()  # at most 2 x per_class rows
-    y, weight = table["label"].to_numpy(dtype=float), table["weight"].to_numpy(dtype=float)
-    x = np.array(table["features"].tolist(), dtype=float).reshape(len(table), FEATURES)
-    share = float((weight * y).sum() / weight.sum()) if len(table) else 0.0
-    fitted = logistic(x, y, weight) if 0 < share < 1 else None
-    model = session.sparkContext.broadcast((models[2], fitted))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        evidence, line = model.value
-        for batch in batches:
-            scores = np.full(len(batch), share)
-            if line and len(batch):
-                rows = np.array([evidence.features(t) for t in batch["text"]], dtype=float)
-                mean, scale, beta = line
-                scores = 1 / (1 + np.exp(-np.clip(((rows - mean) / scale) @ beta[:-1] + beta[-1], -500, 500)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores})
-
-    scored = docs.mapInPandas(scan, "doc_id long, score double")
+    seen = docs.join(F.broadcast(sample), "doc_id").select("text", (1 - half_of("doc_id")).alias("view"), "doc_id", "label", "weight")
+    weights = {r["label"]: r["weight"] for r in seen.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}  # two rows
+    share = weights.get(1, 0.0) / sum(weights.values()) if weights else 0.0
+    score = F.lit(float(share))
+    scored = docs
+    if 0 < share < 1:
+        train = written(one_label(labels, "toxic").where(id_fold(F.col("doc_id"), modulus) != held_out), "labels")
+        marked = train.join(F.broadcast(sample.select("doc_id", F.lit(True).alias("sampled"))), "doc_id", "left").fillna(False, "sampled")
+        chosen = docs.join(F.broadcast(marked) if train.count() <= SENT_LABELS else marked, "doc_id").select("text", "label", half_of("doc_id").alias("half"), "sampled")
+        pairs = written(bigram_counts(chosen), "bigrams")
+        words, bigrams = entries(written(all_words(docs), "words"), pairs)
+        every = docs.select("text", F.lit(2).alias("view"), "doc_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("weight"))
+        scored = written(evidence(every.unionByName(seen), words, bigrams), "evidence")
+        table = scored.where("label is not null").orderBy("doc_id", "features").toArrow().to_pandas()  # at most 2 x per_class documents
+        x = np.array(table["features"].tolist(), dtype=float).reshape(len(table), FEATURES)
+        mean, scale, beta = logistic(x, table["label"].to_numpy(dtype=float), table["weight"].to_numpy(dtype=float))
+        line = F.lit(float(beta[-1]))
+        for i in range(FEATURES):
+            line = line + (F.col("features")[i] - float(mean[i])) / float(scale[i]) * float(beta[i])
+        score = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(500.0)), F.lit(-500.0))))
+        scored = scored.where("label is null")
+    scored = scored.select("doc_id", score.alias("score"))
     return scored.select("doc_id", (id_fold(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score",
                          F.when(F.col("score") >= PREDICTED, 1).otherwise(0).alias("predicted"))
 

@@ -150,3 +150,22 @@ def test_pipeline(spark):
     empty = docs.where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).collect() == []
+
+
+def test_toxicity_keeps_every_entry(spark, monkeypatch):
+    """Rare words and bigrams give the same score however few entries are sent to the tasks."""
+    random.seed(6)
+    plain, rows, labels = [f"w{k}" for k in range(200)], [], []
+    for k in range(300):
+        words, bad = random.choices(plain, k=40), k % 6 == 0
+        if bad:
+            words[10:12] = [f"vile{k // 12}", f"w{k // 12}"]
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, int(bad)))
+    docs, marks = spark.createDataFrame(rows + [(900, "zyx unseen w1"), (901, None)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, marks).collect()}
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 5)
+    monkeypatch.setattr(toxicity, "MOST_BIGRAMS", 5)
+    few = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, marks).collect()}
+    assert few == pytest.approx(whole, abs=1e-9)
+    assert np.mean([whole[k] >= 0.3 for k in range(300) if k % 6 == 0]) >= 0.9
