@@ -27,6 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Number of a row of a stage's input.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents as a written table with a number for each row, so that rows alike in all columns can be told apart."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import written
+from shelfsight.llm.common import ROW, numbered, written
 from shelfsight.llm.components import components
 
 #: Fixed values of the code: generator polynomial of the [23, 12, 7] Golay code, length, parity bits, covering radius.
@@ -60,13 +60,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per document, from its whole text."""
+    """(doc_id, fp): one row per document, from its whole text; rows that have a number keep it."""
+    number = [ROW] if ROW in docs.columns else []
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t, words) for t in batch["text"]]})
+            yield batch[["doc_id", *number]].assign(fp=[fingerprint(t, words) for t in batch["text"]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(scan, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *number, "fp"])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *number).mapInPandas(scan, schema)
 
 
 def _syndromes(values: np.ndarray) -> np.ndarray:
@@ -163,8 +165,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose identifier names their component, all columns as they came; null identifiers are kept."""
-    found = near_duplicates(docs.select("doc_id", "text"), **how)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD, dense: int = DENSE) -> DataFrame:
+    """One row of each component, all columns as they came: that with the smallest doc_id (null ones last), of several rows the first."""
+    rows = numbered(docs)
+    prints = written(fingerprints(rows, words), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("best")
+    distinct = written(prints.groupBy("fp").agg(best), "distinct")
+    roots = components(links(distinct, threshold, dense)).withColumnRenamed("node", "fp")
+    kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select(f"best.{ROW}")
+    return rows.join(prints.select(ROW).join(kept, ROW, "left_anti"), ROW, "left_anti").select(*docs.columns)

@@ -198,3 +198,17 @@ def test_urls(spark):
         305: ("org", "/fr/", "org/fr/"), 306: ("myorg", "/fr/1", None), 307: ("example.com", "/de/http://b.net/", "example.com/de/")}
     assert urls.judge(table.where("page_id < 0"), marks).collect() == []
     assert {r["verdict"] for r in urls.judge(table.where("page_id < 300"), marks.where("doc_id < 0")).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda c: F.lit("same")])
+def test_stages_keep_one_row_of_each_group(spark, digest):
+    one, two, three = ("a b c d e f", "p q r s t u", "k l m n o z")
+    rows = [(1, one, "s"), (1, one, "s"), (1, one, "s"), (None, two, "s"), (None, two, "s"), (5, three, "s"), (5, one, "s"), (7, None, "s"), (7, None, "s"), (None, "", "s")]
+    want = [(1, one), (None, two), (5, three)]
+    key = lambda table: sorted(((r["doc_id"], r["text"]) for r in table.collect()), key=repr)
+    got = key(exact_dedup.drop_copies(docs(spark, rows), digest=digest))
+    assert len(got) == 4 and {content(t) for _, t in got} == {content(t) for _, t in want} | {""}
+    assert all(pair in got for pair in want if pair[1] != one) and (1, one) in got
+    assert key(simhash.keep_one_of_each(docs(spark, rows))) == sorted([*want, (7, None)], key=repr)
+    spaced = [(3, "x y", "s"), (3, "x   y", "s"), (3, "x   y", "s")]
+    assert key(exact_dedup.drop_copies(docs(spark, spaced), digest=digest)) == [(3, "x   y")]
