@@ -1,9 +1,9 @@
 """URL filter: explicit rules first, then a tree of path templates per host judged by its labelled pages.
 
 The tree is built level by level on the distinct path shapes, not on pages: runs of digits and long hexadecimal runs are
-wildcards from the start, a segment that is rare among many siblings becomes one (variable segments), and a branch whose
-share of bad pages does not differ from its siblings' by a two-proportion test joins the wildcard branch (similar branches).
-Only branches that behave differently keep their literal segment. A template is rejected when its labelled purity, smoothed
+wildcards from the start, and a branch whose share of bad pages does not differ from its siblings' by a two-proportion test,
+rare or not, joins the wildcard branch (variable segments and similar branches). Branches that behave differently keep their
+literal segment, whatever their share of the pages. A template is rejected when its labelled purity, smoothed
 towards its host and the host towards all pages, is below the limit.
 """
 
@@ -19,7 +19,6 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 VARIABLE_RUN = r"[0-9a-fA-F]{16,}|[0-9]+"
 DEPTH = 6
-MOST_CHILDREN = 32
 SIMILAR_Z = 2.58
 SMOOTHING = 10.0
 LEAST_PURITY = 0.5
@@ -58,7 +57,7 @@ def _significant(bad: Column, known: Column, all_bad: Column, all_known: Column,
     return F.coalesce(F.abs(F.try_divide(bad, known) - F.try_divide(rest_bad, rest)) > z * spread, F.lit(False))
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH, most_children: int = MOST_CHILDREN, similar_z: float = SIMILAR_Z) -> DataFrame:
+def templates(shapes: DataFrame, depth: int = DEPTH, similar_z: float = SIMILAR_Z) -> DataFrame:
     """(host, shape, template) of every distinct path shape.
 
     ``shapes`` has host, shape (array of segments), pages, known, bad. One level of the tree at a time: the parent is the template built so far.
@@ -70,10 +69,9 @@ def templates(shapes: DataFrame, depth: int = DEPTH, most_children: int = MOST_C
         sums = [F.sum(c).alias(c) for c in ("pages", "known", "bad")]
         children = tree.where("segment is not null").groupBy("host", "template", "segment").agg(*sums)
         parents = children.groupBy("host", "template").agg(
-            F.sum("pages").alias("p_pages"), F.sum("known").alias("p_known"), F.sum("bad").alias("p_bad"), F.count("*").alias("p_children"))
+            F.sum("known").alias("p_known"), F.sum("bad").alias("p_bad"), F.count("*").alias("p_children"))
         judged = children.join(parents, ["host", "template"])
-        variable = (F.col("p_children") > most_children) & (F.col("pages") * most_children < F.col("p_pages"))
-        literal = ~variable & _significant(F.col("bad"), F.col("known"), F.col("p_bad"), F.col("p_known"), similar_z)
+        literal = _significant(F.col("bad"), F.col("known"), F.col("p_bad"), F.col("p_known"), similar_z)
         named = judged.select("host", "template", "segment", F.when(literal | (F.col("p_children") == 1), F.col("segment")).otherwise("*").alias("as"))
         tree = tree.join(named, ["host", "template", "segment"], "left").withColumn(
             "template", F.when(F.col("as").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.col("as"))))

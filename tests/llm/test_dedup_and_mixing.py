@@ -212,3 +212,12 @@ def test_stages_keep_one_row_of_each_group(spark, digest):
     assert key(simhash.keep_one_of_each(docs(spark, rows))) == sorted([*want, (7, None)], key=repr)
     spaced = [(3, "x y", "s"), (3, "x   y", "s"), (3, "x   y", "s")]
     assert key(exact_dedup.drop_copies(docs(spark, spaced), digest=digest)) == [(3, "x   y")]
+
+
+def test_urls_of_a_host_with_many_sections(spark):
+    name = lambda n: chr(97 + n // 26) + chr(97 + n % 26)
+    pages = [(s * 100 + k, f"http://wide.example/sec{name(s)}/{k}") for s in range(100) for k in range(40)]
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(i // 100 != 7), 0) for i, _ in pages], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, marks).collect()}
+    assert got == {i: "block" if i // 100 == 7 else "allow" for i, _ in pages}
