@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import bpe, exact_dedup, mixing, preference, quality, simhash, token_counts, toxicity, urls, vectors
+from shelfsight.llm import bpe, exact_dedup, mixing, preference, quality, simhash, token_counts, toxicity, urls, vectors, whitening
 from shelfsight.llm.common import read_table
 from shelfsight.session import ensure_utc
 
@@ -159,3 +159,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
