@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import bpe, exact_dedup, mixing, preference, quality, simhash, token_counts, toxicity, urls, vectors, whitening
+from shelfsight.llm import bpe, exact_dedup, mixing, preference, quality, secrets, simhash, token_counts, toxicity, urls, vectors, whitening
 from shelfsight.llm.common import read_table
 from shelfsight.session import ensure_utc
 
@@ -164,3 +164,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_embedding_whitening")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def secret_sql() -> str:
+    """Matches and what lies between them give the offsets; a rule's matches come from its expression, longer ones only."""
+    kinds = []
+    for k, rule in enumerate(secrets.BASE_RULES + secrets.MORE_RULES):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(f"""
+  SELECT r, {k} AS k, '{rule.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {rule.group}) AS m,
+         string_split_regex(t, '{pattern}') AS g, {rule.least} AS least FROM d WHERE regexp_matches(t, '{pattern}')""")
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), found AS ({" UNION ALL ".join(kinds)}
+), one AS (
+  SELECT r, k, kind, m[i] AS measured, least, length(f[i]) AS width,
+         list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM found)
+), kept AS (
+  SELECT r, k, start, kind || ':' || start::BIGINT || ':' || (start + width)::BIGINT AS span FROM one WHERE length(measured) >= least
+), by_row AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_row USING (r)
+"""
+
+
+@query("op13_secret_scan", secret_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find(read_table(spark, sf_dir, "documents")))
