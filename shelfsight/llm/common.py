@@ -66,3 +66,15 @@ def label_sample(labels: DataFrame, label: str, modulus: int, held_out: int, per
         for value in (0, 1)
     ]
     return parts[0].unionByName(parts[1])
+
+
+def most_frequent(df: DataFrame, count: Column, most: int) -> Column:
+    """Whether a row's count lies in the highest levels that hold at most ``most`` rows together; a level spans a sixteenth of a doubling."""
+    level = F.floor(F.log2(count.cast("double")) * 16)
+    lowest, rows = None, 0
+    for at in df.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():  # about a thousand levels at most
+        rows += at["rows"]
+        if rows > most:
+            break
+        lowest = at["level"]
+    return level >= lowest if lowest is not None else F.lit(False)

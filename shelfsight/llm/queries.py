@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import bpe, exact_dedup, mixing, preference, quality, secrets, simhash, token_counts, toxicity, urls, vectors, whitening
+from shelfsight.llm import alignment, bpe, exact_dedup, mixing, preference, quality, secrets, simhash, token_counts, toxicity, urls, vectors, whitening
 from shelfsight.llm.common import read_table
 from shelfsight.session import ensure_utc
 
@@ -166,6 +166,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def secret_sql() -> str:
     """Matches and what lies between them give the offsets; a rule's matches come from its expression, longer ones only."""
     kinds = []

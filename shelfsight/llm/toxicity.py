@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import id_fold, label_sample, one_label, written
+from shelfsight.llm.common import id_fold, label_sample, most_frequent, one_label, written
 
 #: Documents of each class that the logistic fit of the features sees.
 PER_CLASS = 4000
@@ -183,18 +183,6 @@ def bigram_counts(chosen: DataFrame) -> DataFrame:
         *[F.max((F.col("g") >= 4) & (group % 2 == 1 - h)).alias(f"a{h}") for h in (0, 1)])
 
 
-def most_frequent(df: DataFrame, count: Column, most: int) -> Column:
-    """Whether a row's count lies in the highest levels that hold at most ``most`` rows together; a level spans a sixteenth of a doubling."""
-    level = F.floor(F.log2(count.cast("double")) * 16)
-    lowest, rows = None, 0
-    for at in df.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():  # about a thousand levels at most
-        rows += at["rows"]
-        if rows > most:
-            break
-        lowest = at["level"]
-    return level >= lowest if lowest is not None else F.lit(False)
-
-
 def half_of(doc_id: str):
     return F.pmod(F.xxhash64(F.lit("half"), F.col(doc_id).cast("long")), F.lit(2)).cast("int")
 

@@ -12,7 +12,7 @@ from shelfsight.llm import secrets
 from shelfsight.llm.queries import ORACLES, QUERIES
 from shelfsight.llm.secrets import ANYTHING, BASE_RULES, MORE_RULES, All, Any, Rule, trigram_query
 
-SMALL = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
 #: The base expressions as they are stated, with what they measure.
 STATED = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 8),
           ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
@@ -47,9 +47,9 @@ def test_base_and_added_spans(spark):
 
 
 def test_statement(spark):
-    rows = QUERIES["op13_secret_scan"](spark, SMALL).collect()
+    rows = QUERIES["op13_secret_scan"](spark, MIDDLE).collect()
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{MIDDLE}/documents.parquet'")
     want = duck.execute(ORACLES["op13_secret_scan"]).fetchall()
     assert sorted(tuple(r) for r in rows) == sorted(want) and sum(r["n_assign"] for r in rows) > 0
 
