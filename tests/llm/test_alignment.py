@@ -89,3 +89,14 @@ def test_long_texts_are_tokenised_in_parts(monkeypatch):
     whole = sides.encode([text, "a b", text])
     monkeypatch.setattr(alignment, "SLICE_CHARS", 30)
     assert len(alignment.parted(text)) > 20 and sides.encode([text, "a b", text]) == whole
+
+
+def test_ranks_equal_the_library():
+    """Every character that goes by ranks, in several surroundings."""
+    sides = alignment.load(*(open(f, "rb").read() for f in FILES))
+    assert sides.a_ranks is not None
+    for c in [*range(0x250), *range(0x2000, 0x2070)]:
+        c = chr(c)
+        for text in (f" a{c}b", f" {c}", f" 1{c}2 {c}{c} x{c} {c}y  {c}", f" '{c}.{c}\n{c} <|endoftext|>"):
+            assert not alignment.UNSTABLE.search(text)
+            assert sides.a_ids(text) == sides.a.encode(text, add_special_tokens=False).ids
