@@ -1,28 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has an interpolated bigram model over words. Discounted bigram counts back off to the number of distinct words that a word follows in
-its class, these to the class's stems (first letters) of seven, five and three letters, and the shortest stems to counts that both classes share, so
-that expressions rare or unseen in both give the same probability and decide nothing, while rare forms of one stem count together. A document's
-evidence is the difference of its toxic and ordinary log-likelihoods per word, of the whole model over the whole text and its most toxic stretches and
-of every stem length over the whole text and its most toxic words. A logistic fit turns it into a probability. The fit sees every training document
-through a model of the other half of the training documents.
-
-The counts come from every labelled training document, and every word, stem and bigram of them keeps its own: the tables stay in Spark, where they
-become log-likelihood ratios per entry. The most frequent entries (``MOST_WORDS``, ``MOST_BIGRAMS``) are also sent to the tasks that read the texts; an
-entry beyond them meets the texts that hold it by a join, with the same result. Only the logistic fit sees a bounded sample (``PER_CLASS`` documents
-of each class).
+Each class has an interpolated Kneser-Ney model over the characters of words: the probability of a character after up to four others. Discounted counts
+of the longest context back off to numbers of distinct characters met before the shorter ones, down to single characters, whose counts both classes
+share. Contexts are also drawn towards the next shorter one by a fixed number of pseudo-counts (``SHARED``), so that rare expressions come out of
+common parts and prove little. A word's evidence is the difference of its toxic and ordinary log-likelihoods, a text's the sum over its words divided
+by their number, over the whole text and over its most toxic words. A logistic fit turns these into a probability; it sees every training document
+through the model of the other half of the training documents.
+
+The counts come from every labelled training document and none is left out. They become two numbers per character sequence, in Spark tables: the
+difference of the longest counted sequence and that of a context's back-off weight. The most frequent sequences (``MOST_GRAMS``) are sent to the texts; words
+that need others meet them by a join, with the same result. Texts are read once for the counts and once for the scores. Only the logistic fit
+sees a bounded sample (``PER_CLASS`` documents of each class).
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,305 +29,295 @@ from shelfsight.llm.common import id_fold, label_sample, most_frequent, one_labe
 
 #: Documents of each class that the logistic fit of the features sees.
 PER_CLASS = 4000
-#: Entries that are sent to the tasks at most, of all three models together (28 bytes a word, 12 a bigram); the others are joined.
-MOST_WORDS = 1_000_000
-MOST_BIGRAMS = 2_500_000
-#: Bits of the filter that spares the join bigrams without an entry (8 MB at any size; it passes every entry, and more others as it fills).
+#: Longest sequence: a character and its context.
+ORDER = 5
+DISCOUNT = 0.75
+#: Pseudo-counts by which every context is drawn towards the next shorter one.
+SHARED = 30.0
+#: Sequences that are sent to the tasks at most (32 bytes each); the others are joined.
+MOST_GRAMS = 1_200_000
+#: Bits of the filter that spares the join words without a joined sequence (8 MB at any size; it passes every sequence, and more others as it fills).
 FILTER_BITS = 26
 #: Training labels up to this number (about 40 MB in memory) are sent to the texts; more meet them by a shuffle of the texts, with the same result.
 SENT_LABELS = 1_000_000
-#: Distinct words and bigrams (repeats included) that a task holds before it hands their counts on.
-HELD_WORDS = 100_000
-HELD_BIGRAMS = 2_000_000
-DISCOUNT = 0.75
-#: Count that every entry gets in the distribution shared by both classes, so that a few occurrences in one class prove little.
-SHARED = 2.0
-STEMS = (3, 5, 7)
-STRETCHES = (1, 4, 16)
+#: Distinct words that a task holds before it hands their counts on, and whose evidence it remembers.
+HELD_WORDS = 300_000
 TOP_WORDS = 3
-#: Ratios beyond this one mark a word as toxic; their excess is averaged over the text.
+#: Differences beyond this one mark a word as toxic; their excess is averaged over the text.
 MARKED = 1.0
 PREDICTED = 0.3
-WORD = re.compile(r"\w+")
-FEATURES = 2 + len(STRETCHES) + 3 * len(STEMS)
-#: Values of a word: ratio, ratio of its back-off weight, ratios of its stems. Of a bigram only the first is used: what it adds to both words.
-VALUES = 2 + len(STEMS)
-HASH_SEED = 42
-#: The word before the first one of a text.
-START = 0
-#: Models of both halves of the training documents and of all of them; their entries' keys differ by these bits.
-VIEWS = (0x1B873593CC9E2D51, 0x2127599BF4325C37, 0)
+#: Longer runs are cut, so that a word is bounded.
+WORD = re.compile(r"\w{1,64}")
+BEGIN, END = "\x02", "\x03"
+#: Models of the other half of the training documents, for documents of half 0 and 1, and of all.
+VIEWS = 3
+FEATURES = 5
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Hashes(dict):
-    """64-bit numbers of words, kept while there are not too many."""
+# --- counting ----------------------------------------------------------------------------------------------------------------------------------
+
+
+def word_counts(chosen: DataFrame) -> DataFrame:
+    """(word, n00, n01, n10, n11): counts of every training word by label and half, summed within tasks first."""
+
+    def table(counts: dict[int, Counter]) -> pd.DataFrame:
+        words = list(set().union(*counts.values()))
+        return pd.DataFrame({"word": words, **{f"n{g >> 1}{g & 1}": list(map(counts[g].__getitem__, words)) for g in range(4)}})
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = {g: Counter() for g in range(4)}
+        for batch in batches:
+            for text, label, half in zip(batch["text"], batch["label"], batch["half"]):
+                counts[int(label) * 2 + int(half)].update(words_of(text))
+                if sum(map(len, counts.values())) > HELD_WORDS:
+                    yield table(counts)
+                    counts = {g: Counter() for g in range(4)}
+        if any(counts.values()):
+            yield table(counts)
+
+    names = [f"n{g >> 1}{g & 1}" for g in range(4)]
+    found = chosen.select("text", "label", "half").mapInPandas(scan, "word string, " + ", ".join(f"{n} long" for n in names))
+    return found.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > HELD_WORDS:
-            self.clear()
-        n = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), HASH_SEED)
-        self[word] = n = n - (1 << 64) if n >> 63 else n
-        return n
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+def per_view(name: str) -> list[str]:
+    return [f"{name}{c}_{v}" for c in (0, 1) for v in range(VIEWS)]
 
 
-def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit numbers of ordered pairs of words, whose own numbers are spread evenly."""
-    x = v.view(np.uint64)
-    return ((x << np.uint64(23)) | (x >> np.uint64(41))).view(np.int64) ^ w
+def top_grams(words: DataFrame) -> DataFrame:
+    """(gram, n, k0_0 ... k1_2): every character of every word with its longest context, counted for each class and view."""
+    marked = F.concat(F.lit(BEGIN), F.col("word"), F.lit(END))
+    ends = F.sequence(F.lit(2), F.length(marked))
+    grams = F.transform(ends, lambda i: marked.substr(F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
+    seen = {f"k{c}_{v}": F.col(f"n{c}1") if v == 0 else F.col(f"n{c}0") if v == 1 else F.col(f"n{c}0") + F.col(f"n{c}1") for c in (0, 1) for v in range(VIEWS)}
+    spread = words.select(F.explode(grams).alias("gram"), *[x.cast("double").alias(name) for name, x in seen.items()])
+    return spread.groupBy("gram").agg(F.sum(F.col("k0_2") + F.col("k1_2")).alias("n"), *[F.sum(name).alias(name) for name in per_view("k")])
 
 
-def bigram_key(v: Column, w: Column) -> Column:
-    return F.shiftleft(v, 23).bitwiseOR(F.shiftrightunsigned(v, 41)).bitwiseXOR(w)
+def levels(top: DataFrame) -> dict[int, DataFrame]:
+    """The counts of every length: occurrences of the longest and of those that begin a word, else distinct characters met before."""
+    out = {ORDER: top.where(F.length("gram") == ORDER)}
+    for length in range(ORDER - 1, 0, -1):
+        shorter = out[length + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(
+            F.sum("n").alias("n"), *[F.sum((F.col(name) > 0).cast("double")).alias(name) for name in per_view("k")])
+        out[length] = written(shorter.unionByName(top.where(F.length("gram") == length)), f"grams-{length}")
+    return out
+
+
+def kneser_ney(top: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(gram, n, r0, r1, r2, b0, b1, b2) of every counted sequence and context, and b of the empty context.
+
+    r is the log ratio of the classes' probabilities of the last character after the others (null for what is only a context), b that of the
+    back-off weights of the sequence as a context.
+    """
+    counts = levels(top)
+    parts, low = [], None
+    context_stats = [a for name in per_view("") for a in (F.sum(f"k{name}").alias(f"t{name}"), F.sum((F.col(f"k{name}") > 0).cast("double")).alias(f"u{name}"))]
+
+    def weight(name: str) -> Column:
+        """What a context leaves to the shorter one."""
+        return (DISCOUNT * F.col(f"u{name}") + SHARED) / (F.col(f"t{name}") + SHARED)
+
+    def log_ratio(v: int, value) -> Column:
+        return F.log(value(f"1_{v}")) - F.log(value(f"0_{v}"))
+
+    root = counts[1].agg(*context_stats, F.count("*").alias("types")).first()
+    for length in range(1, ORDER + 1):
+        table = counts[length].withColumn("context", F.col("gram").substr(F.lit(1), F.lit(length - 1)))
+        if length == 1:
+            both = [float(root[f"t0_{v}"] or 0) + float(root[f"t1_{v}"] or 0) for v in range(VIEWS)]
+            table = table.withColumns({name: F.lit(float(root[name] or 0)) for name in (*per_view("t"), *per_view("u"))})
+            shared = {v: (F.col(f"k0_{v}") + F.col(f"k1_{v}") + 0.5) / (both[v] + 0.5 * (root["types"] + 1)) for v in range(VIEWS)}
+            table = table.withColumns({f"low{c}_{v}": shared[v] for c in (0, 1) for v in range(VIEWS)})
+        else:
+            contexts = table.groupBy("context").agg(*context_stats)
+            parts.append(contexts.select(F.col("context").alias("gram"), F.lit(0.0).alias("n"), *[F.lit(None).cast("float").alias(f"r{v}") for v in range(VIEWS)],
+                                         *[log_ratio(v, weight).cast("float").alias(f"b{v}") for v in range(VIEWS)]))
+            suffix = low.select(F.col("gram").alias("suffix"), *[F.col(f"p{name}").alias(f"low{name}") for name in per_view("")])
+            table = table.join(contexts, "context").withColumn("suffix", F.expr("substring(gram, 2)")).join(suffix, "suffix")
+        p = {f"p{name}": F.greatest(F.col(f"k{name}") - DISCOUNT, F.lit(0.0)) / (F.col(f"t{name}") + SHARED) + weight(name) * F.col(f"low{name}") for name in per_view("")}
+        low = written(table.select("gram", "n", *[x.alias(name) for name, x in p.items()]), f"probabilities-{length}")
+        parts.append(low.select("gram", "n", *[log_ratio(v, lambda name: F.col(f"p{name}")).cast("float").alias(f"r{v}") for v in range(VIEWS)],
+                                *[F.lit(0.0).cast("float").alias(f"b{v}") for v in range(VIEWS)]))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    # a sequence comes as itself and as a context: its own row has b = 0, the context's row no r
+    entries = union.groupBy("gram").agg(F.max("n").alias("n"), *[F.max(f"r{v}").alias(f"r{v}") for v in range(VIEWS)], *[F.sum(f"b{v}").cast("float").alias(f"b{v}") for v in range(VIEWS)])
+    value = lambda name: (DISCOUNT * float(root[f"u{name}"] or 0) + SHARED) / (float(root[f"t{name}"] or 0) + SHARED)
+    return written(entries, "kneser-ney"), [float(np.log(value(f"1_{v}")) - np.log(value(f"0_{v}"))) for v in range(VIEWS)]
+
+
+# --- scoring -----------------------------------------------------------------------------------------------------------------------------------
+
+
+def extended(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """64-bit numbers of sequences with one more character before them."""
+    mixed = (keys ^ (codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def gram_keys(grams: list[str]) -> np.ndarray:
+    """Numbers of sequences of any lengths."""
+    out, lengths = np.zeros(len(grams), dtype=np.uint64), np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        codes = code_points("".join(map(grams.__getitem__, at.tolist()))).reshape(len(at), length)
+        keys = np.zeros(len(at), dtype=np.uint64)
+        for k in range(length - 1, -1, -1):
+            keys = extended(keys, codes[:, k])
+        out[at] = keys
+    return out
 
 
 class Entries:
-    """Values of entries by their keys."""
+    """r and b of sequences by their numbers."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, whether there is an entry); zeros without one."""
+        """(places, whether there is an entry)."""
         if not len(self.keys):
-            return np.zeros((len(keys), self.values.shape[1])), np.zeros(len(keys), dtype=bool)
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.where(hit[:, None], self.values[at], 0.0), hit
+        return at, self.keys[at] == keys
 
 
 class Filter:
-    """Two bits per key; keys without both have no entry."""
+    """Two bits per sequence; one without both has no entry."""
 
     def __init__(self, words: np.ndarray, masks: np.ndarray):
         self.masks = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
         self.masks[words] = masks
 
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), dtype=bool)
-        for shift in (0, 30):
-            bit = (keys >> shift) & ((1 << FILTER_BITS) - 1)
-            out &= (self.masks[bit >> 6] >> (bit & 63)) & 1 == 1
-        return out
-
-
-def features(words: np.ndarray, bigrams: np.ndarray) -> list[float]:
-    """From the values of every word and of every bigram in order: ratio per word of the whole text and of its most toxic stretches, the same of
-    stems, most toxic and marked words, and the length."""
-    ratios = words[:, 0].copy()
-    ratios[1:] += words[:-1, 1] + bigrams
-    sums = np.concatenate(([0.0], np.cumsum(ratios)))
-    best = [float((sums[s:] - sums[:-s]).max()) / s if len(ratios) > s else float(sums[-1]) / s for s in STRETCHES]
-    by_stem = []
-    for at in range(2, VALUES):
-        single = words[:, at]
-        top = np.partition(single, -TOP_WORDS)[-TOP_WORDS:] if len(single) > TOP_WORDS else single
-        by_stem += [float(single.mean()), float(top.sum()) / TOP_WORDS, float(np.maximum(single - MARKED, 0).mean())]
-    return [float(sums[-1]) / len(ratios), *best, *by_stem, float(np.log(len(ratios)))]
-
-
-def all_words(docs: DataFrame) -> DataFrame:
-    """(word, h, n): every distinct word of the texts, its number and count; counts are summed within tasks first."""
+    @staticmethod
+    def bits(keys: np.ndarray) -> np.ndarray:
+        return np.stack([(keys >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1) for shift in (0, 30)]).astype(np.int64)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-
-        def table() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(counts), "h": Hashes().of(list(counts)), "n": list(counts.values())})
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        first, second = ((self.masks[bit >> 6] >> (bit & 63)) & 1 == 1 for bit in self.bits(keys))
+        return first & second
+
+
+def evidence(words: list[str], view: int, entries: Entries, root: list[float], possible: Filter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood difference of every word, whether it may need sequences that ``entries`` lacks)."""
+    text = "".join(f"{BEGIN}{w}{END}" for w in words)
+    codes = code_points(text)
+    starts = np.flatnonzero(codes == ord(BEGIN))
+    depth = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))  # characters before, in the word
+    total, pending = np.full(len(codes), root[view]), np.zeros(len(codes), dtype=bool)
+    keys, before = np.zeros(len(codes), dtype=np.uint64), None
+    for length in range(1, ORDER + 1):
+        # sequences of this length that end at each place; a place nearer to the word's begin keeps what it has
+        fits = depth >= length - 1
+        at = np.flatnonzero(fits)
+        keys = np.where(fits, extended(keys, codes[np.maximum(np.arange(len(codes)) - (length - 1), 0)]), keys)
+        place, hit = entries.find(keys[at])
+        r, b = np.full(len(codes), np.nan), np.zeros(len(codes))
+        if len(entries.keys):
+            r[at] = np.where(hit, entries.values[place, view], np.nan)
+            b[at] = np.where(hit, entries.values[place, VIEWS + view], 0.0)
+        if possible is not None:
+            pending[at] |= ~hit & possible.passes(keys[at])
+        back_off = np.roll(before, 1) if before is not None else np.zeros(len(codes))  # of the context, one place before
+        longer = total + back_off if length > 1 else total
+        total = np.where(fits, np.where(np.isnan(r), longer, r), total)
+        before = b
+    total[starts] = 0.0  # the begin itself is not predicted
+    return np.add.reduceat(total, starts), np.logical_or.reduceat(pending, starts)
+
+
+def features(ratios: np.ndarray, counts: np.ndarray) -> tuple[float, float, list[float], int]:
+    """(sum, excess, highest, number) of the words of a text; parts of a text add up."""
+    top = ratios if len(ratios) <= TOP_WORDS else np.partition(ratios, -TOP_WORDS)[-TOP_WORDS:]
+    highest = np.sort(np.repeat(ratios[ratios >= top.min()], np.minimum(counts[ratios >= top.min()], TOP_WORDS)))[::-1][:TOP_WORDS] if len(ratios) else ratios
+    return float(ratios @ counts), float(np.maximum(ratios - MARKED, 0) @ counts), highest.tolist(), int(counts.sum())
+
+
+def word_evidence(wanted: DataFrame, entries: DataFrame, root: list[float]) -> DataFrame:
+    """(view, word, r) of words that need sequences beyond the ones that are sent; each distinct word meets its sequences once."""
+    marked = F.concat(F.lit(BEGIN), F.col("word"), F.lit(END))
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.length(marked)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(i, F.lit(ORDER))), lambda length: marked.substr(i - length + 1, length))))
+    names = [f"r{v}" for v in range(VIEWS)] + [f"b{v}" for v in range(VIEWS)]
+    needed = wanted.select("view", "word").distinct().withColumn("gram", F.explode(F.array_distinct(windows)))
+    met = needed.join(entries.select("gram", *names), "gram").groupBy("view", "word").agg(F.collect_list(F.struct("gram", *names)).alias("found"))  # at most ORDER x 66
 
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                counts.update(words_of(text))
-                if len(counts) > HELD_WORDS:
-                    yield table()
-                    counts.clear()
-        if counts:
-            yield table()
+            out = []
+            for view, word, found in zip(batch["view"], batch["word"], batch["found"]):
+                values = np.array([[np.nan if f[n] is None else f[n] for n in names] for f in found], dtype=float)
+                out.append(float(evidence([word], int(view), Entries(gram_keys([f["gram"] for f in found]), values), root)[0][0]))
+            yield pd.DataFrame({"view": batch["view"], "word": batch["word"], "r": out})
 
-    return docs.select("text").mapInPandas(scan, "word string, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    return met.mapInPandas(finish, "view int, word string, r double")
 
 
-def bigram_counts(chosen: DataFrame) -> DataFrame:
-    """(v, w, n00, n01, n10, n11, a0, a1): counts of every bigram by label and half, and whether sampled texts ask the model of a half for it."""
-
-    def summed(held: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
-        v, w = np.concatenate([ids[:-1] for ids, _ in held]), np.concatenate([ids[1:] for ids, _ in held])
-        group = np.repeat([g for _, g in held], [len(ids) - 1 for ids, _ in held])
-        table = pd.DataFrame({"v": v, "w": w, "g": group.astype(np.int32)})
-        return table.groupby(["v", "w", "g"], sort=False).size().reset_index(name="n")
+def text_features(texts: DataFrame, entries: DataFrame, root: list[float]) -> DataFrame:
+    """The columns of ``texts`` but text and view, with features: zeros for a text without words. ``texts`` has text and view."""
+    context = texts.sparkSession.sparkContext
+    names = [f"r{v}" for v in range(VIEWS)] + [f"b{v}" for v in range(VIEWS)]
+    sent = most_frequent(entries, F.col("n") + 1, MOST_GRAMS)
+    table = entries.where(sent).select("gram", *names).toArrow()
+    frequent = Entries(gram_keys(table["gram"].to_pylist()), np.column_stack([table[n].to_numpy().astype(np.float32) for n in names]))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, hashes = [], 0, Hashes()
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label, half, sampled in zip(batch["text"], batch["label"], batch["half"], batch["sampled"]):
-                ids = np.append(np.int64(START), hashes.of(words_of(text)))
-                held.append((ids, int(sampled) * 4 + int(label) * 2 + int(half)))
-                size += len(ids)
-                if size > HELD_BIGRAMS:
-                    yield summed(held)
-                    held, size = [], 0
-        if held:
-            yield summed(held)
-
-    group = F.col("g").bitwiseAND(3)
-    return chosen.mapInPandas(scan, "v long, w long, g int, n long").groupBy("v", "w").agg(
-        *[F.sum(F.when(group == c * 2 + h, F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)],
-        *[F.max((F.col("g") >= 4) & (group % 2 == 1 - h)).alias(f"a{h}") for h in (0, 1)])
-
-
-def half_of(doc_id: str):
-    return F.pmod(F.xxhash64(F.lit("half"), F.col(doc_id).cast("long")), F.lit(2)).cast("int")
-
-
-def by_view(values: dict[int, float]) -> Column:
-    return F.when(F.col("view") == 0, F.lit(values[0])).when(F.col("view") == 1, F.lit(values[1])).otherwise(F.lit(values[2]))
-
-
-class Level:
-    """Sizes of one level of the back-off, words or stems of a length, in each model."""
-
-    def __init__(self, table: DataFrame):
-        rows = {r["view"]: r for r in table.groupBy("view").agg(  # three rows
-            F.count("*").alias("types"), *[F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1)],
-            *[F.sum((F.col(f"k{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)]).collect()}
-        get = lambda name: {v: float(rows[v][name]) if v in rows else 0.0 for v in range(len(VIEWS))}
-        k, t = [get("k0"), get("k1")], [get("t0"), get("t1")]
-        self.types = {v: n + 1 for v, n in get("types").items()}  # one for all that have no count
-        self.total = [{v: max(n, 1.0) for v, n in k[c].items()} for c in (0, 1)]
-        self.both = {v: self.total[0][v] + self.total[1][v] for v in self.types}
-        self.new = [{v: min(1.0, DISCOUNT * max(t[c][v], 1.0) / self.total[c][v]) for v in self.types} for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(Filter.bits(gram_keys(batch.column("gram").to_pylist())).ravel())], names=["bit"])
 
-    def discounted(self, c: int, count: Column, lower: Column) -> Column:
-        share = by_view({v: SHARED / n for v, n in self.both.items()})
-        return (F.greatest(count - DISCOUNT, F.lit(0.0)) / by_view(self.total[c]) + by_view(self.new[c]) * lower + share) / by_view(
-            {v: 1 + SHARED * n / self.both[v] for v, n in self.types.items()})
-
-    def lowest(self, count: Column) -> Column:
-        """What both classes share."""
-        return (count + 0.5) / by_view({v: n + 0.5 * self.types[v] for v, n in self.both.items()})
-
-
-def entries(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, n, r0 ... r4) of every word in ``words`` and (key, n, r0) of every bigram in ``pairs``; for the models of the halves those that sampled texts ask for.
-
-    A word that a model has not counted has the ratio that its longest counted stem gives to such words.
-    """
-    halves = [F.struct(F.lit(h).alias("view"), F.col(f"n0{h}").alias("n0"), F.col(f"n1{h}").alias("n1"), F.col(f"a{h}").alias("asked")) for h in (0, 1)]
-    whole = F.struct(F.lit(2).alias("view"), (F.col("n00") + F.col("n01")).alias("n0"), (F.col("n10") + F.col("n11")).alias("n1"), F.lit(True).alias("asked"))
-    own = pairs.select("v", "w", F.explode(F.array(*halves, whole)).alias("p")).select("v", "w", "p.*").where("n0 + n1 > 0 or asked")
-    zero, names = F.lit(0.0), ("k0", "k1", "c0", "c1", "u0", "u1")
-    as_second = [(F.col(f"n{c}") > 0).cast("double") for c in (0, 1)] + [zero] * 4
-    as_first = [zero] * 2 + [F.col(f"n{c}").cast("double") for c in (0, 1)] + [F.greatest(F.col(f"n{c}") - DISCOUNT, zero) for c in (0, 1)]
-    sides = [own.select("view", F.col(h).alias("h"), "asked", *[x.alias(n) for n, x in zip(names, side)]) for h, side in (("w", as_second), ("v", as_first))]
-    stats = sides[0].unionByName(sides[1]).where(F.col("h") != START).groupBy("view", "h").agg(F.max("asked").alias("asked"), *[F.sum(n).alias(n) for n in names])
-    words = words.select("h", "n", F.substring("word", 1, 7).alias("s7"))
-    met = written(words.select("h", "s7").join(stats, "h").select("view", "h", "s7", "asked", *names), "counted-words")
-    counted = met.where("k0 + k1 > 0")
-    sums = lambda table, own_stem, members: table.groupBy("view", own_stem.alias(members)).agg(
-        F.sum("k0").alias("k0"), F.sum("k1").alias("k1"), (F.sum(F.col("k0") + F.col("k1") + 1) + 1).alias(f"m_{members}"))
-    sevens = written(sums(counted, F.col("s7"), "s7"), "stems-7")
-    fives = written(sums(sevens, F.substring("s7", 1, 5), "s5"), "stems-5")
-    threes = sums(fives, F.substring("s5", 1, 3), "s3")
-    level = {0: Level(counted), 7: Level(sevens), 5: Level(fives), 3: Level(threes)}
-
-    kept = {3: threes, 5: fives, 7: sevens}
-    kept = {n: t.withColumnsRenamed({"k0": f"k0_s{n}", "k1": f"k1_s{n}"}) for n, t in kept.items()}
-    every = words.withColumn("view", F.lit(2)).join(met.where("view = 2").select("h", *names), "h", "left").select("view", "h", "n", "s7", *names)
-    of_halves = met.where("view < 2 and asked").select("view", "h", (F.col("k0") + F.col("k1") + 1).cast("long").alias("n"), "s7", *names)
-    asked = every.unionByName(of_halves).withColumns({f"s{n}": F.substring("s7", 1, n) for n in STEMS if n < 7})
-    for n in reversed(STEMS):
-        asked = asked.join(kept[n], ["view", f"s{n}"], "left")
-    asked = asked.fillna(0.0, [*names, *[f"k{c}_s{n}" for c in (0, 1) for n in STEMS]]).fillna(1.0, [f"m_s{n}" for n in STEMS])
-    both = lambda n: F.col(f"k0_s{n}") + F.col(f"k1_s{n}")
-    for c in (0, 1):
-        asked = asked.withColumn(f"p3_{c}", level[3].discounted(c, F.col(f"k{c}_s3"), level[3].lowest(both(3))))
-    for n, shorter in ((5, 3), (7, 5)):
-        for c in (0, 1):
-            lower = F.col(f"p{shorter}_{c}") * (both(n) + 1) / F.col(f"m_s{shorter}")
-            asked = asked.withColumn(f"p{n}_{c}", level[n].discounted(c, F.col(f"k{c}_s{n}"), lower))
-    for c in (0, 1):
-        lower = F.col(f"p7_{c}") * (F.col("k0") + F.col("k1") + 1) / F.col("m_s7")
-        asked = asked.withColumn(f"p_{c}", level[0].discounted(c, F.col(f"k{c}"), lower))
-        total = F.greatest(F.col(f"c{c}"), F.lit(1.0))
-        asked = asked.withColumn(f"c{c}", total).withColumn(f"b_{c}", F.greatest(F.least(1 - F.col(f"u{c}") / total, F.lit(1.0)), F.lit(0.02)))
-    keyed = lambda key: key.bitwiseXOR(by_view(dict(enumerate(VIEWS))))
-    log = lambda name: F.log(F.col(f"{name}_1").cast("double")) - F.log(F.col(f"{name}_0").cast("double"))
-    small = [F.col(f"{name}_{c}").cast("float").alias(f"{name}_{c}") for name in ("p", "b") for c in (0, 1)]
-    full = written(asked.select("view", "h", "n", *small, "c0", "c1", *[log(f"p{n}").cast("float").alias(f"r{i + 2}") for i, n in enumerate(STEMS)]), "word-ratios")
-    second, first = full.select("view", F.col("h").alias("w"), "p_0", "p_1"), full.select("view", F.col("h").alias("v"), "b_0", "b_1", "c0", "c1")
-    own = own.where((F.col("v") != START) & F.col("asked") & (F.col("n0") + F.col("n1") > 0)).join(first, ["view", "v"]).select(
-        "view", "w", bigram_key(F.col("v"), F.col("w")).alias("key"), "n0", "n1", "b_0", "b_1", *[(F.greatest(F.col(f"n{c}") - DISCOUNT, zero) / F.col(f"c{c}")).cast("float").alias(f"q_{c}") for c in (0, 1)])
-    p = [F.col(f"q_{c}").cast("double") + F.col(f"b_{c}").cast("double") * F.col(f"p_{c}") for c in (0, 1)]
-    pairs = own.join(second, ["view", "w"]).select(
-        keyed(F.col("key")).alias("key"), (F.col("n0") + F.col("n1")).alias("n"), (F.log(p[1]) - F.log(p[0]) - log("b") - log("p")).cast("float").alias("r0"))
-    bigrams = written(pairs, "bigram-ratios")
-    return full.select(keyed(F.col("h")).alias("key"), "n", log("p").cast("float").alias("r0"), log("b").cast("float").alias("r1"), *[f"r{i}" for i in range(2, VALUES)]), bigrams
-
-
-def evidence(texts: DataFrame, words: DataFrame, bigrams: DataFrame) -> DataFrame:
-    """The columns of ``texts`` but text and view, with features: zeros for a text without words.
-
-    ``texts`` has text and view. The most frequent entries are looked up where a text is read. A text that has others is kept with their keys, which
-    meet the entries by a join; what they found comes back to the text by its row.
-    """
-    context = texts.sparkSession.sparkContext
-    columns = [f"r{i}" for i in range(VALUES)]
-    others = texts.drop("text", "view").columns
-    sent_words, sent_bigrams = most_frequent(words, F.col("n"), MOST_WORDS), most_frequent(bigrams, F.col("n"), MOST_BIGRAMS)
-    sent = [words.where(sent_words).select("key", *columns).toArrow(), bigrams.where(sent_bigrams).select("key", "r0").toArrow()]
-    joined = words.where(~sent_words).select("key", *columns).unionByName(bigrams.where(~sent_bigrams).select("key", "r0"), allowMissingColumns=True)
-    bits = bigrams.where(~sent_bigrams).select(F.explode(F.array(*[
-        F.shiftright("key", shift).bitwiseAND((1 << FILTER_BITS) - 1) for shift in (0, 30)])).alias("bit"))
-    masks = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
-    frequent = [Entries(t["key"].to_numpy(), np.column_stack([t[c].to_numpy() for c in t.column_names[1:]])) for t in sent]
-    known = context.broadcast((*frequent, Filter(masks["word"].to_numpy(), masks["mask"].to_numpy())))
-
-    def parts(text: str, view: int, hashes: Hashes):
-        """Distinct keys of words and bigrams, and the place of each one's key."""
-        ids = hashes.of(words_of(text))
-        return np.unique(ids ^ VIEWS[view], return_inverse=True), np.unique(bigram_keys(ids[:-1], ids[1:]) ^ VIEWS[view], return_inverse=True)
+    masks = entries.where(~sent).select("gram").mapInArrow(bits, "bit long").groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()  # at most 2^FILTER_BITS bits
+    known = context.broadcast((frequent, Filter(masks["word"].to_numpy(), masks["mask"].to_numpy())))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (singles, pairs, possible), hashes = known.value, Hashes()
+        frequent, possible = known.value
+        memory: dict[int, dict[str, float | None]] = {}
         for batch in batches:
-            rows, missing = [], []
-            for text, view in zip(batch["text"], batch["view"]):
-                (single, at), (pair, pair_at) = parts(text, view, hashes)
-                (values, hit), (added, pair_hit) = singles.find(single), pairs.find(pair)
-                left = np.concatenate([single[~hit], pair[~pair_hit & possible.passes(pair)]])
+            held = [Counter(words_of(text)) for text in batch["text"]]
+            for view in set(batch["view"]):
+                own = memory.setdefault(int(view), {})
+                asked = set().union(*(h for h, v in zip(held, batch["view"]) if v == view))
+                if len(own) + len(asked) > HELD_WORDS:
+                    own.clear()
+                fresh = [w for w in asked if w not in own]
+                if fresh:
+                    ratios, pending = evidence(fresh, int(view), frequent, root, possible)
+                    own.update(zip(fresh, [None if p else r for r, p in zip(ratios.tolist(), pending.tolist())]))
+            parts, missing = [], []
+            for counts, view in zip(held, batch["view"]):
+                ratios = list(map(memory[int(view)].__getitem__, counts))
+                n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                left = [{"word": w, "n": k} for (w, k), r in zip(counts.items(), ratios) if r is None] if None in ratios else []
+                settled = np.array([np.nan if r is None else r for r in ratios], dtype=float)
+                here = ~np.isnan(settled)
+                parts.append(features(settled[here], n[here])[:3] + (int(n.sum()),))
                 missing.append(left)
-                rows.append(None if len(left) else features(values[at], added[pair_at, 0]) if len(at) else [0.0] * FEATURES)
-            yield batch.assign(features=rows, missing=missing, text=[
-                zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if len(m) else None for t, m in zip(batch["text"], missing)])
-
-    kept = texts.select("text", "view", *others)
-    schema = ", ".join(f"{n} {'binary' if n == 'text' else t}" for n, t in kept.dtypes)
-    numbered = kept.withColumn("row", F.monotonically_increasing_id())
-    partial = written(numbered.mapInPandas(read, f"{schema}, row long, features array<double>, missing array<long>"), "partial-evidence")
-    asked = partial.select("row", F.explode("missing").alias("key"))
-    found = asked.join(joined, "key").groupBy("row").agg(F.collect_list("key").alias("keys"), F.flatten(F.collect_list(F.array(*[F.coalesce(c, F.lit(0.0).cast("float")) for c in columns]))).alias("flat"))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (singles, pairs, _), hashes = known.value, Hashes()
-        for batch in batches:
-            rows = []
-            for text, view, keys, flat in zip(batch["text"], batch["view"], batch["keys"], batch["flat"]):
-                joined_entries = Entries(np.asarray([] if keys is None else keys, dtype=np.int64), np.asarray([] if keys is None else flat, dtype=np.float32).reshape(-1, VALUES))
-                (single, at), (pair, pair_at) = parts(zlib.decompress(text).decode("utf-8", "surrogatepass"), view, hashes)
-                values, added = singles.find(single)[0] + joined_entries.find(single)[0], pairs.find(pair)[0] + joined_entries.find(pair)[0][:, :1]  # an entry is in one of them
-                rows.append(features(values[at], added[pair_at, 0]))
-            yield batch[others].assign(features=rows)
-
-    rest = partial.where("text is not null").drop("features", "missing").join(found, "row", "left").drop("row")
-    rest = rest.mapInPandas(finish, ", ".join(f"{n} {t}" for n, t in kept.dtypes if n in others) + ", features array<double>")
-    return partial.where("text is null").select(*others, "features").unionByName(rest)
+            yield batch.drop(columns=["text"]).assign(sum=[p[0] for p in parts], excess=[p[1] for p in parts], highest=[p[2] for p in parts], words=[p[3] for p in parts], missing=missing)
+
+    kept = texts.withColumn("row", F.monotonically_increasing_id())
+    schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes if n != "text") + ", sum double, excess double, highest array<double>, words long, missing array<struct<word:string,n:long>>"
+    partial = written(kept.mapInPandas(read, schema), "partial-evidence")
+    rare = partial.select("row", "view", F.explode("missing").alias("m")).select("row", "view", "m.word", "m.n")
+    met = rare.join(word_evidence(rare, entries, root), ["view", "word"]).groupBy("row").agg(
+        F.sum(F.col("r") * F.col("n")).alias("sum_more"), F.sum(F.greatest(F.col("r") - MARKED, F.lit(0.0)) * F.col("n")).alias("excess_more"),
+        F.flatten(F.collect_list(F.array_repeat("r", F.least("n", F.lit(TOP_WORDS)).cast("int")))).alias("highest_more"))
+    everything = partial.drop("missing").join(met, "row", "left")
+    highest = F.slice(F.sort_array(F.concat("highest", F.coalesce("highest_more", F.array().cast("array<double>"))), False), 1, TOP_WORDS)
+    n = F.greatest("words", F.lit(1))
+    best = F.aggregate(highest, F.lit(0.0), lambda a, r: a + r) / TOP_WORDS
+    values = [(F.col("sum") + F.coalesce("sum_more", F.lit(0.0))) / n, (F.col("excess") + F.coalesce("excess_more", F.lit(0.0))) / n, F.coalesce(F.get(highest, F.lit(0)), F.lit(0.0)), best, F.log(n)]
+    return everything.select(*[c for c in texts.columns if c not in ("text", "view")], F.array(*[v.cast("double") for v in values]).alias("features"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,41 +335,50 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return mean, scale, beta
 
 
+def half_of(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), F.col(doc_id).cast("long")), F.lit(2)).cast("int")
+
+
+def scored(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, per_class: int) -> DataFrame:
+    """(doc_id, digest, score): the digest is a 64-bit number of the text, which alone decides the score."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    sample = written(label_sample(labels, "toxic", modulus, held_out, per_class), "label-sample")
+    seen = docs.join(F.broadcast(sample), "doc_id").select("text", half_of("doc_id").alias("view"), "doc_id", "digest", "label", "weight")
+    weights = {r["label"]: r["weight"] for r in seen.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}  # two rows
+    share = weights.get(1, 0.0) / sum(weights.values()) if weights else 0.0
+    if not 0 < share < 1:
+        return docs.select("doc_id", "digest", F.lit(float(share)).alias("score"))
+    train = written(one_label(labels, "toxic").where(id_fold(F.col("doc_id"), modulus) != held_out), "labels")
+    chosen = docs.join(F.broadcast(train) if train.count() <= SENT_LABELS else train, "doc_id").select("text", "label", half_of("doc_id").alias("half"))
+    entries, root = kneser_ney(written(top_grams(word_counts(chosen)), f"grams-{ORDER}"))
+    every = docs.select("text", F.lit(2).alias("view"), "doc_id", "digest", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("weight"))
+    found = written(text_features(every.unionByName(seen), entries, root), "evidence")
+    table = found.where("label is not null").orderBy("doc_id", "features").toArrow().to_pandas()  # at most 2 x per_class documents
+    mean, scale, beta = logistic(np.array(table["features"].tolist(), dtype=float).reshape(len(table), FEATURES), table["label"].to_numpy(dtype=float), table["weight"].to_numpy(dtype=float))
+    line = F.lit(float(beta[-1]))
+    for i in range(FEATURES):
+        line = line + (F.col("features")[i] - float(mean[i])) / float(scale[i]) * float(beta[i])
+    score = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(500.0)), F.lit(-500.0))))
+    return found.where("label is null").select("doc_id", "digest", score.alias("score"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document; score is the probability of being toxic.
 
     Null text is empty text; texts without words get the score of no evidence. Repeated rows are scored each; rows with null doc_id or
     label train nothing. Labels of the held-out fold are never read. With no labelled document of a class every score is that class's share.
+    Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = written(label_sample(labels, "toxic", modulus, held_out, per_class), "label-sample")
-    seen = docs.join(F.broadcast(sample), "doc_id").select("text", (1 - half_of("doc_id")).alias("view"), "doc_id", "label", "weight")
-    weights = {r["label"]: r["weight"] for r in seen.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}  # two rows
-    share = weights.get(1, 0.0) / sum(weights.values()) if weights else 0.0
-    score = F.lit(float(share))
-    scored = docs
-    if 0 < share < 1:
-        train = written(one_label(labels, "toxic").where(id_fold(F.col("doc_id"), modulus) != held_out), "labels")
-        marked = train.join(F.broadcast(sample.select("doc_id", F.lit(True).alias("sampled"))), "doc_id", "left").fillna(False, "sampled")
-        chosen = docs.join(F.broadcast(marked) if train.count() <= SENT_LABELS else marked, "doc_id").select("text", "label", half_of("doc_id").alias("half"), "sampled")
-        pairs = written(bigram_counts(chosen), "bigrams")
-        words, bigrams = entries(written(all_words(docs), "words"), pairs)
-        every = docs.select("text", F.lit(2).alias("view"), "doc_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("weight"))
-        scored = written(evidence(every.unionByName(seen), words, bigrams), "evidence")
-        table = scored.where("label is not null").orderBy("doc_id", "features").toArrow().to_pandas()  # at most 2 x per_class documents
-        x = np.array(table["features"].tolist(), dtype=float).reshape(len(table), FEATURES)
-        mean, scale, beta = logistic(x, table["label"].to_numpy(dtype=float), table["weight"].to_numpy(dtype=float))
-        line = F.lit(float(beta[-1]))
-        for i in range(FEATURES):
-            line = line + (F.col("features")[i] - float(mean[i])) / float(scale[i]) * float(beta[i])
-        score = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(500.0)), F.lit(-500.0))))
-        scored = scored.where("label is null")
-    scored = scored.select("doc_id", score.alias("score"))
-    return scored.select("doc_id", (id_fold(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score",
-                         F.when(F.col("score") >= PREDICTED, 1).otherwise(0).alias("predicted"))
-
-
-def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that are not predicted toxic, all columns as they came; rows that share an identifier are scored each but go together if one is toxic."""
-    gone = classify(docs, labels, **how).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return scored(docs, labels, modulus, held_out, per_class).select(
+        "doc_id", (id_fold(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score", F.when(F.col("score") >= PREDICTED, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> DataFrame:
+    """The documents that are not predicted toxic, all columns as they came, whatever their names.
+
+    Rows that share an identifier are judged each by their text; a row without an identifier too. Rows alike in both go or stay together.
+    """
+    gone = scored(docs, labels, modulus, held_out, per_class).where(F.col("score") >= PREDICTED).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    same = F.col("whole.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce(F.col("whole.text").cast("string"), F.lit(""))) == F.col("gone_digest"))
+    return inner.join(gone, same, "left_anti").select("whole.*")

@@ -1,7 +1,9 @@
 """Classifiers by held-out accuracy, tokenisation against the libraries, preference pairs against a plain rendering, the pipeline end to end."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -153,7 +155,7 @@ def test_pipeline(spark):
 
 
 def test_toxicity_keeps_every_entry(spark, monkeypatch):
-    """Rare words and bigrams give the same score however few entries are sent to the tasks."""
+    """Rare sequences give the same score however few entries are sent to the tasks."""
     random.seed(6)
     plain, rows, labels = [f"w{k}" for k in range(200)], [], []
     for k in range(300):
@@ -164,8 +166,73 @@ def test_toxicity_keeps_every_entry(spark, monkeypatch):
         labels.append((k, 1, int(bad)))
     docs, marks = spark.createDataFrame(rows + [(900, "zyx unseen w1"), (901, None)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     whole = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, marks).collect()}
-    monkeypatch.setattr(toxicity, "MOST_WORDS", 5)
-    monkeypatch.setattr(toxicity, "MOST_BIGRAMS", 5)
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 5)
     few = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, marks).collect()}
     assert few == pytest.approx(whole, abs=1e-9)
     assert np.mean([whole[k] >= 0.3 for k in range(300) if k % 6 == 0]) >= 0.9
+
+
+def plain_kneser_ney(words, view):
+    """Log-likelihood difference of a word by the definition, from (word, label, half) of every training word."""
+    order, d, shared = toxicity.ORDER, toxicity.DISCOUNT, toxicity.SHARED
+    halves = {0: (1,), 1: (0,), 2: (0, 1)}[view]
+    counts = [[Counter() for _ in range(order + 1)] for _ in (0, 1)]
+    for c in (0, 1):
+        for word, label, half in words:
+            s = f"{toxicity.BEGIN}{word}{toxicity.END}"
+            if label == c and half in halves:
+                for i in range(1, len(s)):
+                    g = s[max(0, i - order + 1):i + 1]
+                    counts[c][len(g)][g] += 1
+        for n in range(order - 1, 0, -1):
+            for g in counts[c][n + 1]:
+                counts[c][n][g[1:]] += 1
+    types = len({g for w, _, _ in words for g in w + toxicity.END}) + 1
+    both = sum(sum(counts[c][1].values()) for c in (0, 1))
+
+    def p(c, g):
+        low = p(c, g[1:]) if len(g) > 1 else (counts[0][1][g] + counts[1][1][g] + 0.5) / (both + 0.5 * types)
+        same = [n for h, n in counts[c][len(g)].items() if h[:-1] == g[:-1]]
+        return (max(counts[c][len(g)][g] - d, 0) + (d * len(same) + shared) * low) / (sum(same) + shared)
+
+    def difference(word):
+        s = f"{toxicity.BEGIN}{word}{toxicity.END}"
+        grams = [s[max(0, i - order + 1):i + 1] for i in range(1, len(s))]
+        return sum(math.log(p(1, g)) - math.log(p(0, g)) for g in grams)
+
+    return difference
+
+
+def test_kneser_ney_by_the_definition(spark):
+    texts = [(1, "good calm good day", 0, 0), (2, "scum scummy day", 1, 0), (3, "scum vile goods", 1, 1), (4, "calm days and calmer", 0, 1), (5, "day", 0, 0), (6, "vile viler", 1, 0)]
+    chosen = spark.createDataFrame([(t, y, h) for _, t, y, h in texts], "text string, label int, half int")
+    entries, root = toxicity.kneser_ney(toxicity.top_grams(toxicity.word_counts(chosen)))
+    rows = entries.collect()
+    table = toxicity.Entries(toxicity.gram_keys([r["gram"] for r in rows]), np.array([[np.nan if r[f"r{v}"] is None else r[f"r{v}"] for v in range(3)] + [r[f"b{v}"] for v in range(3)] for r in rows]))
+    counted = [(w, y, h) for _, t, y, h in texts for w in t.split()]
+    asked = ["scum", "good", "calmest", "zzz", "a", "scummiest", "dayday", "vile", "é"]
+    for view in range(3):
+        want = list(map(plain_kneser_ney(counted, view), asked))
+        assert toxicity.evidence(asked, view, table, root)[0].tolist() == pytest.approx(want, abs=1e-5)
+        assert want[0] > want[1]
+
+
+def test_features_add_up():
+    random.seed(2)
+    for _ in range(50):
+        r, n = np.array([random.choice([-1.0, 0.5, 2.0, 3.0, 7.5]) + random.random() for _ in range(random.randrange(9))]), None
+        n = np.array([random.randrange(1, 5) for _ in r], dtype=np.int64)
+        total, excess, highest, count = toxicity.features(r, n)
+        spread = sorted((x for x, k in zip(r, n) for _ in range(k)), reverse=True)
+        assert highest == spread[:3] and count == len(spread) and total == pytest.approx(sum(spread)) and excess == pytest.approx(sum(max(x - 1, 0) for x in spread))
+
+
+def test_toxic_rows_go_by_their_text(spark):
+    """Null and repeated identifiers, odd column names; a clean row with the identifier of a toxic one stays."""
+    train = [(k, "vile scum here" if k % 2 else "calm good words", int(k % 2)) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in train], "doc_id long, quality int, toxic int")
+    extra = [(None, "vile scum here"), (None, "calm good words"), (1, "calm good words"), (2, "vile scum here"), (2, "vile scum here"), (99, None)]
+    docs = spark.createDataFrame([(k, t, "x", "y", "z") for k, t, _ in train] + [(*e, "x", "y", "z") for e in extra], "doc_id long, text string, `a.b` string, digest string, score string")
+    left = toxicity.drop_toxic(docs, labels)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(k, t) for k, t, y in train if not y] + [(None, "calm good words"), (1, "calm good words"), (99, None)])
