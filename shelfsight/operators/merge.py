@@ -30,23 +30,18 @@ def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], orde
     return keep_first(batch, keys, order).join(target.select(*keys), list(keys), "left_anti")
 
 
-def _turn(batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None) -> Column:
-    """The order in which rows of one key apply: as given, else by their values so that reruns agree."""
-    return F.struct(*(order or [F.col(c) for c in batch.columns if c not in keys] or [F.lit(0)]))
-
-
-def keep_last(batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """Last row per key; combines map-side."""
+def keep_last(batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Last row per key by ``order``, the arrival order; combines map-side."""
     others = [c for c in batch.columns if c not in keys]
     if not others:
         return batch.distinct()
-    last = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), _turn(batch, keys, order)).alias("_last"))
+    last = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_last"))
     return last.select(*keys, "_last.*")
 
 
-def insert_select_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """Target plus the batch rows whose key it lacks; of a repeated key the first row."""
-    batch = keep_first(batch, keys, [_turn(batch, keys, order)])
+def insert_select_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Target plus the batch rows whose key it lacks; of a repeated key the first row by ``order``. Batch columns that the target lacks are dropped."""
+    batch = keep_first(batch, keys, order).select(*[c for c in batch.columns if c in target.columns])
     return target.unionByName(batch.join(target.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
@@ -56,9 +51,8 @@ def _paired(target: DataFrame, batch: DataFrame, keys: Sequence[str], columns: S
     return left.join(right, list(keys), "full_outer")
 
 
-def overwrite_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], forced: dict[str, Column] | None = None,
-                     order: Sequence[Column] | None = None) -> DataFrame:
-    """Incoming row replaces the stored one column by column, of a repeated key the last; `forced` columns are set on every touched row."""
+def overwrite_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column], forced: dict[str, Column] | None = None) -> DataFrame:
+    """Incoming row replaces the stored one column by column, of a repeated key the last by `order`; `forced` columns are set on every touched row."""
     batch = keep_last(batch, keys, order)
     columns = [c for c in target.columns if c not in keys]
     incoming = set(batch.columns)
@@ -70,25 +64,25 @@ def overwrite_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], f
     return _paired(target, batch, keys, columns).select(*keys, *out)
 
 
-def fill_null_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                     defaults: dict[str, Column] | None = None, order: Sequence[Column] | None = None) -> DataFrame:
-    """Stored values stay, gaps take the first known incoming value; a batch row empty (null or 0) in every column is skipped."""
+def fill_null_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column],
+                     defaults: dict[str, Column] | None = None) -> DataFrame:
+    """Stored values stay, gaps take the first known incoming value by `order`; a batch row empty (null or 0) in every column is skipped."""
     useful = t.any_of([F.coalesce(F.col(c).cast("double"), F.lit(0.0)) != 0 for c in columns])
     others = [c for c in target.columns if c not in keys]
     batch = batch.filter(useful)
     for name, value in (defaults or {}).items():
         batch = batch.withColumn(name, value)
-    turn = _turn(batch, keys, order)
+    turn = F.struct(*order)
     batch = batch.groupBy(*keys).agg(*[
         F.min_by(c, F.when(F.col(c).isNotNull(), turn)).alias(c) for c in batch.columns if c not in keys])
     fills = {c: F.coalesce(F.col(f"_t.{c}"), F.col(f"_s.{c}")) if c in batch.columns else F.col(f"_t.{c}") for c in others}
     return _paired(target, batch, keys, others).select(*keys, *[v.alias(c) for c, v in fills.items()])
 
 
-def patch_upsert(target: DataFrame, patch: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                 insert_defaults: dict[str, Column] | None = None, order: Sequence[Column] | None = None) -> DataFrame:
-    """Patch holds <column> and has_<column>: supplied overwrites (blank to null), the last one of a repeated key; missing keeps."""
-    turn = _turn(patch, keys, order)
+def patch_upsert(target: DataFrame, patch: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column],
+                 insert_defaults: dict[str, Column] | None = None) -> DataFrame:
+    """Patch holds <column> and has_<column>: supplied overwrites (blank to null), the last one of a repeated key by `order`; missing keeps."""
+    turn = F.struct(*order)
     patch = patch.groupBy(*keys).agg(*[out for c in columns for out in (
         F.max_by(c, F.when(F.col(f"has_{c}"), turn)).alias(c), F.coalesce(F.bool_or(f"has_{c}"), F.lit(False)).alias(f"has_{c}"))])
     others = [c for c in target.columns if c not in keys]
@@ -103,8 +97,8 @@ def patch_upsert(target: DataFrame, patch: DataFrame, keys: Sequence[str], colum
     return _paired(target, patch, keys, others).select(*keys, *out)
 
 
-def promote_variants(existing: DataFrame, incoming: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
-    """Variant upsert where a mens or unisex row (mens if both come) takes over the release's old `default` row; the last row of a repeated key counts.
+def promote_variants(existing: DataFrame, incoming: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Variant upsert where a mens or unisex row (mens if both come) takes over the release's old `default` row; the last row of a repeated key by `order` counts.
 
     Result column `action` tells what happened: kept, updated, renamed, inserted.
     """
@@ -148,30 +142,7 @@ def delete_variants(variants: DataFrame, doomed: DataFrame) -> tuple[DataFrame,
 def shadow_specs(specs: DataFrame, variants: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One-to-one specs follow the primary variant."""
     primary = variants.filter("is_primary").select("release_id", *columns)
-    return overwrite_upsert(specs, primary, ["release_id"])
-
-
-def review_upsert_ids(incoming: DataFrame, stored: DataFrame, key: str = "incoming_id") -> DataFrame:
-    """Target id per incoming review: by url, else by (source, release, title).
-
-    Of new reviews that share a url, and of the first ones of those that share (source, release, title), the smallest `key` is
-    the insert; the others update it. Their `target_id` is null and `same_as` names the insert. A null url or title matches nothing.
-    """
-    by_url = stored.groupBy("source_url").agg(F.min("review_id").alias("id_by_url"))
-    titled = ["source_id", "release_id", "title"]
-    by_title = stored.filter("title IS NOT NULL").groupBy(*titled).agg(F.min("review_id").alias("id_by_title"))
-    judged = (
-        incoming.join(by_url, "source_url", "left").join(by_title, titled, "left")
-        .withColumn("target_id", F.coalesce("id_by_url", "id_by_title")).drop("id_by_url", "id_by_title")
-    )
-    new = judged.filter("target_id IS NULL").select(key, "source_url", *titled)
-    first_of_url = new.groupBy("source_url").agg(F.min(key).alias("_lead"))
-    led = new.join(first_of_url, "source_url", "left").withColumn("_lead", F.coalesce("_lead", key))
-    leads = led.filter(F.col(key) == F.col("_lead")).drop("_lead")
-    first_of_title = leads.groupBy(*titled).agg(F.min(key).alias("same_as"))
-    resolved = leads.join(first_of_title, titled, "left").select(F.col(key).alias("_lead"), F.coalesce("same_as", key).alias("same_as"))
-    same = led.select(key, "_lead").join(resolved, "_lead").drop("_lead")
-    return judged.join(same, key, "left").withColumn("action", F.when(F.col("same_as") == F.col(key), "insert").otherwise("update"))
+    return overwrite_upsert(specs, primary, ["release_id"], [F.lit(0)])  # one primary each
 
 
 def get_or_create_authors(records: DataFrame, authors: DataFrame, keys: Sequence[str] = ("source_id", "display_name")) -> tuple[DataFrame, DataFrame]:
@@ -198,13 +169,32 @@ def guarded_delete(doomed: DataFrame, children: DataFrame, key: str) -> tuple[Da
     return doomed.join(used, key, "left_anti"), doomed.join(used, key, "left_semi")
 
 
-def cascade_delete(deleted: DataFrame, levels: Sequence[tuple[DataFrame, str, str]]) -> list[DataFrame]:
-    """Surviving rows of each child level, given as (table, parent key, own key) from the top down."""
-    survivors, gone = [], deleted
-    for table, parent_key, own_key in levels:
-        survivors.append(table.join(gone.select(parent_key), parent_key, "left_anti"))
-        gone = table.join(gone.select(parent_key), parent_key, "left_semi").select(own_key)
-    return survivors
+def cascade_delete(doomed: dict[str, DataFrame], tables: dict[str, tuple[DataFrame, Sequence[str]]],
+                   references: Sequence[tuple[str, str, str, str]]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(surviving, gone) rows of every table when the ``doomed`` rows of some are deleted.
+
+    tables: name to (rows, own key columns). references: (child table, child column, parent table, parent column) of every foreign key that
+    cascades; several may lead to one table, and a null child column refers to nothing. A table is worked out after all its parents, so
+    each is filtered once. References must not form a cycle.
+    """
+    gone: dict[str, DataFrame] = {}
+    left = list(tables)
+    while left:
+        ready = [name for name in left if all(parent in gone for child, _, parent, _ in references if child == name)]
+        if not ready:
+            raise ValueError(f"references form a cycle: {sorted(left)}")
+        for name in ready:
+            rows, keys = tables[name]
+            hits = [doomed[name].select(*keys)] if name in doomed else []
+            for child, column, parent, parent_column in references:
+                if child == name:
+                    hits.append(rows.join(gone[parent].select(F.col(parent_column).alias(column)).distinct(), column, "left_semi").select(*keys))
+            every = hits[0] if hits else rows.limit(0).select(*keys)
+            for more in hits[1:]:
+                every = every.unionByName(more)
+            gone[name] = rows.join(every.distinct(), list(keys), "left_semi")
+            left.remove(name)
+    return {name: (rows.join(gone[name].select(*keys), list(keys), "left_anti"), gone[name]) for name, (rows, keys) in tables.items()}
 
 
 def set_status(rows: DataFrame, ids: DataFrame, key: str, status: str) -> DataFrame:

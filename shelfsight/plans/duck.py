@@ -291,6 +291,8 @@ def with_views(sql: str) -> str:
         return sql
     views = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in ordered)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"

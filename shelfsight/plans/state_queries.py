@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfsight.functions import text as t
-from shelfsight.operators import catalog as cat, feeds as fd, merge as mg, metadata as md, moderation as mod, planning as pln, scoring
+from shelfsight.operators import catalog as cat, feeds as fd, merge as mg, metadata as md, moderation as mod, planning as pln, scoring, upsert
 from shelfsight.plans import duck as d
 from shelfsight.plans.registry import query
 from shelfsight.sources.fixtures import RUN_AS_OF, as_of
@@ -21,59 +21,69 @@ def dbl(*names):
 
 # --- sinks -------------------------------------------------------------------------------------
 
-@query("snk_1_insert_ignore", """SELECT run_id, url, page_id FROM (SELECT page_id % 7 AS run_id, 'u' || (page_id % 60) AS url, page_id, row_number() OVER (PARTITION BY page_id % 7, page_id % 60 ORDER BY page_id) AS rk FROM pages) b
-    WHERE rk = 1 AND NOT EXISTS (SELECT 1 FROM (SELECT page_id % 7 AS r, 'u' || (page_id % 60) AS u FROM pages WHERE page_id % 5 = 0) s WHERE s.r = b.run_id AND s.u = b.url)""")
+@query("snk_1_insert_ignore", """SELECT run_id, url, page_id FROM (SELECT page_id % 2 AS run_id, 'u' || (page_id // 6) AS url, page_id, row_number() OVER (PARTITION BY page_id % 2, page_id // 6 ORDER BY page_id) AS rk FROM pages) b
+    WHERE rk = 1 AND NOT EXISTS (SELECT 1 FROM (SELECT page_id % 2 AS r, 'u' || (page_id // 6) AS u FROM pages WHERE page_id % 5 = 0) s WHERE s.r = b.run_id AND s.u = b.url)""")
 def _(fx):
-    rows = fx.page().select((F.col("page_id") % 7).alias("run_id"), F.concat(F.lit("u"), (F.col("page_id") % 60).cast("string")).alias("url"), "page_id")
+    rows = fx.page().select((F.col("page_id") % 2).alias("run_id"), F.concat(F.lit("u"), F.expr("page_id div 6").cast("string")).alias("url"), "page_id")
     return mg.insert_ignore(rows.filter("page_id % 5 = 0"), rows, ["run_id", "url"], [F.col("page_id")])
 
 
+# The batches below repeat keys; the row that arrives first or last is not the smallest or largest by value.
+
 @query("snk_2_backfill_default_variants", """SELECT release_id, variant_key, CAST(weight_oz AS DOUBLE) AS weight_oz FROM v_variant WHERE NOT (variant_key = 'default' AND release_id % 3 = 0)
-    UNION ALL SELECT release_id, 'default', CAST(weight_oz AS DOUBLE) FROM v_spec WHERE release_id % 3 = 0""")
+    UNION ALL SELECT release_id, 'default', CAST(weight_oz + CASE WHEN release_id % 6 = 0 THEN 1 ELSE 0 END AS DOUBLE) FROM v_spec WHERE release_id % 3 = 0""")
 def _(fx):
     have = fx.variant().filter(~((F.col("variant_key") == "default") & (rid() % 3 == 0)))
     legacy = fx.spec().select("release_id", F.lit("default").alias("variant_key"), F.lit("Default").alias("display_label"), F.lit("unknown").alias("audience"),
-                              F.lit(True).alias("is_primary"), *cat.SPEC_FIELDS)
-    return mg.insert_select_ignore(have, legacy, ["release_id", "variant_key"]).select("release_id", "variant_key", *dbl("weight_oz"))
+                              F.lit(True).alias("is_primary"), *cat.SPEC_FIELDS, F.lit(2).alias("seq"))
+    earlier = legacy.filter(rid() % 6 == 0).withColumns({"weight_oz": (F.col("weight_oz") + 1).cast(legacy.schema["weight_oz"].dataType), "seq": F.lit(1)})
+    return mg.insert_select_ignore(have, legacy.unionByName(earlier), ["release_id", "variant_key"], [F.col("seq")]).select("release_id", "variant_key", *dbl("weight_oz"))
 
 
 @query("snk_3_overwrite_upsert", """SELECT coalesce(t.source_id, s.source_id) AS source_id, CASE WHEN s.source_id IS NOT NULL THEN s.source_name ELSE t.source_name END AS source_name, CASE WHEN s.source_id IS NOT NULL THEN true ELSE t.is_active END AS is_active
-    FROM (SELECT source_id, source_name, source_id % 2 = 0 AS is_active FROM v_source) t FULL JOIN (SELECT s_suppkey + 50 AS source_id, upper(s_name) AS source_name FROM supplier) s ON s.source_id = t.source_id""")
+    FROM (SELECT source_id, source_name, source_id % 2 = 0 AS is_active FROM v_source) t FULL JOIN (SELECT s_suppkey + 50 AS source_id, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE lower(s_name) END AS source_name FROM supplier) s ON s.source_id = t.source_id""")
 def _(fx):
     target = fx.source().select("source_id", "source_name", (F.col("source_id") % 2 == 0).alias("is_active"))
-    batch = fx.source().select((F.col("source_id") + 50).alias("source_id"), F.upper("source_name").alias("source_name"))
-    return mg.overwrite_upsert(target, batch, ["source_id"], forced={"is_active": F.lit(True)})
+    first = fx.source().select((F.col("source_id") + 50).alias("source_id"), F.lower("source_name").alias("source_name"), F.lit(1).alias("seq"))
+    last = fx.source().filter("source_id % 3 = 0").select((F.col("source_id") + 50).alias("source_id"), F.upper("source_name").alias("source_name"), F.lit(2).alias("seq"))
+    return mg.overwrite_upsert(target, first.unionByName(last), ["source_id"], [F.col("seq")], forced={"is_active": F.lit(True)})
 
 
-@query("snk_4_fill_null_upsert", """SELECT coalesce(t.release_id, s.release_id) AS release_id, CAST(coalesce(t.weight_oz, s.weight_oz) AS DOUBLE) AS weight_oz, coalesce(t.drop_mm, s.drop_mm) AS drop_mm
-    FROM (SELECT release_id, weight_oz, drop_mm FROM v_spec WHERE release_id % 5 <> 0) t
-    FULL JOIN (SELECT * FROM (SELECT release_id, CASE WHEN release_id % 4 = 0 THEN NULL ELSE CAST(9.9 AS DECIMAL(4,1)) END AS weight_oz, CAST(release_id % 3 AS INTEGER) AS drop_mm FROM v_release) WHERE coalesce(weight_oz, 0) <> 0 OR coalesce(drop_mm, 0) <> 0) s ON s.release_id = t.release_id""")
+@query("snk_4_fill_null_upsert", """WITH b AS (SELECT * FROM (SELECT release_id, 1 AS seq, CASE WHEN release_id % 4 = 0 THEN NULL ELSE CAST(9.9 AS DECIMAL(4,1)) END AS weight_oz, CAST(release_id % 3 AS INTEGER) AS drop_mm FROM v_release
+      UNION ALL SELECT release_id, 2, CAST(1.1 AS DECIMAL(4,1)), 1 FROM v_release WHERE release_id % 3 = 0) WHERE coalesce(weight_oz, 0) <> 0 OR coalesce(drop_mm, 0) <> 0),
+    s AS (SELECT release_id, arg_min(weight_oz, seq) FILTER (weight_oz IS NOT NULL) AS weight_oz, arg_min(drop_mm, seq) FILTER (drop_mm IS NOT NULL) AS drop_mm FROM b GROUP BY release_id)
+    SELECT coalesce(t.release_id, s.release_id) AS release_id, CAST(coalesce(t.weight_oz, s.weight_oz) AS DOUBLE) AS weight_oz, coalesce(t.drop_mm, s.drop_mm) AS drop_mm
+    FROM (SELECT release_id, weight_oz, drop_mm FROM v_spec WHERE release_id % 5 <> 0) t FULL JOIN s ON s.release_id = t.release_id""")
 def _(fx):
     target = fx.spec().filter(rid() % 5 != 0).select("release_id", "weight_oz", "drop_mm")
-    batch = fx.release().select("release_id", F.when(rid() % 4 != 0, F.lit(9.9).cast("decimal(4,1)")).alias("weight_oz"), (rid() % 3).cast("int").alias("drop_mm"))
-    return mg.fill_null_upsert(target, batch, ["release_id"], ["weight_oz", "drop_mm"]).select("release_id", *dbl("weight_oz"), "drop_mm")
+    first = fx.release().select("release_id", F.when(rid() % 4 != 0, F.lit(9.9).cast("decimal(4,1)")).alias("weight_oz"), (rid() % 3).cast("int").alias("drop_mm"), F.lit(1).alias("seq"))
+    later = fx.release().filter(rid() % 3 == 0).select("release_id", F.lit(1.1).cast("decimal(4,1)").alias("weight_oz"), F.lit(1).alias("drop_mm"), F.lit(2).alias("seq"))
+    return mg.fill_null_upsert(target, first.unionByName(later), ["release_id"], ["weight_oz", "drop_mm"], [F.col("seq")]).select("release_id", *dbl("weight_oz"), "drop_mm")
 
 
 @query("snk_5_patch_upsert", """SELECT coalesce(t.release_id, p.release_id) AS release_id, CASE WHEN p.has_fit_notes THEN nullif(trim(p.fit_notes), '') ELSE t.fit_notes END AS fit_notes, t.source_notes
     FROM (SELECT release_id, fit_notes, source_notes FROM v_spec WHERE release_id % 6 <> 0) t
-    FULL JOIN (SELECT release_id, CASE WHEN release_id % 2 = 0 THEN '  ' ELSE ' New ' || release_id END AS fit_notes, release_id % 4 <> 3 AS has_fit_notes FROM v_release) p ON p.release_id = t.release_id""")
+    FULL JOIN (SELECT release_id, CASE WHEN release_id % 5 = 0 THEN ' A late note' WHEN release_id % 2 = 0 THEN '  ' ELSE ' New ' || release_id END AS fit_notes, release_id % 4 <> 3 OR release_id % 5 = 0 AS has_fit_notes FROM v_release) p ON p.release_id = t.release_id""")
 def _(fx):
     target = fx.spec().filter(rid() % 6 != 0).select("release_id", "fit_notes", "source_notes")
-    patch = fx.release().select("release_id", F.when(rid() % 2 == 0, "  ").otherwise(F.concat(F.lit(" New "), rid().cast("string"))).alias("fit_notes"), (rid() % 4 != 3).alias("has_fit_notes"))
-    return mg.patch_upsert(target, patch, ["release_id"], ["fit_notes"])
+    first = fx.release().select("release_id", F.when(rid() % 2 == 0, "  ").otherwise(F.concat(F.lit(" New "), rid().cast("string"))).alias("fit_notes"), (rid() % 4 != 3).alias("has_fit_notes"), F.lit(1).alias("seq"))
+    late = fx.release().filter(rid() % 5 == 0).select("release_id", F.lit(" A late note").alias("fit_notes"), F.lit(True).alias("has_fit_notes"), F.lit(2).alias("seq"))
+    return mg.patch_upsert(target, first.unionByName(late), ["release_id"], ["fit_notes"], [F.col("seq")])
 
 
-@query("snk_6_promote_variants", """WITH inc AS (SELECT release_id, CASE release_id % 4 WHEN 0 THEN 'mens' WHEN 1 THEN 'unisex' WHEN 2 THEN 'womens' ELSE 'default' END AS variant_key FROM v_release WHERE release_id % 3 = 0),
-    ex AS (SELECT release_id, variant_key FROM v_variant WHERE NOT (release_id % 9 = 0 AND variant_key = 'default'))
-    SELECT i.release_id, i.variant_key, CASE WHEN e.release_id IS NOT NULL THEN 'updated' WHEN i.variant_key IN ('mens', 'unisex') AND o.release_id IS NOT NULL THEN 'renamed' ELSE 'inserted' END AS action
+@query("snk_6_promote_variants", """WITH inc AS (SELECT r.release_id, CASE r.release_id % 4 WHEN 0 THEN 'mens' WHEN 1 THEN 'unisex' WHEN 2 THEN 'womens' ELSE 'default' END AS variant_key, CAST(s.weight_oz - CASE WHEN r.release_id % 6 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS weight_oz
+      FROM v_release r JOIN v_spec s ON s.release_id = r.release_id WHERE r.release_id % 3 = 0),
+    ex AS (SELECT release_id, variant_key, CAST(weight_oz AS DOUBLE) AS weight_oz FROM v_variant WHERE NOT (release_id % 9 = 0 AND variant_key = 'default'))
+    SELECT i.release_id, i.variant_key, i.weight_oz, CASE WHEN e.release_id IS NOT NULL THEN 'updated' WHEN i.variant_key IN ('mens', 'unisex') AND o.release_id IS NOT NULL THEN 'renamed' ELSE 'inserted' END AS action
     FROM inc i LEFT JOIN ex e ON e.release_id = i.release_id AND e.variant_key = i.variant_key LEFT JOIN ex o ON o.release_id = i.release_id AND o.variant_key = 'default'
-    UNION ALL SELECT e.release_id, e.variant_key, 'kept' FROM ex e LEFT JOIN inc i ON i.release_id = e.release_id
+    UNION ALL SELECT e.release_id, e.variant_key, e.weight_oz, 'kept' FROM ex e LEFT JOIN inc i ON i.release_id = e.release_id
     WHERE (i.release_id IS NULL OR i.variant_key <> e.variant_key) AND NOT (e.variant_key = 'default' AND i.variant_key IS NOT NULL AND i.variant_key IN ('mens', 'unisex'))""")
 def _(fx):
     existing = fx.variant().filter(~((rid() % 9 == 0) & (F.col("variant_key") == "default"))).select("release_id", "variant_key", "weight_oz")
     m = rid() % 4
-    incoming = fx.spec().filter(rid() % 3 == 0).select("release_id", F.when(m == 0, "mens").when(m == 1, "unisex").when(m == 2, "womens").otherwise("default").alias("variant_key"), "weight_oz")
-    return mg.promote_variants(existing, incoming).select("release_id", "variant_key", "action")
+    first = fx.spec().filter(rid() % 3 == 0).select("release_id", F.when(m == 0, "mens").when(m == 1, "unisex").when(m == 2, "womens").otherwise("default").alias("variant_key"), "weight_oz", F.lit(1).alias("seq"))
+    last = first.filter(rid() % 6 == 0).withColumns({"weight_oz": (F.col("weight_oz") - 1).cast(first.schema["weight_oz"].dataType), "seq": F.lit(2)})
+    return mg.promote_variants(existing, first.unionByName(last), [F.col("seq")]).select("release_id", "variant_key", *dbl("weight_oz"), "action")
 
 
 @query("snk_7_single_primary", """SELECT release_id, variant_key, row_number() OVER (PARTITION BY release_id ORDER BY (variant_key = 'womens' AND release_id % 8 = 0) DESC, is_primary DESC, variant_key) = 1 AS is_primary FROM v_variant""")
@@ -95,26 +105,38 @@ def _(fx):
     return mg.shadow_specs(fx.spec(), primary, list(cat.SPEC_FIELDS)).select("release_id", *dbl("weight_oz"))
 
 
-_STORED = "SELECT review_id, source_url, source_id, release_id, 'T' || (l_orderkey % 3) AS title FROM v_review WHERE status = 'approved'"
-# Pending reviews of every second order share one new url.
-_INCOMING = """SELECT review_id AS incoming_id, CASE WHEN l_orderkey % 2 = 0 THEN 'https://new.example.com/r/' || l_orderkey ELSE source_url END AS source_url,
-    source_id, release_id, 'T' || (l_orderkey % 3) AS title FROM v_review WHERE status = 'pending'"""
-d.VIEWS["v_upsert"] = f"""SELECT i.*, coalesce(u.id, x.id) AS target_id FROM ({_INCOMING}) i
-    LEFT JOIN (SELECT source_url, min(review_id) AS id FROM ({_STORED}) GROUP BY 1) u ON u.source_url = i.source_url
-    LEFT JOIN (SELECT source_id, release_id, title, min(review_id) AS id FROM ({_STORED}) GROUP BY 1, 2, 3) x ON x.source_id = i.source_id AND x.release_id = i.release_id AND x.title = i.title"""
-d.VIEWS["v_upsert_new"] = "SELECT *, min(incoming_id) OVER (PARTITION BY source_url) AS lead FROM v_upsert WHERE target_id IS NULL"
-d.VIEWS["v_upsert_lead"] = "SELECT incoming_id AS lead, min(incoming_id) OVER (PARTITION BY source_id, release_id, title) AS same_as FROM v_upsert_new WHERE incoming_id = lead"
-
-
-@query("snk_9_review_upsert_ids", """SELECT u.incoming_id, u.target_id, l.same_as, CASE WHEN l.same_as = u.incoming_id THEN 'insert' ELSE 'update' END AS action
-    FROM v_upsert u LEFT JOIN v_upsert_new n ON n.incoming_id = u.incoming_id LEFT JOIN v_upsert_lead l ON l.lead = n.lead""")
+# Reviews of every second order share urls of their release; a stored url is unique.
+_SHARED = "'https://new.example.com/r/' || release_id || '/' || (l_orderkey % 5)"
+d.VIEWS["v_upsert_stored"] = f"""SELECT review_id, source_id, release_id, title, CASE WHEN shared IS NOT NULL AND row_number() OVER (PARTITION BY shared ORDER BY review_id) = 1 THEN shared ELSE 'https://r.example.com/' || review_id END AS source_url
+    FROM (SELECT *, 'T' || (l_orderkey % 3) AS title, CASE WHEN l_orderkey % 2 = 0 THEN {_SHARED} END AS shared FROM v_review WHERE status = 'approved')"""
+d.VIEWS["v_upsert_incoming"] = f"""SELECT review_id AS incoming_id, source_id, release_id, 'T' || (l_orderkey % 3) AS title, CASE WHEN l_orderkey % 2 = 0 THEN {_SHARED} ELSE 'https://r.example.com/' || review_id END AS source_url,
+    row_number() OVER (PARTITION BY release_id ORDER BY review_id) AS step FROM v_review WHERE status = 'pending'"""
+
+
+# Row after row: the table of a release is a list in order of arrival, of which each step changes or adds one row.
+@query("snk_9_review_upsert_ids", """WITH RECURSIVE start AS (
+      SELECT i.release_id, coalesce(any_value(s.st), []) AS st FROM v_upsert_incoming i LEFT JOIN (
+        SELECT release_id, list({'id': review_id, 'made': NULL::VARCHAR, 'url': source_url, 'title': source_id || ':' || title} ORDER BY review_id) AS st FROM v_upsert_stored GROUP BY release_id) s ON s.release_id = i.release_id GROUP BY i.release_id
+    ), walk AS (
+      SELECT release_id, 0::BIGINT AS step, NULL::VARCHAR AS incoming_id, NULL::BIGINT AS hit, st FROM start
+      UNION ALL
+      SELECT release_id, step, incoming_id, hit, CASE WHEN hit IS NULL THEN list_append(st, {'id': NULL::VARCHAR, 'made': incoming_id, 'url': url, 'title': title})
+        ELSE list_transform(st, lambda x, k: CASE WHEN k = hit THEN {'id': x.id, 'made': x.made, 'url': url, 'title': title} ELSE x END) END AS st
+      FROM (SELECT i.release_id, i.step::BIGINT AS step, i.incoming_id, i.source_url AS url, i.source_id || ':' || i.title AS title, w.st,
+          coalesce(nullif(list_position(list_transform(w.st, lambda x: x.url), i.source_url), 0), nullif(list_position(list_transform(w.st, lambda x: x.title), i.source_id || ':' || i.title), 0))::BIGINT AS hit
+        FROM walk w JOIN v_upsert_incoming i ON i.release_id = w.release_id AND i.step = w.step + 1)
+    )
+    SELECT incoming_id, st[coalesce(hit, len(st))].id AS target_id, st[coalesce(hit, len(st))].made AS same_as, CASE WHEN hit IS NULL THEN 'insert' ELSE 'update' END AS action FROM walk WHERE step > 0""")
 def _(fx):
     order = F.split("review_id", "-")[0].cast("bigint")
-    rows = fx.review().withColumn("title", F.concat(F.lit("T"), (order % 3).cast("string")))
+    rows = fx.review().withColumns({"title": F.concat(F.lit("T"), (order % 3).cast("string")), "source_url": F.concat(F.lit("https://r.example.com/"), "review_id")}).withColumn(
+        "shared", F.when(order % 2 == 0, F.concat(F.lit("https://new.example.com/r/"), rid().cast("string"), F.lit("/"), (order % 5).cast("string"))))
     columns = ("source_url", "source_id", "release_id", "title")
-    url = F.when(order % 2 == 0, F.concat(F.lit("https://new.example.com/r/"), order.cast("string"))).otherwise(F.col("source_url"))
-    incoming = rows.filter("status = 'pending'").withColumn("source_url", url).select(F.col("review_id").alias("incoming_id"), *columns)
-    return mg.review_upsert_ids(incoming, rows.filter("status = 'approved'").select("review_id", *columns)).select("incoming_id", "target_id", "same_as", "action")
+    incoming = rows.filter("status = 'pending'").withColumn("source_url", F.coalesce("shared", "source_url")).select(F.col("review_id").alias("incoming_id"), *columns)
+    stored = rows.filter("status = 'approved'")
+    first = stored.filter("shared IS NOT NULL").groupBy("shared").agg(F.min("review_id").alias("review_id"), F.lit(True).alias("first"))
+    stored = stored.join(first, ["shared", "review_id"], "left").withColumn("source_url", F.when(F.col("first"), F.col("shared")).otherwise(F.col("source_url")))
+    return upsert.review_upsert_ids(incoming, stored.select("review_id", *columns)).select("incoming_id", "target_id", "same_as", "action")
 
 
 @query("snk_10_get_or_create_authors", """SELECT i.source_id, i.display_name, a.author_id IS NOT NULL AS existed, count(*) AS n FROM (SELECT o_custkey % 10 AS source_id, CASE WHEN o_custkey % 7 <> 0 THEN 'N' || (o_custkey % 40) END AS display_name FROM orders) i
@@ -142,11 +164,28 @@ def _(fx):
     return free.withColumn("deletable", F.lit(True)).unionByName(refused.withColumn("deletable", F.lit(False)))
 
 
-@query("snk_13_cascade_delete", """SELECT 'release' AS level, count(*) AS n FROM v_release WHERE family_id NOT LIKE 'Brand#2:%' UNION ALL SELECT 'review', count(*) FROM v_review v JOIN v_release r ON r.release_id = v.release_id WHERE family_id NOT LIKE 'Brand#2:%'""")
+_GONE = "SELECT release_id FROM v_release WHERE family_id LIKE 'Brand#2%' OR release_id % 97 = 0"
+
+
+@query("snk_13_cascade_delete", f"""WITH gone AS ({_GONE}) SELECT 'family' AS level, count(DISTINCT family_id) FILTER (family_id NOT LIKE 'Brand#2%') AS kept, count(DISTINCT family_id) FILTER (family_id LIKE 'Brand#2%') AS gone FROM v_release
+    UNION ALL SELECT 'release', count(*) - count(g.release_id), count(g.release_id) FROM v_release r LEFT JOIN gone g ON g.release_id = r.release_id
+    UNION ALL SELECT 'spec', count(*) - count(g.release_id), count(g.release_id) FROM v_spec r LEFT JOIN gone g ON g.release_id = r.release_id
+    UNION ALL SELECT 'variant', count(*) - count(g.release_id), count(g.release_id) FROM v_variant r LEFT JOIN gone g ON g.release_id = r.release_id
+    UNION ALL SELECT 'review', count(*) FILTER (g.release_id IS NULL AND r.source_id % 41 <> 0), count(*) FILTER (g.release_id IS NOT NULL OR r.source_id % 41 = 0) FROM v_review r LEFT JOIN gone g ON g.release_id = r.release_id
+    UNION ALL SELECT 'source', count(*) FILTER (source_id % 41 <> 0), count(*) FILTER (source_id % 41 = 0) FROM v_source""")
 def _(fx):
-    doomed = fx.family().filter("family_id LIKE 'Brand#2:%'").select("family_id")
-    releases, reviews = mg.cascade_delete(doomed, [(fx.release(), "family_id", "release_id"), (fx.review(), "release_id", "review_id")])
-    return releases.agg(F.lit("release").alias("level"), F.count("*").alias("n")).unionByName(reviews.agg(F.lit("review").alias("level"), F.count("*").alias("n")))
+    """Some families, single releases and sources go, with all that refers to them."""
+    tables = {"family": (fx.release().select("family_id").distinct(), ["family_id"]), "release": (fx.release().select("release_id", "family_id"), ["release_id"]), "spec": (fx.spec().select("release_id"), ["release_id"]),
+              "variant": (fx.variant().select("release_id", "variant_key"), ["release_id", "variant_key"]), "source": (fx.source().select("source_id"), ["source_id"]),
+              "review": (fx.review().select("review_id", "release_id", "source_id"), ["review_id"])}
+    references = [("release", "family_id", "family", "family_id"), *[(child, "release_id", "release", "release_id") for child in ("spec", "variant", "review")], ("review", "source_id", "source", "source_id")]
+    doomed = {"family": tables["family"][0].filter("family_id LIKE 'Brand#2%'"), "release": tables["release"][0].filter(rid() % 97 == 0), "source": tables["source"][0].filter("source_id % 41 = 0")}
+    judged = mg.cascade_delete(doomed, tables, references)
+    rows = [part.select(F.lit(name).alias("level"), F.lit(k).alias("side")) for name, parts in judged.items() for k, part in enumerate(parts)]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("level").agg(F.count_if(F.col("side") == 0).alias("kept"), F.count_if(F.col("side") == 1).alias("gone"))
 
 
 TRUSTED = ["importer-1", "importer-3"]
@@ -164,14 +203,17 @@ def _(fx):
     return pln.trusted_pending(documents, TRUSTED).select("review_id")
 
 
-@query("prj_12_rewrite_review_urls", """SELECT v.review_id, CASE WHEN v.source_id % 3 = 0 THEN 'https://site' || v.source_id || '.example.org/seed-reviews/' || substring(v.source_url, 9) ELSE v.source_url END AS source_url
-    FROM v_review v WHERE v.status = 'approved'""")
+@query("prj_12_rewrite_review_urls", """SELECT v.review_id, CASE WHEN v.source_id % 3 = 0 THEN 'https://site' || v.source_id || '.example.org/seed-reviews/' || substring(v.source_url, 9) ELSE v.source_url END AS source_url,
+      strftime(coalesce(d.first_seen, v.published_at), '%Y-%m-%d') AS published_on
+    FROM v_review v LEFT JOIN (SELECT release_id, source_id, min(published_at) AS first_seen FROM v_review WHERE status = 'pending' GROUP BY ALL) d ON d.release_id = v.release_id AND d.source_id = v.source_id WHERE v.status = 'approved'""")
 def _(fx):
+    """Dates of a release and source that are still under review, where there are any, take the place of the published reviews' own."""
     reviews = fx.review().filter("status = 'approved'").withColumn("source_url", F.when(
         F.col("source_id") % 3 == 0, F.concat(F.lit("https://placeholder.example/"), F.expr("substring(source_url, 9)"))).otherwise(F.col("source_url")))
     sites = fx.source().select("source_id", F.concat(F.lit("https://site"), F.col("source_id").cast("string"), F.lit(".example.org/")).alias("site_url"))
-    dates = fx.release().limit(0).select("release_id", F.lit(0).cast("bigint").alias("source_id"), F.lit(None).cast("timestamp").alias("published_at"))
-    return mg.rewrite_review_urls(reviews, sites, dates, "https://placeholder.example/").select("review_id", "source_url")
+    dates = fx.review().filter("status = 'pending'").groupBy("release_id", "source_id").agg(F.min("published_at").alias("published_at"))
+    moved = mg.rewrite_review_urls(reviews, sites, dates, "https://placeholder.example/")
+    return moved.select("review_id", "source_url", F.date_format("published_at", "yyyy-MM-dd").alias("published_on"))
 
 
 @query("prj_13_expand_variants", """SELECT release_id, CASE WHEN release_id % 10 = 0 THEN 'unisex' WHEN release_id % 3 = 0 THEN 'mens' ELSE 'default' END AS variant_key, CASE WHEN release_id % 10 = 0 THEN 'Maker' END AS source_label FROM v_spec

@@ -68,24 +68,24 @@ def state(df, *columns):
 def test_upserts_are_idempotent(spark):
     target = spark.createDataFrame([("a", 1, True), ("b", None, False)], "k string, v int, active boolean")
     batch = spark.createDataFrame([("b", 5), ("c", 7)], "k string, v int")
-    once = mg.overwrite_upsert(target, batch, ["k"], {"active": F.lit(True)})
+    once = mg.overwrite_upsert(target, batch, ["k"], [F.col("v")], {"active": F.lit(True)})
     assert state(once, "k", "v", "active") == [("a", 1, True), ("b", 5, True), ("c", 7, True)]
-    assert state(mg.overwrite_upsert(once, batch, ["k"], {"active": F.lit(True)}), "k", "v") == state(once, "k", "v")
-    filled = mg.fill_null_upsert(target.drop("active"), spark.createDataFrame([("a", 9), ("b", 9), ("z", 0)], "k string, v int"), ["k"], ["v"])
+    assert state(mg.overwrite_upsert(once, batch, ["k"], [F.col("v")], {"active": F.lit(True)}), "k", "v") == state(once, "k", "v")
+    filled = mg.fill_null_upsert(target.drop("active"), spark.createDataFrame([("a", 9), ("b", 9), ("z", 0)], "k string, v int"), ["k"], ["v"], [F.col("v")])
     assert state(filled, "k", "v") == [("a", 1), ("b", 9)]
 
 
 def test_patch_keeps_missing_and_blanks_supplied(spark):
     target = spark.createDataFrame([(1, "x", "n")], "id int, note string, other string")
     patch = spark.createDataFrame([(1, " ", True), (2, "new", True)], "id int, note string, has_note boolean")
-    assert state(mg.patch_upsert(target, patch, ["id"], ["note"]).fillna("-"), "id", "note", "other") == [(1, "-", "n"), (2, "new", "-")]
+    assert state(mg.patch_upsert(target, patch, ["id"], ["note"], [F.lit(0)]).fillna("-"), "id", "note", "other") == [(1, "-", "n"), (2, "new", "-")]
 
 
 def test_variant_promotion_and_primaries(spark):
     schema = "release_id int, variant_key string, is_primary boolean, weight_oz double"
     existing = spark.createDataFrame([(1, "default", True, 9.0), (2, "default", True, 9.0), (2, "mens", False, 8.0), (3, "womens", True, 7.0)], schema)
     incoming = spark.createDataFrame([(1, "mens", True, 8.5), (2, "mens", True, 8.2), (3, "womens", True, 7.1), (4, "womens", True, 6.0)], schema)
-    assert state(mg.promote_variants(existing, incoming), "release_id", "variant_key", "action") == [
+    assert state(mg.promote_variants(existing, incoming, [F.lit(0)]), "release_id", "variant_key", "action") == [
         (1, "mens", "renamed"), (2, "mens", "updated"), (3, "womens", "updated"), (4, "womens", "inserted")]
     primaries = mg.single_primary(existing.unionByName(incoming.filter("release_id = 1")), F.lit(False)).filter("is_primary").groupBy("release_id").count()
     assert {r["count"] for r in primaries.collect()} == {1}
@@ -107,13 +107,3 @@ def test_anchors_of_every_quote_style(spark):
     html = """<a href=/x>X</a> <a class='b' href='/y?a="1"'>Y <b>z</b></a> <a data-href="no" href="/q">Q</a> <a name="n">none</a>"""
     rows = ex.anchors(spark.createDataFrame([(1, html)], "page_id int, html string")).orderBy("position").collect()
     assert [(r["href"], r["title"]) for r in rows] == [("/x", "X"), ('/y?a="1"', "Y z"), ("/q", "Q")]
-
-
-def test_new_reviews_of_one_url_or_title_are_inserted_once(spark):
-    schema = "source_url string, source_id int, release_id int, title string"
-    stored = spark.createDataFrame([(90, "u0", 1, 1, "t0")], "review_id int, " + schema)
-    rows = [(1, "u1", 1, 1, "a"), (2, "u1", 1, 1, "b"), (3, "u2", 1, 1, "a"), (4, "u2", 2, 2, None), (5, "u0", 9, 9, "z"), (6, "u9", 1, 1, "t0"), (7, None, 3, 3, None), (8, None, 3, 3, None)]
-    got = mg.review_upsert_ids(spark.createDataFrame(rows, "incoming_id int, " + schema), stored).orderBy("incoming_id").collect()
-    assert [(r["incoming_id"], r["target_id"], r["same_as"], r["action"]) for r in got] == [
-        (1, None, 1, "insert"), (2, None, 1, "update"), (3, None, 1, "update"), (4, None, 1, "update"), (5, 90, None, "update"), (6, 90, None, "update"),
-        (7, None, 7, "insert"), (8, None, 8, "insert")]

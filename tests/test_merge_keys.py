@@ -20,8 +20,8 @@ def test_overwrite_takes_the_last(spark):
 
 def test_insert_ignore_takes_the_first(spark):
     stored = table(spark, [(1, "old")], "k int, v string")
-    batch = table(spark, [(1, "x"), (2, "b"), (2, "a")], "k int, v string")
-    assert sorted(map(tuple, mg.insert_select_ignore(stored, batch, ["k"]).collect())) == [(1, "old"), (2, "a")]
+    batch = table(spark, [(1, "x", 1), (2, "b", 2), (2, "a", 3)], "k int, v string, seq int")
+    assert sorted(map(tuple, mg.insert_select_ignore(stored, batch, ["k"], [F.col("seq")]).collect())) == [(1, "old"), (2, "b")]
 
 
 def test_fill_takes_the_first_known(spark):
@@ -40,4 +40,5 @@ def test_patch_takes_the_last_supplied(spark):
 def test_one_variant_takes_the_default_row(spark):
     existing = table(spark, [(1, "default", 1.0)], "release_id int, variant_key string, weight_oz double")
     incoming = table(spark, [(1, "unisex", 2.0), (1, "mens", 3.0), (1, "mens", 4.0)], "release_id int, variant_key string, weight_oz double")
-    assert sorted(map(tuple, mg.promote_variants(existing, incoming).collect())) == [(1, "mens", 4.0, "renamed"), (1, "unisex", 2.0, "inserted")]
+    incoming = incoming.withColumn("seq", F.col("weight_oz"))
+    assert sorted(map(tuple, mg.promote_variants(existing, incoming, [F.col("seq")]).collect())) == [(1, "mens", 4.0, "renamed"), (1, "unisex", 2.0, "inserted")]
