@@ -42,6 +42,8 @@ FILTER_BITS = 26
 SENT_LABELS = 1_000_000
 #: Distinct words that a task holds before it hands their counts on, and whose evidence it remembers.
 HELD_WORDS = 300_000
+#: Texts and new words that are looked up at a time.
+SLICE_ROWS, SLICE_WORDS = 256, 20_000
 TOP_WORDS = 3
 #: Differences beyond this one mark a word as toxic; their excess is averaged over the text.
 MARKED = 1.0
@@ -184,13 +186,24 @@ class Entries:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
+        # numbers are spread evenly: their first bits lead to a few neighbours
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length()))
+        heads = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.first = np.append(np.searchsorted(self.keys, heads), len(self.keys)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, whether there is an entry)."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        head = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        hit = np.zeros(len(keys), dtype=bool)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            same = self.keys[at[left]] == keys[left]
+            hit[left[same]] = True
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return np.where(hit, at, 0), hit
 
 
 class Filter:
@@ -283,7 +296,7 @@ def text_features(texts: DataFrame, entries: DataFrame, root: list[float]) -> Da
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, possible = known.value
         memory: dict[int, dict[str, float | None]] = {}
-        for batch in batches:
+        for batch in (whole.iloc[at:at + SLICE_ROWS] for whole in batches for at in range(0, len(whole), SLICE_ROWS)):
             held = [Counter(words_of(text)) for text in batch["text"]]
             for view in set(batch["view"]):
                 own = memory.setdefault(int(view), {})
@@ -291,9 +304,10 @@ def text_features(texts: DataFrame, entries: DataFrame, root: list[float]) -> Da
                 if len(own) + len(asked) > HELD_WORDS:
                     own.clear()
                 fresh = [w for w in asked if w not in own]
-                if fresh:
-                    ratios, pending = evidence(fresh, int(view), frequent, root, possible)
-                    own.update(zip(fresh, [None if p else r for r, p in zip(ratios.tolist(), pending.tolist())]))
+                for at in range(0, len(fresh), SLICE_WORDS):
+                    part = fresh[at:at + SLICE_WORDS]
+                    ratios, pending = evidence(part, int(view), frequent, root, possible)
+                    own.update(zip(part, [None if p else r for r, p in zip(ratios.tolist(), pending.tolist())]))
             parts, missing = [], []
             for counts, view in zip(held, batch["view"]):
                 ratios = list(map(memory[int(view)].__getitem__, counts))
