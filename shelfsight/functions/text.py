@@ -46,9 +46,9 @@ def search_aliases(c: Column) -> Column:
     return F.filter(both, lambda a: a != "")
 
 
-def summarize_parts(parts: Sequence[Column], max_length: int = 420) -> Column:
-    cleaned = [F.nullif(clean_text(p), F.lit("")) for p in parts]
-    return F.trim(F.substring(F.concat_ws(" ", *cleaned), 1, max_length))
+def summarize_parts(parts: Sequence[Column], max_length: int | None = 420) -> Column:
+    cleaned = F.concat_ws(" ", *[F.nullif(clean_text(p), F.lit("")) for p in parts])
+    return F.trim(cleaned if max_length is None else F.substring(cleaned, 1, max_length))
 
 
 def contains_any(haystack: Column, words: Sequence[str]) -> Column:

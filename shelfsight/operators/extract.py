@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfsight.functions import lexicons as lx, text as t
 from shelfsight.operators import metadata as md
 
-# --- fixed values: extraction limits and patterns ---------------------------------------
+# --- fixed values: patterns, and the widths that a caller may ask for by name; without, texts stay whole ---
 BODY_LIMIT, SUMMARY_LIMIT, COMMENT_LIMIT, TOP_COMMENTS = 4000, 420, 280, 3
 MIN_PARAGRAPH, MAX_PARAGRAPHS, SCORE_TEXT, SPEC_TEXT = 40, 12, 12000, 15000
 SCORE_PATTERNS = (
@@ -23,17 +24,34 @@ SPEC_PATTERNS = {
     "forefoot_mm": r"(?is)\bForefoot stack.{0,160}?(\d{2}(?:\.\d)?)\s*mm\b",
     "drop_mm": r"(?is)\bDrop.{0,120}?(\d{1,2}(?:\.\d)?)\s*mm\b",
 }
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 BLOCK_END = r"(?is)(</p>|</?(div|ul|ol|table|section|article|main|h[1-6])[\s>]).*$"
+REFERENCE = r"&(?:#[xX][0-9a-fA-F]{1,6}|#\d{1,7}|[A-Za-z][A-Za-z0-9]{1,7});"
+#: Characters of named references, from the standard table; a space that does not break is a space, as in the text that readers see.
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+
+
+def cut(c: Column, width: int | None) -> Column:
+    return c if width is None else F.substring(c, 1, width)
+
+
+def character(code: Column) -> Column:
+    """The character of a code point; the replacement character for what is none."""
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
 
 
 def decode_entities(c: Column) -> Column:
-    """Named basics and decimal references; ampersands last so that nothing is decoded twice."""
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{2,6});"), 1))
-    out = F.aggregate(codes, c, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), F.char(n.cast("int"))))
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+    """Named, decimal and hexadecimal references in one pass, so that nothing is decoded twice; unknown names stay."""
+    names = F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+
+    def one(ref: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)
+        return (F.when(ref.rlike("^&#[xX]"), character(hexadecimal.try_cast("long"))).when(ref.startswith("&#"), character(F.regexp_extract(ref, "(\\d+)", 1).try_cast("long")))
+                .otherwise(F.coalesce(names[F.regexp_replace(ref, "[&;]", "")], ref)))
+
+    gaps, refs = F.split(c, REFERENCE), F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), 0), one)
+    whole = F.array_join(F.zip_with(gaps, F.concat(refs, F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")
+    return F.when(F.regexp_like(c, F.lit(REFERENCE)), whole).otherwise(c)
 
 
 def drop_hidden(html: Column) -> Column:
@@ -62,35 +80,68 @@ def meta(html: Column, key: str, value: str) -> Column:
     return attribute(html, rf"meta(?=[^>]*\b{key}\s*=\s*[\"']{value}[\"'])", "content")
 
 
-def page_title(html: Column, candidate: Column | None = None, suffix: str | None = None) -> Column:
-    """h1, post title, og:title, document title, then the candidate's own; a site suffix is cut."""
-    found = F.coalesce(element_text(html, "h1"), element_text(html, r"h3(?=[^>]*post-title)"), meta(html, "property", "og:title"),
-                       element_text(html, "title"), *([candidate] if candidate is not None else []))
-    return F.regexp_replace(found, rf"(?i)\s*-\s*{suffix}$", "") if suffix else found
+def with_class(*names: str) -> str:
+    """Opening tag of an element that has one of the classes, in any quotes."""
+    word = rf"(?<![\w-])(?:{'|'.join(names)})(?![\w-])"
+    return rf"<[a-z][a-z0-9]*\b[^>]*\bclass\s*=\s*(?:\"[^\">]*{word}|'[^'>]*{word}|{word})[^>]*>"
+
+
+def with_attribute(name: str, value: str) -> str:
+    return rf"<[a-z][a-z0-9]*\b[^>]*\b{name}\s*=\s*[\"']?{value}(?![\w-])[^>]*>"
+
+
+def element(html: Column, opening: str) -> Column:
+    """The first element whose opening tag matches, to its own closing tag: elements of the same name inside it are counted. Empty when there is none.
+
+    One pass over the tags of that name: the depth after each is folded until it returns to zero. An element that never closes runs to the end.
+    """
+    def whole(rest: Column) -> Column:
+        tag = F.concat(F.lit("(?is)</?"), F.regexp_extract(rest, "^<([A-Za-z][A-Za-z0-9]*)", 1), F.lit(r"(?=[\s/>])[^>]*>"))
+        pairs = F.arrays_zip(F.split(rest, tag).alias("gap"), F.regexp_extract_all(rest, tag, F.lit(0)).alias("tag"))
 
+        def step(at: Column, pair: Column) -> Column:
+            depth = at["depth"] + F.when(pair["tag"].startswith("</"), -1).otherwise(1)
+            width = at["width"] + F.length(pair["gap"]) + F.length(pair["tag"])
+            return F.when(at["closed"] | pair["tag"].isNull(), at).otherwise(F.struct(depth.alias("depth"), width.alias("width"), (depth == 0).alias("closed")))
 
-CONTAINERS = (r'<(?:div|section)[^>]*\bclass="[^"]*\bentry-content\b', r'<(?:div|section)[^>]*\bclass="[^"]*\bpost-body\b', "<article", "<main")
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("width"), F.lit(False).alias("closed"))
+        return F.aggregate(pairs, start, step, lambda at: F.when(at["closed"], rest.substr(F.lit(1), at["width"])).otherwise(rest))
 
+    return t.let(F.regexp_extract(html, rf"(?is){opening}.*", 0), lambda rest: F.when(rest == "", "").otherwise(whole(rest)))
 
-def paragraphs(region: Column, chrome: Sequence[str] = lx.PAGE_CHROME_TOKENS, limit: int = MAX_PARAGRAPHS) -> Column:
-    """Readable paragraphs; an unclosed one ends where the next block starts."""
+
+ARTICLE = r"<article(?=[\s>])[^>]*>"
+#: Where the paragraphs of a page are looked for, in this order, inside its first article if it has one.
+CONTAINERS = (with_class("entry-content"), with_class("post-content"), with_attribute("itemprop", "articleBody"), with_class("post-body"), ARTICLE, r"<main(?=[\s>])[^>]*>")
+
+
+def article_scope(html: Column) -> Column:
+    """The page's first article without scripts, styles and comments; the whole page when it has none."""
+    return t.let(drop_hidden(html), lambda page: t.let(element(page, ARTICLE), lambda found: F.when(found == "", page).otherwise(found)))
+
+
+def page_title(html: Column, candidate: Column | None = None, suffix: str | None = None, article: Column | None = None) -> Column:
+    """h1 of the article, post title, JSON-LD headline (of ``article``), og:title, document title, then the candidate's own; a site suffix is cut."""
+    found = F.coalesce(element_text(article_scope(html), "h1"), element_text(html, r"h3(?=[^>]*post-title)"), *([F.nullif(article["headline"], F.lit(""))] if article is not None else []),
+                       meta(html, "property", "og:title"), element_text(html, "title"), *([candidate] if candidate is not None else []))
+    return F.regexp_replace(found, rf"(?i)\s*-\s*{suffix}$", "") if suffix else found
+
+
+def paragraphs(region: Column, chrome: Sequence[str] = lx.PAGE_CHROME_TOKENS, limit: int | None = None) -> Column:
+    """Readable paragraphs, all or the first ``limit``; an unclosed one ends where the next block starts."""
     parts = F.split(region, r"(?i)<p(?:\s[^>]*)?>")
     raw = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: strip_tags(F.regexp_replace(p, BLOCK_END, "")))
-    return F.slice(F.filter(raw, lambda p: (F.length(p) > MIN_PARAGRAPH) & ~t.contains_any(F.lower(p), chrome)), 1, limit)
-
+    kept = F.filter(raw, lambda p: (F.length(p) > MIN_PARAGRAPH) & ~t.contains_any(F.lower(p), chrome))
+    return kept if limit is None else F.slice(kept, 1, limit)
 
-def page_body(html: Column, containers: Sequence[str] = CONTAINERS, chrome: Sequence[str] = lx.PAGE_CHROME_TOKENS) -> Column:
-    """Paragraphs of the first container that has any, joined by blank lines; empty when none has."""
-    visible = drop_hidden(html)
 
-    def body_of(opening: str) -> Column:
-        name = r"article" if opening == "<article" else "main" if opening == "<main" else None
-        region = F.regexp_extract(visible, rf"(?is){opening}\b.*?</{name}\s*>" if name else rf"(?is){opening}.*", 0)
-        return paragraphs(region, chrome)
+def page_body(html: Column, containers: Sequence[str] = CONTAINERS, chrome: Sequence[str] = lx.PAGE_CHROME_TOKENS, limit: int | None = None, width: int | None = None) -> Column:
+    """Paragraphs of the first container that has any, joined by blank lines; empty when none has. ``limit`` paragraphs and ``width`` characters, if given."""
+    def body_of(scope: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.coalesce(*[t.let(paragraphs(element(scope, c), chrome, limit), lambda p: F.when(F.size(p) > 0, p)) for c in containers], none)
 
-    none = F.array().cast("array<string>")
-    first = F.coalesce(*[t.let(body_of(c), lambda p: F.when(F.size(p) > 0, p)) for c in containers], none)
-    return F.substring(F.array_join(first, "\n\n"), 1, BODY_LIMIT)
+    return cut(t.let(article_scope(html), lambda scope: F.array_join(body_of(scope), "\n\n")), width)
 
 
 def json_ld_article(html: Column) -> Column:
@@ -115,16 +166,20 @@ def json_ld_article(html: Column) -> Column:
 def published_at(html: Column, article: Column) -> Column:
     """First date by precedence: time element of the article, JSON-LD, article meta, any time element, item property, date header."""
     time = r"time(?=[^>]*datetime)"
-    inside = F.regexp_extract(drop_hidden(html), r"(?is)<article\b.*?</article\s*>", 0)
+    inside = element(drop_hidden(html), ARTICLE)
     candidates = F.coalesce(
         attribute(inside, time, "datetime"), article["published"], meta(html, "property", "article:published_time"),
         attribute(html, time, "datetime"), meta(html, "itemprop", "datePublished"), element_text(html, r"h2(?=[^>]*date-header)"), attribute(html, r"abbr(?=[^>]*published)", "title"))
     return t.parse_timestamp(candidates)
 
 
+AUTHOR = rf"(?:{with_attribute('rel', 'author')}|{with_class('author', 'post-author', 'byline')})"
+
+
 def author_name(html: Column, article: Column) -> Column:
-    marked = F.regexp_extract(html, r"(?is)<(\w+)[^>]*(?:rel=\"author\"|class=\"[^\"]*\b(?:author|post-author|byline)\b)[^>]*>(.*?)</\1\s*>", 2)
-    return F.coalesce(F.nullif(strip_tags(marked), F.lit("")), F.nullif(article["author"], F.lit("")))
+    """Marked author of the article (of the page without one): the link inside, else the whole element; else the author of its JSON-LD."""
+    marked = t.let(element(article_scope(html), AUTHOR), lambda found: F.coalesce(element_text(found, "a"), F.nullif(strip_tags(found), F.lit(""))))
+    return F.coalesce(marked, F.nullif(article["author"], F.lit("")))
 
 
 def _pattern_score(text: Column, pattern: str) -> Column:
@@ -132,11 +187,11 @@ def _pattern_score(text: Column, pattern: str) -> Column:
     return F.when(value != "", F.struct(value.try_cast("double").alias("value"), scale.try_cast("double").alias("scale")))
 
 
-def page_score(html: Column, visible_text: Column) -> Column:
-    """Struct value, scale, score from meta rating or the first score pattern of the text's opening."""
+def page_score(html: Column, visible_text: Column, width: int | None = None) -> Column:
+    """Struct value, scale, score from meta rating or the first score pattern of the text (of its first ``width`` characters, if given)."""
     rating = meta(html, "itemprop", "ratingValue").try_cast("double")
     best = F.coalesce(meta(html, "itemprop", "bestRating"), F.lit("10")).try_cast("double")
-    opening = F.substring(visible_text, 1, SCORE_TEXT)
+    opening = cut(visible_text, width)
     found = F.coalesce(F.when(rating.isNotNull() & (best > 0), F.struct(rating.alias("value"), best.alias("scale"))),
                        *[_pattern_score(opening, p) for p in SCORE_PATTERNS])
     return t.let(found, lambda s: F.when(s.isNotNull(), F.struct(
@@ -154,9 +209,9 @@ def product_score(html: Column) -> Column:
     return t.auto_scale_score(raw)
 
 
-def lab_specs(text: Column) -> dict[str, Column]:
-    """Measurements near their labels in the first part of a page text."""
-    opening = F.substring(text, 1, SPEC_TEXT)
+def lab_specs(text: Column, width: int | None = None) -> dict[str, Column]:
+    """Measurements near their labels in a page text (in its first ``width`` characters, if given)."""
+    opening = cut(text, width)
     found = {name: F.regexp_extract(opening, pattern, 1).try_cast("double") for name, pattern in SPEC_PATTERNS.items()}
     return {name: F.round(v, 1) if name == "weight_oz" else t.round_half_up(v) for name, v in found.items()}
 
@@ -185,21 +240,21 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 # --- threads ------------------------------------------------------------------------------
 
-def top_comments(comments: DataFrame, limit: int = TOP_COMMENTS) -> DataFrame:
-    """Best-scored comments per thread; a comment that is empty after cleaning still uses its place."""
+def top_comments(comments: DataFrame, limit: int = TOP_COMMENTS, width: int | None = None) -> DataFrame:
+    """Best-scored comments per thread, each whole or its first ``width`` characters; a comment that is empty after cleaning still uses its place."""
     usable = comments.filter((F.coalesce("body", F.lit("")) != "") & ~F.coalesce("stickied", F.lit(False)))
     best = Window.partitionBy("thread_id").orderBy(F.coalesce("score", F.lit(0)).desc(), "position")
     ranked = usable.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
-    return ranked.withColumn("body", F.substring(t.clean_text(F.col("body")), 1, COMMENT_LIMIT)).filter("body <> ''")
+    return ranked.withColumn("body", cut(t.clean_text(F.col("body")), width)).filter("body <> ''")
 
 
-def assemble_threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Summary and body per thread. posts: thread_id, title, selftext, excerpt; comments: thread_id, position, author, score, stickied, body."""
-    nested = top_comments(comments).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("rank", "author", "body"))).alias("top"))
+def assemble_threads(posts: DataFrame, comments: DataFrame, comment_width: int | None = None, summary_width: int | None = None, body_width: int | None = None) -> DataFrame:
+    """Summary and body per thread, whole where no width is given. posts: thread_id, title, selftext, excerpt; comments: thread_id, position, author, score, stickied, body."""
+    nested = top_comments(comments, width=comment_width).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("rank", "author", "body"))).alias("top"))
     empty = F.array().cast(nested.schema["top"].dataType)
     rows = posts.join(nested, "thread_id", "left").withColumn("top", F.coalesce("top", empty))
     quotes = F.transform("top", lambda c: F.concat(F.lit("Top comment by "), F.coalesce(c["author"], F.lit("unknown")), F.lit(": "), c["body"]))
     self_text = F.nullif(t.clean_text(F.coalesce("selftext", F.lit(""))), F.lit(""))
-    summary = t.summarize_parts([F.col("selftext"), F.col("excerpt"), F.array_join(F.transform("top", lambda c: c["body"]), " ")], SUMMARY_LIMIT)
+    summary = t.summarize_parts([F.col("selftext"), F.col("excerpt"), F.array_join(F.transform("top", lambda c: c["body"]), " ")], summary_width)
     return rows.select("thread_id", "title", summary.alias("summary"),
-                       F.substring(F.concat_ws("\n\n", F.col("title"), self_text, quotes), 1, BODY_LIMIT).alias("body"), F.size("top").alias("comment_count"))
+                       cut(F.concat_ws("\n\n", F.col("title"), self_text, quotes), body_width).alias("body"), F.size("top").alias("comment_count"))

@@ -80,10 +80,23 @@ def _(fx):
     return ex.anchors(fx.page()).select("page_id", F.col("position").cast("bigint").alias("position"), "href", "title")
 
 
-@query("flt_11_link_candidates", f"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, href, min(position) AS position FROM ({_ANCHOR}) WHERE regexp_matches(href, '^/[A-Za-z]+$') AND {d.clean('inner_html')} <> '' GROUP BY page_id, href) GROUP BY ALL""")
+_LINK_TITLE = f"""(SELECT page_id, position, href, 'https://www.site.example.com' || href AS url, {d.clean('inner_html')} AS title FROM ({_ANCHOR}) WHERE starts_with(href, '/'))"""
+_LINK_BLOCKED = tuple(w.replace("-", " ") for w in lx.NON_REVIEW_LINK_TOKENS)
+
+
+# A page's search: its site, and as aliases the title of one of its own anchors and a letter that many have.
+@query("flt_11_link_candidates", f"""SELECT page_id, href, CAST(rank AS INTEGER) AS rank, least(100, 66 + CASE WHEN contains(h, alias) THEN 14 ELSE 0 END + CASE WHEN contains(h, 'th') THEN 8 ELSE 0 END + CASE WHEN contains(h, 'site example') THEN 4 ELSE 0 END) / 100.0::DOUBLE AS confidence
+    FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS rank FROM (
+      SELECT l.page_id, l.position, l.href, a.alias, {d.norm("l.title || ' ' || l.url")} AS h FROM (
+        SELECT page_id, href, url, min(position) AS position, arg_min(title, position) AS title FROM {_LINK_TITLE} WHERE title <> '' AND NOT contains(url, '/search?') GROUP BY ALL) l
+      JOIN (SELECT page_id, any_value({d.norm('title')}) AS alias FROM {_LINK_TITLE} WHERE position = page_id % 6 GROUP BY page_id) a ON a.page_id = l.page_id)
+      WHERE contains(h, 'site') AND (contains(h, alias) OR contains(h, 'n')) AND NOT {d.contains_any('h', _LINK_BLOCKED)}) WHERE rank <= 5""")
 def _(fx):
-    links = ex.anchors(fx.page()).filter(F.col("href").rlike("^/[A-Za-z]+$"))
-    return mt.link_candidates(links, "https://www.site.example.com", "site.example.com").groupBy("page_id", "href").agg(F.count("*").alias("n"))
+    links = ex.anchors(fx.page())
+    own = links.filter(F.col("position") == F.col("page_id") % 6).select("page_id", t.normalize_search_text(F.col("title")).alias("query"))
+    searches = own.select("page_id", F.lit("site").alias("brand"), F.array("query", F.lit("n")).alias("aliases"), "query")
+    found = mt.ranked_links(links, searches, "https://www.site.example.com", "site.example.com", review_words=("th",), domain_words="site example")
+    return found.select("page_id", "href", "rank", t.clamp_confidence(F.col("confidence_points")).alias("confidence"))
 
 
 @query("flt_12_ui_chrome", f"""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda p: {d.contains_any('lower(p)', ('the', 'und '))})) AS INTEGER) AS chrome,
@@ -203,12 +216,12 @@ _VISIBLE = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</st
 
 def _strip(x: str) -> str:
     plain = f"regexp_replace({x}, '(?s)<[^>]*>', '', 'g')"
-    for entity, value in ex.ENTITIES:
+    for entity, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):  # all that the given pages hold
         plain = f"replace({plain}, {d.quoted(entity)}, {d.quoted(value)})"
     return d.clean(plain)
 
 
-@query("src_3_raw_documents", "SELECT page_id, url, md5(substring(html, 1, 12000)) AS raw FROM pages")
+@query("src_3_raw_documents", "SELECT page_id, url, md5(html) AS raw FROM pages")
 def _(fx):
     return captures.raw_documents(fx.page()).select("page_id", "url", F.md5("raw_text").alias("raw"))
 
@@ -222,8 +235,8 @@ _BLOCKEND = r"'(?is)(</p>|</?(div|ul|ol|table|section|article|main|h[1-6])[\s>])
 _REGION = rf"regexp_extract({_VISIBLE}, '(?is)<article\b.*?</article\s*>', 0)"
 
 
-@query("ext_2_page_body", f"""SELECT page_id, substring(array_to_string(list_filter(list_transform(string_split_regex({_REGION}, '(?i)<p(?:\\s[^>]*)?>')[2:], lambda p: {_strip(f"regexp_replace(p, {_BLOCKEND}, '')")}),
-    lambda p: length(p) > 40 AND NOT {d.contains_any('lower(p)', lx.PAGE_CHROME_TOKENS)})[1:12], chr(10) || chr(10)), 1, 4000) AS body FROM pages""")
+@query("ext_2_page_body", f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex({_REGION}, '(?i)<p(?:\\s[^>]*)?>')[2:], lambda p: {_strip(f"regexp_replace(p, {_BLOCKEND}, '')")}),
+    lambda p: length(p) > 40 AND NOT {d.contains_any('lower(p)', lx.PAGE_CHROME_TOKENS)}), chr(10) || chr(10)) AS body FROM pages""")
 def _(fx):
     return fx.page().select("page_id", ex.page_body(F.col("html")).alias("body"))
 
@@ -271,7 +284,7 @@ _SCALE = f"CASE WHEN {_scored(_P1)} IS NOT NULL THEN regexp_extract(v, {d.quoted
 
 
 @query("ext_6_page_score", f"""SELECT doc_id, CASE WHEN val IS NOT NULL THEN greatest(0, least(100, {d.half_up('CAST(val AS DOUBLE) / CAST(scale AS DOUBLE) * 100')})) END AS score FROM (SELECT doc_id, {_VAL} AS val, nullif({_SCALE}, '') AS scale
-    FROM (SELECT doc_id, substring({d.clean(_LABELLED)}, 1, 12000) AS v FROM documents))""")
+    FROM (SELECT doc_id, {d.clean(_LABELLED)} AS v FROM documents))""")
 def _(fx):
     return labelled(fx).withColumn("text", t.clean_text(F.col("text"))).select("doc_id", ex.page_score(F.col("text"), F.col("text"))["score"].alias("score"))
 
@@ -284,7 +297,7 @@ def _(fx):
 
 
 @query("ext_8_lab_specs", f"""SELECT doc_id, {', '.join((f"round(CAST({{0}} AS DOUBLE), 1)" if name == 'weight_oz' else d.half_up("CAST({0} AS DOUBLE)")).format(f"nullif(regexp_extract(v, {d.quoted(p)}, 1), '')") + f' AS {name}' for name, p in ex.SPEC_PATTERNS.items())}
-    FROM (SELECT doc_id, substring({_LABELLED}, 1, 15000) AS v FROM documents)""")
+    FROM (SELECT doc_id, {_LABELLED} AS v FROM documents)""")
 def _(fx):
     return labelled(fx).select("doc_id", *[c.alias(name) for name, c in ex.lab_specs(F.col("text")).items()])
 
@@ -297,6 +310,84 @@ def _(fx):
         F.array_join(ex.list_under_heading(F.col("html"), "Cons"), "|").alias("cons"), ex.paragraph_after_heading(F.col("html"), "Our verdict").alias("verdict"))
 
 
+# --- article pages made of the given texts: what each field must be follows from how the page was put together ---
+
+FOOTER = "This closing sentence is long enough for a paragraph of its own, but it belongs to none of the containers."
+d.VIEWS["v_article"] = f"""SELECT doc_id, doc_id % 6 AS shape, doc_id % 4 AS meta, regexp_replace(coalesce(lines[1], ''), '[<>&]', '', 'g') AS p1, regexp_replace(coalesce(lines[2], ''), '[<>&]', '', 'g') AS p2, {d.quoted(FOOTER)} AS foot
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)"""
+
+
+def articles(fx):
+    """Pages of six shapes (containers, nested articles, none) and four kinds of metadata (none, broken, one node, a graph)."""
+    k = F.col("doc_id")
+    lines = F.split("text", "\n")
+    line = lambda i: F.regexp_replace(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), "[<>&]", "")
+
+    def glued(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+    p1, p2, foot = glued("<p>", line(0), "</p>"), glued("<P class=x>", line(1), "</P>"), glued("<p>", FOOTER, "</p>")
+    shapes = [
+        glued("<article><div class='entry-content wide'><div>", p1, "</div>", p2, "</div>", foot, "</article>"),
+        glued("<article><span class='byline'><a href='/a'>Ann ", k % 5, "</a></span><section id=s class=\"x post-content\">", p1, "</section>", foot, "</article>"),
+        glued("<article><div><div itemprop=\"articleBody\">", p1, "</div></div>", foot, "</article>"),
+        glued("<article><h1>One ", k, "</h1><article>", p1, "</article>", p2, "<time datetime='2024-02-02T10:00:00Z'>t</time></article><b class='author'>Nobody</b>", foot),
+        glued("<div class=\"post-body\">", p1, "<div>x</div></div>", foot),
+        glued("<article><!-- <article> --><div class='entry-contents'>", p1, "</div></article>", foot),
+    ]
+    body = F.coalesce(*[F.when(k % 6 == i, s) for i, s in enumerate(shapes)])
+    node = glued('{"@type":["NewsArticle"],"headline":" Head  ', k, '","description":"About ', k, '","datePublished":"2024-03-05","author":[{"name":"Writer ', k % 7, '"}]}')
+    script = F.when(k % 4 == 1, '{"@type":"Article",').when(k % 4 == 2, node).when(k % 4 == 3, glued('{"@graph":[{"@type":"WebSite","headline":"no"},', node, "]}"))
+    head = glued("<html><head><title>T</title><meta property='og:title' content='Og &#x26; ", k, "'><meta content='2024-05-06' property='article:published_time'>",
+                 F.coalesce(glued("<script type=\"application/ld+json\">", script, "</script>"), F.lit("")), "</head><body>")
+    words = F.slice(F.filter(F.split(F.regexp_replace(line(0), "[^A-Za-z ]", ""), " "), lambda w: w != ""), 1, 10)
+    items = lambda start, end: F.array_join(F.transform(words, lambda w: F.concat(F.lit(start), w, F.lit(end))), "")
+    lists = glued("<h3>Pros</h3><div><ul>", items("<li> ", " &amp; more</li>"), "</ul></div><h2><b>Cons</b></h2><ul>", items("<li>", ""), "</ul><h2>Our verdict</h2><p>", line(1), " <i>so</i></p>")
+    return fx.table("documents").select("doc_id", F.concat(head, body, lists, F.lit("</body></html>")).alias("html"))
+
+
+_KEEP = f"lambda p: length(p) > 40 AND NOT {d.contains_any('lower(p)', lx.PAGE_CHROME_TOKENS)}"
+_FIRST, _SECOND = d.clean("p1"), d.clean("p2")
+
+
+@query("ext_1_article_title", "SELECT doc_id, CASE WHEN shape = 3 THEN 'One ' || doc_id WHEN meta >= 2 THEN 'Head ' || doc_id ELSE 'Og & ' || doc_id END AS title FROM v_article")
+def _(fx):
+    rows = articles(fx).withColumn("a", ex.json_ld_article(F.col("html")))
+    return rows.select("doc_id", ex.page_title(F.col("html"), article=F.col("a")).alias("title"))
+
+
+@query("ext_2_article_body", f"""SELECT doc_id, array_to_string(CASE WHEN len(own) > 0 THEN own WHEN shape < 3 THEN [foot] ELSE [] END, chr(10) || chr(10)) AS body
+    FROM (SELECT doc_id, shape, foot, list_filter(CASE WHEN shape IN (0, 3) THEN [{_FIRST}, {_SECOND}] ELSE [{_FIRST}] END, {_KEEP}) AS own FROM v_article)""")
+def _(fx):
+    return articles(fx).select("doc_id", ex.page_body(F.col("html")).alias("body"))
+
+
+@query("ext_3_article_nodes", """SELECT doc_id, CASE WHEN meta >= 2 THEN 'Head ' || doc_id END AS headline, CASE WHEN meta >= 2 THEN 'About ' || doc_id END AS description,
+    CASE WHEN meta >= 2 THEN '2024-03-05' END AS published, CASE WHEN meta >= 2 THEN 'Writer ' || (doc_id % 7) END AS author FROM v_article""")
+def _(fx):
+    return articles(fx).select("doc_id", ex.json_ld_article(F.col("html")).alias("a")).select("doc_id", "a.*")
+
+
+@query("ext_4_article_dates", "SELECT doc_id, CASE WHEN shape = 3 THEN '2024-02-02 10:00:00' WHEN meta >= 2 THEN '2024-03-05 00:00:00' ELSE '2024-05-06 00:00:00' END AS published_at FROM v_article")
+def _(fx):
+    rows = articles(fx).withColumn("a", ex.json_ld_article(F.col("html")))
+    return rows.select("doc_id", F.date_format(ex.published_at(F.col("html"), F.col("a")), "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+@query("ext_5_article_authors", "SELECT doc_id, CASE WHEN shape = 1 THEN 'Ann ' || (doc_id % 5) WHEN meta >= 2 THEN 'Writer ' || (doc_id % 7) END AS author FROM v_article")
+def _(fx):
+    rows = articles(fx).withColumn("a", ex.json_ld_article(F.col("html")))
+    return rows.select("doc_id", ex.author_name(F.col("html"), F.col("a")).alias("author"))
+
+
+@query("ext_9_article_lists", f"""SELECT doc_id, array_to_string(list_transform(w[1:8], lambda x: x || ' & more'), '|') AS pros, array_to_string(w[1:8], '|') AS cons, {d.clean("p2 || ' so'")} AS verdict
+    FROM (SELECT doc_id, p2, list_filter(string_split(regexp_replace(p1, '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '')[1:10] AS w FROM v_article)""")
+def _(fx):
+    html = F.col("html")
+    return articles(fx).select("doc_id", F.array_join(ex.list_under_heading(html, "Pros"), "|").alias("pros"), F.array_join(ex.list_under_heading(html, "Cons"), "|").alias("cons"),
+                               ex.paragraph_after_heading(html, "Our verdict").alias("verdict"))
+
+
 # --- threads ---------------------------------------------------------------------------------------
 
 _POST = "(SELECT conv_id, arg_min(text, turn) AS text, min(turn) AS post_turn FROM conversations WHERE role = 'user' GROUP BY conv_id)"
@@ -315,14 +406,14 @@ def threads(fx):
 
 @query("srt_8_top_comments", f"SELECT conv_id AS thread_id, CAST(rank AS INTEGER) AS rank, role AS author, body FROM {_TOPC}")
 def _(fx):
-    return ex.top_comments(threads(fx)[1]).select("thread_id", "rank", "author", "body")
+    return ex.top_comments(threads(fx)[1], width=ex.COMMENT_LIMIT).select("thread_id", "rank", "author", "body")
 
 
 @query("ext_11_thread_assembly", f"""SELECT p.conv_id AS thread_id, trim(substring(concat_ws(' ', nullif({d.clean('p.text')}, ''), nullif({d.clean("coalesce(bodies, '')")}, '')), 1, 420)) AS summary,
     substring(concat_ws(chr(10) || chr(10), 'Thread ' || p.conv_id, nullif({d.clean('p.text')}, ''), quotes), 1, 4000) AS body FROM {_POST} p LEFT JOIN (
       SELECT conv_id, string_agg(body, ' ' ORDER BY rank) AS bodies, string_agg('Top comment by ' || role || ': ' || body, chr(10) || chr(10) ORDER BY rank) AS quotes FROM {_TOPC} GROUP BY conv_id) c ON c.conv_id = p.conv_id""")
 def _(fx):
-    return ex.assemble_threads(*threads(fx)).select("thread_id", "summary", "body")
+    return ex.assemble_threads(*threads(fx), comment_width=ex.COMMENT_LIMIT, summary_width=ex.SUMMARY_LIMIT, body_width=ex.BODY_LIMIT).select("thread_id", "summary", "body")
 
 
 def search_payloads(fx):
@@ -336,18 +427,22 @@ def search_payloads(fx):
 
 @query("src_4_thread_search", f"""SELECT conv_id, turn AS score, 'Thread ' || turn AS title, md5({d.clean('substring(text, 1, 400)')}) AS excerpt, 'https://forum.example.com/r/x/' || conv_id || '/' || turn AS url, '2024-01-01' AS published FROM conversations""")
 def _(fx):
-    return captures.thread_search(search_payloads(fx)).select("conv_id", "score", "title", F.md5("excerpt").alias("excerpt"), "url", t.iso_date(F.col("published_at")).alias("published"))
+    return captures.thread_search(search_payloads(fx), excerpt_width=400).select("conv_id", "score", "title", F.md5("excerpt").alias("excerpt"), "url", t.iso_date(F.col("published_at")).alias("published"))
 
 
-@query("src_5_thread_detail", f"""SELECT conv_id AS thread_id, turn AS score, md5(text) AS body FROM conversations WHERE turn > 0""")
+@query("src_5_thread_detail", f"""SELECT conv_id AS thread_id, 'comment' AS kind, turn AS score, md5(text) AS body FROM conversations WHERE turn > 0
+    UNION ALL SELECT conv_id, 'post', NULL, md5(coalesce(any_value(text) FILTER (turn = 0), '')) FROM conversations GROUP BY conv_id""")
 def _(fx):
     rows = fx.table("conversations")
     post = rows.filter("turn = 0").select("conv_id", F.struct(F.lit("t").alias("title"), F.col("text").alias("selftext")).alias("data"))
     comment = F.struct(F.struct(F.col("text").alias("body"), F.col("turn").alias("score")).alias("data"))
     comments = rows.filter("turn > 0").groupBy("conv_id").agg(F.collect_list(comment).alias("children"))
     payload = F.concat(F.lit('[{"data":{"children":['), F.to_json(F.struct("data")), F.lit(']}},{"data":'), F.to_json(F.struct("children")), F.lit("}]"))
-    listings = comments.join(post, "conv_id", "left").withColumn("data", F.coalesce("data", F.struct(F.lit("t").alias("title"), F.lit("").alias("selftext"))))
-    return captures.thread_detail(listings.select(F.col("conv_id").alias("thread_id"), payload.alias("payload")))[1].select("thread_id", "score", F.md5("body").alias("body"))
+    listings = comments.join(post, "conv_id", "full").withColumns({
+        "data": F.coalesce("data", F.struct(F.lit("t").alias("title"), F.lit("").alias("selftext"))), "children": F.coalesce("children", F.array().cast(comments.schema["children"].dataType))})
+    posts, replies = captures.thread_detail(listings.select(F.col("conv_id").alias("thread_id"), payload.alias("payload")))
+    return replies.select("thread_id", F.lit("comment").alias("kind"), "score", F.md5("body").alias("body")).unionByName(
+        posts.select("thread_id", F.lit("post").alias("kind"), "score", F.md5("selftext").alias("body")))
 
 
 @query("src_6_sitemap_entries", f"""SELECT page_id, replace(url, '&', '+') AS loc, CASE WHEN page_id % 3 = 0 THEN '2024-01-05' END AS lastmod FROM pages""")

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfsight.functions import text as t
-from shelfsight.sources.fixtures import RAW_TEXT_LIMIT
 
 SEARCH_SCHEMA = ("struct<data:struct<children:array<struct<data:struct<title:string,selftext:string,permalink:string,author:string,"
                  "score:bigint,num_comments:bigint,created_utc:double>>>>>")
 
 
-def raw_documents(pages: DataFrame) -> DataFrame:
-    """Raw capture rows; the stored text is bounded by the capture table's column rule."""
-    return pages.select("page_id", "url", F.lit("text/html").alias("content_type"), F.substring("html", 1, RAW_TEXT_LIMIT).alias("raw_text"))
+def raw_documents(pages: DataFrame, width: int | None = None) -> DataFrame:
+    """Raw capture rows; the stored text is whole, or its first ``width`` characters where a capture table bounds its column."""
+    raw = F.col("html") if width is None else F.substring("html", 1, width)
+    return pages.select("page_id", "url", F.lit("text/html").alias("content_type"), raw.alias("raw_text"))
 
 
-def thread_search(payloads: DataFrame, column: str = "payload", base: str = "https://forum.example.com") -> DataFrame:
-    """One row per found post with typed fields and absolute url."""
+def thread_search(payloads: DataFrame, column: str = "payload", base: str = "https://forum.example.com", excerpt_width: int | None = None) -> DataFrame:
+    """One row per found post with typed fields and absolute url; the excerpt is the whole text, or its first ``excerpt_width`` characters."""
     parsed = payloads.withColumn("_p", F.from_json(column, SEARCH_SCHEMA)).select("*", F.posexplode_outer("_p.data.children").alias("position", "_c"))
     d = F.col("_c.data")
+    text = F.coalesce(d["selftext"], F.lit(""))
     return parsed.filter(d.isNotNull()).select(
         *[c for c in payloads.columns if c != column], "position",
         t.clean_text(F.coalesce(d["title"], F.lit("Untitled thread"))).alias("title"), d["selftext"].alias("selftext"),
-        t.clean_text(F.substring(F.coalesce(d["selftext"], F.lit("")), 1, 400)).alias("excerpt"),
+        t.clean_text(text if excerpt_width is None else F.substring(text, 1, excerpt_width)).alias("excerpt"),
         t.resolve_url(d["permalink"], base).alias("url"), d["author"].alias("author"), d["score"].alias("score"),
         d["num_comments"].alias("comment_count"), t.epoch_to_timestamp(d["created_utc"]).alias("published_at"))
 

@@ -12,7 +12,6 @@ from shelfsight.functions import lexicons as lx
 
 REVIEW_AS_OF = "2001-12-01 00:00:00"
 RUN_AS_OF = "2024-01-31 12:00:00"
-RAW_TEXT_LIMIT = 12000
 
 
 def as_of(value: str = REVIEW_AS_OF) -> Column:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from shelfsight.operators import extract as ex, merge as mg
+from shelfsight.operators import extract as ex, matching as mt, merge as mg
 from shelfsight.sources import captures
 from shelfsight.streaming import imports
 
@@ -107,3 +107,40 @@ def test_anchors_of_every_quote_style(spark):
     html = """<a href=/x>X</a> <a class='b' href='/y?a="1"'>Y <b>z</b></a> <a data-href="no" href="/q">Q</a> <a name="n">none</a>"""
     rows = ex.anchors(spark.createDataFrame([(1, html)], "page_id int, html string")).orderBy("position").collect()
     assert [(r["href"], r["title"]) for r in rows] == [("/x", "X"), ('/y?a="1"', "Y z"), ("/q", "Q")]
+
+
+def test_elements_are_balanced(spark):
+    pages = {
+        "<p>x</p><article id=1>a<article>b</article>c</article>d": "<article id=1>a<article>b</article>c</article>",
+        "<ARTICLE>a<articles>b</articles></Article>c": "<ARTICLE>a<articles>b</articles></Article>",
+        "<article>never closed <div>": "<article>never closed <div>", "no element": "", "<article></article><article>2</article>": "<article></article>"}
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, html string").select("k", ex.element(F.col("html"), ex.ARTICLE).alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in rows] == list(pages.values())
+    classes = {"<div class='a entry-content b'>x</div>": True, '<section data-x=1 class="entry-content">x': True, "<i class=entry-content>x": True, '<div class="my-entry-content">x': False, '<div class="entry-contents">x': False, '<div title="entry-content">x': False}
+    rows = spark.createDataFrame(list(enumerate(classes)), "k int, html string").select("k", (ex.element(F.col("html"), ex.with_class("entry-content")) != "").alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in rows] == list(classes.values())
+
+
+def test_references_are_decoded_once(spark):
+    texts = {"&amp;lt; &amp;amp;lt;": "&lt; &amp;lt;", "&#x41;&#X1F600;&#8364;&eacute;&Eacute;&mdash;": "A\U0001f600€éÉ—", "&#0;&#xD800;&#1114112;": "\ufffd\ufffd\ufffd", "&unknown; & &;": "&unknown; & &;", "a&nbsp;b&apos;": "a b'", "&#38;lt;": "&lt;"}
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string").select("k", ex.decode_entities(F.col("x")).alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in rows] == list(texts.values())
+
+
+def test_texts_stay_whole_unless_a_width_is_named(spark):
+    long = "word " * 6000 + "Score: 9 out of 10. Weight: 8.5 oz"
+    one = spark.createDataFrame([(long, "<article>" + f"<p>{'long paragraph ' * 30}</p>" * 20 + "</article>")], "t string, html string")
+    row = one.select(ex.page_score(F.col("t"), F.col("t"))["score"].alias("whole"), ex.page_score(F.col("t"), F.col("t"), ex.SCORE_TEXT)["score"].alias("cut"), ex.lab_specs(F.col("t"))["weight_oz"].alias("oz"),
+                     F.length(ex.page_body(F.col("html"))).alias("body"), F.length(ex.page_body(F.col("html"), limit=ex.MAX_PARAGRAPHS, width=ex.BODY_LIMIT)).alias("short")).collect()[0]
+    assert (row["whole"], row["cut"], row["oz"]) == (90, None, 8.5) and row["body"] > 8000 and row["short"] == ex.BODY_LIMIT
+    deep = captures.raw_documents(spark.createDataFrame([(1, "u", "x" * 30000)], "page_id int, url string, html string"))
+    assert len(deep.collect()[0]["raw_text"]) == 30000
+
+
+def test_links_of_a_result_page(spark):
+    links = [(1, 0, "/2024/a.html", "Brand Model 3 review"), (1, 1, "/2024/a.html", "again"), (1, 2, "/2024/b.html", "Brand other"), (1, 3, "https://else.org/c.html", "Brand Model 3"), (1, 4, "/2024/d.txt", "Brand Model 3"), (1, 5, "/2024/e.html", ""),
+             *[(1, 10 + k, f"/2024/model-3-{k}.html", "Brand") for k in range(7)], (2, 0, "/2024/x.html", "Brand Model 3")]
+    searches = spark.createDataFrame([(1, "brand", ["model 3"], "brand model 3")], "page_id int, brand string, aliases array<string>, query string")
+    got = mt.ranked_links(spark.createDataFrame(links, "page_id int, position int, href string, title string"), searches, "https://www.site.com", "site.com/20", ".html").orderBy("rank").collect()
+    assert [(r["rank"], r["position"]) for r in got] == [(1, 0), (2, 10), (3, 11), (4, 12), (5, 13)]
+    assert got[0]["confidence_points"] > got[1]["confidence_points"]
