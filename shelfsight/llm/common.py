@@ -27,13 +27,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Number of a row of a stage's input.
-ROW = "__row"
+#: Number of a row of a stage's input; the input's own columns lie inside a struct, so no name can clash.
+ROW = "row_number"
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents as a written table with a number for each row, so that rows alike in all columns can be told apart."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """(whole, row_number): the rows as a written table with a number each, so that rows alike in all columns can be told apart."""
+    whole = F.struct(*[named(c) for c in docs.columns]).alias("whole")
+    return written(docs.select(whole, F.monotonically_increasing_id().alias(ROW)), "numbered")
+
+
+def numbered_texts(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, row_number) of numbered rows."""
+    return rows.select(F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"), ROW)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows whose number is not in ``gone``, as they came."""
+    return rows.join(gone, ROW, "left_anti").select("whole.*")
+
+
+#: A key that holds more than one of so many rows is sent to the rows; fewer keys than this can.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with ``table``, which has one row per key and the number of rows that hold it in ``rows``.
+
+    Keys with many rows, fewer than ``HOT_SHARE`` of them, are broadcast, so that no task gets all rows of one; the others meet by a shuffle.
+    """
+    total = table.agg(F.sum("rows")).first()[0] or 0
+    is_hot = F.col("rows") * HOT_SHARE > total
+    hot, cold = table.where(is_hot).drop("rows"), table.where(~is_hot).drop("rows")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import ROW, SPACE_CLASS, numbered, scratch_path, written
+from shelfsight.llm.common import ROW, SPACE_CLASS, numbered, numbered_texts, scratch_path, without, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -46,16 +46,12 @@ def locator_of(docs: DataFrame) -> Column:
     return F.input_file_name()
 
 
-def ingest(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
-    """(doc_id, digest, n_chars, locator): what the state needs to know of each document, without its text; rows that have a number keep it."""
+def ingest(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex, with_number: bool = False) -> DataFrame:
+    """(doc_id, digest, n_chars, locator): what the state needs to know of each document, without its text; numbered rows keep their number if asked."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), digest(normalised(F.col("text"))).alias("digest"),
         F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n_chars"), locator_of(docs).alias("locator"),
-        *row_number(docs))
-
-
-def row_number(docs: DataFrame) -> list[str]:
-    return [ROW] if ROW in docs.columns else []
+        *([ROW] if with_number else []))
 
 
 def update_state(arrivals: DataFrame, state_path: str, files_per_batch: int = 1000) -> None:
@@ -102,18 +98,18 @@ def _hit_documents(docs: DataFrame, hits: DataFrame, digest: Callable[[Column],
     return near.where(F.expr("shiftright(mask, cast(bit & 63 as int)) & 1L") == 1).select("doc_id", "content", "n_chars", "digest")
 
 
-def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int = 1000) -> DataFrame:
+def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int = 1000, with_number: bool = False) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, keep_locator) for every document, dropped ones too.
 
     Texts are equal when identical without white space. Of equal texts the row with the most code points stays, then the one
     with the smallest doc_id (a null doc_id is smaller than any other). Rows that share both doc_id and content share the
     decision and are each counted in group_size; one doc_id with two contents is judged for each. Null text is empty text,
-    and empty texts are equal to each other. Other columns are not read. Empty input gives no rows. Numbered rows come out with
+    and empty texts are equal to each other. Other columns are not read. Empty input gives no rows. With ``with_number`` numbered rows come out with
     their number, their code points and (with the digest) what names their group.
     """
-    extra = [*row_number(docs), "n_chars", "part"] if row_number(docs) else []
+    extra = [ROW, "n_chars", "part"] if with_number else []
     spark = docs.sparkSession
-    arrivals = written(ingest(docs, digest), "arrivals")
+    arrivals = written(ingest(docs, digest, with_number), "arrivals")
     state_path = scratch_path(spark, "dedup-state")
     update_state(arrivals, state_path, files_per_batch)
     if not arrivals.inputFiles() or arrivals.isEmpty():
@@ -125,20 +121,21 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
     split = written(contents.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1").select("digest"), "split-digests")
     judged = arrivals.select("doc_id", "digest", *[F.lit(None).cast("long").alias(c) if c == "part" else c for c in extra]).join(state, "digest")
     if split.agg(F.count("*")).first()[0]:
-        judged = judged.join(split, "digest", "left_anti").unionByName(_by_content(docs, split, digest))
+        judged = judged.join(split, "digest", "left_anti").unionByName(_by_content(docs, split, digest, with_number))
     return judged.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_locator", *extra)
 
 
-def _by_content(docs: DataFrame, split: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def _by_content(docs: DataFrame, split: DataFrame, digest: Callable[[Column], Column], with_number: bool) -> DataFrame:
     """Groups by the bytes themselves, for digests that stand for more than one content."""
+    number = [ROW] if with_number else []
     content = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"), locator_of(docs).alias("locator"),
-        F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n_chars"), *row_number(docs)).withColumn("digest", digest(F.col("content")))
+        F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n_chars"), *number).withColumn("digest", digest(F.col("content")))
     content = content.join(split, "digest", "left_semi")
     best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").alias("doc_id"), F.col("locator").alias("locator")))
     groups = content.groupBy("digest", "content").agg(
-        best.alias("best"), F.count("*").alias("group_size"), *[F.min(c).alias("part") for c in row_number(docs)])
-    extra = [*row_number(docs), "n_chars"] if row_number(docs) else []
+        best.alias("best"), F.count("*").alias("group_size"), *[F.min(c).alias("part") for c in number])
+    extra = [*number, "n_chars"] if number else []
     return content.select("doc_id", "digest", "content", *extra).join(groups, ["digest", "content"]).select(
         "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.shorter")).alias("keep_chars"),
         F.col("best.locator").alias("keep_locator"), "group_size", *extra, *(["part"] if extra else []))
@@ -147,6 +144,6 @@ def _by_content(docs: DataFrame, split: DataFrame, digest: Callable[[Column], Co
 def drop_copies(docs: DataFrame, **how) -> DataFrame:
     """The documents that stay, all columns as they came: one row of each group. Of several rows that may stay it is the longest, then the first."""
     rows = numbered(docs)
-    judged = written(deduplicate(rows, **how).select(ROW, "digest", "part", "kept", "n_chars"), "judged")
+    judged = written(deduplicate(numbered_texts(rows), with_number=True, **how).select(ROW, "digest", "part", "kept", "n_chars"), "judged")
     best = judged.where("kept").groupBy("digest", "part").agg(F.min(F.struct(-F.col("n_chars"), ROW)).alias("best")).select(f"best.{ROW}")
-    return rows.join(judged.select(ROW).join(best, ROW, "left_anti"), ROW, "left_anti").select(*docs.columns)
+    return without(rows, judged.select(ROW).join(best, ROW, "left_anti"))

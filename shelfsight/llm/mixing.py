@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import WORD_PATTERN, written
+from shelfsight.llm.common import WORD_PATTERN, named, written
 
 HASH_BITS = 60
 LEVEL_BITS = 12
@@ -116,15 +116,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: floa
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, all columns as they came."""
+    """The mix itself: every document as often as it is taken, all columns as they came, whatever their names."""
     sizes = written(measured(docs), "mix-sizes")
-    ends = written(thresholds(sizes, source_targets(sizes, **how)), "mix-ends").select(F.col("source").alias("__source"), "passes", "threshold")
-    hashed = docs.withColumn("__hash", document_hash(F.col("doc_id"), F.col("text")))
-    taken = hashed.join(ends, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    copies = (F.col("passes") + F.when(F.col("__hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
-    repeated = taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*[docs_column(c) for c in docs.columns])
-
-
-def docs_column(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    ends = written(thresholds(sizes, source_targets(sizes, **how)), "mix-ends").select(F.col("source").alias("of_source"), "passes", "threshold")
+    whole = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("whole"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"), F.col("source").cast("string").alias("source"))
+    taken = whole.join(ends, F.col("source").eqNullSafe(F.col("of_source")))
+    copies = (F.col("passes") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
+    return taken.select("whole", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("whole.*")

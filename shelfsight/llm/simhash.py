@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import ROW, numbered, written
+from shelfsight.llm.common import ROW, WORD_PATTERN, join_counted, numbered, numbered_texts, without, written
 from shelfsight.llm.components import components
 
 #: Fixed values of the code: generator polynomial of the [23, 12, 7] Golay code, length, parity bits, covering radius.
@@ -35,6 +35,9 @@ GOLAY_RADIUS = 3
 SHINGLE_WORDS = 3
 THRESHOLD = 2
 DENSE = 256
+#: What a row must share with the row that stays for it before it is dropped.
+VERIFY_WORDS = 5
+LEAST = 0.8
 HASH_SEED = 42
 
 
@@ -59,16 +62,18 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per document, from its whole text; rows that have a number keep it."""
-    number = [ROW] if ROW in docs.columns else []
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, with_number: bool = False) -> DataFrame:
+    """(doc_id, fp): one row per document, from its whole text; numbered rows keep their number if asked, with two digests of the text."""
+    number = [ROW, "a1", "a2"] if with_number else []
+    digests = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("a1"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("a2")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[["doc_id", *number]].assign(fp=[fingerprint(t, words) for t in batch["text"]])
 
     schema = ", ".join(f"{c} long" for c in ["doc_id", *number, "fp"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *number).mapInPandas(scan, schema)
+    own = [ROW, *digests] if with_number else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own).mapInPandas(scan, schema)
 
 
 def _syndromes(values: np.ndarray) -> np.ndarray:
@@ -156,21 +161,54 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int
     null identifiers never name a component unless it has no other (then component_id is null). Empty input gives no rows.
     """
     prints = written(fingerprints(docs, words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "distinct")
     roots = written(components(links(distinct, threshold, dense)).withColumnRenamed("node", "fp"), "roots")
     linked = distinct.join(roots, "fp").select("fp", "root", "first_id")
     named = roots.join(linked.groupBy("root").agg(F.min("first_id").alias("linked_id")), "root").select("fp", "linked_id")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return prints.join(classes, "fp").select(
+    classes = written(distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("linked_id", "first_id").alias("component_id")), "classes")
+    return join_counted(prints, classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD, dense: int = DENSE) -> DataFrame:
-    """One row of each component, all columns as they came: that with the smallest doc_id (null ones last), of several rows the first."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """The rows of ``texts`` with ``shingles``, the distinct 64-bit hashes of their word shingles (of all words where there are fewer), instead of text."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = F.regexp_extract_all(lower, F.lit(f"({WORD_PATTERN})"), 1)
+    count = F.greatest(F.size("tokens") - (words - 1), F.lit(1))
+    hashed = F.transform(F.sequence(F.lit(1), count), lambda k: F.xxhash64(F.array_join(F.slice("tokens", k, words), " ")))
+    return texts.withColumn("tokens", tokens).withColumn("shingles", F.array_distinct(hashed)).drop("text", "tokens")
+
+
+def verified(rows: DataFrame, near: DataFrame, words: int, least: float) -> DataFrame:
+    """The rows of ``near`` whose texts share at least ``least`` of their word shingles with the text of the row that would stay for them.
+
+    near: row_number, two digests of the text (a1, a2), and kept, k1, k2 of that row. Equal texts need no look; of the others each distinct pair is
+    compared once, as two arrays of hashes.
+    """
+    equal = (F.col("a1") == F.col("k1")) & (F.col("a2") == F.col("k2"))
+    pair = ["a1", "a2", "k1", "k2"]
+    pairs = written(near.where(~equal).groupBy(*pair).agg(F.min(ROW).alias("one"), F.min("kept").alias("other")), "near-pairs")
+    asked = written(pairs.select(F.col("one").alias(ROW)).unionByName(pairs.select(F.col("other").alias(ROW))).distinct(), "near-asked")
+    sets = written(shingle_sets(numbered_texts(rows).join(asked, ROW), words), "near-shingles")
+    both = pairs.join(sets.select(F.col(ROW).alias("one"), F.col("shingles").alias("a")), "one").join(sets.select(F.col(ROW).alias("other"), F.col("shingles").alias("b")), "other")
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = written(both.where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared)).select(*pair), "near-alike")
+    return near.where(equal).select(ROW).unionByName(near.where(~equal).join(alike, pair, "left_semi").select(ROW))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD, dense: int = DENSE, verify_words: int = VERIFY_WORDS, least: float = LEAST) -> DataFrame:
+    """One row of each component, all columns as they came: that with the smallest doc_id (null ones last), of several rows the first.
+
+    A row goes only if its text and that of the row that stays for it share at least ``least`` of their shingles of ``verify_words`` words; a row at the
+    other end of a chain of links stays.
+    """
     rows = numbered(docs)
-    prints = written(fingerprints(rows, words), "fingerprints")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("best")
-    distinct = written(prints.groupBy("fp").agg(best), "distinct")
+    prints = written(fingerprints(numbered_texts(rows), words, with_number=True), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW, "a1", "a2")).alias("best")
+    distinct = written(prints.groupBy("fp").agg(best, F.count("*").alias("rows")), "distinct")
     roots = components(links(distinct, threshold, dense)).withColumnRenamed("node", "fp")
-    kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select(f"best.{ROW}")
-    return rows.join(prints.select(ROW).join(kept, ROW, "left_anti"), ROW, "left_anti").select(*docs.columns)
+    rooted = written(distinct.join(roots, "fp", "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), "best"), "rooted")
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col(f"best.{ROW}").alias("kept"), F.col("best.a1").alias("k1"), F.col("best.a2").alias("k2"))
+    of_print = written(rooted.select("fp", "rows", "root").join(kept, "root").drop("root"), "kept-of-prints")
+    near = written(join_counted(prints, of_print, "fp").where(F.col(ROW) != F.col("kept")).select(ROW, "kept", "a1", "a2", "k1", "k2"), "near-rows")
+    return without(rows, verified(rows, near, verify_words, least))

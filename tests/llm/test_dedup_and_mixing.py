@@ -221,3 +221,42 @@ def test_urls_of_a_host_with_many_sections(spark):
     marks = spark.createDataFrame([(i, int(i // 100 != 7), 0) for i, _ in pages], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: r["verdict"] for r in urls.judge(table, marks).collect()}
     assert got == {i: "block" if i // 100 == 7 else "allow" for i, _ in pages}
+
+
+ODD_NAMES = "doc_id long, text string, source string, `a.b` string, row_number string, whole string, hash string, fp string, digest string, __row string"
+
+
+def test_stages_take_any_column_names(spark):
+    rows = [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, "p q r s t u v", "t"), (None, None, None), (4, "p q r s t u v w", "t")]
+    table = spark.createDataFrame([(*r, *"1234567") for r in rows], ODD_NAMES)
+    for stage in (exact_dedup.drop_copies, simhash.keep_one_of_each, mixing.mixed_documents):
+        out = stage(table)
+        assert out.columns == table.columns and all(r[3:] == tuple("1234567") for r in map(tuple, out.collect()))
+    assert {r["doc_id"] for r in exact_dedup.drop_copies(table).collect()} == {1, 3, 4, None}
+
+
+def test_near_duplicates_are_verified(spark):
+    """Rows go only if five-word shingles agree by 0.8; one far from the row that stays is kept though links lead there."""
+    random.seed(9)
+    words = [f"w{k}" for k in range(3000)]
+    base = random.choices(words, k=400)
+    one = base[:200] + ["changed"] + base[201:]
+    far = random.choices(words, k=400)
+    rows = [(1, " ".join(base), "s"), (2, " ".join(one), "s"), (3, " ".join(base).upper(), "s"), (4, " ".join(far), "s")]
+    table = simhash.numbered(docs(spark, rows))
+    at = {r["whole"]["doc_id"]: r["row_number"] for r in table.collect()}
+    near = spark.createDataFrame([(at[k], at[1], k, k, 1, 1) for k in (2, 3, 4)], "row_number long, kept long, a1 long, a2 long, k1 long, k2 long")
+    assert {r["row_number"] for r in simhash.verified(table, near, 5, 0.8).collect()} == {at[2], at[3]}
+    assert simhash.verified(table, near, 5, 0.999).collect()[0]["row_number"] == at[3]
+    sets = {r["row_number"]: set(r["shingles"]) for r in simhash.shingle_sets(simhash.numbered_texts(table), 5).collect()}
+    assert sets[at[1]] == sets[at[3]] and len(sets[at[1]]) == 396 and len(sets[at[1]] & sets[at[2]]) == 391
+
+
+def test_hot_fingerprints_give_the_same_rows(spark, monkeypatch):
+    from shelfsight.llm import common
+
+    rows = [(k, "same text of some words" if k % 2 else f"text {k // 6} of other words", "s") for k in range(60)]
+    want = sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect()))
+    for share in (1, 3, 10**6):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        assert sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect())) == want
