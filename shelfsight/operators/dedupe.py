@@ -86,35 +86,37 @@ def first_duplicates(records: DataFrame, block: Sequence[str], links: DataFrame
 
 
 def suppress_duplicates(batch: DataFrame, stored: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Adds `kept`: a record is kept unless a stored or an earlier kept record duplicates it.
+    """Adds `kept`: a record is kept unless a stored or an earlier kept record of its block duplicates it.
 
-    Similarity is not transitive, so the greedy order matters: in each round the records that are
+    Earlier is by `ord`, then by the batch's own order. Similarity is not transitive, so the greedy order matters: in each round the records that are
     first among all their undecided neighbours are kept and their neighbours dropped. A round is a
-    handful of grouped minima; lineage is cut by a reliable checkpoint so that a lost executor
-    never replays earlier rounds. The loop ends because every round decides at least one record.
+    handful of grouped minima over the links of the sets that are still undecided; lineage is cut by a reliable checkpoint so that a lost executor
+    never replays earlier rounds. Every round decides the first record of each group, so there are as many as the longest chain
+    of records that wait for each other.
     """
     block = list(block)
-    columns = [*block, "url", "set_key", "ord"]
     links = cut_lineage(set_links(stored.select(*block, "set_key").unionByName(batch.select(*block, "set_key")), block))
+    rows = cut_lineage(batch.withColumn("_row", F.monotonically_increasing_id()))
+    columns = [*block, "url", "set_key", "ord", "_row"]
 
-    def neighbours_of(kept: DataFrame, rows: DataFrame) -> DataFrame:
-        """Rows without a kept record in their url group or among their similar sets."""
+    def neighbours_of(kept: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows without a kept record in their url group or among their similar sets; null urls and blocks match nothing."""
         hit_links = links.join(kept.select(*block, "set_key"), [*block, "set_key"], "left_semi").select(*block, "link")
         hit_sets = links.join(hit_links, [*block, "link"], "left_semi").select(*block, "set_key").distinct()
         free = rows.join(kept.select(*block, "url"), [*block, "url"], "left_anti")
         return free.join(hit_sets, [*block, "set_key"], "left_anti")
 
-    undecided = cut_lineage(neighbours_of(stored, batch.select(*columns)))
-    kept_rounds: list[DataFrame] = []
+    own_order = rows.withColumn("ord", F.struct("ord", "_row"))  # no two are equal, in any block
+    undecided = cut_lineage(neighbours_of(stored, own_order.select(*columns), links))
+    kept = []
     while not undecided.isEmpty():
+        links = cut_lineage(links.join(undecided.select(*block, "set_key"), [*block, "set_key"], "left_semi"))
         first = cut_lineage(_nearest(undecided, links, block).filter(F.col("nearest") == F.col("ord")).select(*columns))
-        kept_rounds.append(first)
-        left = neighbours_of(first, undecided).join(first.select("ord"), "ord", "left_anti").select(*columns)  # null urls and blocks match nothing above
-        undecided = cut_lineage(left)
-    if not kept_rounds:
-        return batch.withColumn("kept", F.lit(False))
-    kept = kept_rounds[0]
-    for more in kept_rounds[1:]:
-        kept = kept.unionByName(more)
-    return batch.join(kept.select("ord", F.lit(True).alias("_kept")), "ord", "left").select(*batch.columns, "_kept").withColumn(
-        "kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
+        kept.append(first.select("_row"))
+        undecided = cut_lineage(neighbours_of(first, undecided, links).join(first.select("_row"), "_row", "left_anti").select(*columns))
+    if not kept:
+        return rows.drop("_row").withColumn("kept", F.lit(False))
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    return rows.join(every.withColumn("_kept", F.lit(True)), "_row", "left").select(*batch.columns, F.coalesce("_kept", F.lit(False)).alias("kept"))

@@ -202,7 +202,19 @@ def _(fx):
     return dd.first_duplicates(titled(fx), BLOCK).select("doc_id", "duplicate_of")
 
 
-@query("ing_6_suppress_duplicates")
+# One record after the other in each block; the records of a block are a list that grows by what is kept.
+@query("ing_6_suppress_duplicates", """WITH RECURSIVE b AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS step FROM v_titled WHERE doc_id % 10 <> 0
+    ), s AS (
+      SELECT lang, source, list({'url': url, 'fp': fp, 'toks': toks} ORDER BY doc_id) AS st FROM v_titled WHERE doc_id % 10 = 0 GROUP BY lang, source
+    ), walk AS (
+      SELECT b.lang, b.source, 0::BIGINT AS step, NULL::BIGINT AS doc_id, false AS kept, coalesce(any_value(s.st), []) AS st FROM b LEFT JOIN s ON s.lang = b.lang AND s.source = b.source GROUP BY b.lang, b.source
+      UNION ALL
+      SELECT lang, source, step, doc_id, kept, CASE WHEN kept THEN list_append(st, {'url': url, 'fp': fp, 'toks': toks}) ELSE st END FROM (
+        SELECT b.*, w.st, len(list_filter(w.st, lambda x: x.url = b.url OR (x.fp <> '' AND b.fp <> '' AND (x.fp = b.fp OR len(list_intersect(x.toks, b.toks)) >= greatest(2, least(len(x.toks), len(b.toks)) - 1))))) = 0 AS kept
+        FROM walk w JOIN b ON b.lang = w.lang AND b.source = w.source AND b.step = w.step + 1)
+    )
+    SELECT doc_id, kept FROM walk WHERE step > 0""")
 def _(fx):
     rows = titled(fx)
     batch, stored = rows.filter("doc_id % 10 <> 0"), rows.filter("doc_id % 10 = 0")

@@ -1,40 +1,74 @@
-"""Incremental import: micro-batches of captured documents become deduplicated pending reviews."""
+"""Incremental import: micro-batches of captured documents become deduplicated pending reviews in a written table.
 
-from __future__ import annotations
+The table is keyed by stream and epoch. An epoch sees what all others have stored and replaces what it may have written itself before, so a
+crash between its write and the stream's commit leaves one copy when it is run again. Repeated captures are told by the table, without state that could
+forget; rows that come too late are kept in a table of their own.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfsight.operators import dedupe as dd, merge as mg
 
 BLOCK = ("release_id", "source_id")
+COLUMNS = ("release_id", "source_id", "url", "title", "fetched_at")
 
 
 def import_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of a batch to append: new urls whose titles duplicate nothing stored or earlier in the batch.
 
     Both inputs: release_id, source_id, url, title, fetched_at. Replaying a batch appends nothing
-    new, because its rows are then stored already.
+    new, because its rows are then stored already. A row without a url is judged by its title alone.
     """
-    fresh = mg.insert_ignore(stored.select("url"), batch, ["url"], [F.col("fetched_at"), F.col("title")])
+    named = mg.insert_ignore(stored.select("url"), batch.filter("url IS NOT NULL"), ["url"], [F.col("fetched_at"), F.col("title")])
+    fresh = named.unionByName(batch.filter("url IS NULL"))
 
     def keyed(rows: DataFrame) -> DataFrame:
-        ordered = rows.withColumn("ord", F.struct("fetched_at", F.col("url").alias("id")))
+        ordered = rows.withColumn("ord", F.struct("fetched_at", F.coalesce("url", F.lit("")).alias("id"), F.col("title").alias("of")))
         return dd.with_set_key(ordered, F.col("title"))
 
     judged = dd.suppress_duplicates(keyed(fresh), keyed(stored), BLOCK)
     return judged.filter("kept").select(*batch.columns)
 
 
-def start_import(captures: DataFrame, read_stored: Callable[[], DataFrame], append: Callable[[DataFrame], None], checkpoint: str,
-                 watermark: str = "1 day") -> StreamingQuery:
-    """Starts the stream; repeated captures of a url inside the watermark are dropped before any join."""
-    unique = captures.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["url"])
+def read_imported(spark: SparkSession, store: str, schema=None, besides: tuple[str, int] | None = None) -> DataFrame:
+    """What the table holds, without what a (stream, epoch) and later epochs of the stream wrote; empty (of ``schema``) before the first write."""
+    try:
+        rows = spark.read.parquet(store)
+    except AnalysisException:
+        if schema is None:
+            raise
+        return spark.createDataFrame([], schema)
+    if besides:
+        rows = rows.filter(~((F.col("stream") == besides[0]) & (F.col("epoch") >= besides[1])))
+    return rows.drop("stream", "epoch")
+
+
+def write_epoch(rows: DataFrame, store: str, stream: str, epoch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{store}/stream={stream}/epoch={epoch}")
+
+
+def import_epoch(batch: DataFrame, epoch: int, store: str, late: str, stream: str, lateness: str | None = "1 day") -> None:
+    """Imports one micro-batch; running it again gives the same table."""
+    batch = batch.select(*COLUMNS)
+    stored = read_imported(batch.sparkSession, store, batch.schema, (stream, epoch))
+    if lateness is not None:
+        newest = stored.agg(F.max("fetched_at")).first()[0]
+        if newest is not None:
+            too_late = F.col("fetched_at") < F.lit(newest) - F.expr(f"INTERVAL {lateness}")
+            write_epoch(batch.filter(too_late), late, stream, epoch)
+            batch = batch.filter(F.coalesce(~too_late, F.lit(True)))
+    write_epoch(import_batch(batch, stored), store, stream, epoch)
+
+
+def start_import(captures: DataFrame, store: str, late: str, checkpoint: str, stream: str = "imports", lateness: str | None = "1 day") -> StreamingQuery:
+    """Starts the stream over what there is. ``stream`` names it across restarts from its checkpoint; another checkpoint needs another name."""
 
-    def handle(batch: DataFrame, _epoch: int) -> None:
-        if not batch.isEmpty():
-            append(import_batch(batch, read_stored()))
+    def handle(batch: DataFrame, epoch: int) -> None:
+        import_epoch(batch.persist(), epoch, store, late, stream, lateness)
+        batch.unpersist()
 
-    return unique.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return captures.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -94,3 +94,13 @@ def test_suppression_ends_with_null_urls_and_blocks(spark):
     kept = {r["ord"]["id"]: r["kept"] for r in suppress_duplicates(table, table.where("false"), ["block"]).collect()}
     assert set(kept) == {1, 2, 3, 4} and kept[1] and kept[2] and kept[4]
     assert first_duplicates(table, ["block"]).count() == 4
+
+
+def test_equal_orders_in_two_blocks_are_told_apart(spark):
+    rows = [(7, "r1", "u1", "nike pegasus review"), (7, "r2", "u2", "hoka clifton test")]
+    stored = [(1, "r2", "u9", "hoka clifton test")]
+    got = {r["block"]: r["kept"] for r in dd.suppress_duplicates(records(spark, rows), records(spark, stored), ["block"]).collect()}
+    assert got == {"r1": True, "r2": False}
+    same = [(7, "r1", None, "nike pegasus review"), (7, "r1", None, "nike pegasus review"), (7, None, None, "nike pegasus review"), (7, None, None, "nike pegasus review")]
+    got = [(r["block"], r["kept"]) for r in dd.suppress_duplicates(records(spark, same), records(spark, stored), ["block"]).collect()]
+    assert sorted(got, key=repr) == sorted([("r1", True), ("r1", False), (None, True), (None, True)], key=repr)
