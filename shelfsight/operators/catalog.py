@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfsight.functions import text as t
 from shelfsight.operators import scoring
+from shelfsight.session import cut_lineage
 
 SPEC_FIELDS = ("weight_oz", "heel_mm", "forefoot_mm", "drop_mm", "fit_notes", "source_notes")
 
@@ -96,28 +97,19 @@ def line_order() -> list[Column]:
 def with_previous(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Adds `previous`, the next older release of the family.
 
-    A family may hold a third of the catalog, so the window is split: inside one
-    (family, year, currency, name initial) bucket the next row is local, and only each
-    bucket's last row looks across, at the first row of the following bucket.
+    The whole order (family, then newest first) is cut into ranges, so a family of any size spreads over tasks. Inside a range the next row is
+    local; a range's last row looks at the first row of the following one, and there is one such row per range.
     """
-    bucket_keys = ["family_id", "release_year", "is_current", "_initial"]
-    kept = F.struct(*fields)
-    keyed = rows.withColumn("_initial", F.substring("version_name", 1, 12))
-    inside = Window.partitionBy(*bucket_keys).orderBy("version_name", "release_id")
-    local = keyed.withColumns({
-        "_next": F.lead(kept).over(inside), "_pos": F.row_number().over(inside),
-    })
-    heads = local.filter("_pos = 1").select(*bucket_keys, kept.alias("_head"))
-    across = Window.partitionBy("family_id").orderBy(
-        F.col("release_year").desc_nulls_first(), F.col("is_current").desc(), "_initial")
-    following = heads.select(
-        *[F.col(k).alias(f"_h_{k}") for k in bucket_keys], F.lead("_head").over(across).alias("_following"))
-    same_bucket = [local[k].eqNullSafe(following[f"_h_{k}"]) for k in bucket_keys]
-    return (
-        local.join(following, same_bucket, "left")
-        .withColumn("previous", F.coalesce("_next", "_following"))
-        .drop("_next", "_pos", "_initial", "_following", *[f"_h_{k}" for k in bucket_keys])
-    )
+    order = [F.col("family_id"), *line_order()]
+    head = F.struct("family_id", "_kept")
+    ranged = rows.withColumn("_kept", F.struct(*fields)).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged).withColumn("_place", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_place", 33))
+    heads = placed.groupBy("_part").agg(F.min_by(head, "_place").alias("_head"))
+    following = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_following"))
+    local = placed.withColumn("_next", F.lead(head).over(Window.partitionBy("_part").orderBy("_place")))
+    joined = local.join(F.broadcast(following), "_part", "left").withColumn("_next", F.coalesce("_next", "_following"))
+    previous = F.when(F.col("_next.family_id").eqNullSafe(F.col("family_id")) & F.col("_next").isNotNull(), F.col("_next._kept"))
+    return joined.withColumn("previous", previous).drop("_part", "_place", "_next", "_following", "_kept")
 
 
 def plain_number(c: Column) -> Column:

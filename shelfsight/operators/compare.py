@@ -30,6 +30,21 @@ def facet_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
+def dependent_facets(rows: DataFrame, facets: dict[str, Column], selected: dict[str, Sequence[str]]) -> DataFrame:
+    """(facet, value, n, is_selected): values of every facet among the rows that pass the selections of all other facets, in one pass.
+
+    A row knows how many selections it fails; for a facet it counts when none of these is another's. Facets without a selection fail nothing; a null
+    value is a value of its own, which no selection names.
+    """
+    misses = {name: (~F.coalesce(value.isin(*selected[name]), F.lit(False))).cast("int") if selected.get(name) else F.lit(0) for name, value in facets.items()}
+    total = sum(misses.values(), F.lit(0))
+    pairs = F.array(*[F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value"), (total - misses[name] == 0).alias("counts"), (misses[name] == 0).alias("passes"))
+                      for name, value in facets.items()])
+    met = rows.select(F.explode(F.filter(pairs, lambda p: p["counts"])).alias("f"))
+    return met.groupBy("f.facet", "f.value").agg(F.count("*").alias("n"), F.bool_or("f.passes").alias("is_selected")).withColumn(
+        "is_selected", F.col("is_selected") & F.col("facet").isin(*[n for n in facets if selected.get(n)]))
+
+
 def bounded_sets(members: DataFrame, limit: int = MAX_SET) -> DataFrame:
     """First `limit` releases of each requested set (the size limit is part of the feature)."""
     order = Window.partitionBy("set_id").orderBy("position", "release_id")

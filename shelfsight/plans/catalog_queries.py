@@ -301,6 +301,27 @@ def _(fx):
 
 # --- facets ---------------------------------------------------------------------------------
 
+_FEED_SELECTED = {"brand": ("Brand#11", "Brand#22", "Brand#33", "Brand#3", "Brand#1"), "source_type": ("editorial", "reddit"), "sentiment": ("positive",)}
+
+
+def _facet_statement(facet: str) -> str:
+    """A facet's values under the selections of the others, as a statement of its own."""
+    others = " AND ".join(f"coalesce({name} IN {values if len(values) > 1 else '(' + repr(values[0]) + ')'}, false)" for name, values in _FEED_SELECTED.items() if name != facet)
+    own = f"coalesce({facet} IN ({', '.join(map(repr, _FEED_SELECTED[facet]))}), false)" if facet in _FEED_SELECTED else "false"
+    return f"SELECT '{facet}' AS facet, {facet} AS value, count(*) AS n, {own} AS is_selected FROM feed WHERE {others or 'true'} GROUP BY {facet}"
+
+
+@query("agg_11_dependent_facets", f"""WITH feed AS (SELECT c.brand, c.category, c.terrain, s.source_type, v.sentiment FROM v_review v JOIN v_card c ON c.release_id = v.release_id JOIN v_source s ON s.source_id = v.source_id WHERE v.status = 'approved')
+    {" UNION ALL ".join(_facet_statement(f) for f in ("brand", "category", "terrain", "source_type", "sentiment"))}""")
+def _(fx):
+    """Filter options of the review feed, each under what is chosen in the others."""
+    from shelfsight.operators.compare import dependent_facets
+    star = cat.release_star(fx.release(), fx.family()).select("release_id", "brand", t.humanize(F.col("category")).alias("category"), t.humanize(F.col("terrain")).alias("terrain"))
+    feed = fx.review().filter("status = 'approved'").select("release_id", "source_id", "sentiment").join(star, "release_id").join(fx.source().select("source_id", "source_type"), "source_id")
+    names = ("brand", "category", "terrain", "source_type", "sentiment")
+    return dependent_facets(feed, {name: F.col(name) for name in names}, _FEED_SELECTED)
+
+
 @query("agg_11_facet_values", """SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM v_card GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM v_card GROUP BY 2
     UNION ALL SELECT 'terrain', terrain, count(*) FROM v_card GROUP BY 2 UNION ALL SELECT 'stability', stability, count(*) FROM v_card GROUP BY 2""")
 def _(fx):
