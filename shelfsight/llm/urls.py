@@ -1,9 +1,11 @@
 """URL filter: explicit rules first, then a tree of path templates per host judged by its labelled pages.
 
 The tree is built level by level on the distinct path shapes, not on pages: runs of digits and long hexadecimal runs are
-wildcards from the start, and a branch whose share of bad pages does not differ from its siblings' by a two-proportion test,
-rare or not, joins the wildcard branch (variable segments and similar branches). Branches that behave differently keep their
-literal segment, whatever their share of the pages. A template is rejected when its labelled purity, smoothed
+wildcards from the start, and a branch whose share of bad pages does not differ from its siblings' joins the wildcard branch
+(variable segments and similar branches). Whether it differs is told by the likelihood ratio of one share against two, held to a level
+that grows with the number of branches tried, and never by fewer than ``LEAST_KNOWN`` labelled pages. Branches that behave
+differently keep their literal segment, whatever their share of the pages. A path of any depth has its whole template: a shape that
+is alone under its template so far ends there at once, so the levels are as many as shapes share. A template is rejected when its labelled purity, smoothed
 towards its host and the host towards all pages, is below the limit.
 """
 
@@ -18,8 +20,9 @@ from shelfsight.llm.common import written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 VARIABLE_RUN = r"[0-9a-fA-F]{16,}|[0-9]+"
-DEPTH = 6
 SIMILAR_Z = 2.58
+#: Labelled pages below which a branch cannot be told from its siblings.
+LEAST_KNOWN = 5
 SMOOTHING = 10.0
 LEAST_PURITY = 0.5
 
@@ -43,42 +46,55 @@ def rule_columns(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """Path segments with variable runs as wildcards; what lies below the tree's depth is one last segment."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), VARIABLE_RUN, "*"), "/")
-    deep = F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1 << 30), "/")))
-    return F.when(F.size(parts) > DEPTH, deep).otherwise(parts)
+    """Path segments with variable runs as wildcards."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), VARIABLE_RUN, "*"), "/")
 
 
-def _significant(bad: Column, known: Column, all_bad: Column, all_known: Column, z: float) -> Column:
-    """Whether a branch's share of bad pages differs from that of its siblings."""
-    rest, rest_bad = all_known - known, all_bad - bad
-    pooled = F.try_divide(all_bad, all_known)
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), known) + F.try_divide(F.lit(1), rest)))
-    return F.coalesce(F.abs(F.try_divide(bad, known) - F.try_divide(rest_bad, rest)) > z * spread, F.lit(False))
+def _information(bad: Column, known: Column, share: Column) -> Column:
+    """known times the divergence of its share of bad pages from ``share``; nothing where there is none of a kind."""
+    good = known - bad
+    term = lambda n, p: F.when(n > 0, n * (F.log(n / known) - F.log(p))).otherwise(0.0)
+    return F.when(known > 0, term(bad, share) + term(good, 1 - share)).otherwise(0.0)
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH, similar_z: float = SIMILAR_Z) -> DataFrame:
-    """(host, shape, template) of every distinct path shape.
+def _differs(bad: Column, known: Column, all_bad: Column, all_known: Column, branches: Column, z: float) -> Column:
+    """Whether two shares, of a branch and of its siblings, explain the labels better than one: log-likelihood ratio beyond z^2 / 2 and the log of the branches tried."""
+    bad, known, all_bad, all_known = (c.cast("double") for c in (bad, known, all_bad, all_known))
+    pooled = all_bad / all_known
+    mixed = (all_bad > 0) & (all_bad < all_known) & (known >= LEAST_KNOWN) & (known < all_known)
+    ratio = _information(bad, known, pooled) + _information(all_bad - bad, all_known - known, pooled)
+    return F.when(mixed, ratio > z * z / 2 + F.log(branches.cast("double"))).otherwise(False)
+
+
+def templates(shapes: DataFrame, similar_z: float = SIMILAR_Z) -> DataFrame:
+    """(host, shape, template, known, bad) of every distinct path shape.
 
     ``shapes`` has host, shape (array of segments), pages, known, bad. One level of the tree at a time: the parent is the template built so far.
     """
-    tree = shapes.withColumn("template", F.lit(""))
-    for level in range(depth):
-        segment = F.when(F.size("shape") > level, F.element_at("shape", F.least(F.lit(level + 1), F.size("shape"))))
-        tree = tree.withColumn("segment", segment)
-        sums = [F.sum(c).alias(c) for c in ("pages", "known", "bad")]
-        children = tree.where("segment is not null").groupBy("host", "template", "segment").agg(*sums)
-        parents = children.groupBy("host", "template").agg(
-            F.sum("known").alias("p_known"), F.sum("bad").alias("p_bad"), F.count("*").alias("p_children"))
+    columns = ["host", "shape", "template", "known", "bad"]
+    open_ = shapes.select("host", "shape", "known", "bad", F.lit("").alias("template"))
+    done, level = [], 0
+    while True:
+        alone = open_.groupBy("host", "template").agg(F.count("*").alias("shapes")).where("shapes = 1")
+        rest = F.array_join(F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1))), "/")
+        done.append(written(open_.join(alone, ["host", "template"], "left_semi").withColumn("template", F.concat("template", F.lit("/"), rest)).select(*columns), "url-done"))
+        shared = open_.join(alone, ["host", "template"], "left_anti").withColumn("segment", F.element_at("shape", level + 1))
+        children = shared.groupBy("host", "template", "segment").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+        parents = children.groupBy("host", "template").agg(F.sum("known").alias("p_known"), F.sum("bad").alias("p_bad"), F.count("*").alias("branches"))
         judged = children.join(parents, ["host", "template"])
-        literal = _significant(F.col("bad"), F.col("known"), F.col("p_bad"), F.col("p_known"), similar_z)
-        named = judged.select("host", "template", "segment", F.when(literal | (F.col("p_children") == 1), F.col("segment")).otherwise("*").alias("as"))
-        tree = tree.join(named, ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.col("as").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.col("as"))))
-        tree = written(tree.select("host", "shape", "pages", "known", "bad", "template"), "url-tree")
-        if not tree.where(F.size("shape") > level + 1).agg(F.count("*")).first()[0]:
+        literal = _differs(F.col("bad"), F.col("known"), F.col("p_bad"), F.col("p_known"), F.col("branches"), similar_z) | (F.col("branches") == 1)
+        named = judged.select("host", "template", "segment", F.when(literal, F.col("segment")).otherwise("*").alias("as"))
+        grown = shared.join(named, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), F.col("as")))
+        grown = written(grown.select(*columns), "url-tree")
+        level += 1
+        done.append(grown.where(F.size("shape") <= level))
+        open_ = grown.where(F.size("shape") > level)
+        if open_.isEmpty():
             break
-    return tree
+    tree = done[0]
+    for part in done[1:]:
+        tree = tree.unionByName(part)
+    return written(tree, "url-templates")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, least_purity: float = LEAST_PURITY, smoothing: float = SMOOTHING) -> DataFrame:

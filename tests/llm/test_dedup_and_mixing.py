@@ -1,6 +1,7 @@
 """Exact and near dedup, vectors, mixing and URL filter against brute force, with nulls, ties, repeats, clashing columns and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -260,3 +261,57 @@ def test_hot_fingerprints_give_the_same_rows(spark, monkeypatch):
     for share in (1, 3, 10**6):
         monkeypatch.setattr(common, "HOT_SHARE", share)
         assert sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect())) == want
+
+
+def plain_templates(shapes, z=2.58, least=5):
+    """{(host, shape): template} of {(host, shape): (known, bad)}, by recursion over the tree."""
+    out = {}
+
+    def information(bad, known, share):
+        return sum(n * (math.log(n / known) - math.log(p)) for n, p in ((bad, share), (known - bad, 1 - share)) if n) if known else 0.0
+
+    def grow(host, members, level, template):
+        ended = [s for s in members if len(s) <= level]
+        for s in ended:
+            out[host, s] = template
+        members = [s for s in members if len(s) > level]
+        segments = {s[level] for s in members}
+        total_known, total_bad = (sum(shapes[host, s][k] for s in members) for k in (0, 1))
+        groups = {}
+        for segment in segments:
+            known, bad = (sum(shapes[host, s][k] for s in members if s[level] == segment) for k in (0, 1))
+            differs = 0 < total_bad < total_known and least <= known < total_known and (
+                information(bad, known, total_bad / total_known) + information(total_bad - bad, total_known - known, total_bad / total_known) > z * z / 2 + math.log(len(segments)))
+            groups.setdefault(segment if differs or len(segments) == 1 else "*", []).extend(s for s in members if s[level] == segment)
+        for name, part in groups.items():
+            grow(host, part, level + 1, f"{template}/{name}")
+
+    for host in {h for h, _ in shapes}:
+        grow(host, [s for h, s in shapes if h == host], 0, "")
+    return out
+
+
+def test_templates_by_recursion(spark):
+    random.seed(7)
+    shapes = {}
+    for host in ("a", "b"):
+        for _ in range(150):
+            depth = random.choice([1, 2, 2, 3, 3, 4, 12])
+            shape = tuple([random.choice("pqr"), random.choice("uvwxyz"), *random.choices("klm", k=12)][:depth])
+            known = random.choice([0, 1, 3, 40])
+            rate = 0.9 if shape[0] == "p" else 0.5 if len(shape) > 1 and shape[1] == "u" else 0.05
+            shapes[host, shape] = (known, sum(random.random() < rate for _ in range(known)))
+    table = spark.createDataFrame([(h, list(s), n, n, b) for (h, s), (n, b) in shapes.items()], "host string, shape array<string>, pages long, known long, bad long")
+    got = {(r["host"], tuple(r["shape"])): r["template"] for r in urls.templates(table).collect()}
+    assert got == plain_templates(shapes)
+    assert len({t for (h, _), t in got.items() if h == "a"}) > 3 and any(len(t.split("/")) > 8 for t in got.values())
+
+
+def test_single_labelled_pages_make_no_templates(spark):
+    """A section with 90 good and 10 bad slugs is one template, not a repetition of its labels."""
+    pages = [(k, f"http://h.example/bad/{'abcdefghij'[k % 10]}") for k in range(300)] + [(1000 + k, f"http://h.example/good/s{chr(97 + k // 26)}{chr(97 + k % 26)}") for k in range(100)]
+    marks = [(k, 0, 1) for k in range(300)] + [(1000 + k, int(k % 10 > 0), 0) for k in range(100)]
+    rows = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+    good = {(r["template"], round(r["purity"], 2)) for r in rows if r["page_id"] >= 1000}
+    assert len(good) == 1 and next(iter(good))[0] == "/good/*" and 0.8 < next(iter(good))[1] < 0.92
+    assert {r["verdict"] for r in rows if r["page_id"] < 1000} == {"block"} and {r["verdict"] for r in rows if r["page_id"] >= 1000} == {"allow"}
