@@ -21,11 +21,10 @@ def features(fx):
     return rv.review_features(fx.review(), fx.source(), as_of())
 
 
-def themed_features(fx):
-    """Themes of a text are inferred once per document, before the text meets its reviews."""
-    docs = cut_lineage(fx.document().select(
-        "doc_id", t.matching_labels(F.concat_ws(" ", "excerpt", "body"), PROSE_PATTERNS).alias("inferred"),
-        rv.quote_of(F.col("excerpt"), F.col("body")).alias("quote")))
+def themed_features(fx, quotes: bool = True):
+    """Themes of a text are inferred once per document, before the text meets its reviews; quotes only where they are read."""
+    quote = [rv.quote_of(F.col("excerpt"), F.col("body")).alias("quote")] if quotes else []
+    docs = cut_lineage(fx.document().select("doc_id", t.matching_labels(F.concat_ws(" ", "excerpt", "body"), PROSE_PATTERNS).alias("inferred"), *quote))
     reviews = fx.attach_text(fx.review().filter("status = 'approved'"), docs)
     with_themes = reviews.withColumn("themes", F.array_distinct(F.concat("highlights", "inferred")))
     return rv.review_features(with_themes, fx.source(), as_of())
@@ -229,7 +228,7 @@ LISTS = ("positives", "concerns", "consensus_points", "debates")
 
 
 def plain_themes(fx):
-    return rv.themes_by_release(rv.top_themes(rv.score_themes(rv.theme_rollup(rv.theme_rows(themed_features(fx))))))
+    return rv.themes_by_release(rv.top_themes(rv.score_themes(rv.theme_rollup(rv.theme_rows(themed_features(fx, quotes=False))))))
 
 
 @query("sco_13_fallback_insights", _FALLBACK)
@@ -298,7 +297,7 @@ def _list(stored: str, limit: int, name: str) -> str:
     {_list('s_pros', 2, 'positives')}, {_list('s_cons', 2, 'concerns')}, {_list('s_consensus', 3, 'consensus_points')}, {_list('s_debates', 3, 'debates')}
     FROM v_intel i LEFT JOIN ({_FALLBACK}) b ON b.release_id = i.release_id""")
 def _(fx):
-    full = rv.review_intelligence(themed_features(fx), summaries(fx), plain_themes(fx))
+    full = rv.review_intelligence(features(fx), summaries(fx), plain_themes(fx))
     return full.withColumns({name: F.array_join(name, "|") for name in LISTS})
 
 
