@@ -35,9 +35,9 @@ ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
 BLOCK_CHARS = 1 << 16
 LONG_PIECE = 64
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 PACKING = [f"<{n}I" for n in range(64)]
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -331,6 +331,12 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = load(content.value)
         gc.disable()  # millions of small tuples and no cycles among them
+        try:
+            yield from encoded(merges, batches)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+
+    def encoded(merges: Merges, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
