@@ -2,8 +2,9 @@
 
 A review is found by its url, else by (source, release, title), and an update moves the stored row to the new url and title, so a later row of the batch can
 meet it there. Rows that share no key, directly or over others, never see each other. Where one title key stands alone, the
-outcome is a handful of grouped minima, however many rows it has. Title keys that urls tie together form a component, which is replayed in arrival order by
-one task that holds the component's keys and streams its rows.
+outcome is a handful of grouped minima, however many rows it has. Rows whose title keys are tied by a url are replayed in arrival order, those of a release together, and
+those of releases that share urls: one task holds such a group's keys and streams its rows. A coarser group gives the same result; that urls seldom
+cross releases makes the search for groups short.
 """
 
 from __future__ import annotations
@@ -121,9 +122,13 @@ def review_upsert_ids(incoming: DataFrame, stored: DataFrame, key: str = "incomi
     types = {**dict(stored.dtypes), **dict(incoming.dtypes)}
     rows = incoming.withColumn("_key", _node_key(F.col(key)))
     known = stored.select("review_id", "source_url", *TITLED).withColumn("_key", _node_key(F.col("review_id")))
-    pairs = rows.select("source_url", "_key").unionByName(known.select("source_url", "_key")).filter("source_url IS NOT NULL").select("source_url", F.xxhash64("_key").alias("node"))
-    span = pairs.groupBy("source_url").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top")
-    roots = cut_lineage(connected(pairs.distinct().join(span, "source_url").select("a", F.col("node").alias("b"))))
+    group = F.when(F.col("title").isNotNull(), F.xxhash64(F.lit("release"), "release_id")).otherwise(F.xxhash64("_key"))
+    marks = [F.col("source_url"), F.xxhash64("_key").alias("node"), group.alias("group")]
+    pairs = rows.select(*marks).unionByName(known.select(*marks)).filter("source_url IS NOT NULL")
+    span = pairs.groupBy("source_url").agg(F.min("node").alias("_low"), F.max("node").alias("_top"), F.min("group").alias("a")).filter("_low < _top").select("source_url", "a")
+    tied_nodes = cut_lineage(pairs.distinct().join(span, "source_url").select("node", "group", "a").distinct())
+    joined = connected(tied_nodes.select("a", F.col("group").alias("b"))).withColumnRenamed("node", "group")
+    roots = tied_nodes.select("node", "group").distinct().join(joined, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
 
     by_url = known.filter("source_url IS NOT NULL").groupBy("source_url").agg(F.min("review_id").alias("_by_url"))
     firsts = rows.select("_key", F.col(key).alias("_first"), F.lit(None).cast(types["review_id"]).alias("_known")).unionByName(
