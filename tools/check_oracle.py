@@ -37,9 +37,14 @@ def main(argv: list[str]) -> int:
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
                                                    "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    duck = duckdb.connect()
-    for table in TABLES:
-        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+
+    def connect():
+        """A connection of its own for every statement: an internal error of one ends all that share it."""
+        duck = duckdb.connect()
+        for table in TABLES:
+            duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        return duck
+
     failed = []
     for name, q in QUERIES.items():
         if argv and not any(name.startswith(a) for a in argv):
@@ -54,7 +59,7 @@ def main(argv: list[str]) -> int:
                 print(f"rows {name}: {len(got)} rows {spark_s:.2f}s", flush=True)
                 continue
             started = time.time()
-            cursor = duck.execute(q.sql)
+            cursor = connect().execute(q.sql)
             names = [c[0] for c in cursor.description]
             rows = cursor.fetchall()
             duck_s = time.time() - started
