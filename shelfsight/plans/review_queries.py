@@ -176,7 +176,7 @@ d.VIEWS["v_plain_top_theme"] = f"SELECT * FROM ({_TOP}) WHERE rank <= 5"
 
 @query("agg_4_theme_rollup", "SELECT release_id, theme, positive, mixed, negative, source_count, review_count FROM v_theme_score")
 def _(fx):
-    return rv.theme_rollup(rv.theme_rows(themed_features(fx))).select(
+    return rv.theme_rollup(rv.theme_rows(themed_features(fx, quotes=False))).select(
         "release_id", "theme", "positive", "mixed", "negative", "source_count", "review_count")
 
 
@@ -188,12 +188,12 @@ def _(fx):
 
 @query("sco_4_theme_confidence", f"SELECT release_id, theme, dominant, {_CONF} AS confidence FROM v_theme_score")
 def _(fx):
-    return rv.score_themes(rv.theme_rollup(rv.theme_rows(themed_features(fx)))).select("release_id", "theme", "dominant", "confidence")
+    return rv.score_themes(rv.theme_rollup(rv.theme_rows(themed_features(fx, quotes=False)))).select("release_id", "theme", "dominant", "confidence")
 
 
 @query("srt_6_top_themes", "SELECT release_id, theme, CAST(rank AS INTEGER) AS rank FROM v_top_theme")
 def _(fx):
-    scored = rv.score_themes(rv.theme_rollup(rv.theme_rows(themed_features(fx))))
+    scored = rv.score_themes(rv.theme_rollup(rv.theme_rows(themed_features(fx, quotes=False))))
     return rv.top_themes(scored, notes(fx)).select("release_id", "theme", "rank")
 
 
@@ -205,7 +205,7 @@ _TAKE = """CASE WHEN contested THEN theme || ' is contested across ' || source_c
     FROM (SELECT release_id, count(*) FILTER (contested) AS contradictions, string_agg({_TAKE}, '|' ORDER BY rank) FILTER (rank <= 3) AS derived FROM v_top_theme GROUP BY release_id) k
     LEFT JOIN v_summary m ON m.release_id = k.release_id""")
 def _(fx):
-    return rv.theme_reconciliation(themed_features(fx), notes(fx)).select(
+    return rv.theme_reconciliation(themed_features(fx, quotes=False), notes(fx)).select(
         "release_id", F.col("contradiction_count").alias("contradictions"), F.array_join("takeaways", "|").alias("takeaways"))
 
 
@@ -216,7 +216,7 @@ def _(fx):
     def shown(x):
         return F.concat_ws(":", x["theme"], x["dominant"], x["confidence"], x["source_count"].cast("string"), x["review_count"].cast("string"))
 
-    return rv.theme_reconciliation(themed_features(fx), notes(fx)).select(
+    return rv.theme_reconciliation(themed_features(fx, quotes=False), notes(fx)).select(
         "release_id", F.array_join(F.transform("themes", shown), "|").alias("themes"), F.col("contradiction_count").alias("contradictions"), "summary_note")
 
 
@@ -412,7 +412,7 @@ def _(fx):
 def _(fx):
     from shelfsight.operators import catalog as cat, feeds as fd
     from shelfsight.plans.catalog_queries import cards
-    rows = themed_features(fx)
+    rows = themed_features(fx, quotes=False)
     detail = cat.release_detail(
         cards(fx), fx.spec(), fx.variant(), cat.pick_variant(fx.variant()), rv.review_intelligence(features(fx), summaries(fx)),
         rv.review_coverage(features(fx), as_of()), rv.signal_summary(features(fx)), rv.theme_reconciliation(rows, notes(fx)))

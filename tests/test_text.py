@@ -91,3 +91,17 @@ def test_timestamps_are_lenient(spark):
     for raw in ("2024-03-05", "2024-03-05T00:00:00Z", "March 5, 2024", "3/5/2024"):
         assert text(spark, lambda c: t.iso_date(t.parse_timestamp(c)), raw) == "2024-03-05"
     assert text(spark, t.parse_timestamp, "soon") is None
+
+
+def test_trims_and_cleans_only_whitespace_at_borders(spark):
+    rows = [(" 　 a \t b \n", "a \t b", "a b"), (" ﻿", "", ""), ("a b", "a b", "a b"), ("é  è", "é  è", "é è"), (None, None, None)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "c string")
+    assert [tuple(r) for r in df.select(t.trim_ws(F.col("c")), t.clean_text(F.col("c"))).collect()] == [r[1:] for r in rows]
+
+
+def test_metadata_is_parsed_by_many_tasks(spark, tmp_path):
+    from shelfsight.sources.fixtures import Fixtures
+
+    spark.range(500).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = Fixtures(spark, str(tmp_path)).metadata()
+    assert rows.rdd.getNumPartitions() > 1 and rows.select("release_id").distinct().count() == 500
