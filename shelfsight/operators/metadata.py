@@ -204,6 +204,12 @@ def read_release_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
     return typed.select("*", _once(summary=overlay_override("stored", "override")))
 
 
+def read_release_notes(df: DataFrame, column: str = "metadata") -> DataFrame:
+    """Adds notes alone, for readers of no other record: the fields of the summaries are not read; drops the raw document."""
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(column)))
+    return parsed.select(*[c for c in df.columns if c != column], _once(notes=editorial_notes("_v")))
+
+
 def summary_status(df: DataFrame) -> DataFrame:
     """Display fields of the summary state per release."""
     stored, summary = F.col("stored"), F.col("summary")

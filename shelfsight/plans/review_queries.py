@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfsight.functions import text as t
-from shelfsight.operators import filters as flt, planning as pln, reviews as rv, scoring
+from shelfsight.operators import filters as flt, metadata as md, planning as pln, reviews as rv, scoring
 from shelfsight.plans import duck as d
 from shelfsight.plans.catalog_queries import summaries
 from shelfsight.plans.registry import query
@@ -31,7 +31,7 @@ def themed_features(fx, quotes: bool = True):
 
 
 def notes(fx):
-    return summaries(fx).select("release_id", "notes.*")
+    return md.read_release_notes(fx.metadata()).select("release_id", "notes.*")
 
 
 @query("jn_2_review_star", """SELECT v.review_id, r.brand, f.category, s.source_name, a.c_name AS author, v.score FROM v_review v

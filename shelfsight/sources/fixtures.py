@@ -232,9 +232,8 @@ class Fixtures:
         document = (f"concat('{{', {', '.join(summary)}, if({k} % 4 = 0, concat({', '.join(override)}), ''), "
                     f"if({k} % 9 = 0, concat({', '.join(editorial)}), ''), '}}')")
         rule = f"CASE WHEN {k} % 11 = 0 THEN NULL WHEN {k} % 13 = 0 THEN '{{broken' WHEN {k} % 19 = 0 THEN '[1]' ELSE {document} END"
-        return self.spread(self.table("part").select(k), k).selectExpr(f"{k} AS release_id", f"{rule} AS metadata")
+        return self.spread(self.table("part").select(k)).selectExpr(f"{k} AS release_id", f"{rule} AS metadata")
 
-    def spread(self, rows: DataFrame, key: str) -> DataFrame:
-        """Rows dealt by key before work that is far larger than their file: the few megabytes of a table's keys are a single task otherwise."""
-        tasks = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
-        return rows.repartition(tasks, key)
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt out before work that is far larger than their file: the few megabytes of a table's keys are a single task otherwise."""
+        return rows.repartition(min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism))

@@ -105,3 +105,12 @@ def test_metadata_is_parsed_by_many_tasks(spark, tmp_path):
     spark.range(500).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     rows = Fixtures(spark, str(tmp_path)).metadata()
     assert rows.rdd.getNumPartitions() > 1 and rows.select("release_id").distinct().count() == 500
+
+
+def test_notes_alone_equal_those_of_the_whole_document(spark):
+    from shelfsight.operators import metadata as md
+
+    docs = ['{"editorialReviewSummary":{"summaryNote":"n","pinnedTakeaways":[" a ",3,""],"ignoredThemes":["Fit"]}}', "{broken", "[1]", "{}", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "release_id int, metadata string")
+    want = md.read_release_metadata(df).select("release_id", "notes").collect()
+    assert sorted(md.read_release_notes(df).collect(), key=str) == sorted(want, key=str) and want[0]["notes"]["pinned_takeaways"] == ["a"]
