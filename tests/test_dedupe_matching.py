@@ -104,3 +104,24 @@ def test_equal_orders_in_two_blocks_are_told_apart(spark):
     same = [(7, "r1", None, "nike pegasus review"), (7, "r1", None, "nike pegasus review"), (7, None, None, "nike pegasus review"), (7, None, None, "nike pegasus review")]
     got = [(r["block"], r["kept"]) for r in dd.suppress_duplicates(records(spark, same), records(spark, stored), ["block"]).collect()]
     assert sorted(got, key=repr) == sorted([("r1", True), ("r1", False), (None, True), (None, True)], key=repr)
+
+
+def test_only_asked_keys_are_shuffled(spark, monkeypatch):
+    """In slices or at once: the rows whose key is asked for, each once."""
+    emitted = spark.createDataFrame([(i, i % 50) for i in range(200)] + [(7, None)], "doc_id int, key long")
+    asked = spark.createDataFrame([(k,) for k in (3, 3, 9, 17, 44, 99, None)], "key long")
+    want = sorted((k, i) for i in range(200) if (k := i % 50) in (3, 9, 17, 44))
+    for limit in (100, 2):
+        monkeypatch.setattr(mt, "SENT_KEYS", limit)
+        assert sorted(map(tuple, mt._asked_only(emitted, asked, "key").select("key", "doc_id").collect())) == want
+
+
+@pytest.mark.parametrize("size", [64 << 20, 0])
+def test_matching_is_the_same_with_and_without_broadcasts(spark, monkeypatch, size):
+    monkeypatch.setattr(mt, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(mt, "SENT_KEYS", 2)
+    docs = spark.createDataFrame([(1, "nike peg 41"), (1, "nike peg 41"), (2, "ride zoom fly"), (3, None)], "doc_id int, haystack string")
+    entities = spark.createDataFrame([(1, "nike", ["peg", "peg 41"]), (2, "zoom", ["zoom fly"]), (3, None, ["fly"]), (None, "ride", ["zoo"]), (5, "absent", ["ride"])],
+                                     "entity_id int, brand string, aliases array<string>")
+    got = sorted(map(tuple, mt.match_documents(docs, entities).collect()), key=repr)
+    assert got == sorted([(1, 1), (2, 2), (2, None)], key=repr)
