@@ -125,3 +125,15 @@ def test_matching_is_the_same_with_and_without_broadcasts(spark, monkeypatch, si
                                      "entity_id int, brand string, aliases array<string>")
     got = sorted(map(tuple, mt.match_documents(docs, entities).collect()), key=repr)
     assert got == sorted([(1, 1), (2, 2), (2, None)], key=repr)
+
+
+def test_set_links_are_numbers_and_none_is_held_by_one_set_alone(spark):
+    rows = [("b", i, f"u{i}", title) for i, title in enumerate(["red ring shoe", "red ring boot", "lone words here", "red ring shoe max"])]
+    table = dd.with_set_key(spark.createDataFrame(rows, "block string, id long, url string, title string"), F.col("title"))
+    sets = dd.known_sets(table, ["block"])
+    links = dd.set_links(sets, ["block"])
+    assert dict(links.dtypes) == {"set_id": "bigint", "link": "bigint"}
+    held = links.distinct().groupBy("link").count()
+    assert held.filter("count < 2").count() == 0
+    lone = sets.filter("set_key LIKE '%lone%'")
+    assert lone.count() == 1 and links.join(lone, "set_id").count() == 0
