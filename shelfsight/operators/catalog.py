@@ -136,6 +136,7 @@ def format_stack(heel: Column, forefoot: Column) -> Column:
 
 
 DIFF_FIELDS = ["version_name", "foam", "is_plated", "msrp_usd", "weight_oz", "heel_mm", "forefoot_mm", "drop_mm", "summary"]
+DIFF_SUMMARY_FIELDS = ("overview", "overall_sentiment", "best_for", "pros", "review_count", "source_count")
 BASELINE_TEXT = "Baseline release for this shoe line in the current catalog."
 NO_CHANGE_TEXT = "No major structured changes detected from the previous version."
 

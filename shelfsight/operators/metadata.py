@@ -35,7 +35,7 @@ def string_sql(v: str, path: str) -> str:
 
 
 def trimmed_sql(text: str) -> str:
-    return f"regexp_replace({text}, r'^{t.WS}+|{t.WS}+$', '')"
+    return f"trim(BOTH '{t.WS_CHARS}' FROM {text})"
 
 
 def enum_sql(v: str, path: str, domain: Sequence[str]) -> str:
@@ -114,8 +114,11 @@ def read_evidence(v: str, path: str) -> Column:
     return F.expr(evidence_sql(v, path))
 
 
-def stored_summary(v: str) -> Column:
-    """The generated summary, or null as a whole when a required field is missing."""
+REQUIRED_FIELDS = ("overview", "overall_sentiment", "confidence", "generated_at", "provider")
+
+
+def stored_summary(v: str, names: Sequence[str] | None = None) -> Column:
+    """The generated summary, or null as a whole when a required field is missing; with names, these and the required fields alone."""
     p = f"$.{SUMMARY_KEY}"
     overview = f"coalesce({string_sql(v, p + '.overview')}, '')"
     lists = {"pros": "pros", "cons": "cons", "best_for": "bestFor", "watch_outs": "watchOuts",
@@ -137,6 +140,8 @@ def stored_summary(v: str) -> Column:
         "evidence": evidence_sql(v, f"{p}.evidence"),
         "is_override": "false",
     }
+    if names is not None:
+        fields = {name: sql for name, sql in fields.items() if name in {*names, *REQUIRED_FIELDS, "is_override"}}
     return _record(fields, "r.overview <> '' AND r.overall_sentiment IS NOT NULL AND r.confidence IS NOT NULL "
                            "AND r.generated_at <> '' AND r.provider IS NOT NULL")
 
@@ -174,8 +179,8 @@ def summary_history(v: str) -> Column:
     return F.expr(f"slice(filter({typed}, r -> r.timestamp <> '' AND r.event_type IS NOT NULL), 1, {HISTORY_LIMIT})")
 
 
-def overlay_override(stored: str, override: str) -> Column:
-    """Editorial values win where given; lists replace only when not empty."""
+def overlay_override(stored: str, override: str, only: Sequence[str] | None = None) -> Column:
+    """Editorial values win where given; lists replace only when not empty. With only, the summary has just these fields."""
     names = ("overview", "overall_sentiment", "confidence", "editorial_sentiment", "community_sentiment", "source_alignment", "buyer_signal",
              "pros", "cons", "best_for", "watch_outs", "consensus_points", "debates", "review_count", "source_count", "generated_at", "model",
              "provider", "evidence")
@@ -184,8 +189,14 @@ def overlay_override(stored: str, override: str) -> Column:
         values[n] = f"coalesce({override}.{n}, {stored}.{n})"
     for n in ("pros", "cons", "best_for", "watch_outs"):
         values[n] = f"if(size({override}.{n}) > 0, {override}.{n}, {stored}.{n})"
+    if only is not None:
+        values = {n: x for n, x in values.items() if n in only}
+        plain = ", ".join(f"'{n}', {stored}.{n}" for n in values)
+        stored_part = f"CASE WHEN {stored} IS NOT NULL THEN named_struct({plain}, 'is_override', false) END"
+    else:
+        stored_part = stored
     merged = ", ".join(f"'{n}', {x}" for n, x in values.items())
-    return F.expr(f"CASE WHEN {override}.is_enabled AND {stored} IS NOT NULL THEN named_struct({merged}, 'is_override', true) ELSE {stored} END")
+    return F.expr(f"CASE WHEN {override}.is_enabled AND {stored} IS NOT NULL THEN named_struct({merged}, 'is_override', true) ELSE {stored_part} END")
 
 
 def _once(**columns: Column) -> Column:
@@ -204,6 +215,14 @@ def read_release_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
     return typed.select("*", _once(summary=overlay_override("stored", "override")))
 
 
+def read_release_summary(df: DataFrame, names: Sequence[str], column: str = "metadata") -> DataFrame:
+    """Adds the overlaid summary with the named fields alone, for readers of no other; drops the raw document."""
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(column)))
+    kept = [c for c in df.columns if c != column]
+    typed = parsed.select(*kept, _once(stored=stored_summary("_v", names), override=summary_override("_v")))
+    return typed.select(*kept, _once(summary=overlay_override("stored", "override", names)))
+
+
 def read_release_notes(df: DataFrame, column: str = "metadata") -> DataFrame:
     """Adds notes alone, for readers of no other record: the fields of the summaries are not read; drops the raw document."""
     parsed = df.withColumn("_v", F.try_parse_json(F.col(column)))

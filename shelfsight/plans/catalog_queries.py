@@ -263,7 +263,8 @@ d.VIEWS["v_diff"] = f"""SELECT family_id, release_id, version_name, p_version_na
 
 
 def changes(fx):
-    rows = fx.release().join(fx.spec(), "release_id", "left").join(summaries(fx).select("release_id", "summary"), "release_id", "left")
+    told = md.read_release_summary(fx.metadata(), cat.DIFF_SUMMARY_FIELDS)
+    rows = fx.release().join(fx.spec(), "release_id", "left").join(told, "release_id", "left")
     return cat.release_changes(rows)
 
 

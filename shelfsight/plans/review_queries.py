@@ -391,7 +391,7 @@ def _(fx):
     FROM (SELECT release_id, list_concat(coalesce(pros, []), ['smooth-ride', ' GRIP  wet '.trim(), 'Other']) AS items FROM v_summary)""")
 def _(fx):
     extra = F.array(F.lit("smooth-ride"), F.lit(" GRIP  wet "), F.lit("Other"))
-    return summaries(fx).select("release_id", F.array_join(t.dedupe_texts([F.col("summary.pros"), extra]), "|").alias("praised"))
+    return md.read_release_summary(fx.metadata(), ["pros"]).select("release_id", F.array_join(t.dedupe_texts([F.col("summary.pros"), extra]), "|").alias("praised"))
 
 
 @query("set_5_token_intersection", """SELECT release_id, CASE WHEN usage_summary IS NOT NULL THEN CAST(len(list_intersect(list_distinct(string_split(lower(version_name), ' ')), list_distinct(string_split(lower(usage_summary || ' ring v1'), ' ')))) AS INTEGER) END AS shared FROM v_release""")
