@@ -148,7 +148,7 @@ d.VIEWS["v_term"] = f"""SELECT *, row_number() OVER (PARTITION BY release_id ORD
 
 def summary_reviews(fx):
     texts = [F.col("title"), F.col("excerpt"), F.col("body")]
-    docs = cut_lineage(fx.document().select("doc_id", "title", t.infer_terms(texts, PROSE_TERMS).alias("terms"),
+    docs = cut_lineage(fx.document(spread=True).select("doc_id", "title", t.infer_terms(texts, PROSE_TERMS).alias("terms"),
                                             sm.evidence_text(F.col("excerpt"), F.col("body"), F.col("title")).alias("evidence_text")))
     return rv.review_features(fx.attach_text(fx.review().filter("status = 'approved'"), docs), fx.source(), as_of())
 

@@ -24,7 +24,7 @@ def features(fx):
 def themed_features(fx, quotes: bool = True):
     """Themes of a text are inferred once per document, before the text meets its reviews; quotes only where they are read."""
     quote = [rv.quote_of(F.col("excerpt"), F.col("body")).alias("quote")] if quotes else []
-    docs = cut_lineage(fx.document().select("doc_id", t.matching_labels(F.concat_ws(" ", "excerpt", "body"), PROSE_PATTERNS).alias("inferred"), *quote))
+    docs = cut_lineage(fx.document(spread=True).select("doc_id", t.matching_labels(F.concat_ws(" ", "excerpt", "body"), PROSE_PATTERNS).alias("inferred"), *quote))
     reviews = fx.attach_text(fx.review().filter("status = 'approved'"), docs)
     with_themes = reviews.withColumn("themes", F.array_distinct(F.concat("highlights", "inferred")))
     return rv.review_features(with_themes, fx.source(), as_of())

@@ -114,3 +114,30 @@ def test_notes_alone_equal_those_of_the_whole_document(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "release_id int, metadata string")
     want = md.read_release_metadata(df).select("release_id", "notes").collect()
     assert sorted(md.read_release_notes(df).collect(), key=str) == sorted(want, key=str) and want[0]["notes"]["pinned_takeaways"] == ["a"]
+
+
+def test_documents_are_dealt_out_before_their_texts_are_read(spark, tmp_path):
+    from shelfsight.sources.fixtures import Fixtures
+
+    rows = spark.range(300).selectExpr("id AS doc_id", "concat('Title ', id, '\n', 'Body') AS text", "'en' AS lang", "'s' AS source")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    fx = Fixtures(spark, str(tmp_path))
+    dealt = fx.document(spread=True)
+    assert dealt.rdd.getNumPartitions() > 1
+    assert sorted(dealt.collect()) == sorted(fx.document().collect())
+
+
+def test_a_narrow_summary_has_the_values_of_the_whole_one(spark):
+    from shelfsight.operators import metadata as md
+
+    base = '"overview":" o ","overallSentiment":"mixed","confidence":"low","generatedAt":"g","provider":"heuristic","pros":[" a ",1,"\u3000b\u00a0"],"reviewCount":3'
+    over = '"editorialAiReviewSummaryOverride":{"isEnabled":%s,"overview":"e","pros":["p"]}'
+    docs = ["{broken", "{}", None, '{"aiReviewSummary":{%s}}' % base, '{"aiReviewSummary":{%s},%s}' % (base, over % "true"), '{"aiReviewSummary":{%s},%s}' % (base, over % "false"),
+            '{"aiReviewSummary":{%s},%s}' % (base.replace("low", "odd"), over % "true")]
+    df = spark.createDataFrame(list(enumerate(docs)), "release_id int, metadata string")
+    fields = ["overview", "pros", "review_count", "is_override"]
+    want = {r["release_id"]: r["summary"] for r in md.read_release_metadata(df).collect()}
+    got = {r["release_id"]: r["summary"] for r in md.read_release_summary(df, fields[:3]).collect()}
+    assert {k: v and [v[f] for f in fields] for k, v in got.items()} == {k: v and [v[f] for f in fields] for k, v in want.items()}
+    assert got[3]["pros"] == ["a", "b"] and got[4]["pros"] == ["p"] and got[0] is None and got[6] is None
+    assert got[3].asDict().keys() == set(fields)
