@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfsight.session import cut_lineage
@@ -43,10 +43,14 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def _node_key(alone: Column) -> Column:
-    """Title key, else url, else the row itself."""
-    titled = F.to_json(F.struct(*TITLED), {"ignoreNullFields": "false"})
-    return F.when(F.col("title").isNotNull(), titled).when(F.col("source_url").isNotNull(), F.concat(F.lit("u"), F.col("source_url"))).otherwise(F.concat(F.lit("n"), alone.cast("string")))
+def _node(own: Column) -> Column:
+    """Title key, else url, else the row itself, as 128 bits: two hashes of different start. Hashes skip nulls, so a key says which ids it lacks."""
+    def half(start: str) -> Column:
+        titled = F.xxhash64(F.lit(start + "title"), *TITLED, F.col("source_id").isNull(), F.col("release_id").isNull())
+        return F.when(F.col("title").isNotNull(), titled).when(F.col("source_url").isNotNull(), F.xxhash64(F.lit(start + "url"), "source_url")).otherwise(
+            F.xxhash64(F.lit(start + "row"), "_stored", own))
+
+    return F.struct(half("").alias("a"), half("+").alias("b"))
 
 
 class _Component:
@@ -91,25 +95,38 @@ class _Component:
         return self.names[row]
 
 
-def _replay(rows: DataFrame, key: str, key_type: str, id_type: str) -> DataFrame:
-    """(key, target_id, same_as) of the incoming rows of every component; rows: root, turn (null for stored ones), review_id, key, source_url, title_key."""
+def _values(column: pa.Array) -> list:
+    """Python values, null as None; the common types without a scalar object each."""
+    if pa.types.is_integer(column.type) or pa.types.is_string(column.type):
+        return column.to_pandas(integer_object_nulls=True).tolist()
+    return column.to_pylist()
+
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replay(rows: DataFrame, key: str) -> DataFrame:
+    """(key, target_id, same_as) of the incoming rows of every component; rows: root, _stored, _review, key, source_url, the title key."""
+    read = ("root", "_stored", key, "_review", "source_url", *TITLED)
+    types = dict(rows.dtypes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, component = object(), _Component()
         for batch in batches:
-            batch = batch.astype(object).where(batch.notna(), None)
-            out = []
-            for at, stored, turn, name, url, title in zip(batch["root"], batch["stored"], batch[key], batch["review_id"], batch["source_url"], batch["title_key"]):
+            turns, found = [], []
+            for at, stored, turn, name, url, source, release, title in zip(*(_values(batch.column(c)) for c in read)):
                 if at != root:
                     root, component = at, _Component()
+                title_key = None if title is None else (source, release, title)
                 if stored:
-                    component.add((name, None), url, title)
+                    component.add((name, None), url, title_key)
                 else:
-                    out.append((turn, *component.take(turn, url, title)))
-            yield pd.DataFrame(out, columns=[key, "target_id", "same_as"], dtype=object)
+                    turns.append(turn)
+                    found.append(component.take(turn, url, title_key))
+            key_type, id_type = batch.column(key).type, batch.column("_review").type
+            yield pa.RecordBatch.from_pydict({key: pa.array(turns, key_type), "target_id": pa.array([name for name, _ in found], id_type), "same_as": pa.array([made for _, made in found], key_type)})
 
-    ordered = rows.repartition("root").sortWithinPartitions("root", F.col("stored").desc(), "review_id", key)
-    return ordered.mapInPandas(scan, f"{key} {key_type}, target_id {id_type}, same_as {key_type}")
+    spark = rows.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # a few a core: one more than cores would take twice as long
+    ordered = rows.select(*read).repartition(tasks, "root").sortWithinPartitions("root", F.col("_stored").desc(), "_review", key)
+    return ordered.mapInArrow(scan, f"{key} {types[key]}, target_id {types['_review']}, same_as {types[key]}")
 
 
 def review_upsert_ids(incoming: DataFrame, stored: DataFrame, key: str = "incoming_id") -> DataFrame:
@@ -118,31 +135,32 @@ def review_upsert_ids(incoming: DataFrame, stored: DataFrame, key: str = "incomi
     A review that finds none is the insert; one that finds a stored review updates it (``target_id``), one that finds an inserted row updates that
     (``same_as`` names the insert; so it does for the insert itself). An update gives the row its url and title, and what it had before no longer finds
     it. A null url or title finds nothing. First means the smallest review_id, then the earliest insert.
+
+    Both inputs are worked out once, into one checkpointed frame; all else reads that, and finds ties by numbers.
     """
-    types = {**dict(stored.dtypes), **dict(incoming.dtypes)}
-    rows = incoming.withColumn("_key", _node_key(F.col(key)))
-    known = stored.select("review_id", "source_url", *TITLED).withColumn("_key", _node_key(F.col("review_id")))
-    group = F.when(F.col("title").isNotNull(), F.xxhash64(F.lit("release"), "release_id")).otherwise(F.xxhash64("_key"))
-    marks = [F.col("source_url"), F.xxhash64("_key").alias("node"), group.alias("group")]
-    pairs = rows.select(*marks).unionByName(known.select(*marks)).filter("source_url IS NOT NULL")
-    span = pairs.groupBy("source_url").agg(F.min("node").alias("_low"), F.max("node").alias("_top"), F.min("group").alias("a")).filter("_low < _top").select("source_url", "a")
-    tied_nodes = cut_lineage(pairs.distinct().join(span, "source_url").select("node", "group", "a").distinct())
-    joined = connected(tied_nodes.select("a", F.col("group").alias("b"))).withColumnRenamed("node", "group")
-    roots = tied_nodes.select("node", "group").distinct().join(joined, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
-
-    by_url = known.filter("source_url IS NOT NULL").groupBy("source_url").agg(F.min("review_id").alias("_by_url"))
-    firsts = rows.select("_key", F.col(key).alias("_first"), F.lit(None).cast(types["review_id"]).alias("_known")).unionByName(
-        known.select("_key", F.lit(None).cast(types[key]).alias("_first"), F.col("review_id").alias("_known")))
-    by_key = firsts.groupBy("_key").agg(F.min("_first").alias("_first"), F.min("_known").alias("_known"))
-    alone = rows.withColumn("node", F.xxhash64("_key")).join(roots, "node", "left_anti").drop("node")
-    alone = alone.join(by_url, "source_url", "left").join(by_key, "_key").withColumn("target_id", F.coalesce("_by_url", "_known"))
+    known = stored.select(F.col("review_id").alias("_review"), "source_url", *TITLED, F.lit(True).alias("_stored"))
+    rows = incoming.withColumn("_stored", F.lit(False)).unionByName(known, allowMissingColumns=True)
+    own = F.coalesce(F.col(key).cast("string"), F.col("_review").cast("string"))
+    rows = cut_lineage(rows.withColumn("_node", _node(own)).select("*", F.col("_node.a").alias("_a"), F.col("_node.b").alias("_b"), F.xxhash64("source_url").alias("_url")).drop("_node"))
+    node, url = ["_a", "_b"], ["_url", "source_url"]  # urls begin alike: their number goes first where they are sorted
+
+    group = F.when(F.col("title").isNotNull(), F.xxhash64(F.lit("release"), "release_id")).otherwise(F.col("_a"))
+    pairs = rows.filter("source_url IS NOT NULL").select("_url", *node, group.alias("group"))
+    span = pairs.groupBy("_url").agg(F.min("_a").alias("low"), F.max("_a").alias("top"), F.min("group").alias("first")).filter("low < top").select("_url", "first")
+    tied = cut_lineage(pairs.join(span, "_url").select(*node, "group", "first").distinct())
+    joined = connected(tied.select(F.col("first").alias("a"), F.col("group").alias("b"))).withColumnRenamed("node", "group")
+    roots = tied.groupBy(*node).agg(F.min("group").alias("group"))  # a node has one
+    if not joined.isEmpty():  # urls seldom cross releases: the tied rows then need no look-up of their group
+        roots = roots.join(joined, "group", "left").withColumn("group", F.coalesce("root", "group"))
+    roots = roots.select(*node, F.col("group").alias("root"))
+
+    by_url = rows.filter("_stored AND source_url IS NOT NULL").groupBy(*url).agg(F.min("_review").alias("_by_url"))
+    by_node = rows.groupBy(*node).agg(F.min(key).alias("_first"), F.min("_review").alias("_known"))
+    new = rows.filter("NOT _stored").drop("_review")
+    alone = new.join(roots, node, "left_anti").join(by_node, node).join(by_url, url, "left").withColumn("target_id", F.coalesce("_by_url", "_known"))
     alone = alone.withColumn("same_as", F.when(F.col("target_id").isNull(), F.col("_first")))
 
-    title_key = F.when(F.col("title").isNotNull(), F.col("_key")).alias("title_key")
-    tied = [part.withColumn("node", F.xxhash64("_key")).join(roots, "node").select(
-        "root", F.lit(is_stored).alias("stored"), name.alias("review_id"), turn.alias(key), "source_url", title_key)
-        for part, is_stored, name, turn in ((rows, False, F.lit(None).cast(types["review_id"]), F.col(key)), (known, True, F.col("review_id"), F.lit(None).cast(types[key])))]
-    replayed = _replay(tied[0].unionByName(tied[1]), key, types[key], types["review_id"])
+    replayed = _replay(rows.join(roots, node), key)
     columns = [*incoming.columns, "target_id", "same_as"]
-    decided = alone.select(*columns).unionByName(incoming.join(replayed, key).select(*columns))
+    decided = alone.select(*columns).unionByName(new.join(replayed, key).select(*columns))
     return decided.withColumn("action", F.when(F.col("same_as") == F.col(key), "insert").otherwise("update"))

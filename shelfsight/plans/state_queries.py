@@ -128,14 +128,14 @@ d.VIEWS["v_upsert_incoming"] = f"""SELECT review_id AS incoming_id, source_id, r
     )
     SELECT incoming_id, st[coalesce(hit, len(st))].id AS target_id, st[coalesce(hit, len(st))].made AS same_as, CASE WHEN hit IS NULL THEN 'insert' ELSE 'update' END AS action FROM walk WHERE step > 0""")
 def _(fx):
-    order = F.split("review_id", "-")[0].cast("bigint")
-    rows = fx.review().withColumns({"title": F.concat(F.lit("T"), (order % 3).cast("string")), "source_url": F.concat(F.lit("https://r.example.com/"), "review_id")}).withColumn(
-        "shared", F.when(order % 2 == 0, F.concat(F.lit("https://new.example.com/r/"), rid().cast("string"), F.lit("/"), (order % 5).cast("string"))))
+    order = F.substring_index("review_id", "-", 1).cast("bigint")
+    rows = fx.review().withColumns({"title": F.concat(F.lit("T"), (order % 3).cast("string")), "source_url": F.concat(F.lit("https://r.example.com/"), "review_id"), "slot": F.when(order % 2 == 0, order % 5)}).withColumn(
+        "shared", F.concat(F.lit("https://new.example.com/r/"), rid().cast("string"), F.lit("/"), F.col("slot").cast("string")))
     columns = ("source_url", "source_id", "release_id", "title")
     incoming = rows.filter("status = 'pending'").withColumn("source_url", F.coalesce("shared", "source_url")).select(F.col("review_id").alias("incoming_id"), *columns)
     stored = rows.filter("status = 'approved'")
-    first = stored.filter("shared IS NOT NULL").groupBy("shared").agg(F.min("review_id").alias("review_id"), F.lit(True).alias("first"))
-    stored = stored.join(first, ["shared", "review_id"], "left").withColumn("source_url", F.when(F.col("first"), F.col("shared")).otherwise(F.col("source_url")))
+    first = stored.filter("shared IS NOT NULL").groupBy("release_id", "slot").agg(F.min("review_id").alias("review_id"), F.lit(True).alias("first"))  # the parts of a shared url
+    stored = stored.join(first, ["release_id", "slot", "review_id"], "left").withColumn("source_url", F.when(F.col("first"), F.col("shared")).otherwise(F.col("source_url")))
     return upsert.review_upsert_ids(incoming, stored.select("review_id", *columns)).select("incoming_id", "target_id", "same_as", "action")
 
 

@@ -75,3 +75,39 @@ def test_connected(spark):
             low[a] = low[b] = min(low[a], low[b])
     assert roots == {n: r for n, r in low.items()} and roots[40] == 0
     assert upsert.connected(spark.createDataFrame([], "a long, b long")).filter(F.lit(True)).collect() == []
+
+
+def test_inputs_are_worked_out_once(spark):
+    random.seed(8)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        seen.add(1)
+        return value
+
+    counting = F.udf(counted, "string").asNondeterministic()
+    stored = [(1000 + k, f"s{k}", 1, k % 9, "T") for k in range(60)]
+    incoming = [(k, random.choice([f"s{random.randrange(60)}", f"n{k % 40}", None]), random.randrange(2), random.randrange(9), random.choice(["T", "S", None])) for k in range(200)]
+    frames = [spark.createDataFrame(rows, f"{name} int, " + SCHEMA).withColumn("source_url", counting("source_url")) for rows, name in ((incoming, "incoming_id"), (stored, "review_id"))]
+    got = upsert.review_upsert_ids(*frames).collect()
+    assert {r["incoming_id"]: (r["target_id"], r["same_as"], r["action"]) for r in got} == plain(stored, incoming) and len(got) == 200
+    assert seen.value == len(stored) + len(incoming)
+
+
+def test_ids_that_swap_places_or_lack_are_other_titles(spark):
+    stored = [(10, "a", None, 5, "T"), (11, "b", 5, None, "T"), (12, "c", 5, 5, "T")]
+    incoming = [(1, "x", 5, None, "T"), (2, "y", None, 5, "T"), (3, "z", 5, 5, "T"), (4, "w", None, None, "T"), (12, None, 7, 7, None)]
+    got = decided(spark, stored, incoming)
+    assert [got[k][0] for k in (1, 2, 3, 4, 12)] == [11, 10, 12, None, None] and got[4][1] == 4 and got[12] == (None, 12, "insert")
+
+
+@pytest.mark.parametrize("key_type", ["bigint", "string"])
+def test_keys_beyond_a_double_and_of_text(spark, key_type):
+    big = 2**53 + 1
+    stored = [(big + 100, "u1", 1, 1, "T"), (big + 102, "u2", 2, 1, "S")]
+    incoming = [(big, "u1", 2, 1, "S"), (big + 2, "u9", 2, 1, "S"), (big + 4, "u9", 3, 1, "R"), (big + 6, "u8", 4, 1, "Q"), (big + 8, "u8", 5, 1, "P")]
+    frames = [spark.createDataFrame(rows, f"{name} bigint, " + SCHEMA).withColumn(name, F.col(name).cast(key_type)) for rows, name in ((incoming, "incoming_id"), (stored, "review_id"))]
+    frame = upsert.review_upsert_ids(*frames)
+    assert [frame.schema[c].dataType.simpleString() for c in ("incoming_id", "target_id", "same_as")] == [key_type] * 3
+    number = lambda v: None if v is None else int(v)
+    assert {int(r["incoming_id"]): (number(r["target_id"]), number(r["same_as"]), r["action"]) for r in frame.collect()} == plain(stored, incoming)
